@@ -304,3 +304,145 @@ register("index_report", """
 SELECT count(*) AS total_rows, count(DISTINCT unique_id) AS distinct_ids,
   count(*) FILTER (WHERE district IS NULL) AS null_district,
   count(*) FILTER (WHERE standardized_services IS NULL) AS null_services FROM facility_index""", "facility_index")
+
+
+# ---------------------------------------------------------------- J5 (search planning)
+from carelocus.sources import dims  # noqa: E402
+
+GAZ = "[" + ", ".join(
+    f"{{'name': {q(n)}, 'title': {q(n.title())}, 'lat': {lat}::DOUBLE, 'lon': {lon}::DOUBLE}}"
+    for n, lat, lon in dims.GAZETTEER) + "]"
+NEEDS = "[" + ", ".join(f"{{'need': {q(n)}, 'kws': {sql_list(k)}}}" for n, k in dims.CARE_NEEDS) + "]"
+STOP = sql_list(dims.STOPWORDS)
+
+
+def any_in(text: str, words) -> str:
+    return "(" + " OR ".join(f"contains({text}, {q(w)})" for w in words) + ")"
+
+
+def clean_sql(expr: str, limit: int) -> str:
+    cleaned = (f"list_filter(list_transform({expr}, lambda t: regexp_replace(trim(regexp_replace("
+               f"lower(coalesce(t, 'None')), '\\s+', ' ', 'g')), '[^a-z0-9 /+-]', '', 'g')), "
+               f"lambda t: length(t) >= 3)")
+    return f"list_slice(list_filter({cleaned}, lambda x, i: list_position({cleaned}, x) = i), 1, {limit})"
+
+
+PREFS = "list_filter([" + ", ".join(
+    f"CASE WHEN {any_in('ql', trig)} THEN {q(label)} END" for label, trig in dims.PREFERENCE_RULES
+) + "], lambda x: x IS NOT NULL)"
+
+cte("plan_b", ["searches"], f"""
+SELECT search_id, query, ql,
+  list_filter({GAZ}, lambda g: contains(ql, g.name)) AS gm,
+  list_filter({NEEDS}, lambda n: contains(ql, n.need) OR len(list_filter(n.kws, lambda k: contains(ql, k))) > 0) AS nm
+FROM (SELECT search_id, query, lower(query) AS ql FROM searches)""")
+
+cte("plan_c", ["plan_b"], f"""
+SELECT *, gm[1].title AS city, gm[1].lat AS latitude, gm[1].lon AS longitude, nm[1].need AS need0,
+  coalesce(nm[1].kws, []::VARCHAR[]) AS mapped,
+  list_filter(regexp_extract_all(ql, '[a-z][a-z0-9+-]{{2,}}'), lambda t: NOT list_contains({STOP}, t)
+    AND NOT list_contains(flatten(list_transform(gm, lambda g: string_split(g.name, ' '))), t)) AS toks
+FROM plan_b""")
+
+cte("plan_d", ["plan_c"], f"""
+SELECT *, {clean_sql('list_concat(mapped, toks)', dims.KEYWORD_LIMIT)} AS kw0,
+  ({any_in('ql', dims.INJURY_WORDS)} AND {any_in('ql', dims.LIMB_WORDS)}) AS inj,
+  {any_in('ql', dims.SURGERY_TRIGGERS)} AS surg
+FROM plan_c""")
+
+cte("plan_e", ["plan_d"], f"""
+SELECT *,
+  CASE WHEN inj THEN {clean_sql('list_concat(' + sql_list(dims.ORTHOPEDIC_PLAN_KEYWORDS) + ', kw0)', dims.KEYWORD_LIMIT)}
+       WHEN surg THEN {clean_sql('list_concat(' + sql_list(dims.SURGICAL_KEYWORDS) + ', kw0)', dims.KEYWORD_LIMIT)}
+       ELSE kw0 END AS keywords,
+  CASE WHEN inj THEN {q(dims.ORTHOPEDIC_NEED)} WHEN surg THEN coalesce(nullif(need0, ''), {q(dims.SURGICAL_NEED)})
+       ELSE need0 END AS need1,
+  {PREFS} AS preferences
+FROM plan_d""")
+
+cte("plans", ["plan_e"], f"""
+SELECT search_id, query, city, latitude, longitude,
+  coalesce(nullif(need1, ''), nullif(array_to_string(list_slice(keywords, 1, 3), ' '), ''), {q(dims.DEFAULT_NEED)})
+    AS care_need,
+  keywords, preferences, {dims.RADIUS_DEFAULT_KM} AS radius_km, 'keyword fallback' AS source,
+  CASE WHEN city IS NULL OR latitude IS NULL OR longitude IS NULL THEN 'no_city'
+       WHEN len(keywords) = 0 THEN 'no_keywords' ELSE 'ok' END AS status
+FROM plan_e""")
+
+_resp_sql = "'" + "', '".join(t.replace("'", "''") for t in __import__(
+    "carelocus.sources.fixtures", fromlist=["RESPONSE_TEMPLATES"]).RESPONSE_TEMPLATES) + "'"
+
+cte("planner_responses", [], f"""
+SELECT event_id AS search_id,
+  replace(replace(replace([{_resp_sql}][(event_id // 4) % 10 + 1], '{{C}}', c), '{{c}}', lower(c)), '{{T}}', t)
+    AS response
+FROM (SELECT event_id, {sql_list(SEARCH_CITIES)}[user_id % 8 + 1] AS c, {sql_list(SEARCH_TEXTS)}[event_id % 12 + 1] AS t
+      FROM events WHERE event_id % 4 = 0)""")
+
+cte("resp", ["planner_responses"], r"""
+SELECT search_id, j, json_type(j, '$.radius_km') AS rtype, json_extract_string(j, '$.radius_km') AS rtext
+FROM (SELECT search_id, CASE WHEN cand <> '' AND json_valid(cand) THEN cand::JSON END AS j
+      FROM (SELECT search_id, regexp_extract(coalesce(response, ''), '(?s)\{.*\}', 0) AS cand FROM planner_responses))""")
+
+cte("resp_parsed", ["resp"], r"""
+SELECT search_id, j,
+  CASE WHEN rtype = 'VARCHAR' THEN CASE WHEN regexp_full_match(rtext, '\s*[+-]?[0-9]+\s*') THEN trim(rtext)::DOUBLE END
+       WHEN rtype = 'BOOLEAN' THEN CASE WHEN rtext = 'true' THEN 1.0 ELSE 0.0 END
+       WHEN rtype IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN trunc(rtext::DOUBLE) END AS radius_value
+FROM resp""")
+
+
+def _jlist(path: str) -> str:
+    return f"coalesce(json_extract_string(r.j, '$.{path}[*]'), []::VARCHAR[])"
+
+
+cte("merged", ["plans", "resp_parsed"], f"""
+SELECT search_id, query,
+  CASE WHEN usable AND take_given THEN given ELSE city END AS city,
+  CASE WHEN usable AND take_given THEN known.lat ELSE latitude END AS latitude,
+  CASE WHEN usable AND take_given THEN known.lon ELSE longitude END AS longitude,
+  CASE WHEN usable THEN coalesce(nullif(json_extract_string(j, '$.care_need'), ''), care_need) ELSE care_need END
+    AS care_need,
+  CASE WHEN usable THEN m_keywords ELSE keywords END AS keywords,
+  CASE WHEN usable THEN m_prefs ELSE preferences END AS preferences,
+  CASE WHEN usable THEN CAST(least(greatest(coalesce(radius_value, {dims.RADIUS_DEFAULT_KM}.0), 5.0), 500.0) AS INTEGER)
+       ELSE radius_km END AS radius_km,
+  CASE WHEN usable THEN 'model planner' ELSE source END AS source
+FROM (
+  SELECT p.*, r.j, r.radius_value, r.j IS NOT NULL AS usable,
+    nullif(json_extract_string(r.j, '$.city'), '') AS given,
+    list_filter({GAZ}, lambda g: g.name = lower(nullif(json_extract_string(r.j, '$.city'), '')))[1] AS known,
+    nullif(json_extract_string(r.j, '$.city'), '') IS NOT NULL
+      AND list_filter({GAZ}, lambda g: g.name = lower(nullif(json_extract_string(r.j, '$.city'), '')))[1] IS NOT NULL
+      AS take_given,
+    {clean_sql('list_concat(' + _jlist('keywords') + ', ' + _jlist('must_have') + ', ' + _jlist('nice_to_have')
+               + ', p.keywords)', dims.KEYWORD_LIMIT)} AS m_keywords,
+    {clean_sql('list_concat(' + _jlist('preferences') + ', p.preferences)', dims.PREFERENCE_LIMIT)} AS m_prefs
+  FROM plans p LEFT JOIN resp_parsed r ON p.search_id = r.search_id)""")
+
+cte("merged_plans", ["merged"], """
+SELECT *, CASE WHEN city IS NULL OR latitude IS NULL OR longitude IS NULL THEN 'no_city'
+       WHEN len(keywords) = 0 THEN 'no_keywords' ELSE 'ok' END AS status FROM merged""")
+
+_PLAN_VIEW = """SELECT search_id, city, latitude, longitude, care_need, array_to_string(keywords, ' | ') AS keywords,
+  array_to_string(preferences, ' | ') AS preferences, radius_km, source, status FROM {src}"""
+
+register("resolve_city", "SELECT search_id, gm[1].title AS city, gm[1].lat AS city_lat, gm[1].lon AS city_lon FROM plan_b",
+         "plan_b")
+register("resolve_care_need", """
+SELECT search_id, nm[1].need AS care_need, array_to_string(nm[1].kws, ' | ') AS mapped_keywords FROM plan_b""", "plan_b")
+register("query_tokens", "SELECT search_id, array_to_string(toks, ' | ') AS tokens FROM plan_c", "plan_c")
+register("clean_terms", "SELECT search_id, array_to_string(kw0, ' | ') AS keywords FROM plan_d", "plan_d")
+register("infer_intent", "SELECT search_id, care_need, array_to_string(keywords, ' | ') AS keywords FROM plans", "plans")
+register("search_preferences", "SELECT search_id, array_to_string(preferences, ' | ') AS preferences FROM plans",
+         "plans")
+register("search_plan", _PLAN_VIEW.format(src="plans"), "plans")
+register("search_status", "SELECT search_id, status FROM plans", "plans")
+register("plan_response_parse", """
+SELECT r.search_id, r.j IS NOT NULL AS readable, json_extract_string(r.j, '$.city') AS city,
+  json_extract_string(r.j, '$.care_need') AS care_need,
+  CASE WHEN json_type(r.j, '$.keywords') = 'ARRAY' THEN array_to_string(json_extract_string(r.j, '$.keywords[*]'), ' | ')
+  END AS keywords,
+  CAST(r.radius_value AS BIGINT) AS radius_value
+FROM resp_parsed r""", "resp_parsed")
+register("merge_plans", _PLAN_VIEW.format(src="merged_plans"), "merged_plans")

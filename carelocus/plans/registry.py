@@ -169,3 +169,96 @@ def _facility_index(spark, sf):
 @query("index_report")
 def _index_report(spark, sf):
     return reports.index_report(facility_index(spark, sf))
+
+
+# ----------------------------------------------------------------- J5
+from carelocus.operators import plan as pl  # noqa: E402
+
+
+def _joined(c: str) -> F.Column:
+    """Arrays are reported as ' | '-joined text so both engines compare them as strings."""
+    return F.array_join(F.col(c), " | ").alias(c)
+
+
+def plans(spark, sf):
+    return pl.with_status(pl.fallback_plan(fx.searches(spark, sf)))
+
+
+def merged(spark, sf):
+    return pl.with_status(pl.merge_plans(fx.searches(spark, sf), fx.planner_responses(spark, sf)))
+
+
+def _plan_view(df):
+    return df.select("search_id", "city", "latitude", "longitude", "care_need", _joined("keywords"),
+                     _joined("preferences"), "radius_km", "source", "status")
+
+
+@query("resolve_city")
+def _resolve_city(spark, sf):
+    s = fx.searches(spark, sf)
+    c = pl.resolve_city(F.lower("query"))
+    return s.select("search_id", c["title"].alias("city"), c["lat"].alias("city_lat"), c["lon"].alias("city_lon"))
+
+
+@query("resolve_care_need")
+def _resolve_care_need(spark, sf):
+    s = fx.searches(spark, sf)
+    n = pl.resolve_care_need(F.lower("query"))
+    return s.select("search_id", n["need"].alias("care_need"),
+                    F.array_join(n["keywords"], " | ").alias("mapped_keywords"))
+
+
+@query("query_tokens")
+def _query_tokens(spark, sf):
+    s = fx.searches(spark, sf)
+    return s.select("search_id", F.array_join(pl.query_tokens(F.lower("query")), " | ").alias("tokens"))
+
+
+@query("clean_terms")
+def _clean_terms(spark, sf):
+    from carelocus.functions.text import clean_terms
+    s = fx.searches(spark, sf)
+    n = pl.resolve_care_need(F.lower("query"))
+    kws = clean_terms(F.concat(F.coalesce(n["keywords"], F.array().cast("array<string>")),
+                               pl.query_tokens(F.lower("query"))))
+    return s.select("search_id", F.array_join(kws, " | ").alias("keywords"))
+
+
+@query("infer_intent")
+def _infer_intent(spark, sf):
+    return plans(spark, sf).select("search_id", "care_need", _joined("keywords"))
+
+
+@query("search_preferences")
+def _search_preferences(spark, sf):
+    return plans(spark, sf).select("search_id", _joined("preferences"))
+
+
+@query("search_plan")
+def _search_plan(spark, sf):
+    return _plan_view(plans(spark, sf))
+
+
+@query("search_status")
+def _search_status(spark, sf):
+    return plans(spark, sf).select("search_id", "status")
+
+
+@query("plan_response_parse")
+def _plan_response_parse(spark, sf):
+    r = fx.planner_responses(spark, sf)
+    v = pl.parse_response(F.col("response"))
+    radius, infinite = pl.response_radius(v)
+    return r.select(
+        "search_id",
+        v.isNotNull().alias("readable"),
+        F.try_variant_get(v, "$.city", "string").alias("city"),
+        F.try_variant_get(v, "$.care_need", "string").alias("care_need"),
+        F.array_join(F.try_variant_get(v, "$.keywords", "array<string>"), " | ").alias("keywords"),
+        radius.cast("bigint").alias("radius_value"),
+    )
+
+
+@query("merge_plans")
+def _merge_plans(spark, sf):
+    return _plan_view(merged(spark, sf))

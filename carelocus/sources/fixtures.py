@@ -207,3 +207,33 @@ def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("search_id"),
         F.when(city == "", text).otherwise(F.concat(text, F.lit(" near "), city)).alias("query"),
     )
+
+
+# FIXED VALUES — planner response templates; {C} = search city (may be ''),
+# {c} = lower-cased city, {T} = search text. Chosen by (event_id div 4) % 10
+# for every fourth event; the other searches have no response.
+RESPONSE_TEMPLATES: list[str] = [
+    '{"city": "{C}", "care_need": "{T}", "keywords": ["{T}", "specialist"], "must_have": ["{T}"], '
+    '"nice_to_have": [], "preferences": ["larger facility"], "radius_km": 25}',
+    '```json\n{"city": "{C}", "keywords": ["{T} unit"], "radius_km": "30"}\n```',
+    'Here is the plan: {"city": "{c}", "care_need": null, "keywords": ["{T}"], "radius_km": null} Hope this helps.',
+    'Sorry, I cannot plan this search.',
+    '{"city": "Atlantis", "keywords": ["{T}"], "radius_km": 900}',
+    '{"city": "{C}", "keywords": ["{T}"], "radius_km": "abc"}',
+    '{"city": "{C}", "keywords": ["k01", "k02", "k03", "k04", "k05", "k06", "k07", "k08", "k09", "k10", '
+    '"k11", "k12", "k13", "k14", "k15", "k16", "k17", "k18"], "radius_km": 12.7}',
+    '{"city": "{C}", "keywords": ["{T}"], "radius_km": 2}',
+    '{"city": "{C}", "keywords": [',
+    '{"city": "", "care_need": "", "keywords": [], "preferences": ["Good Ratings!", "good ratings"], "radius_km": true}',
+]
+
+
+def planner_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """search_id, response: a model planner's raw text for every fourth search."""
+    e = read_table(spark, sf_dir, "events").select("event_id", "user_id").filter(F.col("event_id") % 4 == 0)
+    city = _pick(SEARCH_CITIES, F.col("user_id") % 8)
+    text = _pick(SEARCH_TEXTS, F.col("event_id") % 12)
+    shape = F.floor(F.col("event_id") / 4) % len(RESPONSE_TEMPLATES)
+    filled = F.replace(F.replace(F.replace(
+        _pick(RESPONSE_TEMPLATES, shape), F.lit("{C}"), city), F.lit("{c}"), F.lower(city)), F.lit("{T}"), text)
+    return e.select(F.col("event_id").alias("search_id"), filled.alias("response"))
