@@ -446,3 +446,204 @@ SELECT r.search_id, r.j IS NOT NULL AS readable, json_extract_string(r.j, '$.cit
   CAST(r.radius_value AS BIGINT) AS radius_value
 FROM resp_parsed r""", "resp_parsed")
 register("merge_plans", _PLAN_VIEW.format(src="merged_plans"), "merged_plans")
+
+
+# ---------------------------------------------------------------- J6 (search execution, evidence, cards)
+def bind(expr: str, var: str, body: str) -> str:
+    """Evaluate `body` with `var` bound to `expr` once (single-element list trick)."""
+    return f"list_transform([{expr}], lambda {var}: {body})[1]"
+
+
+def clean_ev(x: str) -> str:
+    s = f"trim(regexp_replace(coalesce(({x})::VARCHAR, ''), '\\s+', ' ', 'g'))"
+    s = f"""regexp_replace({s}, '^["'']?\\w+["'']?\\s*:\\s*["'']?', '')"""
+    for word, label in [("capability_name", "Capability"), ("standardized_service_name", "Service"),
+                        ("specialty_name", "Specialty")]:
+        s = f"regexp_replace({s}, '\\b{word}\\b', '{label}', 'gi')"
+    s = f"regexp_replace({s}, '^[\\[\\]{{}}()]+|[\\[\\]{{}}()]+$', '', 'g')"
+    s = f"""regexp_replace({s}, '^[,;:."'']+|[,;:."'']+$', '', 'g')"""
+    h = f"regexp_replace({s}, '([a-z])([A-Z])', '\\1 \\2', 'g')"
+    return bind(h, "hz", "upper(left(hz, 1)) || substr(hz, 2)")
+
+
+def has_value_sql(x: str) -> str:
+    return (f"coalesce(length(trim(({x})::VARCHAR)) > 0 AND lower(trim(({x})::VARCHAR)) NOT IN "
+            f"({', '.join(q(m) for m in dims.MISSING_MARKERS)}), false)")
+
+
+def _first_key(j: str) -> str:
+    return "coalesce(" + ", ".join(
+        f"nullif(json_extract_string({j}, '$.{k}'), '')" for k in dims.EVIDENCE_NAME_KEYS) + ")"
+
+
+def _dict_like(t: str) -> str:
+    n = f"replace(replace({t}, '&#x27;', ''''), '&quot;', '\"')"
+    pats = []
+    for k in dims.EVIDENCE_NAME_KEYS:
+        pats += [f"""nullif(regexp_extract({n}, '(?i)"{k}"\\s*:\\s*"([^"]+)"', 1), '')""",
+                 f"""nullif(regexp_extract({n}, '(?i)''{k}''\\s*:\\s*''([^'']+)''', 1), '')""",
+                 f"""nullif(regexp_extract({n}, '(?i){k}\\s*:\\s*([^,}}]+)', 1), '')"""]
+    return clean_ev("coalesce(" + ", ".join(pats) + ")")
+
+
+def ev_items(x: str) -> str:
+    body = f"""CASE WHEN t = '' THEN []::VARCHAR[]
+  WHEN json_valid(t) AND json_type(t::JSON) = 'ARRAY' THEN list_filter(list_transform(json_extract(t::JSON, '$[*]'),
+       lambda e: {clean_ev(f"CASE WHEN json_type(e) = 'OBJECT' THEN {_first_key('e')} ELSE json_extract_string(e, '$') END")}),
+       lambda s: s <> '')
+  WHEN json_valid(t) AND json_type(t::JSON) = 'OBJECT' THEN list_filter([{clean_ev(_first_key('t::JSON'))}], lambda s: s <> '')
+  WHEN {_dict_like('t')} <> '' THEN [{_dict_like('t')}]
+  ELSE list_filter(list_transform(regexp_split_to_array(regexp_replace(t, '^[\\[\\]]+|[\\[\\]]+$', '', 'g'),
+       '["'']?\\s*,\\s*["'']?'), lambda p: {clean_ev('p')}), lambda s: s <> '') END"""
+    return bind(f"trim(coalesce(({x})::VARCHAR, ''))", "t", body)
+
+
+def excerpt_sql(v: str, k: str) -> str:
+    inner = bind(f"{{'s': greatest(0, p - {dims.EXCERPT_BEFORE}), 'e': least(length({v}), p + {dims.EXCERPT_AFTER})}}", "w",
+                 f"CASE WHEN w.s > 0 THEN '...' ELSE '' END || {clean_ev(f'substring({v}, w.s + 1, w.e - w.s)')}"
+                 f" || CASE WHEN w.e < length({v}) THEN '...' ELSE '' END")
+    return bind(f"instr(lower({v}), lower({k})) - 1", "p", inner)
+
+
+def field_ev_sql(v: str, items: str | None, kws: str, label: str) -> str:
+    if items is None:
+        text = excerpt_sql(v, "k")
+    else:
+        text = bind(f"list_filter({items}, lambda it: contains(lower(it), lower(k)))", "m",
+                    f"CASE WHEN len(m) > 0 THEN array_to_string(list_slice(m, 1, {dims.STRUCTURED_MATCHES}), ', ') "
+                    f"ELSE {excerpt_sql(v, 'k')} END")
+    pairs = (f"list_transform(list_filter({kws}, lambda k: contains(lower({v}), lower(k))), "
+             f"lambda k: {bind(text, 'ex', "{'e': ex, 'n': regexp_replace(lower(ex), '\\W+', '', 'g')}")})")
+    kept = ("list_filter(ps, lambda x, i: x.e <> '' AND "
+            "len(list_filter(list_slice(ps, 1, i - 1), lambda y: y.e <> '' AND y.n = x.n)) = 0)")
+    return bind(pairs, "ps", f"list_transform({kept}, lambda x: {q(label + ': ')} || x.e)")
+
+
+_ORTHO_TEXT = "lower(concat_ws(' ', coalesce(care_need, ''), array_to_string(keywords, ' ')))"
+
+cte("dplans", ["plans"], f"""
+SELECT *, {clean_sql('keywords', dims.KEYWORD_LIMIT)} AS search_terms,
+  {any_in(_ORTHO_TEXT, dims.ORTHOPEDIC_INTENT_TERMS)} AS orthopedic,
+  latitude - radius_km / 111.0 AS min_lat, latitude + radius_km / 111.0 AS max_lat,
+  longitude - radius_km / greatest(111.0 * cos(radians(latitude)), 1.0) AS min_lon,
+  longitude + radius_km / greatest(111.0 * cos(radians(latitude)), 1.0) AS max_lon
+FROM (SELECT latitude, longitude, radius_km, care_need, keywords, min(search_id) AS plan_id
+      FROM plans WHERE status = 'ok' GROUP BY latitude, longitude, radius_km, care_need, keywords)""")
+
+cte("sidx", ["facility_index"], f"""
+SELECT *, lower(concat_ws(' ', {', '.join(f"coalesce({c}, '')" for c in dims.SEARCH_TEXT_FIELDS)})) AS search_text,
+  {has_value_sql('numberDoctors')} AS has_doctors, {has_value_sql('capacity')} AS has_capacity
+FROM facility_index WHERE facility_latitude IS NOT NULL AND facility_longitude IS NOT NULL""")
+
+cte("cands", ["dplans", "sidx"], """
+SELECT p.*, i.* FROM dplans p JOIN sidx i
+  ON i.facility_latitude BETWEEN p.min_lat AND p.max_lat AND i.facility_longitude BETWEEN p.min_lon AND p.max_lon
+WHERE len(list_filter(p.search_terms, lambda k: contains(lower(i.specialties), k)
+  OR contains(lower(i.standardized_services), k) OR contains(lower(i.parsed_capability), k)
+  OR contains(lower(i.description), k))) > 0""")
+
+_ORTHO_SUM = " + ".join(f"CASE WHEN {any_in('search_text', terms)} THEN {pts} ELSE 0 END"
+                        for terms, pts in dims.ORTHOPEDIC_SCORE_RULES)
+
+cte("scored", ["cands"], f"""
+SELECT *, CASE WHEN orthopedic THEN
+    (CASE WHEN {any_in('search_text', dims.DENTAL_TERMS)} AND o < 8 THEN o - {dims.DENTAL_PENALTY} ELSE o END)
+    ELSE len(list_filter(keywords, lambda k: contains(search_text, lower(k)))) END
+  + CAST(has_doctors AS INTEGER) + CAST(has_capacity AS INTEGER) AS relevance_score
+FROM (SELECT *, {hav('latitude', 'longitude', 'facility_latitude', 'facility_longitude')} AS distance_km,
+        {_ORTHO_SUM} AS o FROM cands)
+WHERE distance_km <= radius_km""")
+
+cte("top5", ["scored"], f"""
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY relevance_score DESC, distance_km,
+  unique_id) AS rank FROM scored WHERE NOT orthopedic OR relevance_score >= {dims.ORTHOPEDIC_MIN_SCORE})
+WHERE rank <= {dims.TOP_K}""")
+
+cte("search_map", ["plans", "dplans"], """
+SELECT p.search_id, p.preferences, d.plan_id FROM plans p JOIN dplans d
+  ON p.latitude = d.latitude AND p.longitude = d.longitude AND p.radius_km = d.radius_km
+  AND p.care_need = d.care_need AND p.keywords = d.keywords
+WHERE p.status = 'ok'""")
+
+_EV_KW = f"CASE WHEN orthopedic THEN {sql_list(dims.ORTHOPEDIC_EVIDENCE_KEYWORDS)} ELSE keywords END"
+
+cte("top5_items", ["top5"], f"""
+SELECT *, {ev_items('specialties')} AS it_spec, {ev_items('standardized_services')} AS it_svc,
+  {ev_items('parsed_capability')} AS it_cap, {_EV_KW} AS ev_kw FROM top5""")
+
+_LABELS = dict(dims.EVIDENCE_FIELDS)
+
+cte("top5_ev", ["top5_items"], f"""
+SELECT *, list_slice(list_concat(
+  {field_ev_sql("coalesce(specialties, '')", 'it_spec', 'ev_kw', _LABELS['specialties'])},
+  {field_ev_sql("coalesce(standardized_services, '')", 'it_svc', 'ev_kw', _LABELS['standardized_services'])},
+  {field_ev_sql("coalesce(parsed_capability, '')", 'it_cap', 'ev_kw', _LABELS['parsed_capability'])},
+  {field_ev_sql("coalesce(description, '')", None, 'ev_kw', _LABELS['description'])}), 1, {dims.EVIDENCE_PER_RESULT})
+  AS evidence FROM top5_items""")
+
+_PHONE_RE = r"\+?\d[\d\s().-]{7,}\d"
+
+
+def clean_phone_sql(x: str) -> str:
+    return bind(f"trim(coalesce(({x})::VARCHAR, ''))", "ph",
+                f"CASE WHEN regexp_extract(ph, '{_PHONE_RE}', 0) <> '' THEN trim(regexp_extract(ph, '{_PHONE_RE}', 0)) "
+                f"ELSE left(ph, {dims.CONTACT_FALLBACK_CHARS}) END")
+
+
+_CONTACT = ("CASE " + " ".join(f"WHEN {has_value_sql(c)} THEN {clean_phone_sql(c)}"
+                               for c in ["officialPhone", "phone_numbers", "email"]) + " END")
+_STRENGTH = (f"concat_ws(', ', CASE WHEN {has_value_sql('numberDoctors')} THEN numberDoctors || ' doctors' END, "
+             f"CASE WHEN {has_value_sql('capacity')} THEN 'capacity ' || capacity END)")
+_PLACE = ("coalesce(nullif(concat_ws(', ', coalesce(nullif(district, ''), nullif(address_city, '')), "
+          "coalesce(nullif(state, ''), nullif(address_stateOrRegion, ''))), ''), 'Location on file')")
+_CONF = ("CASE " + " ".join(f"WHEN location_confidence = {q(a)} THEN {q(b)}" for a, b in dims.CONFIDENCE_LABELS)
+         + f" ELSE {q(dims.UNKNOWN_CONFIDENCE_LABEL)} END")
+_META = (f"concat_ws(' · ', coalesce(organization_type, 'Healthcare Facility'), "
+         f"CASE WHEN {has_value_sql('numberDoctors')} THEN numberDoctors || ' doctors' END, "
+         f"CASE WHEN {has_value_sql('capacity')} THEN 'capacity ' || capacity END)")
+_WANTS = any_in("lower(array_to_string(coalesce(preferences, []::VARCHAR[]), ' '))", dims.STRENGTH_WISH_TERMS)
+
+register("search_bbox", """
+SELECT plan_id, round(min_lat, 6) AS min_lat, round(max_lat, 6) AS max_lat, round(min_lon, 6) AS min_lon,
+  round(max_lon, 6) AS max_lon FROM dplans""", "dplans")
+register("facility_text", "SELECT unique_id, " + "lower(concat_ws(' ', " + ", ".join(
+    f"coalesce({c}, '')" for c in dims.SEARCH_TEXT_FIELDS) + ")) AS search_text FROM facility_index", "facility_index")
+register("search_candidates", "SELECT plan_id, unique_id FROM cands", "cands")
+register("search_within_radius", "SELECT plan_id, unique_id, round(distance_km, 6) AS distance_km FROM scored",
+         "scored")
+register("relevance_score", "SELECT plan_id, unique_id, orthopedic, relevance_score FROM scored", "scored")
+register("search_top5", """
+SELECT m.search_id, t.rank, t.unique_id, t.relevance_score, round(t.distance_km, 6) AS distance_km
+FROM search_map m JOIN top5 t ON m.plan_id = t.plan_id""", "search_map", "top5")
+register("search_counts", f"""
+SELECT p.search_id, p.status, coalesce(c.n, 0)::BIGINT AS result_count, least(coalesce(c.n, 0), {dims.TOP_K})::BIGINT
+  AS shown_count
+FROM plans p LEFT JOIN (SELECT m.search_id, r.n FROM search_map m JOIN (
+    SELECT plan_id, count(*) AS n FROM scored WHERE NOT orthopedic OR relevance_score >= {dims.ORTHOPEDIC_MIN_SCORE}
+    GROUP BY plan_id) r ON m.plan_id = r.plan_id) c ON p.search_id = c.search_id""", "plans", "search_map", "scored")
+register("search_evidence", """
+SELECT plan_id, rank, unique_id, array_to_string(evidence, ' | ') AS evidence FROM top5_ev""", "top5_ev")
+register("result_cards", f"""
+SELECT m.search_id, t.rank, t.unique_id, coalesce(t.name, '') AS name, {_META} AS meta, {_PLACE} AS place,
+  round(t.distance_km, 1) AS distance_km, {_CONF} AS confidence_label,
+  CASE WHEN {_WANTS} AND {_STRENGTH} <> '' THEN 'larger facility signal: ' || {_STRENGTH} END AS strength_badge,
+  {_CONTACT} AS contact,
+  array_to_string(list_transform(t.evidence, lambda e: substring(e, 1, {dims.EVIDENCE_DISPLAY_CHARS})), ' | ') AS evidence,
+  t.relevance_score
+FROM search_map m JOIN top5_ev t ON m.plan_id = t.plan_id""", "search_map", "top5_ev")
+register("has_value_flags", "SELECT unique_id, " + ", ".join(
+    f"{has_value_sql(c)} AS has_{c}" for c in
+    ["numberDoctors", "capacity", "officialPhone", "phone_numbers", "email", "organization_type"]) + " FROM facilities",
+         "facilities")
+register("contact_pick", f"SELECT unique_id, {_CONTACT} AS contact, {_STRENGTH} AS strength FROM facilities",
+         "facilities")
+register("clean_phone", "SELECT unique_id, " + ", ".join(
+    f"{clean_phone_sql(c)} AS {c}" for c in ["officialPhone", "phone_numbers", "email"]) + " FROM facilities",
+         "facilities")
+register("clean_evidence", "SELECT unique_id, " + ", ".join(
+    f"{clean_ev(c)} AS {c}" for c in ["specialties", "standardized_services", "parsed_capability", "description"])
+    + " FROM facility_index", "facility_index")
+register("evidence_items", "SELECT unique_id, " + ", ".join(
+    f"array_to_string({ev_items(c)}, ' | ') AS {c}" for c in
+    ["specialties", "standardized_services", "parsed_capability", "standardized_equipment"])
+    + " FROM facility_index", "facility_index")

@@ -262,3 +262,98 @@ def _plan_response_parse(spark, sf):
 @query("merge_plans")
 def _merge_plans(spark, sf):
     return _plan_view(merged(spark, sf))
+
+
+# ----------------------------------------------------------------- J6
+from carelocus.functions import evidence as ev  # noqa: E402
+from carelocus.functions import text as tx  # noqa: E402
+from carelocus.operators import search as sr  # noqa: E402
+
+
+def _dplans(spark, sf):
+    return sr.distinct_plans(plans(spark, sf))
+
+
+@query("search_bbox")
+def _search_bbox(spark, sf):
+    b = sr.plan_boxes(_dplans(spark, sf))
+    return b.select("plan_id", *[F.round(c, 6).alias(c) for c in ["min_lat", "max_lat", "min_lon", "max_lon"]])
+
+
+@query("facility_text")
+def _facility_text(spark, sf):
+    i = facility_index(spark, sf)
+    return i.select("unique_id", sr.facility_text(i).alias("search_text"))
+
+
+@query("search_candidates")
+def _search_candidates(spark, sf):
+    return sr.search_candidates(_dplans(spark, sf), facility_index(spark, sf)).select("plan_id", "unique_id")
+
+
+@query("search_within_radius")
+def _search_within_radius(spark, sf):
+    w = sr.within_radius(sr.search_candidates(_dplans(spark, sf), facility_index(spark, sf)))
+    return w.select("plan_id", "unique_id", F.round("distance_km", 6).alias("distance_km"))
+
+
+@query("relevance_score")
+def _relevance_score(spark, sf):
+    w = sr.within_radius(sr.search_candidates(_dplans(spark, sf), facility_index(spark, sf)))
+    return w.select("plan_id", "unique_id", "orthopedic", "relevance_score")
+
+
+@query("search_top5")
+def _search_top5(spark, sf):
+    t = sr.search_top(plans(spark, sf), facility_index(spark, sf))
+    return t.select("search_id", "rank", "unique_id", "relevance_score", F.round("distance_km", 6).alias("distance_km"))
+
+
+@query("search_counts")
+def _search_counts(spark, sf):
+    return sr.search_counts(plans(spark, sf), facility_index(spark, sf))
+
+
+@query("search_evidence")
+def _search_evidence(spark, sf):
+    r = sr.run_searches(plans(spark, sf), facility_index(spark, sf))
+    return sr.evidence(r["top"]).select("plan_id", "rank", "unique_id", _joined("evidence"))
+
+
+@query("result_cards")
+def _result_cards(spark, sf):
+    c = sr.result_cards(plans(spark, sf), facility_index(spark, sf))
+    return c.select(*[_joined(x) if x == "evidence" else x for x in c.columns])
+
+
+@query("has_value_flags")
+def _has_value_flags(spark, sf):
+    f = fx.facilities(spark, sf)
+    cols = ["numberDoctors", "capacity", "officialPhone", "phone_numbers", "email", "organization_type"]
+    return f.select("unique_id", *[tx.has_value(c).alias(f"has_{c}") for c in cols])
+
+
+@query("contact_pick")
+def _contact_pick(spark, sf):
+    return fx.facilities(spark, sf).select("unique_id", sr.contact().alias("contact"),
+                                           sr.strength_label().alias("strength"))
+
+
+@query("clean_phone")
+def _clean_phone(spark, sf):
+    f = fx.facilities(spark, sf)
+    return f.select("unique_id", *[tx.clean_phone(c).alias(c) for c in ["officialPhone", "phone_numbers", "email"]])
+
+
+@query("clean_evidence")
+def _clean_evidence(spark, sf):
+    i = facility_index(spark, sf)
+    return i.select("unique_id", *[tx.clean_evidence_text(c).alias(c) for c in sr.EVIDENCE_COLUMNS])
+
+
+@query("evidence_items")
+def _evidence_items(spark, sf):
+    i = facility_index(spark, sf)
+    return i.select("unique_id", *[F.array_join(ev.evidence_items(c), " | ").alias(c)
+                                   for c in ["specialties", "standardized_services", "parsed_capability",
+                                             "standardized_equipment"]])
