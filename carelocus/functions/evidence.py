@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carelocus.functions.text import clean_evidence_text
@@ -38,25 +38,35 @@ def _dict_like(text: Column) -> Column:
     return F.coalesce(*found)
 
 
-def evidence_items(value) -> Column:
-    """Ordered display items of one evidence field (empty array when blank)."""
-    text = F.trim(F.coalesce((F.col(value) if isinstance(value, str) else value).cast("string"), F.lit("")))
-    v = F.try_parse_json(text)
-    kind = F.schema_of_variant(v)
-    elements = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
+def with_evidence_items(df: DataFrame, source: str, out: str) -> DataFrame:
+    """Add `out` = ordered display items of the evidence field `source`.
+
+    JSON list -> its elements (objects give their first name-like key); JSON
+    object -> its first name-like key; else a `key: value` found in the text;
+    else the comma-separated parts. Intermediate values are staged as columns
+    so no large sub-expression is repeated.
+    """
+    t, v, d = f"{out}__t", f"{out}__v", f"{out}__d"
+    staged = (
+        df.withColumn(t, F.trim(F.coalesce(F.col(source).cast("string"), F.lit(""))))
+        .withColumn(v, F.try_parse_json(F.col(t)))
+        .withColumn(d, F.coalesce(clean_evidence_text(_dict_like(F.col(t))), F.lit("")))
+    )
+    kind = F.schema_of_variant(F.col(v))
+    elements = F.coalesce(F.try_variant_get(F.col(v), "$", "array<variant>"), F.array().cast("array<variant>"))
     from_list = _clean_nonempty(F.transform(elements, lambda e: F.when(
         F.schema_of_variant(e).startswith("OBJECT"), _first_truthy(e, dims.EVIDENCE_NAME_KEYS))
         .otherwise(F.try_variant_get(e, "$", "string"))))
-    from_object = _clean_nonempty(F.array(_first_truthy(v, dims.EVIDENCE_NAME_KEYS)))
-    dict_value = clean_evidence_text(_dict_like(text))
-    parts = F.split(F.regexp_replace(text, r"^[\[\]]+|[\[\]]+$", ""), r"""["']?\s*,\s*["']?""")
-    return (
-        F.when(text == "", F.array().cast("array<string>"))
+    from_object = _clean_nonempty(F.array(_first_truthy(F.col(v), dims.EVIDENCE_NAME_KEYS)))
+    parts = F.split(F.regexp_replace(F.col(t), r"^[\[\]]+|[\[\]]+$", ""), r"""["']?\s*,\s*["']?""")
+    items = (
+        F.when(F.col(t) == "", F.array().cast("array<string>"))
         .when(kind.startswith("ARRAY"), from_list)
         .when(kind.startswith("OBJECT"), from_object)
-        .when(F.coalesce(dict_value, F.lit("")) != "", F.array(dict_value))
+        .when(F.col(d) != "", F.array(F.col(d)))
         .otherwise(_clean_nonempty(parts))
     )
+    return staged.withColumn(out, items).drop(t, v, d)
 
 
 def excerpt(value: Column, keyword: Column) -> Column:
@@ -70,32 +80,48 @@ def excerpt(value: Column, keyword: Column) -> Column:
                     F.when(end < n, F.lit("...")).otherwise(F.lit("")))
 
 
-def field_snippets(value: Column, items: Column | None, keywords: Column, label: str) -> Column:
-    """Snippets of one field: per keyword hit (in keyword order), a structured
-    match (up to 3 items joined by ', ') or an excerpt; de-duplicated inside the field
-    by their alphanumeric form, empty ones skipped."""
-    val = F.coalesce(value, F.lit(""))
-    hits = F.filter(keywords, lambda k: F.lower(val).contains(F.lower(k)))
+def with_field_snippets(df: DataFrame, field: str, items: str | None, keywords: str, label: str,
+                        out: str) -> DataFrame:
+    """`out` = snippets of one field: per keyword hit (keyword order), a
+    structured match (up to 3 items joined by ', ') or an excerpt; de-duplicated
+    inside the field by their alphanumeric form, empty ones skipped."""
+    val = F.coalesce(F.col(field), F.lit(""))
 
     def text_for(k: Column) -> Column:
         window = excerpt(val, k)
         if items is None:
             return window
-        matched = F.slice(F.filter(items, lambda it: F.lower(it).contains(F.lower(k))), 1, dims.STRUCTURED_MATCHES)
+        matched = F.slice(F.filter(F.col(items), lambda it: F.lower(it).contains(F.lower(k))),
+                          1, dims.STRUCTURED_MATCHES)
         return F.when(F.size(matched) > 0, F.array_join(matched, ", ")).otherwise(window)
 
-    pairs = F.transform(hits, lambda k: F.struct(
-        text_for(k).alias("e"), F.regexp_replace(F.lower(text_for(k)), r"(?U)\W+", "").alias("n")))
-    kept = F.filter(pairs, lambda x, i: (x["e"] != "") & ~F.exists(
-        F.slice(pairs, 1, i), lambda y: (y["e"] != "") & (y["n"] == x["n"])))
-    return F.transform(kept, lambda x: F.concat(F.lit(label + ": "), x["e"]))
+    texts, pairs = f"{out}__x", f"{out}__p"
+    hits = F.filter(F.col(keywords), lambda k: F.lower(val).contains(F.lower(k)))
+    p = F.col(pairs)
+    kept = F.filter(p, lambda x, i: (x["e"] != "") & ~F.exists(
+        F.slice(p, 1, i), lambda y: (y["e"] != "") & (y["n"] == x["n"])))
+    return (
+        df.withColumn(texts, F.transform(hits, text_for))
+        .withColumn(pairs, F.transform(texts, lambda e: F.struct(
+            e.alias("e"), F.regexp_replace(F.lower(e), r"(?U)\W+", "").alias("n"))))
+        .withColumn(out, F.transform(kept, lambda x: F.concat(F.lit(label + ": "), x["e"])))
+        .drop(texts, pairs)
+    )
 
 
-def facility_evidence(keywords: Column, fields: dict[str, Column]) -> Column:
-    """All snippets of a result in field order, first three kept."""
+def with_evidence(df: DataFrame, keywords: Column, out: str = "evidence") -> DataFrame:
+    """All snippets of each row in field order, first three kept."""
+    kw = f"{out}__kw"
+    staged = df.withColumn(kw, keywords)
     parts = []
     for name, label in dims.EVIDENCE_FIELDS:
-        value = fields[name]
-        items = evidence_items(value) if name in STRUCTURED_FIELDS else None
-        parts.append(field_snippets(value, items, keywords, label))
-    return F.slice(F.concat(*parts), 1, dims.EVIDENCE_PER_RESULT)
+        items = None
+        if name in STRUCTURED_FIELDS:
+            items = f"{out}__it_{name}"
+            staged = with_evidence_items(staged, name, items)
+        sn = f"{out}__sn_{name}"
+        staged = with_field_snippets(staged, name, items, kw, label, sn)
+        parts.append(sn)
+    temps = [kw, *parts, *[f"{out}__it_{n}" for n, _ in dims.EVIDENCE_FIELDS if n in STRUCTURED_FIELDS]]
+    return (staged.withColumn(out, F.slice(F.concat(*[F.col(c) for c in parts]), 1, dims.EVIDENCE_PER_RESULT))
+            .drop(*temps))

@@ -18,17 +18,40 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def sql_literal(value) -> str:
+    """Spark SQL literal text of a Python constant (str, int, float, bool, list, dict -> named_struct)."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(value, int):
+        return f"{value}"
+    if isinstance(value, float):
+        return f"CAST({value!r} AS DOUBLE)"
+    if isinstance(value, dict):
+        return "named_struct(" + ", ".join(f"{sql_literal(k)}, {sql_literal(v)}" for k, v in value.items()) + ")"
+    if isinstance(value, (list, tuple)):
+        if not value:
+            return "CAST(array() AS array<string>)"
+        return "array(" + ", ".join(sql_literal(v) for v in value) + ")"
+    raise TypeError(type(value))
+
+
+def const(value) -> Column:
+    """A constant Column built from one SQL literal (one JVM call however large)."""
+    return F.expr(sql_literal(value))
+
+
 def lit_array(values: Sequence[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    return const(list(values))
 
 
 def contains_any(text, needles: Sequence[str]) -> Column:
     """True when any constant needle is a substring of `text` (NULL text -> false)."""
     t = _c(text)
-    out = F.lit(False)
-    for n in needles:
-        out = out | t.contains(n)
-    return F.coalesce(out, F.lit(False))
+    return F.coalesce(F.exists(lit_array(needles), lambda n: t.contains(n)), F.lit(False))
 
 
 def clean_term(t: Column) -> Column:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carelocus.functions.text import clean_terms, contains_any, lit_array
+from carelocus.functions.text import clean_terms, const, contains_any, lit_array
 from carelocus.sources import dims
 
 FALLBACK_SOURCE = "keyword fallback"
@@ -31,50 +31,57 @@ def _empty() -> Column:
 
 
 def _gazetteer() -> Column:
-    return F.array(*[
-        F.struct(F.lit(n).alias("name"), F.lit(n.title()).alias("title"),
-                 F.lit(lat).alias("lat"), F.lit(lon).alias("lon"))
-        for n, lat, lon in dims.GAZETTEER
-    ])
+    return const([{"name": n, "title": n.title(), "lat": lat, "lon": lon} for n, lat, lon in dims.GAZETTEER])
 
 
 def _needs() -> Column:
-    return F.array(*[
-        F.struct(F.lit(need).alias("need"), lit_array(kws).alias("keywords"))
-        for need, kws in dims.CARE_NEEDS
-    ])
+    return const([{"need": need, "keywords": kws} for need, kws in dims.CARE_NEEDS])
 
 
-def cities_in(ql: Column) -> Column:
-    """Gazetteer entries whose name occurs in the lower-cased text, in priority order."""
-    return F.filter(_gazetteer(), lambda g: ql.contains(g["name"]))
+def _first_hit(conditions: list[Column]) -> Column:
+    """0-based position of the first true condition (NULL if none): a CASE chain,
+    evaluated inside whole-stage codegen and stopping at the first hit."""
+    out = None
+    for i, cond in enumerate(conditions):
+        out = F.when(cond, F.lit(i)) if out is None else out.when(cond, F.lit(i))
+    return out
 
 
 def resolve_city(ql: Column) -> Column:
     """H1: struct(name, title, lat, lon) of the first gazetteer name contained in the text."""
-    return F.get(cities_in(ql), 0)
+    return F.get(_gazetteer(), _first_hit([ql.contains(n) for n, _, _ in dims.GAZETTEER]))
 
 
 def resolve_care_need(ql: Column) -> Column:
     """H2: struct(need, keywords) of the first need whose name or any keyword occurs."""
-    hits = F.filter(_needs(), lambda n: ql.contains(n["need"]) | F.exists(n["keywords"], lambda k: ql.contains(k)))
-    return F.get(hits, 0)
+    conds = []
+    for need, kws in dims.CARE_NEEDS:
+        cond = ql.contains(need)
+        for kw in kws:
+            cond = cond | ql.contains(kw)
+        conds.append(cond)
+    return F.get(_needs(), _first_hit(conds))
 
 
-def query_tokens(ql: Column) -> Column:
+def city_words(ql: Column) -> Column:
+    """Words of every gazetteer name found in the text (no lambda: codegen-able)."""
+    return F.flatten(F.array(*[
+        F.when(ql.contains(n), lit_array(n.split())).otherwise(_empty()) for n, _, _ in dims.GAZETTEER]))
+
+
+def query_tokens(ql: Column, words_of_cities: Column | None = None) -> Column:
     """H3: word tokens minus stop words minus the words of every city named."""
-    city_words = F.flatten(F.transform(cities_in(ql), lambda g: F.split(g["name"], " ")))
+    cw = city_words(ql) if words_of_cities is None else words_of_cities
     stop = lit_array(dims.STOPWORDS)
     tokens = F.regexp_extract_all(ql, F.lit(_TOKEN), 0)
-    return F.filter(tokens, lambda t: ~F.array_contains(stop, t) & ~F.array_contains(city_words, t))
+    return F.filter(tokens, lambda t: ~F.array_contains(stop, t) & ~F.array_contains(cw, t))
 
 
 def infer_preferences(ql: Column) -> Column:
     """H7: preference labels whose trigger phrases occur, in rule order."""
-    return F.filter(
-        F.array(*[F.when(contains_any(ql, triggers), F.lit(label)) for label, triggers in dims.PREFERENCE_RULES]),
-        lambda x: x.isNotNull(),
-    )
+    rules = const([{"label": label, "triggers": triggers} for label, triggers in dims.PREFERENCE_RULES])
+    hits = F.filter(rules, lambda r: F.exists(r["triggers"], lambda t: ql.contains(t)))
+    return F.coalesce(F.transform(hits, lambda r: r["label"]), F.array().cast("array<string>"))
 
 
 def clamp_radius(r: Column) -> Column:
@@ -85,49 +92,64 @@ def clamp_radius(r: Column) -> Column:
 
 def fallback_plan(searches: DataFrame, text_col: str = "query",
                   default_radius_km: int = dims.RADIUS_DEFAULT_KM) -> DataFrame:
-    """H1-H9: the rule-based plan of every search (all input columns kept)."""
-    ql = F.lower(F.col(text_col))
-    city = resolve_city(ql)
-    need = resolve_care_need(ql)
-    mapped = F.coalesce(need["keywords"], _empty())
-    keywords = clean_terms(F.concat(mapped, query_tokens(ql)))
-
-    injury_limb = contains_any(ql, dims.INJURY_WORDS) & contains_any(ql, dims.LIMB_WORDS)
-    surgical = contains_any(ql, dims.SURGERY_TRIGGERS)
-    need_name = need["need"]
-    kw_final = (
-        F.when(injury_limb, clean_terms(F.concat(lit_array(dims.ORTHOPEDIC_PLAN_KEYWORDS), F.col("_kw"))))
-        .when(surgical, clean_terms(F.concat(lit_array(dims.SURGICAL_KEYWORDS), F.col("_kw"))))
-        .otherwise(F.col("_kw"))
+    """H1-H9: the rule-based plan of every search (all input columns kept).
+
+    Intermediate values (lower-cased text, cities found, need found, city
+    words, base keywords, intent flags) are staged as columns so that each is
+    evaluated once per row, not once per array element inside a lambda.
+    """
+    ql, city, need = F.col("_ql"), F.col("_city"), F.col("_need")
+    base = (
+        spread(searches).withColumn("_ql", F.lower(F.col(text_col)))
+        .withColumn("_city", resolve_city(ql))
+        .withColumn("_need", resolve_care_need(ql))
+        .withColumn("_cw", city_words(ql))
+        .withColumn("_kw", clean_terms(F.concat(F.coalesce(need["keywords"], _empty()),
+                                                query_tokens(ql, F.col("_cw")))))
+        .withColumn("_inj", contains_any(ql, dims.INJURY_WORDS) & contains_any(ql, dims.LIMB_WORDS))
+        .withColumn("_surg", contains_any(ql, dims.SURGERY_TRIGGERS))
     )
-    need_final = (
-        F.when(injury_limb, F.lit(dims.ORTHOPEDIC_NEED))
-        .when(surgical, F.coalesce(F.nullif(F.col("_need"), F.lit("")), F.lit(dims.SURGICAL_NEED)))
-        .otherwise(F.col("_need"))
+    inj, surg, kw = F.col("_inj"), F.col("_surg"), F.col("_kw")
+    keywords = (
+        F.when(inj, clean_terms(F.concat(lit_array(dims.ORTHOPEDIC_PLAN_KEYWORDS), kw)))
+        .when(surg, clean_terms(F.concat(lit_array(dims.SURGICAL_KEYWORDS), kw)))
+        .otherwise(kw)
     )
+    need_name = (
+        F.when(inj, F.lit(dims.ORTHOPEDIC_NEED))
+        .when(surg, F.coalesce(F.nullif(need["need"], F.lit("")), F.lit(dims.SURGICAL_NEED)))
+        .otherwise(need["need"])
+    )
+    staged = base.withColumn("keywords", keywords).withColumn("_need2", need_name)
     # H6: no need yet -> the first three keywords, else a generic label.
-    need_default = F.coalesce(
+    care_need = F.coalesce(
         F.nullif(F.col("_need2"), F.lit("")),
         F.nullif(F.array_join(F.slice(F.col("keywords"), 1, 3), " "), F.lit("")),
         F.lit(dims.DEFAULT_NEED),
     )
     return (
-        searches.withColumn("_city", city)
-        .withColumn("_need", need_name)
-        .withColumn("_kw", keywords)
-        .withColumn("keywords", kw_final)
-        .withColumn("_need2", need_final)
-        .withColumn("care_need", need_default)
-        .withColumn("city", F.col("_city.title"))
-        .withColumn("latitude", F.col("_city.lat"))
-        .withColumn("longitude", F.col("_city.lon"))
+        staged.withColumn("care_need", care_need)
+        .withColumn("city", city["title"])
+        .withColumn("latitude", city["lat"])
+        .withColumn("longitude", city["lon"])
         .withColumn("preferences", infer_preferences(ql))
         .withColumn("radius_km", clamp_radius(F.lit(float(default_radius_km))))
         .withColumn("source", F.lit(FALLBACK_SOURCE))
-        .drop("_city", "_need", "_kw", "_need2")
+        .drop("_ql", "_city", "_need", "_cw", "_kw", "_inj", "_surg", "_need2")
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Planning costs tens of microseconds per row, so every core should get a
+    share. Large inputs already arrive in many splits and pass through
+    untouched; an input with fewer splits than the session's parallelism (a
+    small single-file table) is round-robin repartitioned first."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def with_status(plans: DataFrame) -> DataFrame:
     """H12: 'no_city' without a resolved point, 'no_keywords' without terms, else 'ok'."""
     return plans.withColumn(
@@ -183,20 +205,27 @@ def merge_plans(searches: DataFrame, responses: DataFrame, text_col: str = "quer
     """Combine model planner responses with the rule-based plan.
 
     `responses(search_id, response)`; a search without a readable response
-    keeps its rule-based plan (source 'keyword fallback').
+    keeps its rule-based plan (source 'keyword fallback'). A city named by the
+    model wins only when the gazetteer knows it; keyword lists are merged
+    (model keywords, must-haves, nice-to-haves, then rule keywords) and
+    cleaned again; the model radius is clamped.
     """
     fb = fallback_plan(searches, text_col, default_radius_km)
     r = responses.select("search_id", parse_response(F.col("response")).alias("_v"))
-    j = fb.join(r, "search_id", "left")
     v = F.col("_v")
     radius, infinite = response_radius(v)
-    usable = v.isNotNull() & ~infinite
-
-    given_city = _truthy_text(v, "$.city")
-    known = F.get(F.filter(_gazetteer(), lambda g: g["name"] == F.lower(given_city)), 0)
-    take_given = given_city.isNotNull() & known.isNotNull()
+    staged = (
+        fb.join(r, "search_id", "left")
+        .withColumn("_given", _truthy_text(v, "$.city"))
+        .withColumn("_radius", radius)
+        .withColumn("_usable", v.isNotNull() & ~infinite)
+    )
+    given = F.col("_given")
+    staged = staged.withColumn("_known", F.get(F.filter(_gazetteer(), lambda g: g["name"] == F.lower(given)), 0))
+    known = F.col("_known")
+    take_given = given.isNotNull() & known.isNotNull()
     model = {
-        "city": F.when(take_given, given_city).otherwise(F.col("city")),
+        "city": F.when(take_given, given).otherwise(F.col("city")),
         "latitude": F.when(take_given, known["lat"]).otherwise(F.col("latitude")),
         "longitude": F.when(take_given, known["lon"]).otherwise(F.col("longitude")),
         "care_need": F.coalesce(_truthy_text(v, "$.care_need"), F.col("care_need")),
@@ -204,10 +233,9 @@ def merge_plans(searches: DataFrame, responses: DataFrame, text_col: str = "quer
                                          _list(v, "$.nice_to_have"), F.col("keywords"))),
         "preferences": clean_terms(F.concat(_list(v, "$.preferences"), F.col("preferences")),
                                    dims.PREFERENCE_LIMIT),
-        "radius_km": clamp_radius(F.coalesce(radius, F.lit(float(default_radius_km)))),
+        "radius_km": clamp_radius(F.coalesce(F.col("_radius"), F.lit(float(default_radius_km)))),
         "source": F.lit(MODEL_SOURCE),
     }
-    out = j
-    for name, expr in model.items():
-        out = out.withColumn(name, F.when(usable, expr).otherwise(F.col(name)))
-    return out.drop("_v")
+    usable = F.col("_usable")
+    return staged.withColumns({name: F.when(usable, expr).otherwise(F.col(name)) for name, expr in model.items()}) \
+        .drop("_v", "_given", "_radius", "_usable", "_known")

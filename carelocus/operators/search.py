@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from carelocus.functions.evidence import facility_evidence
+from carelocus.functions.evidence import with_evidence
 from carelocus.functions.geo import box_half_widths, grid_cell, haversine_km
 from carelocus.functions.text import clean_phone, clean_terms, contains_any, has_value
 from carelocus.sources import dims
@@ -223,7 +223,7 @@ def evidence(top: DataFrame) -> DataFrame:
     """Evidence snippets of the top results (keywords per plan, orthopedic list if intent)."""
     ev_keywords = F.when(F.col("orthopedic"), F.array(*[F.lit(x) for x in dims.ORTHOPEDIC_EVIDENCE_KEYWORDS])) \
         .otherwise(F.col("keywords"))
-    return top.withColumn("evidence", facility_evidence(ev_keywords, {c: F.col(c) for c in EVIDENCE_COLUMNS}))
+    return with_evidence(top, ev_keywords)
 
 
 def result_cards(plans: DataFrame, index: DataFrame, k: int = dims.TOP_K) -> DataFrame:

@@ -353,7 +353,8 @@ def _clean_evidence(spark, sf):
 
 @query("evidence_items")
 def _evidence_items(spark, sf):
-    i = facility_index(spark, sf)
-    return i.select("unique_id", *[F.array_join(ev.evidence_items(c), " | ").alias(c)
-                                   for c in ["specialties", "standardized_services", "parsed_capability",
-                                             "standardized_equipment"]])
+    cols = ["specialties", "standardized_services", "parsed_capability", "standardized_equipment"]
+    i = facility_index(spark, sf).select("unique_id", *cols)
+    for c in cols:
+        i = ev.with_evidence_items(i, c, f"items_{c}")
+    return i.select("unique_id", *[F.array_join(f"items_{c}", " | ").alias(c) for c in cols])

@@ -12,6 +12,8 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from carelocus.functions.text import const
+
 # FIXED VALUES — fixture vocabulary V: (specialty, service, capability), index 0..11.
 VOCAB: list[tuple[str, str, str]] = [
     ("nephrology", "Hemodialysis|Treatment", "Dialysis unit"),
@@ -52,7 +54,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _pick(values: list[str], index: Column) -> Column:
     """values[index] for a 0-based integer column (constant-size literal array)."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+    return F.element_at(const(list(values)), (index + 1).cast("int"))
 
 
 def _dec(m: Column) -> Column:
