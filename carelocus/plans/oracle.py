@@ -647,3 +647,127 @@ register("evidence_items", "SELECT unique_id, " + ", ".join(
     f"array_to_string({ev_items(c)}, ' | ') AS {c}" for c in
     ["specialties", "standardized_services", "parsed_capability", "standardized_equipment"])
     + " FROM facility_index", "facility_index")
+
+
+# ---------------------------------------------------------------- S1-S6 (enrichment)
+from carelocus.operators import enrich as en  # noqa: E402
+from carelocus.sources import fixtures as _fx  # noqa: E402
+
+
+def _pick_sql(values, idx: str) -> str:
+    return f"{sql_list(values)}[({idx}) % {len(values)} + 1]"
+
+
+def _json_list_sql(values, k: str) -> str:
+    parts = [_pick_sql(values, f"{k} * {m} + {a}") for m, a in [(1, 0), (7, 3), (11, 5)]]
+    return "'[\"' || " + " || '\", \"' || ".join(parts) + " || '\"]'"
+
+
+_RC, _CC, _CL, _SL = _fx.RAW_CAPABILITY_NAMES, _fx.CAPABILITY_CATEGORIES, _fx.COMPLEXITY_LEVELS, _fx.SPECIALIZATION_LEVELS
+_CAP_OBJ = (
+    f"""'{{"capabilities": [{{"capability_name": "' || {_pick_sql(_RC, 'k')} || '", "category": "' || {_pick_sql(_CC, 'k')}"""
+    f""" || '", "description": "Provides ' || lower({_pick_sql(_RC, 'k')}) || ' services", "complexity_level": "'"""
+    f""" || {_pick_sql(_CL, 'k * 3')} || '", "ai_agent_tags": ["tag' || (k % 4)::VARCHAR || '", "care"]}}, """
+    f"""{{"capability_name": "' || {_pick_sql(_RC, 'k + 2')} || '", "category": "Clinical"}}], "primary_focus": "'"""
+    f""" || {_pick_sql(_RC, 'k + 1')} || '", "specialization_level": "' || {_pick_sql(_SL, 'k')} || '", "summary": "'"""
+    f""" || repeat('Facility with broad services. ', CAST(k % 8 AS INTEGER)) || '"}}'"""
+)
+
+cte("raw_terms", [], f"""
+SELECT 'F' || k::VARCHAR AS unique_id,
+  CASE WHEN k % 17 = 0 THEN NULL WHEN k % 13 = 0 THEN '["Nephrology", '
+       ELSE {_json_list_sql(_fx.RAW_SPECIALTIES, 'k')} END AS specialties,
+  CASE WHEN k % 19 = 0 THEN NULL ELSE {_json_list_sql(_fx.RAW_PROCEDURES, 'k')} END AS procedure,
+  CASE WHEN k % 23 = 0 THEN '[]' ELSE {_json_list_sql(_fx.RAW_EQUIPMENT, 'k')} END AS equipment,
+  CASE WHEN k % 7 = 0 THEN '{{"capabilities": [{{"capability_name": "broken"' WHEN k % 29 = 0 THEN NULL
+       ELSE {_CAP_OBJ} END AS capability
+FROM (SELECT c_custkey AS k FROM customer)""")
+
+cte("enrich_requests", ["raw_terms"], "\nUNION ALL\n".join(
+    f"SELECT unique_id, {q(kind)} AS kind, {q(before)} || {col} || {q(after)} AS prompt FROM raw_terms"
+    for kind, (col, before, after) in en.PROMPTS.items()))
+
+
+def _dict_sql(mapping: dict) -> str:
+    return "[" + ", ".join(f"{{'k': {q(a)}, 'v': {q(b)}}}" for a, b in mapping.items()) + "]"
+
+
+def _lookup_sql(mapping: dict, key: str) -> str:
+    return f"list_filter({_dict_sql(mapping)}, lambda d: d.k = {key})[1].v"
+
+
+def _initcap(x: str) -> str:
+    return f"array_to_string(list_transform(string_split({x}, ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ')"
+
+
+def _camel(x: str) -> str:
+    return (f"(lower(string_split({x}, ' ')[1]) || array_to_string(list_transform(string_split({x}, ' ')[2:], "
+            f"lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ''))")
+
+
+def _norm_sql(t: str) -> str:
+    return f"lower(trim(regexp_replace({t}, '\\s+', ' ', 'g')))"
+
+
+def _cat_sql(x: str, rules, default: str) -> str:
+    return "CASE " + " ".join(f"WHEN {any_in(x, words)} THEN {q(cat)}" for words, cat in rules) + f" ELSE {q(default)} END"
+
+
+def _finish_sql(items: str) -> str:
+    kept = f"list_filter({items}, lambda x: x IS NOT NULL AND x <> '')"
+    return f"to_json(list_filter({kept}, lambda x, i: list_position({kept}, x) = i))"
+
+
+def _json_strings_sql(x: str) -> str:
+    return f"CASE WHEN json_valid({x}) AND json_type({x}::JSON) = 'ARRAY' THEN json_extract_string({x}::JSON, '$[*]') END"
+
+
+_SPEC_ONE = bind(_norm_sql("t"), "n", f"coalesce({_lookup_sql(en.SPECIALTY_SYNONYMS, 'n')}, {_camel('n')})")
+_SVC_ONE = bind(f"regexp_replace({_norm_sql('t')}, '^robotic(-assisted)?\\s+', '')", "b",
+                bind(f"coalesce({_lookup_sql(en.SERVICE_SYNONYMS, 'b')}, b)", "m",
+                     f"CASE WHEN m <> '' THEN coalesce({_lookup_sql(en.SERVICE_NAMES, 'm')}, {_initcap('m')}) || '|' || "
+                     f"{_cat_sql('m', en.SERVICE_CATEGORY_RULES, 'Treatment')} END"))
+_EQ_ONE = bind(_norm_sql("t"), "n", bind(
+    "trim(regexp_replace(n, '^[0-9]+\\s*|\\s*x\\s*[0-9]+$', '', 'g'))", "b",
+    bind(f"coalesce({_lookup_sql(en.EQUIPMENT_SYNONYMS, 'b')}, b)", "m",
+         f"CASE WHEN m <> '' AND NOT {any_in('n', en.EQUIPMENT_EXCLUDE)} THEN "
+         f"coalesce({_lookup_sql(en.EQUIPMENT_NAMES, 'm')}, {_initcap('m')}) || '|' || "
+         f"{_cat_sql('m', en.EQUIPMENT_CATEGORY_RULES, en.EQUIPMENT_DEFAULT_CATEGORY)} END")))
+
+register("enrichment_requests", "SELECT * FROM enrich_requests", "enrich_requests")
+register("enrichment_apply", """
+SELECT unique_id, kind, 'ok:' || length(prompt)::VARCHAR AS response FROM enrich_requests""", "enrich_requests")
+register("standardize_specialties", f"""
+SELECT unique_id, {_finish_sql(f"list_transform({_json_strings_sql('specialties')}, lambda t: {_SPEC_ONE})")}
+  AS standardized_specialties FROM raw_terms""", "raw_terms")
+register("standardize_services", f"""
+SELECT unique_id, {_finish_sql(f"list_transform({_json_strings_sql('procedure')}, lambda t: {_SVC_ONE})")}
+  AS standardized_services FROM raw_terms""", "raw_terms")
+register("standardize_equipment", f"""
+SELECT unique_id, {_finish_sql(f"list_transform({_json_strings_sql('equipment')}, lambda t: {_EQ_ONE})")}
+  AS standardized_equipment FROM raw_terms""", "raw_terms")
+
+
+def _enum_sql(x: str, allowed) -> str:
+    return f"CASE WHEN {x} IN ({', '.join(q(a) for a in allowed)}) THEN {x} END"
+
+
+register("capability_explode", f"""
+SELECT unique_id, parse_ok, CAST(i - 1 AS INTEGER) AS cap_pos,
+  json_extract_string(c, '$.capability_name') AS capability_name,
+  {_enum_sql("json_extract_string(c, '$.category')", en.CAPABILITY_CATEGORY)} AS category,
+  json_extract_string(c, '$.description') AS description,
+  {_enum_sql("json_extract_string(c, '$.complexity_level')", en.COMPLEXITY)} AS complexity_level,
+  CASE WHEN json_type(c, '$.ai_agent_tags') = 'ARRAY'
+       THEN array_to_string(json_extract_string(c, '$.ai_agent_tags[*]'), ', ') END AS ai_agent_tags,
+  json_extract_string(j, '$.primary_focus') AS primary_focus,
+  {_enum_sql("json_extract_string(j, '$.specialization_level')", en.SPECIALIZATION)} AS specialization_level,
+  substring(json_extract_string(j, '$.summary'), 1, {en.SUMMARY_CHARS}) AS summary
+FROM (
+  SELECT unique_id, parse_ok, j, i, cl[i] AS c FROM (
+    SELECT unique_id, parse_ok, j, cl,
+      unnest(CASE WHEN len(cl) > 0 THEN range(1, len(cl) + 1) ELSE [NULL::BIGINT] END) AS i
+    FROM (SELECT unique_id, parse_ok, j,
+            CASE WHEN json_type(j, '$.capabilities') = 'ARRAY' THEN json_extract(j, '$.capabilities[*]') END AS cl
+          FROM (SELECT unique_id, coalesce(json_valid(capability), false) AS parse_ok,
+                  CASE WHEN json_valid(capability) THEN capability::JSON END AS j FROM raw_terms))))""", "raw_terms")

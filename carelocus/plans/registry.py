@@ -358,3 +358,38 @@ def _evidence_items(spark, sf):
     for c in cols:
         i = ev.with_evidence_items(i, c, f"items_{c}")
     return i.select("unique_id", *[F.array_join(f"items_{c}", " | ").alias(c) for c in cols])
+
+
+# ----------------------------------------------------------------- S1-S6
+from carelocus.operators import enrich as en  # noqa: E402
+
+
+@query("enrichment_requests")
+def _enrichment_requests(spark, sf):
+    return en.enrichment_requests(fx.raw_terms(spark, sf))
+
+
+@query("enrichment_apply")
+def _enrichment_apply(spark, sf):
+    req = en.enrichment_requests(fx.raw_terms(spark, sf))
+    return en.apply_model(req, en.echo_model).select("unique_id", "kind", "response")
+
+
+@query("standardize_specialties")
+def _standardize_specialties(spark, sf):
+    return en.standardize_specialties(fx.raw_terms(spark, sf))
+
+
+@query("standardize_services")
+def _standardize_services(spark, sf):
+    return en.standardize_services(fx.raw_terms(spark, sf))
+
+
+@query("standardize_equipment")
+def _standardize_equipment(spark, sf):
+    return en.standardize_equipment(fx.raw_terms(spark, sf))
+
+
+@query("capability_explode")
+def _capability_explode(spark, sf):
+    return en.capability_explode(fx.raw_terms(spark, sf))

@@ -239,3 +239,64 @@ def planner_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     filled = F.replace(F.replace(F.replace(
         _pick(RESPONSE_TEMPLATES, shape), F.lit("{C}"), city), F.lit("{c}"), F.lower(city)), F.lit("{T}"), text)
     return e.select(F.col("event_id").alias("search_id"), filled.alias("response"))
+
+
+# FIXED VALUES — raw, unstandardised terms as facilities state them (our own
+# fixture vocabulary), indexed by rule from the customer key.
+RAW_SPECIALTIES: list[str] = [
+    "Nephrology", "kidney specialist", "Cardiology", "heart  specialist", "Cardiac Surgery", "Orthopaedics",
+    "orthopedic surgery", "dental", "Dentistry", "General Medicine", "ENT", "Paediatrics", "pediatrics ",
+]
+RAW_PROCEDURES: list[str] = [
+    "Robotic knee replacement", "knee replacement", "Hip replacement", "hip  replacement surgery", "CT scan",
+    "MRI", "Dialysis", "hemodialysis", "Cataract surgery", "Root canal treatment", "Angioplasty",
+    "Robotic-assisted hip replacement", "Chemotherapy", "physio therapy",
+]
+RAW_EQUIPMENT: list[str] = [
+    "2 CT scanner", "CT Scanner", "MRI machine", "Parking", "ventilators x3", "Defibrillator", "X-ray",
+    "Building", "Hospital beds", "Staff: 20 nurses", "Ultrasound", "dialysis machine", "3 Ventilators",
+]
+RAW_CAPABILITY_NAMES: list[str] = [
+    "24x7 emergency", "Dialysis unit", "Cardiac cath lab", "Neonatal ICU", "Robotic surgery", "Tele-medicine",
+]
+CAPABILITY_CATEGORIES: list[str] = ["Clinical", "Operational", "Technical", "Infrastructure", "Bogus"]
+COMPLEXITY_LEVELS: list[str] = ["Basic", "Intermediate", "Advanced", "Specialized", "Extreme"]
+SPECIALIZATION_LEVELS: list[str] = ["General", "Specialized", "Tertiary", "Quaternary", "Unknown"]
+
+
+def _json_list(values: list[str], k: Column, steps: list[tuple[int, int]]) -> Column:
+    parts = []
+    for mul, add in steps:
+        parts.append(_pick(values, (k * mul + add) % len(values)))
+    return F.concat(F.lit('["'), F.concat_ws('", "', *parts), F.lit('"]'))
+
+
+def raw_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """unique_id + raw specialties / procedure / equipment (JSON arrays as text) and a
+    model-style capability object, with broken JSON and NULLs mixed in."""
+    k = F.col("k")
+    steps = [(1, 0), (7, 3), (11, 5)]
+    cap_obj = F.concat(
+        F.lit('{"capabilities": [{"capability_name": "'), _pick(RAW_CAPABILITY_NAMES, k % 6),
+        F.lit('", "category": "'), _pick(CAPABILITY_CATEGORIES, k % 5),
+        F.lit('", "description": "Provides '), F.lower(_pick(RAW_CAPABILITY_NAMES, k % 6)),
+        F.lit(' services", "complexity_level": "'), _pick(COMPLEXITY_LEVELS, (k * 3) % 5),
+        F.lit('", "ai_agent_tags": ["tag'), (k % 4).cast("string"), F.lit('", "care"]}, {"capability_name": "'),
+        _pick(RAW_CAPABILITY_NAMES, (k + 2) % 6), F.lit('", "category": "Clinical"}], "primary_focus": "'),
+        _pick(RAW_CAPABILITY_NAMES, (k + 1) % 6), F.lit('", "specialization_level": "'),
+        _pick(SPECIALIZATION_LEVELS, k % 5), F.lit('", "summary": "'),
+        F.repeat(F.lit("Facility with broad services. "), (k % 8).cast("int")), F.lit('"}'),
+    )
+    return _custkeys(spark, sf_dir).select(
+        F.concat(F.lit("F"), k.cast("string")).alias("unique_id"),
+        F.when(k % 17 == 0, F.lit(None).cast("string"))
+        .when(k % 13 == 0, F.lit('["Nephrology", '))
+        .otherwise(_json_list(RAW_SPECIALTIES, k, steps)).alias("specialties"),
+        F.when(k % 19 == 0, F.lit(None).cast("string"))
+        .otherwise(_json_list(RAW_PROCEDURES, k, steps)).alias("procedure"),
+        F.when(k % 23 == 0, F.lit("[]"))
+        .otherwise(_json_list(RAW_EQUIPMENT, k, steps)).alias("equipment"),
+        F.when(k % 7 == 0, F.lit('{"capabilities": [{"capability_name": "broken"'))
+        .when(k % 29 == 0, F.lit(None).cast("string"))
+        .otherwise(cap_obj).alias("capability"),
+    )
