@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from carelocus.functions.evidence import with_evidence
 from carelocus.functions.geo import box_half_widths, grid_cell, haversine_km
 from carelocus.functions.text import clean_phone, clean_terms, contains_any, has_value
+from carelocus.operators.sizing import broadcast_if_small
 from carelocus.sources import dims
 
 SEARCH_CELL_DEGREES = 0.5
@@ -94,9 +95,21 @@ def _keyword_hit(terms: Column) -> Column:
         | F.col("parsed_capability_lc").contains(k) | F.col("description_lc").contains(k), F.lit(False)))
 
 
-def search_candidates(dplans: DataFrame, index: DataFrame, cell_degrees: float = SEARCH_CELL_DEGREES) -> DataFrame:
-    """(plan, facility) pairs inside the plan's box whose fields mention a term."""
+# Bytes per plan-cell row (ids, bounds, a keyword list) for the broadcast check.
+PLAN_CELL_ROW_BYTES = 400
+
+
+def search_candidates(dplans: DataFrame, index: DataFrame, cell_degrees: float = SEARCH_CELL_DEGREES,
+                      check_broadcast: bool = True) -> DataFrame:
+    """(plan, facility) pairs inside the plan's box whose fields mention a term.
+
+    The plan-cell side is counted and broadcast under the byte bound, so the
+    index is scanned once and never shuffled for the join; with very many
+    distinct plans it becomes a shuffle join on the cell.
+    """
     cells = plan_cells(plan_boxes(dplans), cell_degrees)
+    if check_broadcast:
+        cells = broadcast_if_small(cells, PLAN_CELL_ROW_BYTES)
     idx = search_index(index, cell_degrees)
     joined = cells.join(idx, ["cell_lat", "cell_lon"])
     return joined.filter(
@@ -152,7 +165,9 @@ def run_searches(plans: DataFrame, index: DataFrame, k: int = dims.TOP_K,
     Returns ``{"plans": distinct plans, "searches": search->plan, "ranked": all
     candidates in radius (scored), "top": top-k per plan, "counts": per-plan count}``.
     """
-    dplans = distinct_plans(plans)
+    # Distinct plans are used twice (cells, search mapping) and sized once:
+    # materialise them in the shared checkpoint folder.
+    dplans = distinct_plans(plans).checkpoint()
     ranked = apply_threshold(within_radius(search_candidates(dplans, index, cell_degrees)))
     return {
         "plans": dplans,
