@@ -546,17 +546,17 @@ _ORTHO_SUM = " + ".join(f"CASE WHEN {any_in('search_text', terms)} THEN {pts} EL
                         for terms, pts in dims.ORTHOPEDIC_SCORE_RULES)
 
 cte("scored", ["cands"], f"""
-SELECT *, CASE WHEN orthopedic THEN
+SELECT *, CAST(CASE WHEN orthopedic THEN
     (CASE WHEN {any_in('search_text', dims.DENTAL_TERMS)} AND o < 8 THEN o - {dims.DENTAL_PENALTY} ELSE o END)
     ELSE len(list_filter(keywords, lambda k: contains(search_text, lower(k)))) END
-  + CAST(has_doctors AS INTEGER) + CAST(has_capacity AS INTEGER) AS relevance_score
+  + CAST(has_doctors AS INTEGER) + CAST(has_capacity AS INTEGER) AS INTEGER) AS relevance_score
 FROM (SELECT *, {hav('latitude', 'longitude', 'facility_latitude', 'facility_longitude')} AS distance_km,
         {_ORTHO_SUM} AS o FROM cands)
 WHERE distance_km <= radius_km""")
 
 cte("top5", ["scored"], f"""
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY relevance_score DESC, distance_km,
-  unique_id) AS rank FROM scored WHERE NOT orthopedic OR relevance_score >= {dims.ORTHOPEDIC_MIN_SCORE})
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY plan_id ORDER BY relevance_score DESC, distance_km,
+  unique_id) AS INTEGER) AS rank FROM scored WHERE NOT orthopedic OR relevance_score >= {dims.ORTHOPEDIC_MIN_SCORE})
 WHERE rank <= {dims.TOP_K}""")
 
 cte("search_map", ["plans", "dplans"], """
@@ -715,7 +715,7 @@ def _cat_sql(x: str, rules, default: str) -> str:
 
 def _finish_sql(items: str) -> str:
     kept = f"list_filter({items}, lambda x: x IS NOT NULL AND x <> '')"
-    return f"to_json(list_filter({kept}, lambda x, i: list_position({kept}, x) = i))"
+    return f"CAST(to_json(list_filter({kept}, lambda x, i: list_position({kept}, x) = i)) AS VARCHAR)"
 
 
 def _json_strings_sql(x: str) -> str:
