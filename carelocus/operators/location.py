@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carelocus.functions.geo import parse_latitude, parse_longitude
+from carelocus.operators.sizing import broadcast_if_small
 
 MAX_PLAUSIBLE_KM = 50.0
+LOOKUP_ROW_BYTES = 96
 
 LOCATION_COLUMNS = [
     "facility_id", "latitude", "longitude", "postcode",
@@ -33,7 +35,8 @@ def facility_base(facilities: DataFrame, normalize_postcode: bool = False) -> Da
     )
 
 
-def postcode_join(facilities: DataFrame, lookup: DataFrame, normalize_postcode: bool = False) -> DataFrame:
+def postcode_join(facilities: DataFrame, lookup: DataFrame, normalize_postcode: bool = False,
+                  check_broadcast: bool = True) -> DataFrame:
     """Facilities LEFT JOIN the PIN table on postcode = pincode."""
     pins = lookup.select(
         F.col("pincode"),
@@ -42,6 +45,9 @@ def postcode_join(facilities: DataFrame, lookup: DataFrame, normalize_postcode:
         F.col("district_match_count").alias("pin_district_match_count"),
     )
     base = facility_base(facilities, normalize_postcode)
+    # Postal codes are a bounded set: broadcast after a size check, else a shuffle join
+    # (AQE splits a postcode shared by a large share of facilities).
+    pins = broadcast_if_small(pins, LOOKUP_ROW_BYTES) if check_broadcast else pins
     return base.join(pins, base.postcode == pins.pincode, "left").drop("pincode")
 
 

@@ -3,10 +3,11 @@
 Plan: one partial+final aggregate per (pincode, district, state) variant, then
 one aggregate per pincode over those (much smaller) variant rows. The modal
 district, the number of distinct districts, the coordinate means, the
-coordinate flag and the office count all come out of that second aggregate,
-so the directory is scanned once and shuffled once (after map-side combine),
-and a PIN holding a large share of all offices is already pre-aggregated
-before it reaches a reducer.
+coordinate flag and the office count all come out of that second aggregate.
+The directory is scanned once; office-level rows cross the network only after
+map-side combine, and the later exchanges (the distinct-district phase and the
+per-PIN merge) move pre-aggregated variant rows, so a PIN holding a large share
+of all offices never reaches one reducer as raw rows.
 """
 
 from __future__ import annotations
@@ -37,16 +38,24 @@ def normalize_directory(directory: DataFrame) -> DataFrame:
     )
 
 
-def district_counts(normalized: DataFrame) -> DataFrame:
-    """Offices per (pincode, district, state), with coordinate partial sums."""
+def district_counts(normalized: DataFrame, paired_only: bool = False) -> DataFrame:
+    """Offices per (pincode, district, state), with coordinate partial sums.
+
+    Latitude and longitude are averaged independently by default (an office
+    with only one of them still counts for that axis); ``paired_only=True``
+    averages only offices that have both (D7 option).
+    """
     lat, lon = F.col("latitude"), F.col("longitude")
+    pair = lat.isNotNull() & lon.isNotNull()
+    if paired_only:
+        lat, lon = F.when(pair, lat), F.when(pair, lon)
     return normalized.groupBy("pincode", "district_norm", "statename_norm").agg(
         F.count(F.lit(1)).alias("office_count_for_district"),
         F.sum(lat).alias("lat_sum"),
         F.count(lat).alias("lat_n"),
         F.sum(lon).alias("lon_sum"),
         F.count(lon).alias("lon_n"),
-        F.bool_or(lat.isNotNull() & lon.isNotNull()).alias("any_pair"),
+        F.bool_or(pair).alias("any_pair"),
     )
 
 
@@ -88,9 +97,9 @@ def coordinate_means(counts: DataFrame) -> DataFrame:
     )
 
 
-def build_pincode_lookup(directory: DataFrame) -> DataFrame:
+def build_pincode_lookup(directory: DataFrame, paired_only: bool = False) -> DataFrame:
     """One row per PIN: modal district/state, ambiguity, mean point, flags."""
-    counts = district_counts(normalize_directory(directory))
+    counts = district_counts(normalize_directory(directory), paired_only)
     per_pin = counts.groupBy("pincode").agg(
         _modal_pick().alias("m"),
         F.count_distinct("district_norm").alias("district_match_count"),

@@ -12,6 +12,8 @@ radius_km, source (+ status from ``with_status``).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,26 +49,34 @@ def _first_hit(conditions: list[Column]) -> Column:
     return out
 
 
-def resolve_city(ql: Column) -> Column:
+def occurs(ql: Column, term: str, match: str = "substring") -> Column:
+    """`term` occurs in the text: as a substring (default, as the reference does,
+    so 'patna' is found in 'visakhapatnam'), or as whole words (match='word')."""
+    if match == "word":
+        return ql.rlike(r"(?U)\b" + re.escape(term) + r"\b")
+    return ql.contains(term)
+
+
+def resolve_city(ql: Column, match: str = "substring") -> Column:
     """H1: struct(name, title, lat, lon) of the first gazetteer name contained in the text."""
-    return F.get(_gazetteer(), _first_hit([ql.contains(n) for n, _, _ in dims.GAZETTEER]))
+    return F.get(_gazetteer(), _first_hit([occurs(ql, n, match) for n, _, _ in dims.GAZETTEER]))
 
 
-def resolve_care_need(ql: Column) -> Column:
+def resolve_care_need(ql: Column, match: str = "substring") -> Column:
     """H2: struct(need, keywords) of the first need whose name or any keyword occurs."""
     conds = []
     for need, kws in dims.CARE_NEEDS:
-        cond = ql.contains(need)
+        cond = occurs(ql, need, match)
         for kw in kws:
-            cond = cond | ql.contains(kw)
+            cond = cond | occurs(ql, kw, match)
         conds.append(cond)
     return F.get(_needs(), _first_hit(conds))
 
 
-def city_words(ql: Column) -> Column:
+def city_words(ql: Column, match: str = "substring") -> Column:
     """Words of every gazetteer name found in the text (no lambda: codegen-able)."""
     return F.flatten(F.array(*[
-        F.when(ql.contains(n), lit_array(n.split())).otherwise(_empty()) for n, _, _ in dims.GAZETTEER]))
+        F.when(occurs(ql, n, match), lit_array(n.split())).otherwise(_empty()) for n, _, _ in dims.GAZETTEER]))
 
 
 def query_tokens(ql: Column, words_of_cities: Column | None = None) -> Column:
@@ -91,7 +101,7 @@ def clamp_radius(r: Column) -> Column:
 
 
 def fallback_plan(searches: DataFrame, text_col: str = "query",
-                  default_radius_km: int = dims.RADIUS_DEFAULT_KM) -> DataFrame:
+                  default_radius_km: int = dims.RADIUS_DEFAULT_KM, match: str = "substring") -> DataFrame:
     """H1-H9: the rule-based plan of every search (all input columns kept).
 
     Intermediate values (lower-cased text, cities found, need found, city
@@ -101,9 +111,9 @@ def fallback_plan(searches: DataFrame, text_col: str = "query",
     ql, city, need = F.col("_ql"), F.col("_city"), F.col("_need")
     base = (
         spread(searches).withColumn("_ql", F.lower(F.col(text_col)))
-        .withColumn("_city", resolve_city(ql))
-        .withColumn("_need", resolve_care_need(ql))
-        .withColumn("_cw", city_words(ql))
+        .withColumn("_city", resolve_city(ql, match))
+        .withColumn("_need", resolve_care_need(ql, match))
+        .withColumn("_cw", city_words(ql, match))
         .withColumn("_kw", clean_terms(F.concat(F.coalesce(need["keywords"], _empty()),
                                                 query_tokens(ql, F.col("_cw")))))
         .withColumn("_inj", contains_any(ql, dims.INJURY_WORDS) & contains_any(ql, dims.LIMB_WORDS))
@@ -201,7 +211,7 @@ def response_radius(v: Column) -> tuple[Column, Column]:
 
 
 def merge_plans(searches: DataFrame, responses: DataFrame, text_col: str = "query",
-                default_radius_km: int = dims.RADIUS_DEFAULT_KM) -> DataFrame:
+                default_radius_km: int = dims.RADIUS_DEFAULT_KM, match: str = "substring") -> DataFrame:
     """Combine model planner responses with the rule-based plan.
 
     `responses(search_id, response)`; a search without a readable response
@@ -210,7 +220,7 @@ def merge_plans(searches: DataFrame, responses: DataFrame, text_col: str = "quer
     (model keywords, must-haves, nice-to-haves, then rule keywords) and
     cleaned again; the model radius is clamped.
     """
-    fb = fallback_plan(searches, text_col, default_radius_km)
+    fb = fallback_plan(searches, text_col, default_radius_km, match)
     r = responses.select("search_id", parse_response(F.col("response")).alias("_v"))
     v = F.col("_v")
     radius, infinite = response_radius(v)

@@ -20,13 +20,15 @@ Plan of the job (one lazy DAG, nothing collected):
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from carelocus.functions.evidence import with_evidence
 from carelocus.functions.geo import box_half_widths, grid_cell, haversine_km
 from carelocus.functions.text import clean_phone, clean_terms, contains_any, has_value
-from carelocus.operators.sizing import broadcast_if_small
+from carelocus.operators.sizing import broadcast_if_small, materialize
 from carelocus.sources import dims
 
 SEARCH_CELL_DEGREES = 0.5
@@ -39,8 +41,39 @@ def facility_text(index: DataFrame) -> Column:
     return F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in dims.SEARCH_TEXT_FIELDS]))
 
 
-def search_index(index: DataFrame, cell_degrees: float = SEARCH_CELL_DEGREES) -> DataFrame:
-    """Index rows usable for search with their cell, lower-cased evidence fields and text."""
+@dataclass(frozen=True)
+class MatchOptions:
+    """How keywords meet the index text. Defaults match the reference exactly.
+
+    humanize_specialties   match 'critical care' in 'criticalCareMedicine' (D20)
+    strip_service_category do not let 'surgery' hit every 'Name|Surgery' service (D21)
+    search_equipment       also search the standardized equipment column (D24)
+    """
+    humanize_specialties: bool = False
+    strip_service_category: bool = False
+    search_equipment: bool = False
+
+
+DEFAULT_MATCH = MatchOptions()
+
+
+def _match_fields(opts: MatchOptions) -> dict[str, Column]:
+    spec = F.col("specialties")
+    if opts.humanize_specialties:
+        spec = F.regexp_replace(spec, "([a-z])(?=[A-Z])", "$1 ")
+    svc = F.lower("standardized_services")
+    if opts.strip_service_category:
+        svc = F.regexp_replace(svc, r"\|[^\"|]*", "")
+    fields = {"specialties_lc": F.lower(spec), "standardized_services_lc": svc,
+              "parsed_capability_lc": F.lower("parsed_capability"), "description_lc": F.lower("description")}
+    if opts.search_equipment:
+        fields["standardized_equipment_lc"] = F.lower("standardized_equipment")
+    return fields
+
+
+def search_index(index: DataFrame, cell_degrees: float = SEARCH_CELL_DEGREES,
+                 opts: MatchOptions = DEFAULT_MATCH) -> DataFrame:
+    """Index rows usable for search with their cell, lower-cased match fields and text."""
     return (
         index.filter(F.col("facility_latitude").isNotNull() & F.col("facility_longitude").isNotNull())
         .withColumn("cell_lat", grid_cell("facility_latitude", cell_degrees))
@@ -48,7 +81,7 @@ def search_index(index: DataFrame, cell_degrees: float = SEARCH_CELL_DEGREES) ->
         .withColumn("search_text", facility_text(index))
         .withColumn("has_doctors", has_value("numberDoctors"))
         .withColumn("has_capacity", has_value("capacity"))
-        .withColumns({f"{c}_lc": F.lower(c) for c in EVIDENCE_COLUMNS})
+        .withColumns(_match_fields(opts))
     )
 
 
@@ -88,19 +121,26 @@ def plan_cells(boxes: DataFrame, cell_degrees: float = SEARCH_CELL_DEGREES) -> D
     )
 
 
-def _keyword_hit(terms: Column) -> Column:
-    """Any term in any of the four evidence fields (LIKE '%term%' on lower-cased text)."""
-    return F.exists(terms, lambda k: F.coalesce(
-        F.col("specialties_lc").contains(k) | F.col("standardized_services_lc").contains(k)
-        | F.col("parsed_capability_lc").contains(k) | F.col("description_lc").contains(k), F.lit(False)))
+def _keyword_hit(terms: Column, opts: MatchOptions = DEFAULT_MATCH) -> Column:
+    """Any term in any of the evidence fields (LIKE '%term%' on lower-cased text)."""
+    cols = [F.col(c) for c in _match_fields(opts)]
+
+    def hit(k: Column) -> Column:
+        out = cols[0].contains(k)
+        for c in cols[1:]:
+            out = out | c.contains(k)
+        return F.coalesce(out, F.lit(False))
+    return F.exists(terms, hit)
 
 
-# Bytes per plan-cell row (ids, bounds, a keyword list) for the broadcast check.
+# Bytes per plan-cell row (ids, bounds, a keyword list) and per top result row
+# (facility text fields included) for the broadcast checks.
 PLAN_CELL_ROW_BYTES = 400
+TOP_ROW_BYTES = 4096
 
 
 def search_candidates(dplans: DataFrame, index: DataFrame, cell_degrees: float = SEARCH_CELL_DEGREES,
-                      check_broadcast: bool = True) -> DataFrame:
+                      check_broadcast: bool = True, opts: MatchOptions = DEFAULT_MATCH) -> DataFrame:
     """(plan, facility) pairs inside the plan's box whose fields mention a term.
 
     The plan-cell side is counted and broadcast under the byte bound, so the
@@ -110,12 +150,12 @@ def search_candidates(dplans: DataFrame, index: DataFrame, cell_degrees: float =
     cells = plan_cells(plan_boxes(dplans), cell_degrees)
     if check_broadcast:
         cells = broadcast_if_small(cells, PLAN_CELL_ROW_BYTES)
-    idx = search_index(index, cell_degrees)
+    idx = search_index(index, cell_degrees, opts)
     joined = cells.join(idx, ["cell_lat", "cell_lon"])
     return joined.filter(
         F.col("facility_latitude").between(F.col("min_lat"), F.col("max_lat"))
         & F.col("facility_longitude").between(F.col("min_lon"), F.col("max_lon"))
-        & _keyword_hit(F.col("search_terms"))
+        & _keyword_hit(F.col("search_terms"), opts)
     )
 
 
@@ -159,7 +199,7 @@ def attach_plan_ids(plans: DataFrame, dplans: DataFrame) -> DataFrame:
 
 
 def run_searches(plans: DataFrame, index: DataFrame, k: int = dims.TOP_K,
-                 cell_degrees: float = SEARCH_CELL_DEGREES) -> dict[str, DataFrame]:
+                 cell_degrees: float = SEARCH_CELL_DEGREES, opts: MatchOptions = DEFAULT_MATCH) -> dict[str, DataFrame]:
     """Per-plan results and their mapping back to searches.
 
     Returns ``{"plans": distinct plans, "searches": search->plan, "ranked": all
@@ -167,26 +207,33 @@ def run_searches(plans: DataFrame, index: DataFrame, k: int = dims.TOP_K,
     """
     # Distinct plans are used twice (cells, search mapping) and sized once:
     # materialise them in the shared checkpoint folder.
-    dplans = distinct_plans(plans).checkpoint()
-    ranked = apply_threshold(within_radius(search_candidates(dplans, index, cell_degrees)))
+    dplans = materialize(distinct_plans(plans))
+    ranked = apply_threshold(within_radius(search_candidates(dplans, index, cell_degrees, opts=opts)))
+    # Top rows (<= k per distinct plan) are materialised too and broadcast to the
+    # searches under the byte bound: a plan shared by a third of all searches then
+    # costs no shuffle of those searches.
+    top = materialize(rank_results(ranked, k))
     return {
         "plans": dplans,
         "searches": attach_plan_ids(plans, dplans),
         "ranked": ranked,
-        "top": rank_results(ranked, k),
+        "top": top,
+        "top_for_join": broadcast_if_small(top, TOP_ROW_BYTES),
         "counts": ranked.groupBy("plan_id").agg(F.count(F.lit(1)).alias("result_count")),
     }
 
 
-def search_top(plans: DataFrame, index: DataFrame, k: int = dims.TOP_K) -> DataFrame:
+def search_top(plans: DataFrame, index: DataFrame, k: int = dims.TOP_K,
+               opts: MatchOptions = DEFAULT_MATCH) -> DataFrame:
     """Top-k results of every search: search_id, rank, facility and score columns."""
-    r = run_searches(plans, index, k)
-    return r["searches"].select("search_id", "plan_id").join(r["top"], "plan_id")
+    r = run_searches(plans, index, k, opts=opts)
+    return r["searches"].select("search_id", "plan_id").join(r["top_for_join"], "plan_id")
 
 
-def search_counts(plans: DataFrame, index: DataFrame, k: int = dims.TOP_K) -> DataFrame:
+def search_counts(plans: DataFrame, index: DataFrame, k: int = dims.TOP_K,
+                  opts: MatchOptions = DEFAULT_MATCH) -> DataFrame:
     """per search (every status): results found and results shown (<= k)."""
-    r = run_searches(plans, index, k)
+    r = run_searches(plans, index, k, opts=opts)
     per_search = r["searches"].select("search_id", "plan_id").join(r["counts"], "plan_id", "left")
     return (
         plans.select("search_id", "status").join(per_search.select("search_id", "result_count"), "search_id", "left")
@@ -241,10 +288,11 @@ def evidence(top: DataFrame) -> DataFrame:
     return with_evidence(top, ev_keywords)
 
 
-def result_cards(plans: DataFrame, index: DataFrame, k: int = dims.TOP_K) -> DataFrame:
+def result_cards(plans: DataFrame, index: DataFrame, k: int = dims.TOP_K,
+                 opts: MatchOptions = DEFAULT_MATCH) -> DataFrame:
     """One display row per (search, rank)."""
-    r = run_searches(plans, index, k)
-    top = evidence(r["top"]).select(
+    r = run_searches(plans, index, k, opts=opts)
+    top = evidence(r["top_for_join"]).select(
         "plan_id", "rank", "unique_id",
         F.coalesce("name", F.lit("")).alias("name"),
         F.concat_ws(" · ", F.coalesce(F.col("organization_type"), F.lit("Healthcare Facility")),

@@ -25,3 +25,12 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, limit_bytes: int | None =
     """`broadcast(df)` when rows * row_bytes fits the limit, else `df` unchanged."""
     limit = broadcast_limit(df) if limit_bytes is None else limit_bytes
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage: eager checkpoint into the shared folder named by `spark.checkpoint.dir`
+    (a scratch folder is created only when the session leaves it unset, as in tests)."""
+    from carelocus.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
