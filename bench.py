@@ -22,7 +22,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    from carelocus.plans.pipeline import run_pipeline
+    from carelocus.plans.jobs import run_pipeline
     from carelocus.session import local_session
 
     scratch = tempfile.mkdtemp(prefix="carelocus-bench-")

@@ -71,20 +71,54 @@ def _match_fields(opts: MatchOptions) -> dict[str, Column]:
     return fields
 
 
+# Joins the lower-cased match fields; cannot occur in a cleaned search term, so a
+# term found in the joined text was found inside one field (same as OR over fields).
+FIELD_SEPARATOR = "\u0001"
+
+
 def search_index(index: DataFrame, cell_degrees: float = SEARCH_CELL_DEGREES,
                  opts: MatchOptions = DEFAULT_MATCH) -> DataFrame:
-    """Index rows usable for search with their cell, lower-cased match fields and text."""
+    """Index rows usable for search with their cell, match text and relevance text
+    (all computed once per facility, not per candidate pair)."""
+    fields = [F.coalesce(e, F.lit("")) for e in _match_fields(opts).values()]
     return (
         index.filter(F.col("facility_latitude").isNotNull() & F.col("facility_longitude").isNotNull())
         .withColumn("cell_lat", grid_cell("facility_latitude", cell_degrees))
         .withColumn("cell_lon", grid_cell("facility_longitude", cell_degrees))
         .withColumn("search_text", facility_text(index))
+        .withColumn("match_text", F.concat_ws(FIELD_SEPARATOR, *fields))
         .withColumn("has_doctors", has_value("numberDoctors"))
         .withColumn("has_capacity", has_value("capacity"))
-        .withColumns(_match_fields(opts))
     )
 
 
+def count_found(text: Column, terms: Column, lower_terms: bool = False) -> Column:
+    """Number of terms that occur in `text`.
+
+    The first KEYWORD_LIMIT positions are unrolled (get(terms, i) is NULL past
+    the end), which keeps the per-pair test inside whole-stage codegen; a
+    lambda covers any longer list.
+    """
+    def term(c: Column) -> Column:
+        return F.lower(c) if lower_terms else c
+
+    total = F.lit(0)
+    for i in range(dims.KEYWORD_LIMIT):
+        total = total + F.when(text.contains(term(F.get(terms, i))), F.lit(1)).otherwise(F.lit(0))
+    rest = F.slice(terms, dims.KEYWORD_LIMIT + 1, 1 << 20)
+    extra = F.when(F.size(terms) > dims.KEYWORD_LIMIT,
+                   F.size(F.filter(rest, lambda k: text.contains(term(k))))).otherwise(F.lit(0))
+    return total + extra
+
+
+def any_of(text: Column, needles) -> Column:
+    """OR-chain of constant substring tests (codegen-able)."""
+    out = None
+    for n in needles:
+        out = text.contains(n) if out is None else out | text.contains(n)
+    return F.coalesce(out, F.lit(False))
+
+
 def orthopedic_intent(care_need: Column, keywords: Column) -> Column:
     """I4: orthopedic intent on the blank-joined need + keywords text."""
     text = F.lower(F.concat_ws(" ", F.coalesce(care_need, F.lit("")), keywords))
@@ -121,16 +155,9 @@ def plan_cells(boxes: DataFrame, cell_degrees: float = SEARCH_CELL_DEGREES) -> D
     )
 
 
-def _keyword_hit(terms: Column, opts: MatchOptions = DEFAULT_MATCH) -> Column:
+def _keyword_hit(terms: Column) -> Column:
     """Any term in any of the evidence fields (LIKE '%term%' on lower-cased text)."""
-    cols = [F.col(c) for c in _match_fields(opts)]
-
-    def hit(k: Column) -> Column:
-        out = cols[0].contains(k)
-        for c in cols[1:]:
-            out = out | c.contains(k)
-        return F.coalesce(out, F.lit(False))
-    return F.exists(terms, hit)
+    return count_found(F.col("match_text"), terms) > 0
 
 
 # Bytes per plan-cell row (ids, bounds, a keyword list) and per top result row
@@ -155,7 +182,7 @@ def search_candidates(dplans: DataFrame, index: DataFrame, cell_degrees: float =
     return joined.filter(
         F.col("facility_latitude").between(F.col("min_lat"), F.col("max_lat"))
         & F.col("facility_longitude").between(F.col("min_lon"), F.col("max_lon"))
-        & _keyword_hit(F.col("search_terms"), opts)
+        & _keyword_hit(F.col("search_terms"))
     )
 
 
@@ -163,9 +190,9 @@ def relevance_score(text: Column, keywords: Column, orthopedic: Column) -> Colum
     """Orthopedic weights (dental penalty below 8) or one point per keyword found."""
     ortho = F.lit(0)
     for terms, points in dims.ORTHOPEDIC_SCORE_RULES:
-        ortho = ortho + F.when(contains_any(text, terms), F.lit(points)).otherwise(F.lit(0))
-    ortho = F.when(contains_any(text, dims.DENTAL_TERMS) & (ortho < 8), ortho - dims.DENTAL_PENALTY).otherwise(ortho)
-    per_keyword = F.size(F.filter(keywords, lambda k: text.contains(F.lower(k))))
+        ortho = ortho + F.when(any_of(text, terms), F.lit(points)).otherwise(F.lit(0))
+    ortho = F.when(any_of(text, dims.DENTAL_TERMS) & (ortho < 8), ortho - dims.DENTAL_PENALTY).otherwise(ortho)
+    per_keyword = count_found(text, keywords, lower_terms=True)
     return (F.when(orthopedic, ortho).otherwise(per_keyword)
             + F.col("has_doctors").cast("int") + F.col("has_capacity").cast("int"))
 

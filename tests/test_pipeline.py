@@ -11,7 +11,7 @@ from carelocus.operators import location as loc
 from carelocus.operators import nearest as nn
 from carelocus.operators import pincode as pc
 from carelocus.operators import reports
-from carelocus.plans.pipeline import run_pipeline
+from carelocus.plans.jobs import run_pipeline
 from carelocus.sources import dims
 from carelocus.sources import fixtures as fx
 
