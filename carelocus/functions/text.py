@@ -35,6 +35,8 @@ def sql_literal(value) -> str:
     if isinstance(value, (list, tuple)):
         if not value:
             return "CAST(array() AS array<string>)"
+        if any(v is None for v in value) and all(v is None or isinstance(v, str) for v in value):
+            return "array(" + ", ".join("CAST(NULL AS STRING)" if v is None else sql_literal(v) for v in value) + ")"
         return "array(" + ", ".join(sql_literal(v) for v in value) + ")"
     raise TypeError(type(value))
 

@@ -87,11 +87,37 @@ def query_tokens(ql: Column, words_of_cities: Column | None = None) -> Column:
     return F.filter(tokens, lambda t: ~F.array_contains(stop, t) & ~F.array_contains(cw, t))
 
 
+def any_of(text: Column, needles) -> Column:
+    """OR-chain of constant substring tests (codegen-able; NULL text -> false)."""
+    out = None
+    for n in needles:
+        out = text.contains(n) if out is None else out | text.contains(n)
+    return F.coalesce(out, F.lit(False))
+
+
+def clean_query_tokens(ql: Column, words_of_cities: Column) -> Column:
+    """Tokens minus stop words and city words, first occurrences only.
+
+    Same terms, in the same order, as ``query_tokens`` once duplicates are
+    dropped — which the keyword list does anyway — but set operations on
+    arrays run in generated code where a lambda filter is interpreted.
+    """
+    tokens = F.regexp_extract_all(ql, F.lit(_TOKEN), 0)
+    return F.array_except(tokens, F.concat(lit_array(dims.STOPWORDS), words_of_cities))
+
+
+def clean_term_list(terms: Column, limit: int = dims.KEYWORD_LIMIT) -> Column:
+    """H4 for lists made only of clean terms (dictionary keywords, regex tokens):
+    cleaning would leave each term unchanged, so only the ordered de-duplication
+    and the cap remain (no lambda). ``test_dictionary_terms_are_clean`` pins the
+    precondition for the constant lists."""
+    return F.slice(F.array_distinct(terms), 1, limit)
+
+
 def infer_preferences(ql: Column) -> Column:
     """H7: preference labels whose trigger phrases occur, in rule order."""
-    rules = const([{"label": label, "triggers": triggers} for label, triggers in dims.PREFERENCE_RULES])
-    hits = F.filter(rules, lambda r: F.exists(r["triggers"], lambda t: ql.contains(t)))
-    return F.coalesce(F.transform(hits, lambda r: r["label"]), F.array().cast("array<string>"))
+    labels = F.array(*[F.when(any_of(ql, triggers), F.lit(label)) for label, triggers in dims.PREFERENCE_RULES])
+    return F.array_except(labels, F.array(F.lit(None).cast("string")))  # drop the rules that did not fire
 
 
 def clamp_radius(r: Column) -> Column:
@@ -114,15 +140,15 @@ def fallback_plan(searches: DataFrame, text_col: str = "query",
         .withColumn("_city", resolve_city(ql, match))
         .withColumn("_need", resolve_care_need(ql, match))
         .withColumn("_cw", city_words(ql, match))
-        .withColumn("_kw", clean_terms(F.concat(F.coalesce(need["keywords"], _empty()),
-                                                query_tokens(ql, F.col("_cw")))))
-        .withColumn("_inj", contains_any(ql, dims.INJURY_WORDS) & contains_any(ql, dims.LIMB_WORDS))
-        .withColumn("_surg", contains_any(ql, dims.SURGERY_TRIGGERS))
+        .withColumn("_kw", clean_term_list(F.concat(F.coalesce(need["keywords"], _empty()),
+                                                    clean_query_tokens(ql, F.col("_cw")))))
+        .withColumn("_inj", any_of(ql, dims.INJURY_WORDS) & any_of(ql, dims.LIMB_WORDS))
+        .withColumn("_surg", any_of(ql, dims.SURGERY_TRIGGERS))
     )
     inj, surg, kw = F.col("_inj"), F.col("_surg"), F.col("_kw")
     keywords = (
-        F.when(inj, clean_terms(F.concat(lit_array(dims.ORTHOPEDIC_PLAN_KEYWORDS), kw)))
-        .when(surg, clean_terms(F.concat(lit_array(dims.SURGICAL_KEYWORDS), kw)))
+        F.when(inj, clean_term_list(F.concat(lit_array(dims.ORTHOPEDIC_PLAN_KEYWORDS), kw)))
+        .when(surg, clean_term_list(F.concat(lit_array(dims.SURGICAL_KEYWORDS), kw)))
         .otherwise(kw)
     )
     need_name = (

@@ -309,6 +309,11 @@ SELECT count(*) AS total_rows, count(DISTINCT unique_id) AS distinct_ids,
 # ---------------------------------------------------------------- J5 (search planning)
 from carelocus.sources import dims  # noqa: E402
 
+
+def _fx_templates():
+    from carelocus.sources.fixtures import RESPONSE_TEMPLATES
+    return RESPONSE_TEMPLATES
+
 GAZ = "[" + ", ".join(
     f"{{'name': {q(n)}, 'title': {q(n.title())}, 'lat': {lat}::DOUBLE, 'lon': {lon}::DOUBLE}}"
     for n, lat, lon in dims.GAZETTEER) + "]"
@@ -369,15 +374,14 @@ SELECT search_id, query, city, latitude, longitude,
        WHEN len(keywords) = 0 THEN 'no_keywords' ELSE 'ok' END AS status
 FROM plan_e""")
 
-_resp_sql = "'" + "', '".join(t.replace("'", "''") for t in __import__(
-    "carelocus.sources.fixtures", fromlist=["RESPONSE_TEMPLATES"]).RESPONSE_TEMPLATES) + "'"
+_resp_sql = ", ".join("NULL" if t is None else q(t) for t in _fx_templates())
 
 cte("planner_responses", [], f"""
 SELECT event_id AS search_id,
-  replace(replace(replace([{_resp_sql}][(event_id // 4) % 10 + 1], '{{C}}', c), '{{c}}', lower(c)), '{{T}}', t)
-    AS response
+  replace(replace(replace([{_resp_sql}][(event_id // 4) % {len(_fx_templates())} + 1], '{{C}}', c), '{{c}}', lower(c)),
+    '{{T}}', t) AS response
 FROM (SELECT event_id, {sql_list(SEARCH_CITIES)}[user_id % 8 + 1] AS c, {sql_list(SEARCH_TEXTS)}[event_id % 12 + 1] AS t
-      FROM events WHERE event_id % 4 = 0)""")
+      FROM events)""")
 
 cte("resp", ["planner_responses"], r"""
 SELECT search_id, j, json_type(j, '$.radius_km') AS rtype, json_extract_string(j, '$.radius_km') AS rtext

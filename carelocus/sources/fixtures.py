@@ -212,9 +212,9 @@ def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # FIXED VALUES — planner response templates; {C} = search city (may be ''),
-# {c} = lower-cased city, {T} = search text. Chosen by (event_id div 4) % 10
-# for every fourth event; the other searches have no response.
-RESPONSE_TEMPLATES: list[str] = [
+# {c} = lower-cased city, {T} = search text. Every search gets template
+# (event_id div 4) % 11; the last one stands for "no response" (NULL).
+RESPONSE_TEMPLATES: list[str | None] = [
     '{"city": "{C}", "care_need": "{T}", "keywords": ["{T}", "specialist"], "must_have": ["{T}"], '
     '"nice_to_have": [], "preferences": ["larger facility"], "radius_km": 25}',
     '```json\n{"city": "{C}", "keywords": ["{T} unit"], "radius_km": "30"}\n```',
@@ -227,12 +227,13 @@ RESPONSE_TEMPLATES: list[str] = [
     '{"city": "{C}", "keywords": ["{T}"], "radius_km": 2}',
     '{"city": "{C}", "keywords": [',
     '{"city": "", "care_need": "", "keywords": [], "preferences": ["Good Ratings!", "good ratings"], "radius_km": true}',
+    None,
 ]
 
 
 def planner_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """search_id, response: a model planner's raw text for every fourth search."""
-    e = read_table(spark, sf_dir, "events").select("event_id", "user_id").filter(F.col("event_id") % 4 == 0)
+    """search_id, response: a model planner's raw text for every search (NULL = no answer)."""
+    e = read_table(spark, sf_dir, "events").select("event_id", "user_id")
     city = _pick(SEARCH_CITIES, F.col("user_id") % 8)
     text = _pick(SEARCH_TEXTS, F.col("event_id") % 12)
     shape = F.floor(F.col("event_id") / 4) % len(RESPONSE_TEMPLATES)

@@ -95,3 +95,13 @@ def test_plans_are_one_projection(spark):
         F.col("id").alias("search_id"), F.lit("dialysis near Jaipur").alias("query"))
     plan = pl.fallback_plan(df)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_dictionary_terms_are_clean(spark):
+    """Precondition of the lambda-free keyword path: cleaning leaves every constant term unchanged."""
+    from carelocus.functions.text import clean_terms
+    from carelocus.sources import dims
+    lists = [kws for _, kws in dims.CARE_NEEDS] + [dims.ORTHOPEDIC_PLAN_KEYWORDS, dims.SURGICAL_KEYWORDS]
+    df = spark.createDataFrame([(kws,) for kws in lists], "terms array<string>")
+    for (terms,), (cleaned,) in zip(df.collect(), df.select(clean_terms(F.col("terms"), 99)).collect()):
+        assert cleaned == terms
