@@ -163,6 +163,7 @@ def _keyword_hit(terms: Column) -> Column:
 # Bytes per plan-cell row (ids, bounds, a keyword list) and per top result row
 # (facility text fields included) for the broadcast checks.
 PLAN_CELL_ROW_BYTES = 400
+PLAN_KEY_ROW_BYTES = 300
 TOP_ROW_BYTES = 4096
 
 
@@ -220,9 +221,15 @@ def rank_results(ranked: DataFrame, k: int = dims.TOP_K) -> DataFrame:
 
 
 def attach_plan_ids(plans: DataFrame, dplans: DataFrame) -> DataFrame:
-    """Searches (status ok) with the plan_id of their plan."""
+    """Searches (status ok) with the plan_id of their plan.
+
+    `dplans` is materialised: it is counted and broadcast under the byte bound,
+    so a plan shared by a third of all searches causes no skewed shuffle; with
+    very many distinct plans this is a sort-merge join with AQE skew splitting.
+    """
     ok = plans.filter(F.col("status") == "ok").select("search_id", "preferences", *PLAN_KEY)
-    return ok.join(dplans.select("plan_id", *PLAN_KEY), PLAN_KEY)
+    keyed = broadcast_if_small(dplans.select("plan_id", *PLAN_KEY), PLAN_KEY_ROW_BYTES)
+    return ok.join(keyed, PLAN_KEY)
 
 
 def run_searches(plans: DataFrame, index: DataFrame, k: int = dims.TOP_K,
