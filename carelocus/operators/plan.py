@@ -62,21 +62,29 @@ def resolve_city(ql: Column, match: str = "substring") -> Column:
     return F.get(_gazetteer(), _first_hit([occurs(ql, n, match) for n, _, _ in dims.GAZETTEER]))
 
 
+def occurs_any(ql: Column, terms: list[str], match: str = "substring") -> Column:
+    """Any of `terms` occurs: one regex alternation (a single compiled pattern,
+    small generated code) instead of a chain of substring tests."""
+    alternation = "|".join(re.escape(t) for t in terms)
+    if match == "word":
+        return ql.rlike(r"(?U)\b(?:" + alternation + r")\b")
+    return ql.rlike(alternation)
+
+
 def resolve_care_need(ql: Column, match: str = "substring") -> Column:
     """H2: struct(need, keywords) of the first need whose name or any keyword occurs."""
-    conds = []
-    for need, kws in dims.CARE_NEEDS:
-        cond = occurs(ql, need, match)
-        for kw in kws:
-            cond = cond | occurs(ql, kw, match)
-        conds.append(cond)
+    conds = [occurs_any(ql, [need, *kws], match) for need, kws in dims.CARE_NEEDS]
     return F.get(_needs(), _first_hit(conds))
 
 
 def city_words(ql: Column, match: str = "substring") -> Column:
-    """Words of every gazetteer name found in the text (no lambda: codegen-able)."""
-    return F.flatten(F.array(*[
-        F.when(occurs(ql, n, match), lit_array(n.split())).otherwise(_empty()) for n, _, _ in dims.GAZETTEER]))
+    """Words of every gazetteer name found in the text (evaluated once per row)."""
+    names = lit_array([n for n, _, _ in dims.GAZETTEER])
+    if match == "word":
+        found = F.filter(names, lambda n: ql.rlike(F.concat(F.lit(r"(?U)\b"), n, F.lit(r"\b"))))
+    else:
+        found = F.filter(names, lambda n: ql.contains(n))
+    return F.flatten(F.transform(found, lambda n: F.split(n, " ")))
 
 
 def query_tokens(ql: Column, words_of_cities: Column | None = None) -> Column:
@@ -180,10 +188,12 @@ def spread(df: DataFrame) -> DataFrame:
     share. Large inputs already arrive in many splits and pass through
     untouched; an input with fewer splits than the session's parallelism (a
     small single-file table) is round-robin repartitioned first."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - sessions without RDD access: leave the input as it is
+        return df
+    return df.repartition(cores) if splits < cores else df
 
 
 def with_status(plans: DataFrame) -> DataFrame:

@@ -135,13 +135,17 @@ def distinct_plans(plans: DataFrame) -> DataFrame:
     )
 
 
+BOX_DECIMALS = 6  # bounds are applied at 6 decimals, as rendered into the candidate predicate
+
+
 def plan_boxes(dplans: DataFrame) -> DataFrame:
-    """Box bounds of every plan."""
+    """Box bounds of every plan."""
     dlat, dlon = box_half_widths(F.col("latitude"), F.col("radius_km"), dims.KM_PER_DEGREE)
+    lat, lon = F.col("latitude"), F.col("longitude")
     return dplans.select(
         "*",
-        (F.col("latitude") - dlat).alias("min_lat"), (F.col("latitude") + dlat).alias("max_lat"),
-        (F.col("longitude") - dlon).alias("min_lon"), (F.col("longitude") + dlon).alias("max_lon"),
+        F.round(lat - dlat, BOX_DECIMALS).alias("min_lat"), F.round(lat + dlat, BOX_DECIMALS).alias("max_lat"),
+        F.round(lon - dlon, BOX_DECIMALS).alias("min_lon"), F.round(lon + dlon, BOX_DECIMALS).alias("max_lon"),
     )
 
 

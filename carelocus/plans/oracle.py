@@ -528,9 +528,9 @@ _ORTHO_TEXT = "lower(concat_ws(' ', coalesce(care_need, ''), array_to_string(key
 cte("dplans", ["plans"], f"""
 SELECT *, {clean_sql('keywords', dims.KEYWORD_LIMIT)} AS search_terms,
   {any_in(_ORTHO_TEXT, dims.ORTHOPEDIC_INTENT_TERMS)} AS orthopedic,
-  latitude - radius_km / 111.0 AS min_lat, latitude + radius_km / 111.0 AS max_lat,
-  longitude - radius_km / greatest(111.0 * cos(radians(latitude)), 1.0) AS min_lon,
-  longitude + radius_km / greatest(111.0 * cos(radians(latitude)), 1.0) AS max_lon
+  round(latitude - radius_km / 111.0, 6) AS min_lat, round(latitude + radius_km / 111.0, 6) AS max_lat,
+  round(longitude - radius_km / greatest(111.0 * cos(radians(latitude)), 1.0), 6) AS min_lon,
+  round(longitude + radius_km / greatest(111.0 * cos(radians(latitude)), 1.0), 6) AS max_lon
 FROM (SELECT latitude, longitude, radius_km, care_need, keywords, min(search_id) AS plan_id
       FROM plans WHERE status = 'ok' GROUP BY latitude, longitude, radius_km, care_need, keywords)""")
 
