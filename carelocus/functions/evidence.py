@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carelocus.functions.text import clean_evidence_text
+from carelocus.functions.text import clean_evidence_text, strip_ws
 from carelocus.sources import dims
 
 STRUCTURED_FIELDS = {"specialties", "standardized_services", "parsed_capability"}
@@ -48,7 +48,7 @@ def with_evidence_items(df: DataFrame, source: str, out: str) -> DataFrame:
     """
     t, v, d = f"{out}__t", f"{out}__v", f"{out}__d"
     staged = (
-        df.withColumn(t, F.trim(F.coalesce(F.col(source).cast("string"), F.lit(""))))
+        df.withColumn(t, strip_ws(F.coalesce(F.col(source).cast("string"), F.lit(""))))
         .withColumn(v, F.try_parse_json(F.col(t)))
         .withColumn(d, F.coalesce(clean_evidence_text(_dict_like(F.col(t))), F.lit("")))
     )

@@ -56,6 +56,12 @@ def contains_any(text, needles: Sequence[str]) -> Column:
     return F.coalesce(F.exists(lit_array(needles), lambda n: t.contains(n)), F.lit(False))
 
 
+def strip_ws(c) -> Column:
+    """Remove leading and trailing whitespace of any kind (tabs, newlines, ...);
+    Spark's trim() removes only blanks."""
+    return F.regexp_replace(_c(c), r"(?U)^\s+|\s+$", "")
+
+
 def clean_term(t: Column) -> Column:
     """One search term: lower-case, collapse whitespace, strip, keep [a-z0-9 /+-].
 
@@ -75,7 +81,7 @@ def clean_terms(terms, limit: int = dims.KEYWORD_LIMIT) -> Column:
 
 def has_value(c) -> Column:
     """Not NULL, not blank, and not a textual marker of a missing value."""
-    s = F.trim(_c(c).cast("string"))
+    s = strip_ws(_c(c).cast("string"))
     return F.coalesce((F.length(s) > 0) & ~F.lower(s).isin(*dims.MISSING_MARKERS), F.lit(False))
 
 
@@ -117,6 +123,6 @@ _PHONE = r"\+?\d[\d\s().-]{7,}\d"
 
 def clean_phone(c) -> Column:
     """The first phone-like run of digits, else the first 40 characters."""
-    text = F.trim(F.coalesce(_c(c).cast("string"), F.lit("")))
+    text = strip_ws(F.coalesce(_c(c).cast("string"), F.lit("")))
     found = F.regexp_extract(text, _PHONE, 0)
-    return F.when(found != "", F.trim(found)).otherwise(F.substring(text, 1, dims.CONTACT_FALLBACK_CHARS))
+    return F.when(found != "", strip_ws(found)).otherwise(F.substring(text, 1, dims.CONTACT_FALLBACK_CHARS))

@@ -333,7 +333,7 @@ def result_cards(plans: DataFrame, index: DataFrame, k: int = dims.TOP_K,
     top = evidence(r["top_for_join"]).select(
         "plan_id", "rank", "unique_id",
         F.coalesce("name", F.lit("")).alias("name"),
-        F.concat_ws(" · ", F.coalesce(F.col("organization_type"), F.lit("Healthcare Facility")),
+        F.concat_ws(" · ", F.coalesce(F.nullif(F.col("organization_type"), F.lit("")), F.lit("Healthcare Facility")),
                     F.when(has_value("numberDoctors"), F.concat(F.col("numberDoctors"), F.lit(" doctors"))),
                     F.when(has_value("capacity"), F.concat(F.lit("capacity "), F.col("capacity")))).alias("meta"),
         _display_place().alias("place"),

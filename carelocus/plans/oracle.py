@@ -470,8 +470,13 @@ def clean_ev(x: str) -> str:
     return bind(h, "hz", "upper(left(hz, 1)) || substr(hz, 2)")
 
 
+def strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
 def has_value_sql(x: str) -> str:
-    return (f"coalesce(length(trim(({x})::VARCHAR)) > 0 AND lower(trim(({x})::VARCHAR)) NOT IN "
+    s = strip_sql(f"({x})::VARCHAR")
+    return (f"coalesce(length({s}) > 0 AND lower({s}) NOT IN "
             f"({', '.join(q(m) for m in dims.MISSING_MARKERS)}), false)")
 
 
@@ -499,7 +504,7 @@ def ev_items(x: str) -> str:
   WHEN {_dict_like('t')} <> '' THEN [{_dict_like('t')}]
   ELSE list_filter(list_transform(regexp_split_to_array(regexp_replace(t, '^[\\[\\]]+|[\\[\\]]+$', '', 'g'),
        '["'']?\\s*,\\s*["'']?'), lambda p: {clean_ev('p')}), lambda s: s <> '') END"""
-    return bind(f"trim(coalesce(({x})::VARCHAR, ''))", "t", body)
+    return bind(strip_sql(f"coalesce(({x})::VARCHAR, '')"), "t", body)
 
 
 def excerpt_sql(v: str, k: str) -> str:
@@ -589,9 +594,9 @@ _PHONE_RE = r"\+?\d[\d\s().-]{7,}\d"
 
 
 def clean_phone_sql(x: str) -> str:
-    return bind(f"trim(coalesce(({x})::VARCHAR, ''))", "ph",
-                f"CASE WHEN regexp_extract(ph, '{_PHONE_RE}', 0) <> '' THEN trim(regexp_extract(ph, '{_PHONE_RE}', 0)) "
-                f"ELSE left(ph, {dims.CONTACT_FALLBACK_CHARS}) END")
+    found = f"regexp_extract(ph, '{_PHONE_RE}', 0)"
+    return bind(strip_sql(f"coalesce(({x})::VARCHAR, '')"), "ph",
+                f"CASE WHEN {found} <> '' THEN {strip_sql(found)} ELSE left(ph, {dims.CONTACT_FALLBACK_CHARS}) END")
 
 
 _CONTACT = ("CASE " + " ".join(f"WHEN {has_value_sql(c)} THEN {clean_phone_sql(c)}"
@@ -602,7 +607,7 @@ _PLACE = ("coalesce(nullif(concat_ws(', ', coalesce(nullif(district, ''), nullif
           "coalesce(nullif(state, ''), nullif(address_stateOrRegion, ''))), ''), 'Location on file')")
 _CONF = ("CASE " + " ".join(f"WHEN location_confidence = {q(a)} THEN {q(b)}" for a, b in dims.CONFIDENCE_LABELS)
          + f" ELSE {q(dims.UNKNOWN_CONFIDENCE_LABEL)} END")
-_META = (f"concat_ws(' · ', coalesce(organization_type, 'Healthcare Facility'), "
+_META = (f"concat_ws(' · ', coalesce(nullif(organization_type, ''), 'Healthcare Facility'), "
          f"CASE WHEN {has_value_sql('numberDoctors')} THEN numberDoctors || ' doctors' END, "
          f"CASE WHEN {has_value_sql('capacity')} THEN 'capacity ' || capacity END)")
 _WANTS = any_in("lower(array_to_string(coalesce(preferences, []::VARCHAR[]), ' '))", dims.STRENGTH_WISH_TERMS)

@@ -51,9 +51,9 @@ def test_clean_phone(spark, raw, out):
 
 
 def test_has_value(spark):
-    vals = [None, "", "  ", "null", "None", "NaN", "n/a", "Unknown", "0", "12"]
+    vals = [None, "", "  ", "\t\n", " null\t", "None", "NaN", "n/a", "Unknown", "0", "12"]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in vals], "v string").select(tx.has_value("v")).collect()]
-    assert got == [False] * 8 + [True, True]
+    assert got == [False] * 9 + [True, True]
 
 
 def test_snippets_first_three_in_field_order(spark):
