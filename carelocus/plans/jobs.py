@@ -48,9 +48,12 @@ class PipelineRun:
         return self.spark.read.parquet(self.path(name))
 
 
-def stage_inputs(run: PipelineRun, sf_dir: str) -> dict[str, DataFrame]:
-    """Source tables (derived fixtures) written once, as a catalog would hold them."""
+def stage_inputs(run: PipelineRun, sf_dir: str, files: int | None = None) -> dict[str, DataFrame]:
+    """Source tables (derived fixtures) written once, as a catalog would hold them:
+    split over `files` files (default: the session's parallelism), as any table
+    of size is, so the first scan of each job is read in parallel."""
     s = run.spark
+    files = files or s.sparkContext.defaultParallelism
     makers = {
         "postal_directory": fx.postal_directory, "facilities": fx.facilities, "services": fx.services,
         "equipment": fx.equipment, "capabilities": fx.capabilities, "searches": fx.searches,
@@ -59,7 +62,7 @@ def stage_inputs(run: PipelineRun, sf_dir: str) -> dict[str, DataFrame]:
     t0 = time.perf_counter()
     out = {}
     for name, make in makers.items():
-        overwrite_parquet(make(s, sf_dir), run.path(f"src_{name}"))
+        overwrite_parquet(make(s, sf_dir).repartition(files), run.path(f"src_{name}"))
         out[name] = s.read.parquet(run.path(f"src_{name}"))
     run.timings["inputs"] = round(time.perf_counter() - t0, 3)
     return out
