@@ -39,34 +39,47 @@ def _dict_like(text: Column) -> Column:
 
 
 def with_evidence_items(df: DataFrame, source: str, out: str) -> DataFrame:
-    """Add `out` = ordered display items of the evidence field `source`.
+    """Add `out` = ordered display items of the evidence field `source`."""
+    return with_evidence_items_many(df, {source: out})
+
+
+def with_evidence_items_many(df: DataFrame, outputs: dict[str, str]) -> DataFrame:
+    """S7 for several fields at once ({source column: output column}).
 
     JSON list -> its elements (objects give their first name-like key); JSON
     object -> its first name-like key; else a `key: value` found in the text;
     else the comma-separated parts. Intermediate values are staged as columns
-    so no large sub-expression is repeated.
+    (one projection per stage for all fields) so no large sub-expression is
+    repeated.
     """
-    t, v, d = f"{out}__t", f"{out}__v", f"{out}__d"
-    staged = (
-        df.withColumn(t, strip_ws(F.coalesce(F.col(source).cast("string"), F.lit(""))))
-        .withColumn(v, F.try_parse_json(F.col(t)))
-        .withColumn(d, F.coalesce(clean_evidence_text(_dict_like(F.col(t))), F.lit("")))
-    )
-    kind = F.schema_of_variant(F.col(v))
-    elements = F.coalesce(F.try_variant_get(F.col(v), "$", "array<variant>"), F.array().cast("array<variant>"))
-    from_list = _clean_nonempty(F.transform(elements, lambda e: F.when(
-        F.schema_of_variant(e).startswith("OBJECT"), _first_truthy(e, dims.EVIDENCE_NAME_KEYS))
-        .otherwise(F.try_variant_get(e, "$", "string"))))
-    from_object = _clean_nonempty(F.array(_first_truthy(F.col(v), dims.EVIDENCE_NAME_KEYS)))
-    parts = F.split(F.regexp_replace(F.col(t), r"^[\[\]]+|[\[\]]+$", ""), r"""["']?\s*,\s*["']?""")
-    items = (
-        F.when(F.col(t) == "", F.array().cast("array<string>"))
-        .when(kind.startswith("ARRAY"), from_list)
-        .when(kind.startswith("OBJECT"), from_object)
-        .when(F.col(d) != "", F.array(F.col(d)))
-        .otherwise(_clean_nonempty(parts))
-    )
-    return staged.withColumn(out, items).drop(t, v, d)
+    def names(out):
+        return f"{out}__t", f"{out}__v", f"{out}__d"
+
+    staged = df.withColumns({names(o)[0]: strip_ws(F.coalesce(F.col(src).cast("string"), F.lit("")))
+                             for src, o in outputs.items()})
+    staged = staged.withColumns({names(o)[1]: F.try_parse_json(F.col(names(o)[0])) for o in outputs.values()})
+    staged = staged.withColumns({names(o)[2]: F.coalesce(clean_evidence_text(_dict_like(F.col(names(o)[0]))),
+                                                         F.lit("")) for o in outputs.values()})
+
+    def items(out: str) -> Column:
+        t, v, d = (F.col(x) for x in names(out))
+        kind = F.schema_of_variant(v)
+        elements = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
+        from_list = _clean_nonempty(F.transform(elements, lambda e: F.when(
+            F.schema_of_variant(e).startswith("OBJECT"), _first_truthy(e, dims.EVIDENCE_NAME_KEYS))
+            .otherwise(F.try_variant_get(e, "$", "string"))))
+        from_object = _clean_nonempty(F.array(_first_truthy(v, dims.EVIDENCE_NAME_KEYS)))
+        parts = F.split(F.regexp_replace(t, r"^[\[\]]+|[\[\]]+$", ""), r"""["']?\s*,\s*["']?""")
+        return (
+            F.when(t == "", F.array().cast("array<string>"))
+            .when(kind.startswith("ARRAY"), from_list)
+            .when(kind.startswith("OBJECT"), from_object)
+            .when(d != "", F.array(d))
+            .otherwise(_clean_nonempty(parts))
+        )
+
+    temps = [x for o in outputs.values() for x in names(o)]
+    return staged.withColumns({o: items(o) for o in outputs.values()}).drop(*temps)
 
 
 def excerpt(value: Column, keyword: Column) -> Column:
@@ -80,11 +93,9 @@ def excerpt(value: Column, keyword: Column) -> Column:
                     F.when(end < n, F.lit("...")).otherwise(F.lit("")))
 
 
-def with_field_snippets(df: DataFrame, field: str, items: str | None, keywords: str, label: str,
-                        out: str) -> DataFrame:
-    """`out` = snippets of one field: per keyword hit (keyword order), a
-    structured match (up to 3 items joined by ', ') or an excerpt; de-duplicated
-    inside the field by their alphanumeric form, empty ones skipped."""
+def _snippet_texts(field: str, items: str | None, keywords: str) -> Column:
+    """Per keyword hit (keyword order): a structured match (up to 3 items joined by
+    ', ') or an excerpt of the raw text."""
     val = F.coalesce(F.col(field), F.lit(""))
 
     def text_for(k: Column) -> Column:
@@ -95,33 +106,44 @@ def with_field_snippets(df: DataFrame, field: str, items: str | None, keywords:
                           1, dims.STRUCTURED_MATCHES)
         return F.when(F.size(matched) > 0, F.array_join(matched, ", ")).otherwise(window)
 
-    texts, pairs = f"{out}__x", f"{out}__p"
     hits = F.filter(F.col(keywords), lambda k: F.lower(val).contains(F.lower(k)))
+    return F.transform(hits, text_for)
+
+
+def _pairs(texts: str) -> Column:
+    return F.transform(F.col(texts), lambda e: F.struct(
+        e.alias("e"), F.regexp_replace(F.lower(e), r"(?U)\W+", "").alias("n")))
+
+
+def _kept_snippets(pairs: str, label: str) -> Column:
+    """De-duplicated inside the field by alphanumeric form, empty ones skipped, labelled."""
     p = F.col(pairs)
     kept = F.filter(p, lambda x, i: (x["e"] != "") & ~F.exists(
         F.slice(p, 1, i), lambda y: (y["e"] != "") & (y["n"] == x["n"])))
-    return (
-        df.withColumn(texts, F.transform(hits, text_for))
-        .withColumn(pairs, F.transform(texts, lambda e: F.struct(
-            e.alias("e"), F.regexp_replace(F.lower(e), r"(?U)\W+", "").alias("n"))))
-        .withColumn(out, F.transform(kept, lambda x: F.concat(F.lit(label + ": "), x["e"])))
-        .drop(texts, pairs)
-    )
+    return F.transform(kept, lambda x: F.concat(F.lit(label + ": "), x["e"]))
+
+
+def with_field_snippets(df: DataFrame, field: str, items: str | None, keywords: str, label: str,
+                        out: str) -> DataFrame:
+    """`out` = snippets of one field."""
+    texts, pairs = f"{out}__x", f"{out}__p"
+    return (df.withColumn(texts, _snippet_texts(field, items, keywords))
+            .withColumn(pairs, _pairs(texts))
+            .withColumn(out, _kept_snippets(pairs, label))
+            .drop(texts, pairs))
 
 
 def with_evidence(df: DataFrame, keywords: Column, out: str = "evidence") -> DataFrame:
-    """All snippets of each row in field order, first three kept."""
+    """All snippets of each row in field order, first three kept (each stage is one
+    projection over all four fields)."""
     kw = f"{out}__kw"
-    staged = df.withColumn(kw, keywords)
-    parts = []
-    for name, label in dims.EVIDENCE_FIELDS:
-        items = None
-        if name in STRUCTURED_FIELDS:
-            items = f"{out}__it_{name}"
-            staged = with_evidence_items(staged, name, items)
-        sn = f"{out}__sn_{name}"
-        staged = with_field_snippets(staged, name, items, kw, label, sn)
-        parts.append(sn)
-    temps = [kw, *parts, *[f"{out}__it_{n}" for n, _ in dims.EVIDENCE_FIELDS if n in STRUCTURED_FIELDS]]
-    return (staged.withColumn(out, F.slice(F.concat(*[F.col(c) for c in parts]), 1, dims.EVIDENCE_PER_RESULT))
+    item_cols = {n: f"{out}__it_{n}" for n, _ in dims.EVIDENCE_FIELDS if n in STRUCTURED_FIELDS}
+    staged = with_evidence_items_many(df.withColumn(kw, keywords), item_cols)
+    fields = [(n, label, f"{out}__sn_{n}") for n, label in dims.EVIDENCE_FIELDS]
+    staged = staged.withColumns({f"{sn}__x": _snippet_texts(n, item_cols.get(n), kw) for n, _, sn in fields})
+    staged = staged.withColumns({f"{sn}__p": _pairs(f"{sn}__x") for _, _, sn in fields})
+    staged = staged.withColumns({sn: _kept_snippets(f"{sn}__p", label) for _, label, sn in fields})
+    temps = [kw, *item_cols.values()] + [x for _, _, sn in fields for x in (sn, f"{sn}__x", f"{sn}__p")]
+    return (staged.withColumn(out, F.slice(F.concat(*[F.col(sn) for _, _, sn in fields]), 1,
+                                           dims.EVIDENCE_PER_RESULT))
             .drop(*temps))

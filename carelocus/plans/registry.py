@@ -354,9 +354,8 @@ def _clean_evidence(spark, sf):
 @query("evidence_items")
 def _evidence_items(spark, sf):
     cols = ["specialties", "standardized_services", "parsed_capability", "standardized_equipment"]
-    i = facility_index(spark, sf).select("unique_id", *cols)
-    for c in cols:
-        i = ev.with_evidence_items(i, c, f"items_{c}")
+    i = ev.with_evidence_items_many(facility_index(spark, sf).select("unique_id", *cols),
+                                    {c: f"items_{c}" for c in cols})
     return i.select("unique_id", *[F.array_join(f"items_{c}", " | ").alias(c) for c in cols])
 
 
