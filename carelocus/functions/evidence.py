@@ -38,20 +38,24 @@ def _dict_like(text: Column) -> Column:
     return F.coalesce(*found)
 
 
-def with_evidence_items(df: DataFrame, source: str, out: str) -> DataFrame:
-    """Add `out` = ordered display items of the evidence field `source`."""
-    return with_evidence_items_many(df, {source: out})
+def with_evidence_items_many(df: DataFrame, outputs: dict[str, str]) -> DataFrame:
+    """S7 for several fields ({source column: output column}), one field after the
+    other: batching the fields into one projection pushes the generated code of
+    the text clean-up past the JVM's 64 KB method limit."""
+    for source, out in outputs.items():
+        df = with_evidence_items(df, source, out)
+    return df
 
 
-def with_evidence_items_many(df: DataFrame, outputs: dict[str, str]) -> DataFrame:
-    """S7 for several fields at once ({source column: output column}).
+def with_evidence_items(df: DataFrame, source: str, out: str) -> DataFrame:
+    """Add `out` = ordered display items of the evidence field `source`.
 
     JSON list -> its elements (objects give their first name-like key); JSON
     object -> its first name-like key; else a `key: value` found in the text;
     else the comma-separated parts. Intermediate values are staged as columns
-    (one projection per stage for all fields) so no large sub-expression is
-    repeated.
+    so no large sub-expression is repeated.
     """
+    outputs = {source: out}
     def names(out):
         return f"{out}__t", f"{out}__v", f"{out}__d"
 
