@@ -17,6 +17,7 @@ from carelocus.operators import location as loc
 from carelocus.operators import nearest as nn
 from carelocus.operators import pincode as pc
 from carelocus.operators import reports
+from carelocus.operators.sizing import materialize
 from carelocus.sources import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,15 +32,18 @@ def query(key: str):
 
 # ----------------------------------------------------------------- shared inputs
 def lookup(spark, sf):
-    return pc.build_pincode_lookup(fx.postal_directory(spark, sf))
+    """J1 output, materialised (as the pipeline hands it over) so that the size
+    checks and both later joins read it instead of recomputing it."""
+    return materialize(pc.build_pincode_lookup(fx.postal_directory(spark, sf)))
 
 
-def nearest_complete(spark, sf):
-    return nn.nearest_pin_complete(fx.facilities(spark, sf), lookup(spark, sf))
+def nearest_complete(spark, sf, lk=None):
+    return nn.nearest_pin_complete(fx.facilities(spark, sf), lookup(spark, sf) if lk is None else lk)
 
 
 def location(spark, sf):
-    return loc.locate_facilities(fx.facilities(spark, sf), lookup(spark, sf), nearest_complete(spark, sf))
+    lk = lookup(spark, sf)
+    return loc.locate_facilities(fx.facilities(spark, sf), lk, nearest_complete(spark, sf, lk))
 
 
 def facility_index(spark, sf):
