@@ -81,7 +81,7 @@ def city_words(ql: Column, match: str = "substring") -> Column:
     """Words of every gazetteer name found in the text (evaluated once per row)."""
     names = lit_array([n for n, _, _ in dims.GAZETTEER])
     if match == "word":
-        found = F.filter(names, lambda n: ql.rlike(F.concat(F.lit(r"(?U)\b"), n, F.lit(r"\b"))))
+        found = F.filter(names, lambda n: F.regexp_like(ql, F.concat(F.lit(r"(?U)\b"), n, F.lit(r"\b"))))
     else:
         found = F.filter(names, lambda n: ql.contains(n))
     return F.flatten(F.transform(found, lambda n: F.split(n, " ")))
