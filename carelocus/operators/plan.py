@@ -17,7 +17,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carelocus.functions.text import clean_terms, const, contains_any, lit_array
+from carelocus.functions.text import clean_terms, const, lit_array
 from carelocus.sources import dims
 
 FALLBACK_SOURCE = "keyword fallback"
