@@ -51,9 +51,15 @@ def lit_array(values: Sequence[str]) -> Column:
 
 
 def contains_any(text, needles: Sequence[str]) -> Column:
-    """True when any constant needle is a substring of `text` (NULL text -> false)."""
+    """True when any constant needle is a substring of `text` (NULL text -> false).
+
+    An OR-chain of substring tests: generated code, no lambda; meant for short
+    constant lists (long lists use one regex alternation instead)."""
     t = _c(text)
-    return F.coalesce(F.exists(lit_array(needles), lambda n: t.contains(n)), F.lit(False))
+    out = None
+    for n in needles:
+        out = t.contains(n) if out is None else out | t.contains(n)
+    return F.coalesce(out, F.lit(False))
 
 
 def strip_ws(c) -> Column:

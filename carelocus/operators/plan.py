@@ -1,10 +1,10 @@
 """J5 — turn a DataFrame of free-text searches into search plans, set-at-a-time.
 
-Every step is a Column expression over constant arrays (the gazetteer, care
-needs and stop words are fixed, tiny literals), so planning is a narrow
-projection: no join, no shuffle, no Python worker. Priority order of the
-dictionaries is kept by filtering the literal arrays in order and taking the
-first hit.
+Every step is a Column expression over constants (the gazetteer, care needs
+and stop words are fixed, tiny literals), so planning is a narrow projection:
+no join, no shuffle, no Python worker. Priority order of the dictionaries is
+kept by CASE chains that return the position of the first hit (cities) and
+one regex alternation per care need, tested in priority order.
 
 Plan columns: city, latitude, longitude, care_need, keywords, preferences,
 radius_km, source (+ status from ``with_status``).
@@ -17,7 +17,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carelocus.functions.text import clean_terms, const, lit_array
+from carelocus.functions.text import clean_terms, const, contains_any, lit_array
 from carelocus.sources import dims
 
 FALLBACK_SOURCE = "keyword fallback"
@@ -95,14 +95,6 @@ def query_tokens(ql: Column, words_of_cities: Column | None = None) -> Column:
     return F.filter(tokens, lambda t: ~F.array_contains(stop, t) & ~F.array_contains(cw, t))
 
 
-def any_of(text: Column, needles) -> Column:
-    """OR-chain of constant substring tests (codegen-able; NULL text -> false)."""
-    out = None
-    for n in needles:
-        out = text.contains(n) if out is None else out | text.contains(n)
-    return F.coalesce(out, F.lit(False))
-
-
 def clean_query_tokens(ql: Column, words_of_cities: Column) -> Column:
     """Tokens minus stop words and city words, first occurrences only.
 
@@ -124,7 +116,7 @@ def clean_term_list(terms: Column, limit: int = dims.KEYWORD_LIMIT) -> Column:
 
 def infer_preferences(ql: Column) -> Column:
     """H7: preference labels whose trigger phrases occur, in rule order."""
-    labels = F.array(*[F.when(any_of(ql, triggers), F.lit(label)) for label, triggers in dims.PREFERENCE_RULES])
+    labels = F.array(*[F.when(contains_any(ql, triggers), F.lit(label)) for label, triggers in dims.PREFERENCE_RULES])
     return F.array_except(labels, F.array(F.lit(None).cast("string")))  # drop the rules that did not fire
 
 
@@ -150,8 +142,8 @@ def fallback_plan(searches: DataFrame, text_col: str = "query",
         .withColumn("_cw", city_words(ql, match))
         .withColumn("_kw", clean_term_list(F.concat(F.coalesce(need["keywords"], _empty()),
                                                     clean_query_tokens(ql, F.col("_cw")))))
-        .withColumn("_inj", any_of(ql, dims.INJURY_WORDS) & any_of(ql, dims.LIMB_WORDS))
-        .withColumn("_surg", any_of(ql, dims.SURGERY_TRIGGERS))
+        .withColumn("_inj", contains_any(ql, dims.INJURY_WORDS) & contains_any(ql, dims.LIMB_WORDS))
+        .withColumn("_surg", contains_any(ql, dims.SURGERY_TRIGGERS))
     )
     inj, surg, kw = F.col("_inj"), F.col("_surg"), F.col("_kw")
     keywords = (
