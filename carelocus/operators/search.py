@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from carelocus.functions.evidence import with_evidence
 from carelocus.functions.geo import box_half_widths, grid_cell, haversine_km
 from carelocus.functions.text import clean_phone, clean_terms, contains_any, has_value
-from carelocus.operators.sizing import broadcast_if_small, materialize
+from carelocus.operators.sizing import broadcast_if_bounded, broadcast_if_small, materialize
 from carelocus.sources import dims
 
 SEARCH_CELL_DEGREES = 0.5
@@ -229,7 +229,8 @@ def attach_plan_ids(plans: DataFrame, dplans: DataFrame) -> DataFrame:
 
 
 def run_searches(plans: DataFrame, index: DataFrame, k: int = dims.TOP_K,
-                 cell_degrees: float = SEARCH_CELL_DEGREES, opts: MatchOptions = DEFAULT_MATCH) -> dict[str, DataFrame]:
+                 cell_degrees: float = SEARCH_CELL_DEGREES, opts: MatchOptions = DEFAULT_MATCH,
+                 materialize_top: bool = True) -> dict[str, DataFrame]:
     """Per-plan results and their mapping back to searches.
 
     Returns ``{"plans": distinct plans, "searches": search->plan, "ranked": all
@@ -242,13 +243,18 @@ def run_searches(plans: DataFrame, index: DataFrame, k: int = dims.TOP_K,
     # Top rows (<= k per distinct plan) are materialised too and broadcast to the
     # searches under the byte bound: a plan shared by a third of all searches then
     # costs no shuffle of those searches.
-    top = materialize(rank_results(ranked, k))
+    if materialize_top:
+        top = materialize(rank_results(ranked, k))
+        top_for_join = broadcast_if_small(top, TOP_ROW_BYTES)
+    else:  # proven bound: at most k rows per distinct plan
+        top = rank_results(ranked, k)
+        top_for_join = broadcast_if_bounded(top, dplans.count() * k, TOP_ROW_BYTES)
     return {
         "plans": dplans,
         "searches": attach_plan_ids(plans, dplans),
         "ranked": ranked,
         "top": top,
-        "top_for_join": broadcast_if_small(top, TOP_ROW_BYTES),
+        "top_for_join": top_for_join,
         "counts": ranked.groupBy("plan_id").agg(F.count(F.lit(1)).alias("result_count")),
     }
 

@@ -23,8 +23,14 @@ def broadcast_limit(df: DataFrame) -> int:
 
 def broadcast_if_small(df: DataFrame, row_bytes: int, limit_bytes: int | None = None) -> DataFrame:
     """`broadcast(df)` when rows * row_bytes fits the limit, else `df` unchanged."""
+    return broadcast_if_bounded(df, df.count(), row_bytes, limit_bytes)
+
+
+def broadcast_if_bounded(df: DataFrame, max_rows: int, row_bytes: int, limit_bytes: int | None = None) -> DataFrame:
+    """`broadcast(df)` when a proven upper bound on its rows fits the byte limit
+    (e.g. top-k rows <= k x distinct plans), without computing `df` first."""
     limit = broadcast_limit(df) if limit_bytes is None else limit_bytes
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+    return F.broadcast(df) if max_rows * row_bytes <= limit else df
 
 
 def materialize(df: DataFrame) -> DataFrame:
