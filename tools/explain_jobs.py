@@ -15,7 +15,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def summarise(name: str, df) -> str:
-    plan = df._jdf.queryExecution().executedPlan().toString()
     formatted = df._jdf.queryExecution().explainString(
         df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     ops = re.findall(r"\b(Exchange|BroadcastExchange|BroadcastHashJoin|SortMergeJoin|ShuffledHashJoin|"
@@ -29,7 +28,6 @@ def summarise(name: str, df) -> str:
     lines += ["", "Pushed filters: " + ("; ".join(p for p in pushed if p) or "none")]
     lines += ["", "Columns read per scan: " + ", ".join(str(s.count(":")) for s in schemas), ""]
     lines += ["```", formatted.split("\n\n")[0].strip(), "```", ""]
-    _ = plan
     return "\n".join(lines)
 
 
