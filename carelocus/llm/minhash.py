@@ -24,6 +24,7 @@ clashing names do no harm.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -69,7 +70,7 @@ def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
     just A-Z and the blanks of the word pattern."""
     rows = [t.encode().lower().split() for t in texts]
     sizes = np.array([len(r) for r in rows], np.int64)
-    h = np.fromiter((_hashes[w] for r in rows for w in r), np.uint64, int(sizes.sum()))
+    h = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(rows)), np.uint64, int(sizes.sum()))
     at = offsets_of(sizes)
     rolled = np.zeros(len(h), np.uint64)
     for k in range(words):

@@ -25,8 +25,10 @@ from __future__ import annotations
 
 import functools
 import json
+import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,9 @@ from carelocus.llm.common import field, map_arrow, offsets_of, ragged_index, sto
 WINDOW = 4096
 MAX_SOURCES = 65_536
 #: Chunks of text kept by a Python worker between slices; bounds memory alone.
-CACHED_CHUNKS = 300_000
+CACHED_CHUNKS = 800_000
+#: New chunks that are encoded together.
+JOINED_CHUNKS = 256
 GRID = 1 << 52
 
 
@@ -49,6 +53,7 @@ class ChunkTokenizer:
     chunks once."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark gives a task its one core
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -72,6 +77,18 @@ class ChunkTokenizer:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _chunk_ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(flat ids, number of ids of each chunk): some chunks a call, told apart by where their tokens begin."""
+        flat, counts = [], []
+        for i in range(0, len(chunks), JOINED_CHUNKS):
+            own = chunks[i : i + JOINED_CHUNKS]
+            found = self.tok.encode(" ".join(own), add_special_tokens=False)
+            begins = offsets_of(np.fromiter(map(len, own), np.int64, len(own)) + 1)
+            at = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
+            flat.append(np.array(found.ids, self.width))
+            counts.append(np.bincount(np.searchsorted(begins, at, "right") - 1, minlength=len(own)))
+        return np.concatenate(flat), np.concatenate(counts)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, offsets)."""
         if not self.by_chunk:
@@ -82,13 +99,11 @@ class ChunkTokenizer:
         had = len(self.rows)
         rows = [list(map(self.rows.__getitem__, t.replace("\n", " ").split(" "))) for t in texts]
         if len(self.rows) > had:
-            ids = self._ids(list(self.rows)[had:])
-            lengths = np.array([len(r) for r in ids], np.int64)
-            new = np.fromiter((x for r in ids for x in r), self.width, int(lengths.sum()))
+            new, lengths = self._chunk_ids(list(self.rows)[had:])
             self.at = np.concatenate([self.at, np.cumsum(lengths) + len(self.flat)])
             self.flat = np.concatenate([self.flat, new])
         counts = np.array([len(r) for r in rows], np.int64)
-        row = np.fromiter((x for r in rows for x in r), np.int64, int(counts.sum()))
+        row = np.fromiter(chain.from_iterable(rows), np.int64, int(counts.sum()))
         lengths = self.at[row + 1] - self.at[row]
         return self.flat[ragged_index(self.at[row], lengths)], offsets_of(lengths)[offsets_of(counts)]
 

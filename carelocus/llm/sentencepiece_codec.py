@@ -20,6 +20,7 @@ import functools
 import hashlib
 import heapq
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -379,7 +380,7 @@ class Encoder:
             new, at = self.model.encode_words(list(self.words)[had:])
             self.flat, self.at = np.concatenate([self.flat, new]), np.concatenate([self.at, at[1:] + len(self.flat)])
         counts = np.array([len(r) for r in rows], np.int64)
-        row = np.fromiter((x for r in rows for x in r), np.int64, int(counts.sum()))
+        row = np.fromiter(chain.from_iterable(rows), np.int64, int(counts.sum()))
         lengths = self.at[row + 1] - self.at[row]
         return self.flat[ragged_index(self.at[row], lengths)], offsets_of(lengths)[offsets_of(counts)]
 

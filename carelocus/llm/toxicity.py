@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -66,7 +67,7 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word, offsets by text)."""
     rows = [list(map(_hashes.__getitem__, words_of(t))) for t in texts]
     sizes = np.array([len(r) for r in rows], np.int64)
-    return np.fromiter((x for r in rows for x in r), np.int64, int(sizes.sum())), offsets_of(sizes)
+    return np.fromiter(chain.from_iterable(rows), np.int64, int(sizes.sum())), offsets_of(sizes)
 
 
 def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
