@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carelocus.functions.text import clean_evidence_text, strip_ws
+from carelocus.functions.text import clean_evidence_text, strict_json, strip_ws
 from carelocus.sources import dims
 
 STRUCTURED_FIELDS = {"specialties", "standardized_services", "parsed_capability"}
@@ -61,7 +61,7 @@ def with_evidence_items(df: DataFrame, source: str, out: str) -> DataFrame:
 
     staged = df.withColumns({names(o)[0]: strip_ws(F.coalesce(F.col(src).cast("string"), F.lit("")))
                              for src, o in outputs.items()})
-    staged = staged.withColumns({names(o)[1]: F.try_parse_json(F.col(names(o)[0])) for o in outputs.values()})
+    staged = staged.withColumns({names(o)[1]: strict_json(F.col(names(o)[0])) for o in outputs.values()})
     staged = staged.withColumns({names(o)[2]: F.coalesce(clean_evidence_text(_dict_like(F.col(names(o)[0]))),
                                                          F.lit("")) for o in outputs.values()})
 

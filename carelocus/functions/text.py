@@ -132,3 +132,18 @@ def clean_phone(c) -> Column:
     text = strip_ws(F.coalesce(_c(c).cast("string"), F.lit("")))
     found = F.regexp_extract(text, _PHONE, 0)
     return F.when(found != "", strip_ws(found)).otherwise(F.substring(text, 1, dims.CONTACT_FALLBACK_CHARS))
+
+
+def strict_json(text: Column) -> Column:
+    """The one JSON value that is the whole text, as VARIANT; NULL for anything else.
+
+    `try_parse_json` stops after the first value. Inside a list that ends with a
+    mark of our own, whatever follows the value breaks the list.
+    """
+    end = "\u2403"
+    parsed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit(f', "{end}"]'))), "$", "array<variant>")
+
+    def whole(items: Column) -> Column:
+        return F.when((F.size(items) == 2) & (F.try_variant_get(F.get(items, 1), "$", "string") == end), F.get(items, 0))
+
+    return F.get(F.transform(F.array(parsed), whole), 0)  # the lambda binds the parsed list once

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carelocus.functions.text import const, contains_any
+from carelocus.functions.text import const, contains_any, strict_json
 
 # FIXED VALUES — prompt text around each input column (model name is a parameter).
 PROMPTS: dict[str, tuple[str, str, str]] = {
@@ -113,7 +113,7 @@ SERVICE_SYNONYMS = {
 SERVICE_NAMES = {"ct scan": "CT Scan", "mri scan": "MRI Scan"}
 SERVICE_CATEGORY_RULES = [  # (words, category), first match wins; default Treatment
     (["surgery", "replacement", "ectomy", "root canal", "angioplasty"], "Surgery"),
-    (["scan", "x-ray", "test", "biopsy", "mri"], "Diagnostic"),
+    (["scan", "x-ray", "test", "biopsy", "mri", "graphy"], "Diagnostic"),
     (["counselling", "vaccination", "ambulance"], "Support Service"),
 ]
 EQUIPMENT_SYNONYMS = {
@@ -121,7 +121,11 @@ EQUIPMENT_SYNONYMS = {
     "ultrasound": "ultrasound machine", "hospital beds": "hospital bed",
 }
 EQUIPMENT_NAMES = {"ct scanner": "CT Scanner", "mri scanner": "MRI Scanner", "x-ray machine": "X-Ray Machine"}
-EQUIPMENT_EXCLUDE = ["parking", "building", "staff", "canteen", "lift", "nurses"]
+# Excluded wherever they stand as whole words, and excluded as whole terms.
+EQUIPMENT_EXCLUDE_WORDS = ["parking", "building", "staff", "canteen", "nurses"]
+EQUIPMENT_EXCLUDE_TERMS = ["lift", "lifts", "passenger lift", "elevator"]
+EXCLUDED_WORDS = r"\b(" + "|".join(EQUIPMENT_EXCLUDE_WORDS) + r")\b"
+SPECIFICATION = r"^[0-9]+ (slice|lead|channel|row|way|tesla|watt|litre|liter|mm|cm|ml|kv|ma|inch|part)s?\b"
 EQUIPMENT_CATEGORY_RULES = [
     (["scanner", "x-ray", "ultrasound", "mri"], "Imaging Equipment"),
     (["ventilator", "defibrillator", "monitor", "dialysis"], "Life Support Equipment"),
@@ -164,7 +168,7 @@ def echo_model(prompts: pd.Series) -> pd.Series:
 # --------------------------------------------------------------------------- S3-S5
 def _json_strings(c: Column) -> Column:
     """Strict parse of a JSON array of strings (NULL when not one)."""
-    return F.try_variant_get(F.try_parse_json(c), "$", "array<string>")
+    return F.try_variant_get(strict_json(c), "$", "array<string>")
 
 
 def _norm(t: Column) -> Column:
@@ -184,7 +188,7 @@ def camel_case(words_text: Column) -> Column:
     """'orthopedic surgery' -> 'orthopedicSurgery'."""
     words = F.split(words_text, " ")
     return F.concat(F.lower(F.get(words, 0)),
-                    F.array_join(F.transform(F.slice(words, 2, 1 << 20), lambda w: F.initcap(w)), ""))
+                    F.array_join(F.transform(F.slice(words, F.lit(2), F.size(words)), lambda w: F.initcap(w)), ""))
 
 
 def _categorise(name: Column, rules: list[tuple[list[str], str]], default: str) -> Column:
@@ -202,7 +206,7 @@ def _finish(items: Column) -> Column:
 def standardize_specialties(raw: DataFrame, col: str = "specialties") -> DataFrame:
     """S3: JSON array of raw specialties -> JSON array of camelCase standard names."""
     def one(t: Column) -> Column:
-        n = _norm(t)
+        n = _norm(F.regexp_replace(t, "([a-z])([A-Z])", "$1 $2"))
         return F.coalesce(_lookup(SPECIALTY_SYNONYMS, n), camel_case(n))
     return raw.select("unique_id", _finish(F.transform(_json_strings(F.col(col)), one)).alias("standardized_specialties"))
 
@@ -211,7 +215,8 @@ def standardize_services(raw: DataFrame, col: str = "procedure") -> DataFrame:
     """Raw procedures -> ["Name|Category", ...]: robotic variants become the base
     procedure, synonyms merge, Title Case, category by dictionary rules."""
     def one(t: Column) -> Column:
-        base = F.regexp_replace(_norm(t), r"^robotic(-assisted)?\s+", "")
+        n = _norm(t)
+        base = F.when(n.isin("robotic surgery", "robotic-assisted surgery"), n).otherwise(F.regexp_replace(n, r"^robotic(-assisted)? ", ""))
         merged = F.coalesce(_lookup(SERVICE_SYNONYMS, base), base)
         name = F.coalesce(_lookup(SERVICE_NAMES, merged), F.initcap(merged))
         category = _categorise(merged, SERVICE_CATEGORY_RULES, "Treatment")
@@ -224,11 +229,13 @@ def standardize_equipment(raw: DataFrame, col: str = "equipment") -> DataFrame:
     infrastructure excluded, synonyms merged, Title Case, category by rules."""
     def one(t: Column) -> Column:
         n = _norm(t)
-        bare = F.trim(F.regexp_replace(n, r"^[0-9]+\s*|\s*x\s*[0-9]+$", ""))
+        # A whole leading number is a quantity unless it belongs to a specification; so is a whole trailing "x N".
+        counted = F.when(n.rlike(SPECIFICATION), n).otherwise(F.regexp_replace(n, r"^[0-9]+ ", ""))
+        bare = F.trim(F.regexp_replace(counted, r" x ?[0-9]+$", ""))
         merged = F.coalesce(_lookup(EQUIPMENT_SYNONYMS, bare), bare)
         name = F.coalesce(_lookup(EQUIPMENT_NAMES, merged), F.initcap(merged))
         category = _categorise(merged, EQUIPMENT_CATEGORY_RULES, EQUIPMENT_DEFAULT_CATEGORY)
-        return F.when((merged != "") & ~contains_any(n, EQUIPMENT_EXCLUDE), F.concat(name, F.lit("|"), category))
+        return F.when((merged != "") & ~n.rlike(EXCLUDED_WORDS) & ~bare.isin(EQUIPMENT_EXCLUDE_TERMS), F.concat(name, F.lit("|"), category))
     return raw.select("unique_id", _finish(F.transform(_json_strings(F.col(col)), one)).alias("standardized_equipment"))
 
 
@@ -247,7 +254,7 @@ def _enum(c: Column, allowed: list[str]) -> Column:
 def capability_explode(raw: DataFrame, col: str = "capability") -> DataFrame:
     """Capability object -> one row per capability (a facility whose text is
     missing or not valid JSON keeps one row of NULLs); enums checked, summary cut."""
-    ok = F.try_parse_json(F.col(col)).isNotNull()
+    ok = strict_json(F.col(col)).isNotNull()
     parsed = raw.select("unique_id", ok.alias("parse_ok"),
                         F.when(ok, F.from_json(F.col(col), CAPABILITY_SCHEMA)).alias("p"))
     rows = parsed.select("unique_id", "parse_ok", "p", F.posexplode_outer("p.capabilities").alias("cap_pos", "c"))

@@ -94,7 +94,8 @@ def grid_candidates(fac_points: DataFrame, pins: DataFrame, rings: int = 1, how:
 def _nearest_agg(candidates: DataFrame) -> DataFrame:
     best = F.min_by(
         F.struct("district", "statename", "pincode", "distance_km"),
-        F.struct("distance_km", "pincode"),  # D8: ties -> smallest pincode
+        # Rows without a PIN come last: a repeated id keeps its match. D8: ties -> smallest pincode
+        F.struct(F.col("distance_km").isNull(), "distance_km", "pincode"),
     )
     return (
         candidates.groupBy("facility_id")
@@ -118,14 +119,11 @@ def nearest_pin(facilities: DataFrame, lookup: DataFrame, cell_degrees: float =
 
 def unmatched_facilities(facilities: DataFrame, lookup: DataFrame, cell_degrees: float = DEFAULT_GRID_DEGREES,
                          rings: int = 1) -> DataFrame:
-    """Facilities with coordinates but no PIN point in their neighbourhood.
-
-    Anti-join against the (small, expanded) PIN cells: the facility side is
-    never shuffled for this.
-    """
+    """Ids with coordinates none of whose rows has a PIN point in its neighbourhood, each once."""
     cells = neighborhood_expand(pin_points(lookup, cell_degrees), rings).select("cell_lat", "cell_lon").distinct()
-    return facility_points(facilities, cell_degrees).join(cells, ["cell_lat", "cell_lon"], "left_anti") \
-        .select("facility_id")
+    points = facility_points(facilities, cell_degrees)
+    matched = points.join(cells, ["cell_lat", "cell_lon"], "left_semi").select("facility_id")
+    return points.select("facility_id").distinct().join(matched, "facility_id", "left_anti")
 
 
 def nearest_pin_complete(facilities: DataFrame, lookup: DataFrame, cell_degrees: float = DEFAULT_GRID_DEGREES,

@@ -17,7 +17,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carelocus.functions.text import clean_terms, const, contains_any, lit_array
+from carelocus.functions.text import clean_terms, const, contains_any, lit_array, strict_json
 from carelocus.sources import dims
 
 FALLBACK_SOURCE = "keyword fallback"
@@ -136,7 +136,7 @@ def fallback_plan(searches: DataFrame, text_col: str = "query",
     """
     ql, city, need = F.col("_ql"), F.col("_city"), F.col("_need")
     base = (
-        spread(searches).withColumn("_ql", F.lower(F.col(text_col)))
+        searches.withColumn("_ql", F.lower(F.col(text_col)))
         .withColumn("_city", resolve_city(ql, match))
         .withColumn("_need", resolve_care_need(ql, match))
         .withColumn("_cw", city_words(ql, match))
@@ -175,19 +175,6 @@ def fallback_plan(searches: DataFrame, text_col: str = "query",
     )
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Planning costs tens of microseconds per row, so every core should get a
-    share. Large inputs already arrive in many splits and pass through
-    untouched; an input with fewer splits than the session's parallelism (a
-    small single-file table) is round-robin repartitioned first."""
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - sessions without RDD access: leave the input as it is
-        return df
-    return df.repartition(cores) if splits < cores else df
-
-
 def with_status(plans: DataFrame) -> DataFrame:
     """H12: 'no_city' without a resolved point, 'no_keywords' without terms, else 'ok'."""
     return plans.withColumn(
@@ -199,22 +186,51 @@ def with_status(plans: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- planner responses
+def _json_object(text: Column) -> Column:
+    """The object from the first '{' to the last '}' of a text, parsed strictly; else NULL."""
+    candidate = F.regexp_extract(F.coalesce(text, F.lit("")), r"(?s)\{.*\}", 0)
+    return F.when(candidate != "", strict_json(candidate))
+
+
 def parse_response(response: Column) -> Column:
     """The JSON object inside a model response (code fence / prose around it).
 
-    Takes the text from the first '{' to the last '}' and parses it strictly
-    (VARIANT); NULL when there is no object or it is not valid JSON.
+    NULL when there is no object, it is not valid JSON, or more than one value
+    stands between the outer braces. An object in one of the shapes of a chat
+    answer (`choices[0].message.content`, else `content`, `text`, `output_text`,
+    the first that is not empty) stands for the object inside that text.
     """
-    candidate = F.regexp_extract(F.coalesce(response, F.lit("")), r"(?s)\{.*\}", 0)
-    return F.when(candidate != "", F.try_parse_json(candidate))
+    def inner(outer: Column) -> Column:
+        content = F.coalesce(*(_truthy_text(outer, p) for p in ("$.choices[0].message.content", "$.content", "$.text", "$.output_text")))
+        return F.get(F.transform(F.array(content), lambda c: F.when(c.isNotNull(), _json_object(c)).otherwise(outer)), 0)
+
+    return F.get(F.transform(F.array(_json_object(response)), inner), 0)  # lambdas bind each parse once
 
 
 def _truthy_text(v: Column, path: str) -> Column:
     return F.nullif(F.try_variant_get(v, path, "string"), F.lit(""))
 
 
+def _kind(v: Column, path: str) -> Column:
+    return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+
+
 def _list(v: Column, path: str) -> Column:
-    return F.coalesce(F.try_variant_get(v, path, "array<string>"), _empty())
+    """A list field: the items of an array, the keys of an object, the characters of a text; nothing for NULL."""
+    kind = _kind(v, path)
+    return (
+        F.when(kind.startswith("OBJECT"), F.map_keys(F.try_variant_get(v, path, "map<string,variant>")))
+        .when(kind == "STRING", F.filter(F.split(F.try_variant_get(v, path, "string"), ""), lambda c: c != ""))
+        .otherwise(F.coalesce(F.try_variant_get(v, path, "array<string>"), _empty()))
+    )
+
+
+def _listable(v: Column, path: str) -> Column:
+    """False for a number or boolean other than 0 and false: such a field makes the whole response unusable."""
+    kind = _kind(v, path)
+    scalar = ~(kind.startswith("ARRAY") | kind.startswith("OBJECT") | kind.isin("STRING", "VOID"))
+    empty = F.try_variant_get(v, path, "string").isin("0", "0.0", "-0.0", "false")
+    return ~F.coalesce(scalar & ~F.coalesce(empty, F.lit(False)), F.lit(False))
 
 
 def response_radius(v: Column) -> tuple[Column, Column]:
@@ -243,20 +259,24 @@ def merge_plans(searches: DataFrame, responses: DataFrame, text_col: str = "quer
     """Combine model planner responses with the rule-based plan.
 
     `responses(search_id, response)`; a search without a readable response
-    keeps its rule-based plan (source 'keyword fallback'). A city named by the
+    keeps its rule-based plan (source 'keyword fallback'), and so does one with
+    a list field that cannot be read as a list. A city named by the
     model wins only when the gazetteer knows it; keyword lists are merged
     (model keywords, must-haves, nice-to-haves, then rule keywords) and
     cleaned again; the model radius is clamped.
     """
     fb = fallback_plan(searches, text_col, default_radius_km, match)
-    r = responses.select("search_id", parse_response(F.col("response")).alias("_v"))
+    # Of several responses to one search the first in text order counts.
+    one = responses.groupBy("search_id").agg(F.min("response").alias("response"))
+    r = one.select("search_id", parse_response(F.col("response")).alias("_v"))
     v = F.col("_v")
     radius, infinite = response_radius(v)
     staged = (
         fb.join(r, "search_id", "left")
         .withColumn("_given", _truthy_text(v, "$.city"))
         .withColumn("_radius", radius)
-        .withColumn("_usable", v.isNotNull() & ~infinite)
+        .withColumn("_usable", v.isNotNull() & ~infinite & _listable(v, "$.keywords") & _listable(v, "$.must_have")
+                    & _listable(v, "$.nice_to_have") & _listable(v, "$.preferences"))
     )
     given = F.col("_given")
     staged = staged.withColumn("_known", F.get(F.filter(_gazetteer(), lambda g: g["name"] == F.lower(given)), 0))

@@ -28,7 +28,7 @@ from carelocus.operators import reports
 from carelocus.operators import search as sr
 from carelocus.session import work_dir
 from carelocus.sources import fixtures as fx
-from carelocus.sources.tables import overwrite_parquet
+from carelocus.sources.tables import create_or_replace, overwrite_parquet
 
 
 @dataclass
@@ -68,10 +68,18 @@ def stage_inputs(run: PipelineRun, sf_dir: str, files: int | None = None) -> dic
     return out
 
 
-def run_pipeline(spark: SparkSession, sf_dir: str, root: str | None = None,
-                 with_reports: bool = True) -> PipelineRun:
+def run_pipeline(spark: SparkSession, sf_dir: str | None = None, root: str | None = None, with_reports: bool = True,
+                 inputs: dict[str, DataFrame | str] | None = None, table_prefix: str | None = None) -> PipelineRun:
+    """J1-J6. Reads `inputs` (DataFrames or catalog table names, by the names of `stage_inputs`), or the test
+    fixture derived from `sf_dir`. With `table_prefix` the jobs' results also become catalog tables."""
     run = PipelineRun(spark, root or work_dir(spark, f"run-{uuid.uuid4().hex[:8]}"))
-    src = stage_inputs(run, sf_dir)
+    if inputs is not None:
+        needed = {"postal_directory", "facilities", "services", "equipment", "capabilities", "searches", "planner_responses"}
+        if missing := needed - set(inputs):
+            raise ValueError(f"missing inputs: {sorted(missing)}")
+        src = {k: spark.table(v) if isinstance(v, str) else v for k, v in inputs.items()}
+    else:
+        src = stage_inputs(run, sf_dir)
 
     lookup = run.materialize("J1_pincode_lookup", lambda: pc.build_pincode_lookup(src["postal_directory"]))
     nearest = run.materialize("J2_nearest_pin", lambda: nn.nearest_pin_complete(src["facilities"], lookup))
@@ -81,7 +89,11 @@ def run_pipeline(spark: SparkSession, sf_dir: str, root: str | None = None,
         src["facilities"], src["services"], src["equipment"], src["capabilities"], location))
     plans = run.materialize("J5_search_plans", lambda: pl.with_status(
         pl.merge_plans(src["searches"], src["planner_responses"])))
-    run.materialize("J6_result_cards", lambda: sr.result_cards(plans, index))
+    cards = run.materialize("J6_result_cards", lambda: sr.result_cards(plans, index))
+    if table_prefix:
+        for name, table in (("pincode_lookup", lookup), ("nearest_pin", nearest), ("facility_location", location),
+                            ("facility_index", index), ("search_plans", plans), ("result_cards", cards)):
+            create_or_replace(table, table_prefix + name)
 
     if with_reports:
         t0 = time.perf_counter()

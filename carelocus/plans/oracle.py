@@ -385,8 +385,14 @@ FROM (SELECT event_id, {sql_list(SEARCH_CITIES)}[user_id % 8 + 1] AS c, {sql_lis
 
 cte("resp", ["planner_responses"], r"""
 SELECT search_id, j, json_type(j, '$.radius_km') AS rtype, json_extract_string(j, '$.radius_km') AS rtext
-FROM (SELECT search_id, CASE WHEN cand <> '' AND json_valid(cand) THEN cand::JSON END AS j
-      FROM (SELECT search_id, regexp_extract(coalesce(response, ''), '(?s)\{.*\}', 0) AS cand FROM planner_responses))""")
+FROM (SELECT search_id, CASE WHEN content IS NULL THEN j0 WHEN cand1 <> '' AND json_valid(cand1) THEN cand1::JSON END AS j
+      FROM (SELECT *, regexp_extract(content, '(?s)\{.*\}', 0) AS cand1
+            FROM (SELECT *, coalesce(nullif(json_extract_string(j0, '$.choices[0].message.content'), ''),
+                    nullif(json_extract_string(j0, '$.content'), ''), nullif(json_extract_string(j0, '$.text'), ''),
+                    nullif(json_extract_string(j0, '$.output_text'), '')) AS content
+                  FROM (SELECT search_id, CASE WHEN cand <> '' AND json_valid(cand) THEN cand::JSON END AS j0
+                        FROM (SELECT search_id, regexp_extract(coalesce(response, ''), '(?s)\{.*\}', 0) AS cand
+                              FROM (SELECT search_id, min(response) AS response FROM planner_responses GROUP BY search_id))))))""")
 
 cte("resp_parsed", ["resp"], r"""
 SELECT search_id, j,
@@ -397,7 +403,14 @@ FROM resp""")
 
 
 def _jlist(path: str) -> str:
-    return f"coalesce(json_extract_string(r.j, '$.{path}[*]'), []::VARCHAR[])"
+    return f"""CASE json_type(r.j, '$.{path}') WHEN 'OBJECT' THEN json_keys(r.j, '$.{path}')
+      WHEN 'VARCHAR' THEN list_filter(string_split(json_extract_string(r.j, '$.{path}'), ''), lambda c: c <> '')
+      ELSE coalesce(json_extract_string(r.j, '$.{path}[*]'), []::VARCHAR[]) END"""
+
+
+def _no_list(path: str) -> str:
+    return (f"(json_type(r.j, '$.{path}') IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'BOOLEAN') "
+            f"AND json_extract_string(r.j, '$.{path}') NOT IN ('0', '0.0', '-0.0', 'false'))")
 
 
 cte("merged", ["plans", "resp_parsed"], f"""
@@ -413,7 +426,7 @@ SELECT search_id, query,
        ELSE radius_km END AS radius_km,
   CASE WHEN usable THEN 'model planner' ELSE source END AS source
 FROM (
-  SELECT p.*, r.j, r.radius_value, r.j IS NOT NULL AS usable,
+  SELECT p.*, r.j, r.radius_value, r.j IS NOT NULL AND NOT coalesce({' OR '.join('coalesce(' + _no_list(x) + ', false)' for x in ('keywords', 'must_have', 'nice_to_have', 'preferences'))}, false) AS usable,
     nullif(json_extract_string(r.j, '$.city'), '') AS given,
     list_filter({GAZ}, lambda g: g.name = lower(nullif(json_extract_string(r.j, '$.city'), '')))[1] AS known,
     nullif(json_extract_string(r.j, '$.city'), '') IS NOT NULL
@@ -731,15 +744,18 @@ def _json_strings_sql(x: str) -> str:
     return f"CASE WHEN json_valid({x}) AND json_type({x}::JSON) = 'ARRAY' THEN json_extract_string({x}::JSON, '$[*]') END"
 
 
-_SPEC_ONE = bind(_norm_sql("t"), "n", f"coalesce({_lookup_sql(en.SPECIALTY_SYNONYMS, 'n')}, {_camel('n')})")
-_SVC_ONE = bind(f"regexp_replace({_norm_sql('t')}, '^robotic(-assisted)?\\s+', '')", "b",
+_SPEC_ONE = bind(_norm_sql("regexp_replace(t, '([a-z])([A-Z])', '\\1 \\2', 'g')"), "n", f"coalesce({_lookup_sql(en.SPECIALTY_SYNONYMS, 'n')}, {_camel('n')})")
+_SVC_ONE = bind(bind(_norm_sql("t"), "n", "CASE WHEN n IN ('robotic surgery', 'robotic-assisted surgery') THEN n "
+                     "ELSE regexp_replace(n, '^robotic(-assisted)? ', '') END"), "b",
                 bind(f"coalesce({_lookup_sql(en.SERVICE_SYNONYMS, 'b')}, b)", "m",
                      f"CASE WHEN m <> '' THEN coalesce({_lookup_sql(en.SERVICE_NAMES, 'm')}, {_initcap('m')}) || '|' || "
                      f"{_cat_sql('m', en.SERVICE_CATEGORY_RULES, 'Treatment')} END"))
 _EQ_ONE = bind(_norm_sql("t"), "n", bind(
-    "trim(regexp_replace(n, '^[0-9]+\\s*|\\s*x\\s*[0-9]+$', '', 'g'))", "b",
+    f"trim(regexp_replace(CASE WHEN regexp_matches(n, '{en.SPECIFICATION}') THEN n "
+    "ELSE regexp_replace(n, '^[0-9]+ ', '') END, ' x ?[0-9]+$', ''))", "b",
     bind(f"coalesce({_lookup_sql(en.EQUIPMENT_SYNONYMS, 'b')}, b)", "m",
-         f"CASE WHEN m <> '' AND NOT {any_in('n', en.EQUIPMENT_EXCLUDE)} THEN "
+         f"CASE WHEN m <> '' AND NOT regexp_matches(n, '{en.EXCLUDED_WORDS}') "
+         f"AND b NOT IN ({', '.join(q(x) for x in en.EQUIPMENT_EXCLUDE_TERMS)}) THEN "
          f"coalesce({_lookup_sql(en.EQUIPMENT_NAMES, 'm')}, {_initcap('m')}) || '|' || "
          f"{_cat_sql('m', en.EQUIPMENT_CATEGORY_RULES, en.EQUIPMENT_DEFAULT_CATEGORY)} END")))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -42,10 +43,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
     On a cluster ``spark.checkpoint.dir`` is set by the operator and is read
-    as is. Only when it is unset (local tests) do we create a scratch folder.
+    as is. Only when it is unset in local mode (tests, bench) do we create a
+    scratch folder; on a cluster that is an error, as executors share no folder.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share (master: {master or 'unknown'})")
         current = tempfile.mkdtemp(prefix="carelocus-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     try:

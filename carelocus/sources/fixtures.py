@@ -213,7 +213,7 @@ def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # FIXED VALUES — planner response templates; {C} = search city (may be ''),
 # {c} = lower-cased city, {T} = search text. Every search gets template
-# (event_id div 4) % 11; the last one stands for "no response" (NULL).
+# (event_id div 4) % 15; the last one stands for "no response" (NULL).
 RESPONSE_TEMPLATES: list[str | None] = [
     '{"city": "{C}", "care_need": "{T}", "keywords": ["{T}", "specialist"], "must_have": ["{T}"], '
     '"nice_to_have": [], "preferences": ["larger facility"], "radius_km": 25}',
@@ -227,6 +227,10 @@ RESPONSE_TEMPLATES: list[str | None] = [
     '{"city": "{C}", "keywords": ["{T}"], "radius_km": 2}',
     '{"city": "{C}", "keywords": [',
     '{"city": "", "care_need": "", "keywords": [], "preferences": ["Good Ratings!", "good ratings"], "radius_km": true}',
+    '{"city": "{C}", "radius_km": 25} or maybe {"city": "{C}", "radius_km": 30}',
+    '{"city": "{C}", "keywords": {"{T} unit": 1}, "radius_km": 12}',
+    '{"city": "{C}", "keywords": 5, "radius_km": 12}',
+    '{"choices": [{"message": {"role": "assistant", "content": "{\\"city\\": \\"{C}\\", \\"radius_km\\": 35}"}}]}',
     None,
 ]
 
@@ -247,15 +251,18 @@ def planner_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 RAW_SPECIALTIES: list[str] = [
     "Nephrology", "kidney specialist", "Cardiology", "heart  specialist", "Cardiac Surgery", "Orthopaedics",
     "orthopedic surgery", "dental", "Dentistry", "General Medicine", "ENT", "Paediatrics", "pediatrics ",
+    "internalMedicine", "obstetricsAndGynecology",
 ]
 RAW_PROCEDURES: list[str] = [
     "Robotic knee replacement", "knee replacement", "Hip replacement", "hip  replacement surgery", "CT scan",
     "MRI", "Dialysis", "hemodialysis", "Cataract surgery", "Root canal treatment", "Angioplasty",
     "Robotic-assisted hip replacement", "Chemotherapy", "physio therapy",
+    "Robotic surgery", "3D mammography",
 ]
 RAW_EQUIPMENT: list[str] = [
     "2 CT scanner", "CT Scanner", "MRI machine", "Parking", "ventilators x3", "Defibrillator", "X-ray",
     "Building", "Hospital beds", "Staff: 20 nurses", "Ultrasound", "dialysis machine", "3 Ventilators",
+    "12-lead ECG machine", "3D printer", "Apex 2", "Patient lift", "64 slice CT scanner", "Lift",
 ]
 RAW_CAPABILITY_NAMES: list[str] = [
     "24x7 emergency", "Dialysis unit", "Cardiac cath lab", "Neonatal ICU", "Robotic surgery", "Tele-medicine",

@@ -16,9 +16,12 @@ def overwrite_table(df: DataFrame, name: str) -> None:
 
 
 def create_or_replace(df: DataFrame, name: str) -> None:
-    """A4: CTAS. On a v2 catalog this is CREATE OR REPLACE TABLE ... AS; on the
-    built-in session catalog it falls back to a schema-replacing overwrite."""
-    try:
+    """A4: CTAS. In a v2 catalog (a configured `spark.sql.catalog.<name>`) this is CREATE OR REPLACE TABLE ... AS;
+    the built-in session catalog has no such statement, there it is a schema-replacing overwrite."""
+    spark = df.sparkSession
+    parts = name.split(".")
+    catalog = parts[0] if len(parts) > 2 else spark.catalog.currentCatalog()
+    if spark.conf.get(f"spark.sql.catalog.{catalog}", None):
         df.writeTo(name).createOrReplace()
-    except Exception:  # noqa: BLE001 - v1 session catalog does not support REPLACE TABLE AS SELECT
+    else:
         overwrite_table(df, name)
