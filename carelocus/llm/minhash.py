@@ -9,8 +9,8 @@ agree in `MATCHES` of all `COORDINATES` are confirmed on their full sets.
 
 Postings are worked off in two rounds, as links inside a component change nothing. First every class of a posting
 list is held against the list's first class of like size (linear). The components of the links found split the
-lists; then only classes of different components are compared, in blocks of a list, within tasks; what passes the
-counts goes to the same confirmation. So no list is expanded into all its pairs, and no pair of different
+lists; then only classes of different components are compared, those outside a list's largest component with all of
+the list, in blocks, within tasks; what passes the counts goes to the same confirmation. So no list is expanded into all its pairs, and no pair of different
 components that meets in a list is left out.
 
 At a similarity of 0.8 the odds to miss a pair are about 2e-6: 14 or more of 32 and 80 or more of 128 coordinates agree.
@@ -41,6 +41,8 @@ PERCENT = 80
 COORDINATES, MATCHES = 128, 80
 POSTED, POSTED_MATCHES = 32, 14
 BLOCK = 256
+#: In longer lists pairs are refuted within the task by their sets; the result is the same.
+LONG_LIST = 64
 CACHED_WORDS = 300_000
 
 _rng = np.random.default_rng(20240229)
@@ -151,43 +153,66 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def compare_blocks(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components in one posting list whose signatures agree often enough.
+    """Pairs (a, b) of different components in one posting list whose signatures agree often enough, each pair in
+    the first list that both are posted in.
 
-    `lists`: token, a, n, sig, part (component), size (of the list). A long list is cut into blocks; each pair of
-    blocks is one unit of work."""
+    `lists`: token, a, n, sig, posted (all tokens of the class), part (component), major (of the list's largest
+    component), size (of the list). A list is cut into blocks; a block holds its own classes and, as visitors, the
+    classes that are not of the largest component: only they can link anything new. In long lists `short`, the
+    set as 32-bit hashes, refutes pairs at once: a common shingle is common there too, so no true link is refuted."""
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("a", "token"), blocks).cast("int")
-    units = lists.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    units = units.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "a", "part", "n", "sig")
+    home = F.pmod(F.xxhash64("a", "token"), blocks).cast("int")
+    row = ["token", "home", "a", "part", "major", "n", "sig", "posted", "short"]
+    at_home = lists.withColumn("home", home).withColumn("block", F.col("home"))
+    visits = at_home.filter("not major and size > " + str(BLOCK)).withColumn("block", F.explode(F.filter(F.sequence(F.lit(0), blocks - 1), lambda x: x != F.col("home"))))
+    units = at_home.select("block", *row).unionByName(visits.select("block", *row))
     id_type = lists.schema["a"].dataType
     schema = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for unit in runs(batches, 3):
-            parts = np.array([r[5] for r in unit])
-            if len(unit) < 2 or (parts == parts[0]).all():
+        for unit in runs(batches, 2):
+            token, block = unit[0][:2]
+            ids, part, major, n = (np.array([r[i] for r in unit]) for i in (3, 4, 5, 6))
+            if len(unit) < 2 or major.all():
                 continue
-            ids, block, n = np.array([r[4] for r in unit]), np.array([r[3] for r in unit]), np.array([r[6] for r in unit])
+            own = np.array([r[2] for r in unit]) == block
             sigs = np.stack([np.frombuffer(r[7], np.uint32) for r in unit])
-            cross = unit[0][1] != unit[0][2]
             left, right = [], []
-            for x in range(len(unit)):
-                if cross and block[x] != unit[0][1]:
-                    continue
-                y = np.flatnonzero(block != block[x]) if cross else np.arange(x + 1, len(unit))
-                y = y[(parts[y] != parts[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
+            minor = np.flatnonzero(~major)
+            for x in np.flatnonzero(own).tolist():
+                # Two minor classes meet in the block of the smaller one.
+                y = minor[(part[minor] != part[x]) & (major[x] | (ids[minor] > ids[x]))]
+                y = y[100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])]
                 y = y[(sigs[y] == sigs[x]).sum(1) >= MATCHES]
-                left += [min(ids[x], i) for i in ids[y]]
-                right += [max(ids[x], i) for i in ids[y]]
+                y = [i for i in y.tolist() if min(set(unit[x][8]) & set(unit[i][8])) == token]
+                if unit[x][9] is not None:
+                    mine = np.frombuffer(unit[x][9], np.uint32)
+                    kept = []
+                    for i in y:
+                        # Shingles of one set that share a hash count once; the sizes make up for it.
+                        other = np.frombuffer(unit[i][9], np.uint32)
+                        both = len(np.intersect1d(mine, other, assume_unique=True)) + int(n[x]) - len(mine) + int(n[i]) - len(other)
+                        if 100 * both >= percent * (int(n[x]) + int(n[i]) - both):
+                            kept.append(i)
+                    y = kept
+                left += [min(ids[x], ids[i]) for i in y]
+                right += [max(ids[x], ids[i]) for i in y]
             if left:
-                arrow = pa.RecordBatch.from_arrays([pa.array(left), pa.array(right)], names=["a", "b"])
-                yield arrow.cast(pa.schema([("a", batch_type), ("b", batch_type)]))
+                yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right)], names=["a", "b"]).cast(pa.schema([("a", arrow_type), ("b", arrow_type)]))
 
     from pyspark.sql.pandas.types import to_arrow_type
 
-    batch_type = to_arrow_type(id_type)
-    dealt = units.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return map_arrow(dealt.select("token", "i", "j", "own", "a", "part", "n", "sig"), run, schema)
+    arrow_type = to_arrow_type(id_type)
+    dealt = units.repartition("token", "block").sortWithinPartitions("token", "block")
+    return map_arrow(dealt.select("token", "block", *row[1:]), run, schema)
+
+
+def mixed_lists(lists: DataFrame, found: DataFrame) -> DataFrame:
+    """Posting lists that hold more than one component, each row with its component (part) and whether it is the list's largest."""
+    parted = lists.join(found.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("part", F.coalesce("component", "a")).drop("component")
+    shares = parted.groupBy("token", "part").agg(F.count("*").alias("k"))
+    mixed = shares.groupBy("token").agg(F.sum("k").alias("size"), F.count("*").alias("parts"), F.max(F.struct("k", "part")).alias("most")).filter("parts > 1")
+    return parted.join(mixed.select("token", "size", F.col("most.part").alias("most")), "token").withColumn("major", F.col("part") == F.col("most"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -198,13 +223,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lists = stored(postings(classes).join(classes.select("a", "n", "sig"), "a"), "minhash-postings")
     # Full sets of the classes that are posted at all.
     posted = lists.select(F.col("a").alias(id_col)).distinct()
-    set_schema = T.StructType([field(df, id_col, "a"), T.StructField("set", T.ArrayType(T.LongType(), False))])
+    set_schema = T.StructType([field(df, id_col, "a"), T.StructField("set", T.ArrayType(T.LongType(), False)), T.StructField("short", T.BinaryType())])
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, texts in text_slices(batches, "_text"):
             sets = shingle_sets(texts, words)
             at = offsets_of(np.array([len(s) for s in sets], np.int64))
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(sets).astype(np.int64)))], names=set_schema.names)
+            short = [np.unique((s & np.uint64(0xFFFFFFFF)).astype(np.uint32)).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(sets).astype(np.int64))), pa.array(short, pa.binary())], names=set_schema.names)
 
     texts = df.select(F.col(id_col), F.col(text_col).alias("_text")).join(posted, id_col, "left_semi")
     sets = stored(map_arrow(texts, full, set_schema), "minhash-sets")
@@ -221,13 +247,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = components(links)
 
     # Round 2: classes of one list and different components.
-    parted = lists.join(found.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("part", F.coalesce("component", "a")).drop("component")
-    mixed = parted.groupBy("token").agg(F.count("*").alias("size"), F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("token", "size")
-    met = compare_blocks(parted.join(mixed, "token"), percent).distinct()
-    more = stored(confirmed(met.join(pairs, ["a", "b"], "left_anti"), sets, percent), "minhash-links")
-    whole = components(links.unionByName(more))
-
-    named = classes.select(*key, "a").join(whole.select(F.col("node").alias("a"), "component"), "a", "left").select(*key, F.coalesce("component", "a").alias("component_id"))
+    tokens = lists.groupBy("a").agg(F.collect_list("token").alias("posted"))  # at most POSTED
+    held = mixed_lists(lists, found).join(tokens, "a")
+    long = held.filter(F.col("size") > LONG_LIST).join(sets.select("a", F.size("set").cast("long").alias("n"), "short").dropDuplicates(["a", "n"]), ["a", "n"])
+    met = compare_blocks(long.unionByName(held.filter(F.col("size") <= LONG_LIST).withColumn("short", F.lit(None).cast("binary"))), percent)
+    more = stored(met.join(pairs, ["a", "b"], "left_anti").distinct(), "minhash-pairs")
+    found = components(links.unionByName(stored(confirmed(more, sets, percent), "minhash-links")))
+
+    named = classes.select(*key, "a").join(found.select(F.col("node").alias("a"), "component"), "a", "left").select(*key, F.coalesce("component", "a").alias("component_id"))
     out = docs.select("id", *key).join(named, key, "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), own).alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))

@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from carelocus.llm.common import field, fold, map_arrow, offsets_of, runs, stored, text_slices
 
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_400_000
 BUCKET_TOKENS = 2_000_000
 FOLDS = 10
 SMOOTHING = 4.0
