@@ -1,3 +1,5 @@
+"""Rows that operators must survive, as fixtures to import (no conftest: other tests import the one above by name)."""
+
 import pytest
 
 #: Texts that operators must survive: null, empty, blanks, special strings, no blanks, repeated rows.

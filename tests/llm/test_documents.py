@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from odd_rows import nothing, odd  # noqa: F401
 
 from carelocus.llm import language_id, minhash, quality, suffix_tree, toxicity
 from carelocus.llm.common import read

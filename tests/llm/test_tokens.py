@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from odd_rows import nothing, odd  # noqa: F401
 
 from carelocus.llm import packing, sentencepiece_codec, token_counts
 from carelocus.llm.common import tokenizer_path
