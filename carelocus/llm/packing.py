@@ -26,6 +26,7 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -43,6 +44,8 @@ WINDOW = 4096
 MAX_SOURCES = 65_536
 #: Chunks of text kept by a Python worker between slices; bounds memory alone.
 CACHED_CHUNKS = 800_000
+#: Words of chunks kept by a Python worker; bounds memory alone.
+CACHED_WORDS = 1_000_000
 #: New chunks that are encoded together.
 JOINED_CHUNKS = 256
 GRID = 1 << 52
@@ -69,6 +72,11 @@ class ChunkTokenizer:
             and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in kind["added_tokens"])
         )
         self.width = np.uint16 if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
+        self.words = _Words(self.tok.model)
+        self.special = re.compile("|".join(re.escape(t["content"].lower()) for t in kind["added_tokens"]) or "(?!)").search
+        # The model is asked for words directly if that gives what the whole tokenizer gives.
+        probe = "Straße's ÀÉ«x»² can't WE'LL a1b22 ¿Qué? 'tis-'re $$ naïve_x §5"
+        self.by_word = self.by_chunk and [i for c in probe.split() for i in self.word_ids(c)] == self._ids([probe])[0]
         self._reset()
 
     def _reset(self) -> None:
@@ -77,8 +85,33 @@ class ChunkTokenizer:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def word_ids(self, chunk: str) -> list[int] | tuple[int, ...] | None:
+        """Ids of a chunk of printable Latin-1 characters, word by word; None for other chunks and special strings."""
+        if not PLAIN(chunk):
+            return None
+        low = chunk.lower()
+        if self.special(low):
+            return None
+        found = WORDS_IN(low)
+        return self.words[found[0]] if len(found) == 1 else [i for w in found for i in self.words[w]]
+
     def _chunk_ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(flat ids, number of ids of each chunk): some chunks a call, told apart by where their tokens begin."""
+        """(flat ids, number of ids of each chunk)."""
+        if not self.by_word:
+            return self._joined_ids(chunks)
+        if len(self.words) > CACHED_WORDS:
+            self.words.clear()
+        rows = list(map(self.word_ids, chunks))
+        if other := [i for i, r in enumerate(rows) if r is None]:
+            flat, counts = self._joined_ids([chunks[i] for i in other])
+            at = offsets_of(counts)
+            for i, a, b in zip(other, at[:-1].tolist(), at[1:].tolist(), strict=True):
+                rows[i] = flat[a:b].tolist()
+        counts = np.fromiter(map(len, rows), np.int64, len(rows))
+        return np.fromiter(chain.from_iterable(rows), self.width, int(counts.sum())), counts
+
+    def _joined_ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same from the whole tokenizer: some chunks a call, told apart by where their tokens begin."""
         flat, counts = [], []
         for i in range(0, len(chunks), JOINED_CHUNKS):
             own = chunks[i : i + JOINED_CHUNKS]
@@ -114,6 +147,28 @@ class _Rows(dict):
         return n
 
 
+class _Words(dict):
+    """Lower-case words and their ids; the model reads a word's UTF-8 bytes as the characters of the byte alphabet."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        own = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_ALPHABET)
+        self[word] = ids = tuple([t.id for t in self.model.tokenize(own)])
+        return ids
+
+
+#: Visible Latin-1 characters stand for their byte; the other bytes, in order, for the characters from 256 on.
+HIDDEN = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
+BYTE_ALPHABET = {b: 256 + i for i, b in enumerate(HIDDEN)}
+#: Printable Latin-1 text without white space: always in NFC, and its lower case is the same for all libraries.
+PLAIN = re.compile("[!-~\u00a1-\u00ff]*").fullmatch
+#: The word pattern of the tokenizer (see `by_chunk`) for lower-case Latin-1.
+WORDS_IN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼½¾]+").findall
+
+
 @functools.lru_cache(maxsize=2)
 def tokenizer(path: str) -> ChunkTokenizer:
     return ChunkTokenizer(path)
