@@ -13,7 +13,6 @@ from carelocus.functions.geo import parse_latitude, parse_longitude
 from carelocus.operators.sizing import broadcast_if_small
 
 MAX_PLAUSIBLE_KM = 50.0
-LOOKUP_ROW_BYTES = 96
 
 LOCATION_COLUMNS = [
     "facility_id", "latitude", "longitude", "postcode",
@@ -47,7 +46,7 @@ def postcode_join(facilities: DataFrame, lookup: DataFrame, normalize_postcode:
     base = facility_base(facilities, normalize_postcode)
     # Postal codes are a bounded set: broadcast after a size check, else a shuffle join
     # (AQE splits a postcode shared by a large share of facilities).
-    pins = broadcast_if_small(pins, LOOKUP_ROW_BYTES) if check_broadcast else pins
+    pins = broadcast_if_small(pins) if check_broadcast else pins
     return base.join(pins, base.postcode == pins.pincode, "left").drop("pincode")
 
 

@@ -70,22 +70,18 @@ def neighborhood_expand(points: DataFrame, rings: int = 1) -> DataFrame:
     )
 
 
-# Bytes per expanded PIN-cell row (two longs, three short strings, two doubles) for the broadcast check.
-PIN_CELL_ROW_BYTES = 120
-
-
 def grid_candidates(fac_points: DataFrame, pins: DataFrame, rings: int = 1, how: str = "inner",
                     check_broadcast: bool = True) -> DataFrame:
     """Facility x PIN pairs whose cells are at most `rings` apart, with distance.
 
-    The expanded PIN side is counted and broadcast when it fits the byte bound
+    The expanded PIN side is measured and broadcast when it fits the byte bound
     (postal codes are a bounded set), so the facility side is never shuffled
     for the join; beyond the bound it is a shuffle join on the cell.
     """
     cells = neighborhood_expand(pins, rings).select(
         "cell_lat", "cell_lon", "pincode", "district", "statename", "pin_latitude", "pin_longitude")
     if check_broadcast:
-        cells = broadcast_if_small(cells, PIN_CELL_ROW_BYTES)
+        cells = broadcast_if_small(cells)
     joined = fac_points.join(cells, ["cell_lat", "cell_lon"], how)
     return joined.withColumn(
         "distance_km", haversine_km("latitude", "longitude", "pin_latitude", "pin_longitude"))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from carelocus.functions.evidence import with_evidence
 from carelocus.functions.geo import box_half_widths, grid_cell, haversine_km
 from carelocus.functions.text import clean_phone, clean_terms, contains_any, has_value
-from carelocus.operators.sizing import broadcast_if_bounded, broadcast_if_small, materialize
+from carelocus.operators.sizing import broadcast_if_small, materialize
 from carelocus.sources import dims
 
 SEARCH_CELL_DEGREES = 0.5
@@ -156,24 +156,17 @@ def _keyword_hit(terms: Column) -> Column:
     return count_found(F.col("match_text"), terms) > 0
 
 
-# Bytes per plan-cell row (ids, bounds, a keyword list) and per top result row
-# (facility text fields included) for the broadcast checks.
-PLAN_CELL_ROW_BYTES = 400
-PLAN_KEY_ROW_BYTES = 300
-TOP_ROW_BYTES = 4096
-
-
 def search_candidates(dplans: DataFrame, index: DataFrame, cell_degrees: float = SEARCH_CELL_DEGREES,
                       check_broadcast: bool = True, opts: MatchOptions = DEFAULT_MATCH) -> DataFrame:
     """(plan, facility) pairs inside the plan's box whose fields mention a term.
 
-    The plan-cell side is counted and broadcast under the byte bound, so the
+    The plan-cell side is measured and broadcast under the byte bound, so the
     index is scanned once and never shuffled for the join; with very many
     distinct plans it becomes a shuffle join on the cell.
     """
     cells = plan_cells(plan_boxes(dplans), cell_degrees)
     if check_broadcast:
-        cells = broadcast_if_small(cells, PLAN_CELL_ROW_BYTES)
+        cells = broadcast_if_small(cells)
     idx = search_index(index, cell_degrees, opts)
     joined = cells.join(idx, ["cell_lat", "cell_lon"])
     return joined.filter(
@@ -219,43 +212,49 @@ def rank_results(ranked: DataFrame, k: int = dims.TOP_K) -> DataFrame:
 def attach_plan_ids(plans: DataFrame, dplans: DataFrame) -> DataFrame:
     """Searches (status ok) with the plan_id of their plan.
 
-    `dplans` is materialised: it is counted and broadcast under the byte bound,
+    `dplans` is materialised: it is measured and broadcast under the byte bound,
     so a plan shared by a third of all searches causes no skewed shuffle; with
     very many distinct plans this is a sort-merge join with AQE skew splitting.
     """
     ok = plans.filter(F.col("status") == "ok").select("search_id", "preferences", *PLAN_KEY)
-    keyed = broadcast_if_small(dplans.select("plan_id", *PLAN_KEY), PLAN_KEY_ROW_BYTES)
+    keyed = broadcast_if_small(dplans.select("plan_id", *PLAN_KEY))
     return ok.join(keyed, PLAN_KEY)
 
 
+def scored_candidates(plans: DataFrame, index: DataFrame, cell_degrees: float = SEARCH_CELL_DEGREES,
+                      opts: MatchOptions = DEFAULT_MATCH) -> tuple[DataFrame, DataFrame]:
+    """The distinct plans and every candidate in radius with its score.
+
+    The plans are used twice (cells, search mapping) and measured once, so they
+    are materialised in the shared checkpoint folder.
+    """
+    dplans = materialize(distinct_plans(plans))
+    return dplans, apply_threshold(within_radius(search_candidates(dplans, index, cell_degrees, opts=opts)))
+
+
 def run_searches(plans: DataFrame, index: DataFrame, k: int = dims.TOP_K,
                  cell_degrees: float = SEARCH_CELL_DEGREES, opts: MatchOptions = DEFAULT_MATCH,
                  materialize_top: bool = True) -> dict[str, DataFrame]:
     """Per-plan results and their mapping back to searches.
 
     Returns ``{"plans": distinct plans, "searches": search->plan, "ranked": all
-    candidates in radius (scored), "top": top-k per plan, "counts": per-plan count}``.
+    candidates in radius (scored), "top": top-k per plan}``.
     """
-    # Distinct plans are used twice (cells, search mapping) and sized once:
-    # materialise them in the shared checkpoint folder.
-    dplans = materialize(distinct_plans(plans))
-    ranked = apply_threshold(within_radius(search_candidates(dplans, index, cell_degrees, opts=opts)))
+    dplans, ranked = scored_candidates(plans, index, cell_degrees, opts)
     # Top rows (<= k per distinct plan) are materialised too and broadcast to the
     # searches under the byte bound: a plan shared by a third of all searches then
     # costs no shuffle of those searches.
     if materialize_top:
         top = materialize(rank_results(ranked, k))
-        top_for_join = broadcast_if_small(top, TOP_ROW_BYTES)
-    else:  # proven bound: at most k rows per distinct plan
-        top = rank_results(ranked, k)
-        top_for_join = broadcast_if_bounded(top, dplans.count() * k, TOP_ROW_BYTES)
+        top_for_join = broadcast_if_small(top)
+    else:  # one lazy plan; the join is left to adaptive execution
+        top = top_for_join = rank_results(ranked, k)
     return {
         "plans": dplans,
         "searches": attach_plan_ids(plans, dplans),
         "ranked": ranked,
         "top": top,
         "top_for_join": top_for_join,
-        "counts": ranked.groupBy("plan_id").agg(F.count(F.lit(1)).alias("result_count")),
     }
 
 
@@ -269,8 +268,9 @@ def search_top(plans: DataFrame, index: DataFrame, k: int = dims.TOP_K,
 def search_counts(plans: DataFrame, index: DataFrame, k: int = dims.TOP_K,
                   opts: MatchOptions = DEFAULT_MATCH) -> DataFrame:
     """per search (every status): results found and results shown (<= k)."""
-    r = run_searches(plans, index, k, opts=opts)
-    per_search = r["searches"].select("search_id", "plan_id").join(r["counts"], "plan_id", "left")
+    dplans, found = scored_candidates(plans, index, opts=opts)
+    counts = found.groupBy("plan_id").agg(F.count(F.lit(1)).alias("result_count"))
+    per_search = attach_plan_ids(plans, dplans).select("search_id", "plan_id").join(counts, "plan_id", "left")
     return (
         plans.select("search_id", "status").join(per_search.select("search_id", "result_count"), "search_id", "left")
         .select("search_id", "status",

@@ -3,9 +3,9 @@
 Static size estimates can be far off after aggregations and explodes, and a
 runtime (AQE) switch to a broadcast join happens only after both sides have
 already been shuffled. So where one side is expected to be small but is
-data-dependent (PIN cells, distinct search-plan cells), we count it — on a
-materialised input, so the count is cheap — and broadcast only under a byte
-bound. Beyond it the plain join stays, with AQE's skew handling.
+data-dependent (PIN cells, distinct search-plan cells), we measure its bytes —
+on a materialised input, so one narrow aggregate — and broadcast only under a
+byte bound. Beyond it the plain join stays, with AQE's skew handling.
 """
 
 from __future__ import annotations
@@ -21,16 +21,16 @@ def broadcast_limit(df: DataFrame) -> int:
     return int(conf) if conf else DEFAULT_LIMIT_BYTES
 
 
-def broadcast_if_small(df: DataFrame, row_bytes: int, limit_bytes: int | None = None) -> DataFrame:
-    """`broadcast(df)` when rows * row_bytes fits the limit, else `df` unchanged."""
-    return broadcast_if_bounded(df, df.count(), row_bytes, limit_bytes)
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of all rows: a word a column and its values written out (every text and list at its real length)."""
+    values = F.octet_length(F.to_json(F.struct("*")))
+    return df.select((values + F.lit(8 * (len(df.columns) + 2))).cast("bigint").alias("b")).agg(F.sum("b")).first()[0] or 0
 
 
-def broadcast_if_bounded(df: DataFrame, max_rows: int, row_bytes: int, limit_bytes: int | None = None) -> DataFrame:
-    """`broadcast(df)` when a proven upper bound on its rows fits the byte limit
-    (e.g. top-k rows <= k x distinct plans), without computing `df` first."""
+def broadcast_if_small(df: DataFrame, limit_bytes: int | None = None) -> DataFrame:
+    """`broadcast(df)` when its measured bytes fit the limit, else `df` unchanged."""
     limit = broadcast_limit(df) if limit_bytes is None else limit_bytes
-    return F.broadcast(df) if max_rows * row_bytes <= limit else df
+    return F.broadcast(df) if measured_bytes(df) <= limit else df
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -247,9 +247,11 @@ def with_ctes(final_sql: str, *names: str) -> str:
 
 # ---------------------------------------------------------------- final queries
 ORACLE: dict[str, str] = {}
+_FINAL: dict[str, str] = {}
 
 
 def register(key: str, final_sql: str, *names: str) -> None:
+    _FINAL[key] = final_sql
     ORACLE[key] = with_ctes(final_sql, *names)
 
 
@@ -653,6 +655,19 @@ SELECT m.search_id, t.rank, t.unique_id, coalesce(t.name, '') AS name, {_META} A
   array_to_string(list_transform(t.evidence, lambda e: substring(e, 1, {dims.EVIDENCE_DISPLAY_CHARS})), ' | ') AS evidence,
   t.relevance_score
 FROM search_map m JOIN top5_ev t ON m.plan_id = t.plan_id""", "search_map", "top5_ev")
+
+
+def on_merged_plans(sql: str) -> str:
+    """The same SQL over the plans that planner responses changed, wherever searches are run."""
+    for table in ("dplans", "search_map"):
+        body = CTES[table][0].strip()
+        sql = sql.replace(body, body.replace("FROM plans", "FROM merged_plans"))
+    return sql
+
+
+for _key, _names in (("search_top5", ("search_map", "top5")), ("search_counts", ("plans", "search_map", "scored")), ("result_cards", ("search_map", "top5_ev"))):
+    register(_key + "_merged", _FINAL[_key].replace("FROM plans", "FROM merged_plans"), "merged_plans", *_names)
+    ORACLE[_key + "_merged"] = on_merged_plans(ORACLE[_key + "_merged"])
 register("has_value_flags", "SELECT unique_id, " + ", ".join(
     f"{has_value_sql(c)} AS has_{c}" for c in
     ["numberDoctors", "capacity", "officialPhone", "phone_numbers", "email", "organization_type"]) + " FROM facilities",
@@ -771,6 +786,13 @@ SELECT unique_id, {_finish_sql(f"list_transform({_json_strings_sql('procedure')}
 register("standardize_equipment", f"""
 SELECT unique_id, {_finish_sql(f"list_transform({_json_strings_sql('equipment')}, lambda t: {_EQ_ONE})")}
   AS standardized_equipment FROM raw_terms""", "raw_terms")
+cte("enriched", ["raw_terms"], "SELECT a.*, b.standardized_services AS svc, c.standardized_equipment AS eq, CASE WHEN json_valid(r.capability) THEN r.capability END AS cap "
+    "FROM (" + _FINAL["standardize_specialties"] + ") a JOIN (" + _FINAL["standardize_services"] + ") b USING (unique_id) JOIN ("
+    + _FINAL["standardize_equipment"] + ") c USING (unique_id) JOIN raw_terms r USING (unique_id)")
+register("enriched_index", """
+SELECT i.* REPLACE (coalesce(e.standardized_specialties, i.specialties) AS specialties, e.svc AS standardized_services,
+  e.eq AS standardized_equipment, e.cap AS parsed_capability)
+FROM facility_index i LEFT JOIN enriched e USING (unique_id)""", "facility_index", "enriched")
 
 
 def _enum_sql(x: str, allowed) -> str:

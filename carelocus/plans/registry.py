@@ -330,6 +330,23 @@ def _result_cards(spark, sf):
     return c.select(*[_joined(x) if x == "evidence" else x for x in c.columns])
 
 
+@query("search_top5_merged")
+def _search_top5_merged(spark, sf):
+    t = sr.search_top(merged(spark, sf), facility_index(spark, sf))
+    return t.select("search_id", "rank", "unique_id", "relevance_score", F.round("distance_km", 6).alias("distance_km"))
+
+
+@query("search_counts_merged")
+def _search_counts_merged(spark, sf):
+    return sr.search_counts(merged(spark, sf), facility_index(spark, sf))
+
+
+@query("result_cards_merged")
+def _result_cards_merged(spark, sf):
+    c = sr.result_cards(merged(spark, sf), facility_index(spark, sf))
+    return c.select(*[_joined(x) if x == "evidence" else x for x in c.columns])
+
+
 @query("has_value_flags")
 def _has_value_flags(spark, sf):
     f = fx.facilities(spark, sf)
@@ -393,6 +410,11 @@ def _standardize_equipment(spark, sf):
     return en.standardize_equipment(fx.raw_terms(spark, sf))
 
 
+@query("enriched_index")
+def _enriched_index(spark, sf):
+    return idx.build_enriched_index(fx.facilities(spark, sf), fx.raw_terms(spark, sf), location(spark, sf))
+
+
 @query("capability_explode")
 def _capability_explode(spark, sf):
     return en.capability_explode(fx.raw_terms(spark, sf))
