@@ -100,3 +100,18 @@ def test_mixture_holds_in_every_window():
 
 def test_packing_nothing(nothing):
     assert packing.pack(nothing, WORDS).count() == 0
+
+
+@pytest.mark.parametrize("cached", [packing.CACHED_CHUNKS, 50])
+def test_words_of_chunks_are_the_library(monkeypatch, cached):
+    monkeypatch.setattr(packing, "CACHED_CHUNKS", cached)
+    monkeypatch.setattr(packing, "CACHED_WORDS", cached)
+    own = packing.ChunkTokenizer(WORDS)
+    assert own.by_chunk and own.by_word
+    latin = "".join(map(chr, range(256))) + "  ''sstrelvmdABC<|endoftext|>" * 4
+    texts = noise(latin, 3000, 14) + noise(latin + "İK̀Σ中😀　 ", 2000, 14, 1)
+    texts += ["", " ", "x<|endoftext|>y <|ENDOFTEXT|>", "Straße's WE'LL ÀÉ²½", "µªº" * 500]
+    for i in range(0, len(texts), 100):
+        ids, at = own.encode(texts[i : i + 100])
+        for j, t in enumerate(texts[i : i + 100]):
+            assert ids[at[j] : at[j + 1]].tolist() == own.tok.encode(t, add_special_tokens=False).ids
