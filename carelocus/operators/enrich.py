@@ -150,14 +150,17 @@ def apply_model(requests: DataFrame, model: Callable[[pd.Series], pd.Series], pr
                 out_col: str = "response") -> DataFrame:
     """Answer each DISTINCT non-NULL prompt once with `model` (pandas Series in,
     Series out, called per Arrow batch) and attach the answers to every request."""
-    distinct = requests.select(prompt_col).where(F.col(prompt_col).isNotNull()).distinct()
+    asked = requests.where(F.col(prompt_col).isNotNull())
+    distinct = asked.select(prompt_col).distinct()
 
     def answer(batches):
         for pdf in batches:
             yield pd.DataFrame({prompt_col: pdf[prompt_col], out_col: model(pdf[prompt_col]).astype("string")})
 
     answered = distinct.mapInPandas(answer, f"{prompt_col} string, {out_col} string")
-    return requests.join(answered, prompt_col, "left")
+    # Requests without a prompt stay out of the join, where they would all meet in one task.
+    silent = requests.where(F.col(prompt_col).isNull()).withColumn(out_col, F.lit(None).cast("string"))
+    return asked.join(answered, prompt_col, "left").unionByName(silent)
 
 
 def echo_model(prompts: pd.Series) -> pd.Series:
