@@ -3,7 +3,8 @@
 Two bigram models, one of toxic and one of ordinary text, discount their own counts and back off to their own
 discounted unigrams and from there to counts that both classes share (Kneser-Ney: a word's backoff count is what
 the discount took from it). A word or expression that is too rare to tell the classes apart therefore gets nearly
-the same probability from both. Counts are numbers of texts, so a text that repeats a word does not outweigh
+the same probability from both, and log ratios near 0 are shrunk smoothly, so a rarer expression counts less but no
+expression above the discount counts for nothing. Counts are numbers of texts, so a text that repeats a word does not outweigh
 many that share one. A text's evidence is the difference of the two log-likelihoods per expression; a logistic curve fitted on labelled texts the models have not
 seen, weighted to the classes' true sizes, turns it into a score.
 
@@ -42,8 +43,9 @@ CURVE_PART = 4
 #: Absolute discounts to choose from, by their loss on the rows of the curve: expressions up to so frequent in a
 #: class go through the shared counts alone.
 DISCOUNTS = (2.0, 3.0, 5.0)
-#: Log ratios nearer to 0 are taken for sampling noise (other shares of languages and topics in the two samples).
-LEAST_GAP = 1.8
+#: Log ratios near 0 are mostly sampling noise (other shares of languages and topics in the two samples). Each keeps
+#: a share of its weight that falls off smoothly: half at this ratio, never quite none.
+HALF_GAP, STEEPNESS = 1.8, 8
 WORD = re.compile(r"[^\W_]+")
 CACHED_WORDS = 300_000
 
@@ -75,8 +77,9 @@ def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return ((mixed ^ (mixed >> np.uint64(29))) >> np.uint64(1)).astype(np.int64)
 
 
-def clear(gap: np.ndarray, least: float) -> np.ndarray:
-    return np.where(np.abs(gap) >= least, gap, 0.0)
+def smoothed(gap: np.ndarray, half: float) -> np.ndarray:
+    power = np.abs(gap) ** STEEPNESS
+    return gap * power / (power + half**STEEPNESS)
 
 
 def expressions(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,7 +97,7 @@ def expressions(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class ClassModels:
     """Differences of the two models' log probabilities, by word and word pair."""
 
-    def __init__(self, grams: pa.Table, discount: float, least_gap: float = LEAST_GAP):
+    def __init__(self, grams: pa.Table, discount: float, half_gap: float = HALF_GAP):
         """`grams`: first word (-1: unigram), word, count in ordinary text, count in toxic text; one row each."""
         first, word = (grams.column(c).to_numpy() for c in ("first", "word"))
         counts = np.stack([grams.column(c).to_numpy() for c in ("ordinary", "toxic")], 1).astype(float)
@@ -111,7 +114,7 @@ class ClassModels:
         own = np.maximum(uni - discount, 0.0)
         spare = np.maximum(1 - own.sum(0) / totals, 1e-6)
         p_word = own / totals + spare * shared[:, None]
-        self.word_gap = clear(np.log(p_word[:, 1] / p_word[:, 0]), least_gap)
+        self.word_gap = smoothed(np.log(p_word[:, 1] / p_word[:, 0]), half_gap)
         kept = both.max(1) > discount  # other pairs back off to their word in both models
         first, second, both = first[kept], second[kept], both[kept]
         head = np.searchsorted(self.words, first)
@@ -123,7 +126,7 @@ class ClassModels:
         p_pair = (cut + mass[head] * shared[:, None]) / history[head]
         keys = pair_hash(first, second)
         order = np.argsort(keys)
-        self.pairs, self.pair_gap = keys[order], clear(np.log(p_pair[:, 1] / p_pair[:, 0]), least_gap)[order]
+        self.pairs, self.pair_gap = keys[order], smoothed(np.log(p_pair[:, 1] / p_pair[:, 0]), half_gap)[order]
 
     def evidence(self, texts: list[str]) -> np.ndarray:
         """Toxic minus ordinary log-likelihood per expression of each text."""

@@ -3,6 +3,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from odd_rows import nothing, odd  # noqa: F401
 
@@ -59,6 +60,19 @@ def test_toxicity(spark, odd, nothing):
     assert toxicity.toxicity(nothing, labels).count() == 0
 
 
+@pytest.mark.parametrize("discount", toxicity.DISCOUNTS)
+def test_rare_toxic_words_count(discount):
+    """Words of toxic texts alone weigh more the more texts hold them, and none above the discount weighs nothing."""
+    rows = [(-1, w, 200, 200) for w in range(50)] + [(-1, 100 + c, 0, c) for c in range(2, 31)]
+    first, word, ordinary, toxic = zip(*rows, strict=True)
+    model = toxicity.ClassModels(pa.table({"first": first, "word": word, "ordinary": ordinary, "toxic": toxic}), discount)
+    gaps = [model.word_gap[model.words.tolist().index(100 + c)] for c in range(2, 31)]
+    assert all(g > 0 for c, g in zip(range(2, 31), gaps, strict=True) if c > discount)
+    assert all(-1e-9 < b - a < 0.9 for a, b in itertools.pairwise(gaps))  # a cut steps by 1.8
+    assert gaps[-1] > 1
+    assert abs(model.word_gap[0]) < 0.01
+
+
 def brute_components(texts):
     sets = {}
     for i, t in texts.items():
