@@ -10,7 +10,7 @@ agree in `MATCHES` of all `COORDINATES` are confirmed on their full sets.
 Postings are worked off in two rounds, as links inside a component change nothing. First every class of a posting
 list is held against the list's first class of like size (linear). The components of the links found split the
 lists; then only classes of different components are compared, those outside a list's largest component with all of
-the list, in blocks, within tasks; what passes the counts goes to the same confirmation. So no list is expanded into all its pairs, and no pair of different
+the list, two blocks at a time, within tasks; what passes the counts goes to the same confirmation. So no list is expanded into all its pairs, and no pair of different
 components that meets in a list is left out.
 
 At a similarity of 0.8 the odds to miss a pair are about 2e-6: 14 or more of 32 and 80 or more of 128 coordinates agree.
@@ -152,36 +152,44 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").filter(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)).select("a", "b").distinct()
 
 
+def block_units(lists: DataFrame) -> DataFrame:
+    """Rows of posting lists dealt to units (token, low, high) in which all of a list's pairs of different components
+    meet once, `own` being the row's block. The classes outside a list's largest component (minor) are cut into blocks
+    0, 1, ..., the others into -1, -2, ...; a unit holds two blocks, at least one of them minor, or one minor block with
+    itself, so about 2 x BLOCK rows, however long the list. A short list is one unit."""
+    minors, majors = F.ceil(F.col("n_minor") / F.lit(BLOCK)).cast("int"), F.ceil((F.col("size") - F.col("n_minor")) / F.lit(BLOCK)).cast("int")
+    short, spot = F.col("size") <= BLOCK, F.xxhash64("a", "token")
+    own = F.when(short, F.lit(0)).when(F.col("major"), -1 - F.pmod(spot, majors)).otherwise(F.pmod(spot, minors)).cast("int")
+    counts = {"low": F.sequence(F.lit(0), minors - 1), "high": F.when(majors > 0, F.sequence(-majors, F.lit(-1))).otherwise(F.array().cast("array<int>"))}
+    others = F.when(short, F.array(F.lit(0))).when(F.col("major"), counts["low"]).otherwise(F.concat(counts["high"], counts["low"]))
+    placed = lists.withColumn("own", own).withColumn("other", F.explode(others))
+    return placed.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("other")
+
+
 def compare_blocks(lists: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components in one posting list whose signatures agree often enough, each pair in
     the first list that both are posted in.
 
     `lists`: token, a, n, sig, posted (all tokens of the class), part (component), major (of the list's largest
-    component), size (of the list). A list is cut into blocks; a block holds its own classes and, as visitors, the
-    classes that are not of the largest component: only they can link anything new. In long lists `short`, the
+    component), size (of the list), n_minor (its classes that are not major). In long lists `short`, the
     set as 32-bit hashes, refutes pairs at once: a common shingle is common there too, so no true link is refuted."""
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    home = F.pmod(F.xxhash64("a", "token"), blocks).cast("int")
-    row = ["token", "home", "a", "part", "major", "n", "sig", "posted", "short"]
-    at_home = lists.withColumn("home", home).withColumn("block", F.col("home"))
-    visits = at_home.filter("not major and size > " + str(BLOCK)).withColumn("block", F.explode(F.filter(F.sequence(F.lit(0), blocks - 1), lambda x: x != F.col("home"))))
-    units = at_home.select("block", *row).unionByName(visits.select("block", *row))
+    row = ["own", "a", "part", "n", "sig", "posted", "short"]
     id_type = lists.schema["a"].dataType
     schema = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for unit in runs(batches, 2):
-            token, block = unit[0][:2]
-            ids, part, major, n = (np.array([r[i] for r in unit]) for i in (3, 4, 5, 6))
-            if len(unit) < 2 or major.all():
+        for unit in runs(batches, 3):
+            token, low, high = unit[0][:3]
+            own, ids, part, n = (np.array([r[i] for r in unit]) for i in (3, 4, 5, 6))
+            home, there = np.flatnonzero(own == low), np.flatnonzero(own == high)
+            if not len(home) or not len(there):
                 continue
-            own = np.array([r[2] for r in unit]) == block
             sigs = np.stack([np.frombuffer(r[7], np.uint32) for r in unit])
             left, right = [], []
-            minor = np.flatnonzero(~major)
-            for x in np.flatnonzero(own).tolist():
-                # Two minor classes meet in the block of the smaller one.
-                y = minor[(part[minor] != part[x]) & (major[x] | (ids[minor] > ids[x]))]
+            for x in home.tolist():
+                y = there[part[there] != part[x]]
+                if low == high:
+                    y = y[ids[y] > ids[x]]
                 y = y[100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])]
                 y = y[(sigs[y] == sigs[x]).sum(1) >= MATCHES]
                 y = [i for i in y.tolist() if min(set(unit[x][8]) & set(unit[i][8])) == token]
@@ -203,8 +211,8 @@ def compare_blocks(lists: DataFrame, percent: int) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow_type = to_arrow_type(id_type)
-    dealt = units.repartition("token", "block").sortWithinPartitions("token", "block")
-    return map_arrow(dealt.select("token", "block", *row[1:]), run, schema)
+    dealt = block_units(lists).select("token", "low", "high", *row).repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
+    return map_arrow(dealt, run, schema)
 
 
 def mixed_lists(lists: DataFrame, found: DataFrame) -> DataFrame:
@@ -212,7 +220,7 @@ def mixed_lists(lists: DataFrame, found: DataFrame) -> DataFrame:
     parted = lists.join(found.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("part", F.coalesce("component", "a")).drop("component")
     shares = parted.groupBy("token", "part").agg(F.count("*").alias("k"))
     mixed = shares.groupBy("token").agg(F.sum("k").alias("size"), F.count("*").alias("parts"), F.max(F.struct("k", "part")).alias("most")).filter("parts > 1")
-    return parted.join(mixed.select("token", "size", F.col("most.part").alias("most")), "token").withColumn("major", F.col("part") == F.col("most"))
+    return parted.join(mixed.select("token", "size", (F.col("size") - F.col("most.k")).alias("n_minor"), F.col("most.part").alias("most")), "token").withColumn("major", F.col("part") == F.col("most"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:

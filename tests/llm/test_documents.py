@@ -111,6 +111,33 @@ def test_chain_of_near_copies(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs).collect()} == brute_components(texts)
 
 
+def test_units_of_a_long_list_are_bounded(spark):
+    """All pairs of different components meet once, in units of about two blocks, though most classes are minor."""
+    size, part = 3000, [0 if i % 10 == 0 else i for i in range(3000)]
+    rows = [(7, i, part[i], part[i] == 0, size, sum(p > 0 for p in part)) for i in range(size)] + [(8, i, i, i == 0, 40, 39) for i in range(40)]
+    units = defaultdict(list)
+    for r in minhash.block_units(spark.createDataFrame(rows, "token long, a long, part long, major boolean, size long, n_minor long")).collect():
+        units[r.token, r.low, r.high].append(r)
+    assert max(map(len, units.values())) < 2.5 * minhash.BLOCK
+    met = Counter()
+    for (token, low, high), unit in units.items():
+        home, there = [r for r in unit if r.own == low], [r for r in unit if r.own == high]
+        met.update((token, *sorted((x.a, y.a))) for x in home for y in there if x.part != y.part and (low != high or y.a > x.a))
+    want = {(7, a, b) for a, b in itertools.combinations(range(size), 2) if part[a] != part[b]} | {(8, a, b) for a, b in itertools.combinations(range(40), 2)}
+    assert met.keys() == want and set(met.values()) == {1}
+
+
+def test_shared_passage_over_blocks(spark):
+    """Hundreds of texts that share a passage but are no near-duplicates, some of them in near copies, over several blocks."""
+    passage = [f"w{i}" for i in range(60)]
+    texts = {i: [*passage, *(f"r{i}_{k}" for k in range(30 + i % 3))] for i in range(560)}
+    for i in range(560, 700):
+        texts[i] = [*texts[i - 430][:-1], f"z{i}"]
+    docs = {i: " ".join(w) for i, w in texts.items()}
+    got = minhash.near_duplicates(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(docs)
+
+
 @pytest.mark.parametrize("block", [50, 100_000])
 def test_suffix_tree_base(spark, odd, block):
     rows = {r.doc_id: r for r in suffix_tree.score(odd, block_tokens=block, bucket_tokens=200).collect()}
