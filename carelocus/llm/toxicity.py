@@ -210,12 +210,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, rows_per
     return best[1:]
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_class: int = ROWS_PER_CLASS, max_row_chars: int = MAX_ROW_CHARS) -> DataFrame:
-    """(id, held_out, score, predicted, evidence) of every text. `labels` holds the id and `toxic` (0 or 1)."""
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_class: int = ROWS_PER_CLASS, max_row_chars: int = MAX_ROW_CHARS, key_col: str | None = None) -> DataFrame:
+    """(id, held_out, score, predicted, evidence) of every text. `labels` holds the id and `toxic` (0 or 1). With
+    `key_col`, that column stands in place of the id in the result."""
+    key_col = key_col or id_col
     model = fit(docs, labels, id_col, text_col, rows_per_class, max_row_chars)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    schema = T.StructType([field(docs, id_col), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", T.DoubleType())])
+    schema = T.StructType([field(docs, key_col), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
@@ -224,4 +226,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             score = 1 / (1 + np.exp(-np.clip(fitted[1] * x + fitted[2], -50, 50))) if fitted else np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(x)], names=schema.names)
 
-    return map_arrow(docs.select(F.col(id_col), (fold(id_col, FOLDS) == 0).alias("held_out"), F.col(text_col).alias("_text")), run, schema)
+    return map_arrow(docs.select(F.col(key_col), (fold(id_col, FOLDS) == 0).alias("held_out"), F.col(text_col).alias("_text")), run, schema)

@@ -2,10 +2,16 @@
 
 Each stage is (spark, docs, sf_dir) -> DataFrame; it reads all its predecessor kept, and all but the last return
 the columns of `documents`. Between the stages stands a Parquet table in the shared folder.
+
+Every decision is made and applied row by row, under a row key that the stage adds: rows with a null doc_id are
+judged as all others and stay if they are clean, and of rows that repeat a doc_id each has its own verdict. Of a group
+of near-duplicates one row stays: the one with the smallest doc_id, a null id last, of several rows of that id the
+first in the table. Texts without words are in no group and stay in that stage.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,22 +21,41 @@ from carelocus.llm.common import read, stored, tokenizer_path
 WORDS = "word_bpe_49k.json"
 
 
-def kept_rows(docs: DataFrame, decisions: DataFrame, keep: str) -> DataFrame:
-    """The documents whose decision is to stay; equal ids have equal decisions or stay if one of their rows does."""
-    ids = decisions.filter(keep).select("doc_id").distinct()
-    return docs.join(ids, "doc_id", "left_semi").select(docs.columns)
+def keyed(docs: DataFrame) -> DataFrame:
+    """`docs` with `_row`, the place of each row in its files: the number of the file and the row in it. So every
+    reading of the table gives a row the same key, however the files are split. A table that is not read from Parquet
+    files is stored first."""
+    place = [F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_index")]
+    try:
+        rows = docs.select("*", *place)
+    except AnalysisException:
+        docs = stored(docs, "pipeline-rows")
+        rows = docs.select("*", *place)
+    paths = sorted(r["_path"] for r in rows.select("_path").distinct().collect())  # one row per file
+    files = docs.sparkSession.createDataFrame(list(enumerate(paths)), "_file long, _path string")
+    return rows.join(F.broadcast(files), "_path").select(*docs.columns, F.shiftleft("_file", 40).bitwiseOR(F.col("_index")).alias("_row"))
+
+
+def kept_rows(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of a keyed table whose key is among those to keep, without the key."""
+    return rows.join(kept.select("_row"), "_row", "left_semi").drop("_row")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return kept_rows(docs, quality.quality(docs), "kept")
+    rows = keyed(docs)
+    return kept_rows(rows, quality.quality(rows, id_col="_row").filter("kept")).select(docs.columns)
 
 
 def toxic_content(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return kept_rows(docs, toxicity.toxicity(docs, read(spark, sf_dir, "labels")), "predicted = 0")
+    rows = keyed(docs)
+    return kept_rows(rows, toxicity.toxicity(rows, read(spark, sf_dir, "labels"), key_col="_row").filter("predicted = 0")).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return kept_rows(docs, minhash.near_duplicates(docs), "kept")
+    rows = keyed(docs)
+    groups = minhash.near_duplicates(rows, id_col="_row").select("_row", "component_id").join(rows.select("_row", "doc_id"), "_row")
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first"))
+    return kept_rows(rows, first.select("first._row")).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
