@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from carelocus.llm import chat, language_id, minhash, packing, quality, sentencepiece_codec, suffix_tree, token_counts, topk, toxicity
+from carelocus.llm import chat, filter_audit, language_id, minhash, packing, quality, sentencepiece_codec, source_divergence, suffix_tree, syncmers, token_counts, topk, toxicity
 from carelocus.llm.common import read, tokenizer_path
 
 PIECES, WORDS = "piece_bpe_32k.model", "word_bpe_49k.json"
@@ -53,10 +53,25 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), tokenizer_path(PIECES))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(read(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.source_divergence(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_packing, op3_suffix_tree, op4_toxicity, op5_chat_repair, op6_language_id, op7_top_k, op8_quality, op9_minhash, op10_token_counts)
-}
+    for f in (
+        op1_sentencepiece, op2_packing, op3_suffix_tree, op4_toxicity, op5_chat_repair, op6_language_id, op7_top_k, op8_quality, op9_minhash, op10_token_counts,
+        op11_filter_audit, op12_fingerprints, op13_source_divergence,
+    )
+}
 
 #: DuckDB SQL where SQL can express the query's results by a plain way.
 ORACLE: dict[str, str] = {
@@ -84,4 +99,66 @@ links AS (
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.m AS component_id, d.doc_id = c.m AS kept
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) c ON c.a = d.doc_id""",
+    "op11_filter_audit": r"""
+WITH letters(f, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM letters a JOIN letters b ON b.f <> a.f JOIN letters c ON c.f NOT IN (a.f, b.f)
+    JOIN letters d ON d.f NOT IN (a.f, b.f, c.f) JOIN letters e ON e.f NOT IN (a.f, b.f, c.f, d.f)),
+steps AS (
+  SELECT filter_order, s::INTEGER AS step, bits[s] AS own, coalesce(list_sum(bits[1:s - 1]), 0)::INTEGER AS earlier
+  FROM (SELECT *, unnest(range(1, 6)) AS s FROM orders)),
+t AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+judged AS (
+  SELECT doc_id, part,
+    (len(words) < 50)::INTEGER + 2 * (100 * len(list_distinct(words)) < 65 * len(words))::INTEGER
+    + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text))::INTEGER
+    + 8 * regexp_matches(text, '[#$%&*|]')::INTEGER + 16 * (doc_id > min(doc_id) OVER (PARTITION BY text))::INTEGER AS failed FROM t),
+sets AS (
+  SELECT part, failed, count(*) AS n, count(*) FILTER (WHERE l.quality = 1) AS good, count(*) FILTER (WHERE l.toxic = 1) AS toxic
+  FROM judged LEFT JOIN labels l USING (doc_id) GROUP BY part, failed),
+counted AS (
+  SELECT part, filter_order, step, own,
+    sum(n) FILTER (WHERE failed & (own | earlier) = 0) AS kept,
+    sum(n) FILTER (WHERE failed & own <> 0 AND failed & earlier = 0) AS removed,
+    sum(n) FILTER (WHERE failed & own <> 0 AND failed & earlier <> 0) AS redundant,
+    sum(n) FILTER (WHERE failed = own) AS unique_fails,
+    sum(good) FILTER (WHERE failed & own <> 0 AND failed & earlier = 0) AS good_lost,
+    sum(toxic) FILTER (WHERE failed & own <> 0 AND failed & earlier = 0) AS toxic_lost
+  FROM sets JOIN steps ON true GROUP BY ALL)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+  coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+  coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  coalesce(sum(removed) OVER (PARTITION BY part, own), 0)::BIGINT AS shapley
+FROM counted""",
+    "op13_source_divergence": r"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+groups AS (SELECT DISTINCT lang, source FROM d),
+w AS (SELECT id, lang, source, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= 10),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+n AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+cells AS (SELECT g.lang, g.source, k.term, coalesce(n.n, 0) AS n FROM groups g JOIN kept k ON k.lang = g.lang LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term),
+own AS (
+  SELECT lang, source, term, n, (1 + 1000000000::HUGEINT * (n + 2) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v)::HUGEINT)::BIGINT AS p
+  FROM cells JOIN v USING (lang)),
+whole AS (
+  SELECT lang, term, (1 + 1000000000::HUGEINT * (n + 2) // (sum(n) OVER (PARTITION BY lang) + 2 * v)::HUGEINT)::BIGINT AS q
+  FROM (SELECT lang, term, sum(n) AS n FROM cells GROUP BY lang, term) JOIN v USING (lang)),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM own a JOIN own b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM own JOIN whole USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM found)
+WHERE part = 'pair' OR rank <= 10""",
 }
