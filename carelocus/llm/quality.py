@@ -2,9 +2,10 @@
 
 A document's histogram over character classes and its histogram over common words are compared with its
 language's references by Jensen-Shannon distance (base 2, so between 0 and 1). The references are means of the
-histograms of all documents of the language that are long enough; a language with fewer than `min_reference`
-such documents, or a null language, uses the reference of all documents. Short histograms are noise, so a distance
-counts only from `min_chars` characters or `min_words` words on.
+histograms of all documents of the language that are long enough, to which the mean of the whole corpus is added with
+the weight of `shared_documents` documents: a rare language leans on the corpus, a common one on itself, and there is
+no number of documents at which verdicts jump. A null language uses the mean of all documents. Short histograms are
+noise, so a distance counts only from `min_chars` characters or `min_words` words on.
 
 All counts are made row by row: a document's words, lines and windows stay in its row, so nothing but the small
 histograms is shuffled and no group of documents can be hot. Repeated three-word windows are found by sorting
@@ -34,7 +35,7 @@ WORD_SEPARATOR = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 CLASSES = {"upper": r"[^\p{Lu}]+", "digit": r"[^0-9]+", "punctuation": r"[^.,;:!?'\"()\-]+", "symbol": r"[^#*$%&|<>]+"}
 
-MIN_CHARS, MIN_WORDS, MIN_REFERENCE = 200, 50, 50
+MIN_CHARS, MIN_WORDS, SHARED_DOCUMENTS = 200, 50, 50
 #: A document is rejected if its characters diverge this far, or its characters and its words both diverge further than these.
 MAX_CHAR_DISTANCE, BOTH_CHAR_DISTANCE, BOTH_WORD_DISTANCE = 0.25, 0.14, 0.28
 
@@ -44,18 +45,19 @@ def shifted(array: Column, by: int) -> Column:
     return F.slice(array, F.lit(by + 1), F.greatest(F.size(array), F.lit(1)))
 
 
-def window_hashes(words: Column) -> Column:
-    """Hash of each three-word window, in order."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    pairs = F.zip_with(hashes, shifted(hashes, 1), lambda a, b: F.xxhash64(a, b))
-    return F.slice(F.zip_with(pairs, shifted(hashes, 2), lambda a, b: F.xxhash64(a, b)), F.lit(1), F.greatest(F.size(words) - 2, F.lit(0)))
+def window_hashes(hashes: Column) -> Column:
+    """Hash of each three-word window, in order, from the hashes of the words."""
+    each = F.transform(hashes, lambda h, i: F.xxhash64(h, F.get(hashes, i + 1), F.get(hashes, i + 2)))
+    return F.slice(each, F.lit(1), F.greatest(F.size(hashes) - 2, F.lit(0)))
 
 
 def repeated(hashes: Column) -> Column:
     """The hashes that stand at least twice, each once."""
     ordered = F.sort_array(hashes)
     twice = F.zip_with(ordered, shifted(ordered, 1), lambda a, b: F.when(a == b, a))
-    return F.array_distinct(F.filter(twice, lambda h: h.isNotNull()))
+    found = F.array_distinct(F.filter(twice, lambda h: h.isNotNull()))
+    # Most texts repeat no window, which a set tells sooner than a sort.
+    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.array().cast("array<bigint>")).otherwise(found)
 
 
 def covered(starts: Column) -> Column:
@@ -98,30 +100,27 @@ def features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        window_hashes(F.col("_words")).alias("_windows"),
+        F.transform("_words", lambda w: F.xxhash64(w)).alias("_hashes"),
         # Each common word becomes one character, other words none.
         F.array_join(F.transform(places, lambda k: F.char((k + 32).cast("long"))), "").alias("_common"),
         *(F.length(F.regexp_replace("_rest", pattern, "")).alias(f"_{name}") for name, pattern in CLASSES.items()),
     )
-    rows = rows.withColumn("_twice", repeated(F.col("_windows")))
+    rows = rows.withColumn("_windows", window_hashes(F.col("_hashes"))).withColumn("_twice", repeated(F.col("_windows")))
     counted = F.transform(F.sequence(F.lit(1), F.lit(len(COMMON_WORDS))), lambda k: (F.length("_common") - F.length(F.replace(F.col("_common"), F.char((k + 32).cast("long")), F.lit("")))).cast("double"))
     return rows.select(
         "_id", "_lang", "n_words", "word_chars", F.col("_symbol").cast("long").alias("n_symbols"), "n_dup_lines", "_chars",
         F.when(F.size("_twice") == 0, F.lit(0).cast("long"))
         .when(F.size("_twice") <= 64, covered(starts_by_lookup(F.col("_windows"), F.col("_twice"))))
         .otherwise(covered(starts_by_sort(F.col("_windows")))).alias("n_repeat_words"),
-        F.array(
-            *(F.col(f"_{c}").cast("double") for c in CLASSES),
-            (F.col("_chars") - F.col("word_chars")).cast("double"),
-            F.greatest(F.col("word_chars") - sum(F.col(f"_{c}") for c in CLASSES), F.lit(0)).cast("double"),
-        ).alias("_char_counts"),
-        F.concat(counted, F.array((F.col("n_words") - F.length("_common")).cast("double"))).alias("_word_counts"),
+        shares([*(F.col(f"_{c}") for c in CLASSES), F.col("_chars") - F.col("word_chars"), F.greatest(F.col("word_chars") - sum(F.col(f"_{c}") for c in CLASSES), F.lit(0))]).alias("_char_shares"),
+        F.when(F.col("n_words") > 0, F.transform(F.concat(counted, F.array((F.col("n_words") - F.length("_common")).cast("double"))), lambda x: x / F.col("n_words"))).alias("_word_shares"),
     )
 
 
-def shares(counts: Column) -> Column:
-    total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
-    return F.when(total > 0, F.transform(counts, lambda x: x / F.aggregate(counts, F.lit(0.0), lambda a, y: a + y)))
+def shares(counts: list[Column]) -> Column:
+    """A few counts as shares of their sum; null if all are 0."""
+    total = sum(c.cast("double") for c in counts)
+    return F.when(total > 0, F.array(*(c.cast("double") / total for c in counts)))
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -134,28 +133,29 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x), F.lit(0.0)))
 
 
-def references(counted: DataFrame, min_chars: int, min_words: int, min_reference: int) -> DataFrame:
-    """(_lang, chars_ref, words_ref) for each language with enough documents and, under a null language, for all."""
+def references(counted: DataFrame, min_chars: int, min_words: int) -> DataFrame:
+    """(_lang, _docs, _c, _w): number of long enough documents by language, and the sums of their shares. One pass."""
     long_enough = counted.filter((F.col("_chars") >= min_chars) & (F.col("n_words") >= min_words))
-    hists = long_enough.select("_lang", shares(F.col("_char_counts")).alias("c"), shares(F.col("_word_counts")).alias("w"))
-    n_chars, n_words = len(CLASSES) + 2, len(COMMON_WORDS) + 1
+    sizes = {"_char_shares": len(CLASSES) + 2, "_word_shares": len(COMMON_WORDS) + 1}
+    sums = [F.array(*(F.sum(F.col(c)[i]) for i in range(n))).alias(c) for c, n in sizes.items()]
+    return long_enough.groupBy("_lang").agg(F.count("*").alias("_docs"), *sums)
 
-    def means(*keys: str) -> DataFrame:
-        # Rounded sums, so that the order of addition does not show.
-        return hists.groupBy(*keys).agg(
-            F.count("*").alias("_docs"),
-            F.array(*(F.round(F.avg(F.col("c")[i]), 9) for i in range(n_chars))).alias("chars_ref"),
-            F.array(*(F.round(F.avg(F.col("w")[i]), 9) for i in range(n_words))).alias("words_ref"),
-        )
 
-    own = means("_lang").filter(F.col("_lang").isNotNull() & (F.col("_docs") >= min_reference)).drop("_docs")
-    whole = means().filter(F.col("_docs") > 0).select(F.lit(None).cast("string").alias("_lang"), "chars_ref", "words_ref")
-    return own.unionByName(whole)
+def whole(refs: DataFrame) -> DataFrame:
+    """One row: the mean shares of the whole corpus, from the sums of the languages."""
+    sizes = {"_char_shares": len(CLASSES) + 2, "_word_shares": len(COMMON_WORDS) + 1}
+    total = F.sum("_docs")
+    return refs.agg(F.lit(1).alias("_one"), *(F.array(*(F.sum(F.col(c)[i]) / total for i in range(n))).alias(f"_all{c}") for c, n in sizes.items()))
+
+
+def reference(sums: Column, docs: Column, mean: Column, weight: int) -> Column:
+    """A language's mean shares with the corpus's as so many more documents; rounded, as sums of floats vary in order."""
+    return F.zip_with(sums, mean, lambda s, m: F.round((s + weight * m) / (docs + weight), 9))
 
 
 def quality(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS,
-    min_reference: int = MIN_REFERENCE, max_char_distance: float = MAX_CHAR_DISTANCE,
+    shared_documents: int = SHARED_DOCUMENTS, max_char_distance: float = MAX_CHAR_DISTANCE,
     both_char_distance: float = BOTH_CHAR_DISTANCE, both_word_distance: float = BOTH_WORD_DISTANCE,
 ) -> DataFrame:
     """(id, counts, base_failed, kept, char_distance, word_distance, lang) of every document.
@@ -164,13 +164,19 @@ def quality(
     on length, or an empty corpus, leaves it out; such a document is judged by the base rules alone.
     """
     counted = stored(features(df, id_col, text_col, lang_col), "quality-counts")
-    refs = stored(references(counted, min_chars, min_words, min_reference), "quality-references")
-    whole = refs.filter(F.col("_lang").isNull()).select(F.col("chars_ref").alias("chars_all"), F.col("words_ref").alias("words_all"), F.lit(1).alias("_one"))
-    rows = counted.withColumn("_one", F.lit(1)).join(refs.filter(F.col("_lang").isNotNull()), "_lang", "left").join(F.broadcast(whole), "_one", "left")  # one row
+    sums = stored(references(counted, min_chars, min_words), "quality-references")
+    means = whole(sums)  # one row
+    refs = sums.filter(F.col("_lang").isNotNull()).withColumn("_one", F.lit(1)).join(F.broadcast(means), "_one")
+    refs = refs.select("_lang", *(reference(F.col(c), F.col("_docs"), F.col(f"_all{c}"), shared_documents).alias(f"_ref{c}") for c in ("_char_shares", "_word_shares")))
+    rows = counted.withColumn("_one", F.lit(1)).join(refs, "_lang", "left").join(F.broadcast(means), "_one", "left")
+
+    def distance(shares: str) -> Column:
+        return js_distance(F.col(shares), F.coalesce(F.col(f"_ref{shares}"), F.transform(f"_all{shares}", lambda m: F.round(m, 9))))
+
     rows = rows.select(
         F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.col("_lang").alias("lang"),
-        F.when(F.col("_chars") >= min_chars, js_distance(shares(F.col("_char_counts")), F.coalesce("chars_ref", "chars_all"))).alias("char_distance"),
-        F.when(F.col("n_words") >= min_words, js_distance(shares(F.col("_word_counts")), F.coalesce("words_ref", "words_all"))).alias("word_distance"),
+        F.when(F.col("_chars") >= min_chars, distance("_char_shares")).alias("char_distance"),
+        F.when(F.col("n_words") >= min_words, distance("_word_shares")).alias("word_distance"),
         ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
     )
     both = (F.col("char_distance") > both_char_distance) & (F.col("word_distance") > both_word_distance)

@@ -1,5 +1,7 @@
 import itertools
+import math
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -27,6 +29,47 @@ def test_quality_counts(odd, nothing):
     assert quality.quality(nothing).count() == 0
 
 
+def js(p, q):
+    half = [(a + b) / 2 for a, b in zip(p, q, strict=True)]
+    part = lambda x: sum(a * math.log2(a / m) for a, m in zip(x, half, strict=True) if a > 0)
+    return math.sqrt(max((part(p) + part(q)) / 2, 0))
+
+
+def test_quality_distances_and_verdicts(spark, odd):
+    """Against plain Python: histograms, references that lean on the whole corpus, distances and `kept`."""
+    docs = read(spark, SF, "documents").select("doc_id", "text", "lang").unionByName(odd.select((odd.doc_id + 10**6).alias("doc_id"), "text", "lang"))
+    few = docs.filter("lang = 'es'").limit(3).selectExpr("doc_id + 2000000 as doc_id", "text", "'rare' as lang")  # a language of three documents
+    rows = docs.unionByName(few).collect()
+    hists, own = {}, defaultdict(list)
+    for n, (_, text, lang) in enumerate(rows):
+        text, words = text or "", WORD.findall(text or "")
+        counts = [sum(unicodedata.category(c) == "Lu" for c in text), sum(c in "0123456789" for c in text), sum(c in ".,;:!?'\"()-" for c in text), sum(c in "#*$%&|<>" for c in text)]
+        chars = sum(map(len, words))
+        counts += [len(text) - chars, max(chars - sum(counts), 0)]
+        common = Counter(w.lower() for w in words if w.lower() in quality.COMMON_WORDS)
+        found = [common[w] for w in quality.COMMON_WORDS]
+        found.append(len(words) - sum(found))
+        hists[n] = ([x / sum(counts) for x in counts] if sum(counts) else None, [x / len(words) for x in found] if words else None, len(text), len(words), lang)
+        if len(text) >= 200 and len(words) >= 50:
+            own[lang].append(hists[n][:2])
+    every = [h for hs in own.values() for h in hs]
+    mean = [[sum(x) / len(every) for x in zip(*(h[k] for h in every), strict=True)] for k in range(2)]
+
+    def reference(lang, k):
+        hs = own[lang] if lang else []
+        return [round((sum(h[k][i] for h in hs) + 50 * m) / (len(hs) + 50), 9) for i, m in enumerate(mean[k])]
+
+    got = sorted(quality.quality(spark.createDataFrame([(n, t, x) for n, (_, t, x) in enumerate(rows)], "doc_id long, text string, lang string")).collect())
+    assert [r.doc_id for r in got] == list(range(len(rows)))
+    for r in got:
+        chars, words, n_chars, n_words, lang = hists[r.doc_id]
+        want = (js(chars, reference(lang, 0)) if n_chars >= 200 else None, js(words, reference(lang, 1)) if n_words >= 50 else None)
+        for a, b in zip((r.char_distance, r.word_distance), want, strict=True):
+            assert (a is None) == (b is None) and (a is None or abs(a - b) < 1e-6)
+        diverges = (want[0] or 0) > 0.25 or ((want[0] or 0) > 0.14 and (want[1] or 0) > 0.28)
+        assert r.kept == (not r.base_failed and not diverges)
+
+
 def test_quality_keeps_good_documents(spark):
     rows = quality.quality(read(spark, "/root/testdata/sf0.01", "documents")).join(read(spark, "/root/testdata/sf0.01", "labels"), "doc_id").filter("not base_failed").collect()
     good, bad = [r for r in rows if r.quality == 1], [r for r in rows if r.quality == 0]
