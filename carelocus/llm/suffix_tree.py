@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from carelocus.llm.common import field, fold, map_arrow, offsets_of, runs, stored, text_slices
 
-BLOCK_TOKENS = 1_400_000
+BLOCK_TOKENS = 800_000
 BUCKET_TOKENS = 2_000_000
 FOLDS = 10
 SMOOTHING = 4.0
@@ -123,28 +123,36 @@ class Block:
     def __init__(self, sizes: np.ndarray, held: np.ndarray, vocabulary: bytes, tokens: bytes):
         self.sizes, self.at = sizes, offsets_of(sizes)
         n = int(self.at[-1])
-        self.word = unpack(tokens, n).astype(np.int64)
+        self.word = unpack(tokens, n).astype(np.int32)
         self.train = ~np.repeat(held, sizes)
         hashes = np.frombuffer(vocabulary, np.uint64)
         first = np.zeros(n, bool)
         first[self.at[:-1]] = True
-        self.last = np.concatenate([[START], self.word[:-1]]) if n else self.word
-        self.last[first] = START
-        before = np.concatenate([[START], self.last[:-1]]) if n else self.word
-        before[first] = START
-        two = mixed(hashes[self.last], hashes[self.word])
-        three = mixed(mixed(hashes[before], hashes[self.last]), two)
+        self.last = self.shifted(self.word, first, START)
         order = np.argsort(hashes)
         self.one_order = order
         self.keys = [hashes[order]]
-        self.rows = [np.argsort(order)[self.word]]
-        for grams in (two, three):
-            keys, rows = np.unique(grams, return_inverse=True)
-            self.keys.append(keys)
-            self.rows.append(rows)
+        self.rows = [np.argsort(order).astype(np.int32)[self.word]]
+        # One order of n-grams at a time: only the sorted keys and a short row number a token stay.
+        grams = mixed(hashes[self.last], hashes[self.word])
+        self.number(grams)
+        before = self.shifted(self.last, first, START)
+        self.number(mixed(mixed(hashes[before], hashes[self.last]), grams))
         #: The 2-gram that is a token's context of length 2; -1 at a text's start.
-        self.pair = np.concatenate([[-1], self.rows[1][:-1]]) if n else self.word
-        self.pair[first] = -1
+        self.pair = self.shifted(self.rows[1], first, -1)
+
+    @staticmethod
+    def shifted(rows: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
+        """The row of the token before, `start` at the start of a text."""
+        out = np.empty_like(rows)
+        out[1:] = rows[:-1]
+        out[first] = start
+        return out
+
+    def number(self, grams: np.ndarray) -> None:
+        keys, rows = np.unique(grams, return_inverse=True)
+        self.keys.append(keys)
+        self.rows.append(rows.astype(np.int32))
 
     def asked(self, p: "Scored") -> tuple[np.ndarray, np.ndarray]:
         """Which words (in the order of their hashes) and 2-grams stand as contexts that training texts repeat."""
