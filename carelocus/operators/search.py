@@ -1,21 +1,22 @@
 """J6 — run a whole table of search plans against the facility index.
 
-Plan of the job (one lazy DAG, nothing collected):
-
-1. Searches that share a plan (point, radius, care need, keywords) are run
-   once: ``distinct_plans`` keeps one row per plan with ``plan_id`` = the
-   smallest search_id of the group (partial aggregation, so a plan used by a
-   third of all searches is combined map-side).
-2. Each plan's bounding box is exploded into coarse grid cells; each indexed
-   facility has exactly one cell. The equi-join on cells is a proximity join
-   that never multiplies the index side. AQE broadcasts the (small) plan-cell
-   side when its measured size allows, else sort-merge with skew splitting.
-3. Box, keyword and exact-radius predicates, then the relevance score, all
-   as Column expressions.
-4. Top-k per plan with ``row_number`` (Catalyst plans a partial
-   WindowGroupLimit before the shuffle, so a hot plan is cut to k rows per
-   map partition) and a per-plan count (partial aggregate).
+Plan of the job:
+
+1. The index is stored once for searching (``store_search_index``): rows with coordinates, a row key (facility ids may
+   repeat), the grid cell, the texts that searches scan, and the card columns, clustered along a space-filling curve,
+   so that files and row groups cover small areas. A stored index can be kept and passed to any number of runs.
+2. Searches that share a plan (point, radius, care need, keywords) are run once: ``distinct_plans`` keeps one row per
+   plan with ``plan_id`` = the smallest search_id of the group (partial aggregation, so a plan used by a third of all
+   searches is combined map-side).
+3. Two-level proximity join: plans that share point and radius share a box. Boxes alone, numbers without texts, are
+   exploded into coarse grid cells and meet the facilities of those cells; box test and distance are worked out once a
+   (box, facility) pair. Only pairs within the box meet the plans of the box, with keyword test and score.
+4. Top-k per plan with ``row_number`` over six narrow columns (Catalyst plans a partial WindowGroupLimit before the
+   shuffle, so a hot plan is cut to k rows per map partition). The winners alone then fetch their index rows by row
+   key. Counts per plan are a partial aggregate.
 5. Results are joined back to every search of the plan.
+
+Boxes, distinct plans and winners are stored as Parquet between the steps (``Handoff``).
 """
 
 from __future__ import annotations
@@ -28,11 +29,13 @@ from pyspark.sql import functions as F
 from carelocus.functions.evidence import with_evidence
 from carelocus.functions.geo import box_half_widths, grid_cell, haversine_km
 from carelocus.functions.text import clean_phone, clean_terms, contains_any, has_value
-from carelocus.operators.sizing import broadcast_if_small, materialize
+from carelocus.operators.handoff import Handoff
+from carelocus.operators.sizing import broadcast_below, broadcast_if_small
 from carelocus.sources import dims
 
 SEARCH_CELL_DEGREES = 0.5
-PLAN_KEY = ["latitude", "longitude", "radius_km", "care_need", "keywords"]
+BOX_KEY = ["latitude", "longitude", "radius_km"]
+PLAN_KEY = [*BOX_KEY, "care_need", "keywords"]
 EVIDENCE_COLUMNS = ["specialties", "standardized_services", "parsed_capability", "description"]
 
 
@@ -76,6 +79,13 @@ def _match_fields(opts: MatchOptions) -> dict[str, Column]:
 FIELD_SEPARATOR = "\u0001"
 
 
+#: Row key of a stored search index: rows in the order of the curve, then of the facility id.
+FACILITY_KEY = "facility_key"
+CURVE_BITS = 16
+NARROW_COLUMNS = [FACILITY_KEY, "unique_id", "facility_latitude", "facility_longitude", "cell_lat", "cell_lon",
+                  "match_text", "search_text", "has_doctors", "has_capacity"]
+
+
 def search_index(index: DataFrame, cell_degrees: float = SEARCH_CELL_DEGREES,
                  opts: MatchOptions = DEFAULT_MATCH) -> DataFrame:
     """Index rows usable for search with their cell, match text and relevance text
@@ -92,6 +102,31 @@ def search_index(index: DataFrame, cell_degrees: float = SEARCH_CELL_DEGREES,
     )
 
 
+def curve_place(lat: str, lon: str) -> Column:
+    """Place of a point on a Z-order curve over the globe: the bits of both axes, one from each in turn."""
+    def spread(c: str, span: float) -> Column:
+        bits = F.floor((F.col(c) + span / 2) / span * (1 << CURVE_BITS)).cast("long")
+        for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+            bits = bits.bitwiseOR(F.shiftleft(bits, shift)).bitwiseAND(F.lit(mask))
+        return bits
+
+    return F.shiftleft(spread(lat, 180.5), 1).bitwiseOR(spread(lon, 360.5))
+
+
+def store_search_index(index: DataFrame, handoff: Handoff, cell_degrees: float = SEARCH_CELL_DEGREES,
+                       opts: MatchOptions = DEFAULT_MATCH) -> DataFrame:
+    """The search index as a table clustered by place, with a row key in that order.
+
+    Rows are dealt by ranges of the curve and sorted inside them, so every file and row group covers a small area and
+    the bounds of a run's boxes leave the others unread. Ties on the curve go by facility id and by all columns, so
+    the order of keys does not depend on how the index was read.
+    """
+    rows = search_index(index, cell_degrees, opts).withColumn("_curve", curve_place("facility_latitude", "facility_longitude"))
+    order = ["_curve", "unique_id", "_row"]
+    rows = rows.withColumn("_row", F.xxhash64(*index.columns)).repartitionByRange(*order).sortWithinPartitions(*order)
+    return handoff.store(rows.withColumn(FACILITY_KEY, F.monotonically_increasing_id()).drop("_curve", "_row"), "search_index")
+
+
 def count_found(text: Column, terms: Column, lower_terms: bool = False) -> Column:
     """Number of terms that occur in `text`.
 
@@ -105,7 +140,7 @@ def count_found(text: Column, terms: Column, lower_terms: bool = False) -> Colum
     total = F.lit(0)
     for i in range(dims.KEYWORD_LIMIT):
         total = total + F.when(text.contains(term(F.get(terms, i))), F.lit(1)).otherwise(F.lit(0))
-    rest = F.slice(terms, dims.KEYWORD_LIMIT + 1, 1 << 20)
+    rest = F.slice(terms, F.lit(dims.KEYWORD_LIMIT + 1), F.greatest(F.size(terms), F.lit(1)))
     extra = F.when(F.size(terms) > dims.KEYWORD_LIMIT,
                    F.size(F.filter(rest, lambda k: text.contains(term(k))))).otherwise(F.lit(0))
     return total + extra
@@ -141,14 +176,29 @@ def plan_boxes(dplans: DataFrame) -> DataFrame:
     )
 
 
-def plan_cells(boxes: DataFrame, cell_degrees: float = SEARCH_CELL_DEGREES) -> DataFrame:
-    """Every grid cell a plan's box touches (sequence of rows x columns)."""
-    return (
-        boxes.withColumn("cell_lat", F.explode(F.sequence(grid_cell("min_lat", cell_degrees),
-                                                          grid_cell("max_lat", cell_degrees))))
-        .withColumn("cell_lon", F.explode(F.sequence(grid_cell("min_lon", cell_degrees),
-                                                     grid_cell("max_lon", cell_degrees))))
-    )
+def distinct_boxes(dplans: DataFrame) -> DataFrame:
+    """One row per point and radius with its box; box_id = smallest plan_id of the box."""
+    return plan_boxes(dplans.groupBy(*BOX_KEY).agg(F.min("plan_id").alias("box_id")))
+
+
+def _cell_ranges(cell_degrees: float) -> dict[str, tuple[Column, Column]]:
+    return {c: (grid_cell(f"min_{c}", cell_degrees), grid_cell(f"max_{c}", cell_degrees)) for c in ("lat", "lon")}
+
+
+def box_cells(boxes: DataFrame, cell_degrees: float = SEARCH_CELL_DEGREES) -> DataFrame:
+    """Every grid cell a box touches (sequence of rows x columns)."""
+    for axis, (first, last) in _cell_ranges(cell_degrees).items():
+        boxes = boxes.withColumn(f"cell_{axis}", F.explode(F.sequence(first, last)))
+    return boxes
+
+
+def box_facts(boxes: DataFrame, cell_degrees: float = SEARCH_CELL_DEGREES) -> dict:
+    """One row about stored boxes: the number of cells they will explode into, and the bounds of all of them."""
+    lat, lon = _cell_ranges(cell_degrees).values()
+    return boxes.agg(
+        F.coalesce(F.sum((lat[1] - lat[0] + 1) * (lon[1] - lon[0] + 1)), F.lit(0)).alias("cells"),
+        *(F.min(c).alias(c) for c in ("min_lat", "min_lon")), *(F.max(c).alias(c) for c in ("max_lat", "max_lon")),
+    ).first().asDict()
 
 
 def _keyword_hit(terms: Column) -> Column:
@@ -156,24 +206,47 @@ def _keyword_hit(terms: Column) -> Column:
     return count_found(F.col("match_text"), terms) > 0
 
 
+def box_candidates(boxes: DataFrame, store: DataFrame, cell_degrees: float = SEARCH_CELL_DEGREES,
+                   check_broadcast: bool = True) -> DataFrame:
+    """(box, facility) pairs inside the box with their distance; candidate work grows with boxes, not with plans.
+
+    The bounds of all boxes are literals of the index scan, so row groups outside are not read. The cells are numbers
+    only; they are counted before they are made, and broadcast under the byte bound, so that the index is scanned once
+    and never shuffled for this join; beyond it this is a shuffle join on the cell.
+    """
+    cells = box_cells(boxes, cell_degrees)
+    facilities = store.select(*NARROW_COLUMNS)
+    if check_broadcast:
+        facts = box_facts(boxes, cell_degrees)
+        cells = broadcast_below(cells, facts["cells"] * 8 * (len(cells.columns) + 2))
+        if facts["cells"]:
+            facilities = facilities.filter(
+                F.col("facility_latitude").between(facts["min_lat"], facts["max_lat"])
+                & F.col("facility_longitude").between(facts["min_lon"], facts["max_lon"]))
+    inside = (F.col("facility_latitude").between(F.col("min_lat"), F.col("max_lat"))
+              & F.col("facility_longitude").between(F.col("min_lon"), F.col("max_lon")))
+    distance = haversine_km("latitude", "longitude", "facility_latitude", "facility_longitude")
+    pairs = cells.join(facilities, ["cell_lat", "cell_lon"]).filter(inside).withColumn("distance_km", distance)
+    return pairs.select("box_id", "radius_km", "distance_km", FACILITY_KEY, "unique_id", "match_text", "search_text",
+                        "has_doctors", "has_capacity")
+
+
 def search_candidates(dplans: DataFrame, index: DataFrame, cell_degrees: float = SEARCH_CELL_DEGREES,
-                      check_broadcast: bool = True, opts: MatchOptions = DEFAULT_MATCH) -> DataFrame:
+                      check_broadcast: bool = True, opts: MatchOptions = DEFAULT_MATCH,
+                      handoff: Handoff | None = None) -> DataFrame:
     """(plan, facility) pairs inside the plan's box whose fields mention a term.
 
-    The plan-cell side is measured and broadcast under the byte bound, so the
-    index is scanned once and never shuffled for the join; with very many
-    distinct plans it becomes a shuffle join on the cell.
+    `index` is the facility index or one stored by ``store_search_index`` (then `opts` are those it was stored with).
     """
-    cells = plan_cells(plan_boxes(dplans), cell_degrees)
+    handoff = handoff or Handoff(dplans.sparkSession)
+    store = index if FACILITY_KEY in index.columns else store_search_index(index, handoff, cell_degrees, opts)
+    boxes = handoff.store(distinct_boxes(dplans), "boxes")
+    in_box = box_candidates(boxes, store, cell_degrees, check_broadcast)
+    of_box = dplans.join(boxes.select("box_id", *BOX_KEY), BOX_KEY).select(
+        "plan_id", "box_id", "care_need", "keywords", "search_terms", "orthopedic")
     if check_broadcast:
-        cells = broadcast_if_small(cells)
-    idx = search_index(index, cell_degrees, opts)
-    joined = cells.join(idx, ["cell_lat", "cell_lon"])
-    return joined.filter(
-        F.col("facility_latitude").between(F.col("min_lat"), F.col("max_lat"))
-        & F.col("facility_longitude").between(F.col("min_lon"), F.col("max_lon"))
-        & _keyword_hit(F.col("search_terms"))
-    )
+        of_box = broadcast_if_small(of_box)
+    return in_box.join(of_box, "box_id").filter(_keyword_hit(F.col("search_terms")))
 
 
 def relevance_score(text: Column, keywords: Column, orthopedic: Column) -> Column:
@@ -188,13 +261,9 @@ def relevance_score(text: Column, keywords: Column, orthopedic: Column) -> Colum
 
 
 def within_radius(candidates: DataFrame) -> DataFrame:
-    """Exact distance filter and relevance score."""
-    d = haversine_km("latitude", "longitude", "facility_latitude", "facility_longitude")
-    return (
-        candidates.withColumn("distance_km", d)
-        .filter(F.col("distance_km") <= F.col("radius_km"))
-        .withColumn("relevance_score", relevance_score(F.col("search_text"), F.col("keywords"), F.col("orthopedic")))
-    )
+    """Exact distance filter (below the join with the plans, as it needs the box alone) and relevance score."""
+    return candidates.filter(F.col("distance_km") <= F.col("radius_km")).withColumn(
+        "relevance_score", relevance_score(F.col("search_text"), F.col("keywords"), F.col("orthopedic")))
 
 
 def apply_threshold(scored: DataFrame) -> DataFrame:
@@ -203,16 +272,34 @@ def apply_threshold(scored: DataFrame) -> DataFrame:
 
 
 def rank_results(ranked: DataFrame, k: int = dims.TOP_K) -> DataFrame:
-    """best k per plan by score desc, distance asc, facility id asc."""
+    """best k per plan by score desc, distance asc, facility id asc, then row key (ids may repeat).
+
+    Only what the order needs goes through the window; the winners' index rows are joined later by row key.
+    """
     w = Window.partitionBy("plan_id").orderBy(
-        F.col("relevance_score").desc(), F.col("distance_km").asc(), F.col("unique_id").asc())
-    return ranked.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        F.col("relevance_score").desc(), F.col("distance_km").asc(), F.col("unique_id").asc(), F.col(FACILITY_KEY).asc())
+    narrow = ranked.select("plan_id", FACILITY_KEY, "unique_id", "relevance_score", "distance_km")
+    return narrow.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def winner_rows(top: DataFrame, dplans: DataFrame, store: DataFrame) -> DataFrame:
+    """The top rows with their plan's keywords and their index row.
+
+    `top` is stored: the range of its row keys is a literal of the index scan, and the scan is joined by row key with
+    the winners broadcast under the byte bound, else by a shuffle on the key.
+    """
+    bounds = top.agg(F.min(FACILITY_KEY), F.max(FACILITY_KEY)).first()
+    rows = store.drop("unique_id", "search_text", "match_text", "cell_lat", "cell_lon")
+    if bounds[0] is not None:
+        rows = rows.filter(F.col(FACILITY_KEY).between(*bounds))
+    planned = top.join(dplans.select("plan_id", "keywords", "orthopedic"), "plan_id")
+    return rows.join(broadcast_if_small(planned), FACILITY_KEY)
 
 
 def attach_plan_ids(plans: DataFrame, dplans: DataFrame) -> DataFrame:
     """Searches (status ok) with the plan_id of their plan.
 
-    `dplans` is materialised: it is measured and broadcast under the byte bound,
+    `dplans` is stored: it is measured and broadcast under the byte bound,
     so a plan shared by a third of all searches causes no skewed shuffle; with
     very many distinct plans this is a sort-merge join with AQE skew splitting.
     """
@@ -222,53 +309,47 @@ def attach_plan_ids(plans: DataFrame, dplans: DataFrame) -> DataFrame:
 
 
 def scored_candidates(plans: DataFrame, index: DataFrame, cell_degrees: float = SEARCH_CELL_DEGREES,
-                      opts: MatchOptions = DEFAULT_MATCH) -> tuple[DataFrame, DataFrame]:
-    """The distinct plans and every candidate in radius with its score.
-
-    The plans are used twice (cells, search mapping) and measured once, so they
-    are materialised in the shared checkpoint folder.
-    """
-    dplans = materialize(distinct_plans(plans))
-    return dplans, apply_threshold(within_radius(search_candidates(dplans, index, cell_degrees, opts=opts)))
+                      opts: MatchOptions = DEFAULT_MATCH, handoff: Handoff | None = None) -> tuple[DataFrame, DataFrame]:
+    """The distinct plans (stored) and every candidate in radius with its score."""
+    handoff = handoff or Handoff(plans.sparkSession)
+    dplans = handoff.store(distinct_plans(plans), "plans")
+    found = search_candidates(dplans, index, cell_degrees, opts=opts, handoff=handoff)
+    return dplans, apply_threshold(within_radius(found))
 
 
 def run_searches(plans: DataFrame, index: DataFrame, k: int = dims.TOP_K,
                  cell_degrees: float = SEARCH_CELL_DEGREES, opts: MatchOptions = DEFAULT_MATCH,
-                 materialize_top: bool = True) -> dict[str, DataFrame]:
+                 handoff: Handoff | None = None) -> dict[str, DataFrame]:
     """Per-plan results and their mapping back to searches.
 
-    Returns ``{"plans": distinct plans, "searches": search->plan, "ranked": all
-    candidates in radius (scored), "top": top-k per plan}``.
+    Returns ``{"plans": distinct plans, "searches": search->plan, "ranked": all candidates in radius (scored),
+    "winners": plan_id, rank, row key, id, score and distance of the top k per plan (stored), "store": the index they
+    are keyed in}``. `index` may be one stored by ``store_search_index``. The caller drops `handoff` once what it made
+    of the result is written.
     """
-    dplans, ranked = scored_candidates(plans, index, cell_degrees, opts)
-    # Top rows (<= k per distinct plan) are materialised too and broadcast to the
-    # searches under the byte bound: a plan shared by a third of all searches then
-    # costs no shuffle of those searches.
-    if materialize_top:
-        top = materialize(rank_results(ranked, k))
-        top_for_join = broadcast_if_small(top)
-    else:  # one lazy plan; the join is left to adaptive execution
-        top = top_for_join = rank_results(ranked, k)
+    handoff = handoff or Handoff(plans.sparkSession)
+    store = index if FACILITY_KEY in index.columns else store_search_index(index, handoff, cell_degrees, opts)
+    dplans, ranked = scored_candidates(plans, store, cell_degrees, opts, handoff)
     return {
         "plans": dplans,
         "searches": attach_plan_ids(plans, dplans),
         "ranked": ranked,
-        "top": top,
-        "top_for_join": top_for_join,
+        "winners": handoff.store(rank_results(ranked, k), "winners"),
+        "store": store,
     }
 
 
-def search_top(plans: DataFrame, index: DataFrame, k: int = dims.TOP_K,
-               opts: MatchOptions = DEFAULT_MATCH) -> DataFrame:
-    """Top-k results of every search: search_id, rank, facility and score columns."""
-    r = run_searches(plans, index, k, opts=opts)
-    return r["searches"].select("search_id", "plan_id").join(r["top_for_join"], "plan_id")
+def search_top(plans: DataFrame, index: DataFrame, k: int = dims.TOP_K, opts: MatchOptions = DEFAULT_MATCH,
+               handoff: Handoff | None = None) -> DataFrame:
+    """Top-k results of every search: search_id, plan_id, rank, row key and id of the facility, score, distance."""
+    r = run_searches(plans, index, k, opts=opts, handoff=handoff)
+    return r["searches"].select("search_id", "plan_id").join(broadcast_if_small(r["winners"]), "plan_id")
 
 
-def search_counts(plans: DataFrame, index: DataFrame, k: int = dims.TOP_K,
-                  opts: MatchOptions = DEFAULT_MATCH) -> DataFrame:
+def search_counts(plans: DataFrame, index: DataFrame, k: int = dims.TOP_K, opts: MatchOptions = DEFAULT_MATCH,
+                  handoff: Handoff | None = None) -> DataFrame:
     """per search (every status): results found and results shown (<= k)."""
-    dplans, found = scored_candidates(plans, index, opts=opts)
+    dplans, found = scored_candidates(plans, index, opts=opts, handoff=handoff)
     counts = found.groupBy("plan_id").agg(F.count(F.lit(1)).alias("result_count"))
     per_search = attach_plan_ids(plans, dplans).select("search_id", "plan_id").join(counts, "plan_id", "left")
     return (
@@ -324,11 +405,12 @@ def evidence(top: DataFrame) -> DataFrame:
     return with_evidence(top, ev_keywords)
 
 
-def result_cards(plans: DataFrame, index: DataFrame, k: int = dims.TOP_K,
-                 opts: MatchOptions = DEFAULT_MATCH) -> DataFrame:
-    """One display row per (search, rank)."""
-    r = run_searches(plans, index, k, opts=opts)
-    top = evidence(r["top_for_join"]).select(
+def result_cards(plans: DataFrame, index: DataFrame, k: int = dims.TOP_K, opts: MatchOptions = DEFAULT_MATCH,
+                 handoff: Handoff | None = None) -> DataFrame:
+    """One display row per (search, rank). Cards are made once a winner and joined back to the searches."""
+    handoff = handoff or Handoff(plans.sparkSession)
+    r = run_searches(plans, index, k, opts=opts, handoff=handoff)
+    top = evidence(winner_rows(r["winners"], r["plans"], r["store"])).select(
         "plan_id", "rank", "unique_id",
         F.coalesce("name", F.lit("")).alias("name"),
         F.concat_ws(" · ", F.coalesce(F.nullif(F.col("organization_type"), F.lit("")), F.lit("Healthcare Facility")),
@@ -342,7 +424,8 @@ def result_cards(plans: DataFrame, index: DataFrame, k: int = dims.TOP_K,
         F.transform("evidence", lambda e: F.substring(e, 1, dims.EVIDENCE_DISPLAY_CHARS)).alias("evidence"),
         "relevance_score",
     )
-    cards = r["searches"].select("search_id", "plan_id", "preferences").join(top, "plan_id")
+    made = broadcast_if_small(handoff.store(top, "cards"))
+    cards = r["searches"].select("search_id", "plan_id", "preferences").join(made, "plan_id")
     return cards.select(
         "search_id", "rank", "unique_id", "name", "meta", "place", "distance_km", "confidence_label",
         F.when(wants_strength(F.col("preferences")) & (F.col("strength") != ""),

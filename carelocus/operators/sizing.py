@@ -3,15 +3,16 @@
 Static size estimates can be far off after aggregations and explodes, and a
 runtime (AQE) switch to a broadcast join happens only after both sides have
 already been shuffled. So where one side is expected to be small but is
-data-dependent (PIN cells, distinct search-plan cells), we measure its bytes —
-on a materialised input, so one narrow aggregate — and broadcast only under a
-byte bound. Beyond it the plain join stays, with AQE's skew handling.
+data-dependent (PIN cells, search boxes, winners), we measure its bytes on a
+stored input, or count the rows an explode will make before it is made, and
+broadcast only under a byte bound. Beyond it the plain join stays, with AQE's skew handling.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEFAULT_LIMIT_BYTES = 64 * 1024 * 1024
 
@@ -22,21 +23,21 @@ def broadcast_limit(df: DataFrame) -> int:
 
 
 def measured_bytes(df: DataFrame) -> int:
-    """Bytes of all rows: a word a column and its values written out (every text and list at its real length)."""
-    values = F.octet_length(F.to_json(F.struct("*")))
-    return df.select((values + F.lit(8 * (len(df.columns) + 2))).cast("bigint").alias("b")).agg(F.sum("b")).first()[0] or 0
+    """Bytes of all rows: a word a column, texts at their real length, and other values of varying size written out."""
+    sizes = F.lit(8 * (len(df.columns) + 2)).cast("bigint")
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            sizes = sizes + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            sizes = sizes + F.octet_length(F.to_json(F.struct(f.name)))
+    return df.select(sizes.alias("b")).agg(F.sum("b")).first()[0] or 0
 
 
-def broadcast_if_small(df: DataFrame, limit_bytes: int | None = None) -> DataFrame:
-    """`broadcast(df)` when its measured bytes fit the limit, else `df` unchanged."""
-    limit = broadcast_limit(df) if limit_bytes is None else limit_bytes
-    return F.broadcast(df) if measured_bytes(df) <= limit else df
-
+def broadcast_below(df: DataFrame, size: int, limit_bytes: int | None = None) -> DataFrame:
+    """`broadcast(df)` when a size known beforehand fits the limit, else `df` unchanged."""
+    return F.broadcast(df) if size <= (broadcast_limit(df) if limit_bytes is None else limit_bytes) else df
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage: eager checkpoint into the shared folder named by `spark.checkpoint.dir`
-    (a scratch folder is created only when the session leaves it unset, as in tests)."""
-    from carelocus.session import ensure_checkpoint_dir
 
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def broadcast_if_small(df: DataFrame, limit_bytes: int | None = None) -> DataFrame:
+    """`broadcast(df)` when its measured bytes fit the limit, else `df` unchanged."""
+    return broadcast_below(df, measured_bytes(df), limit_bytes)

@@ -26,6 +26,7 @@ from carelocus.operators import pincode as pc
 from carelocus.operators import plan as pl
 from carelocus.operators import reports
 from carelocus.operators import search as sr
+from carelocus.operators.handoff import Handoff
 from carelocus.session import work_dir
 from carelocus.sources import fixtures as fx
 from carelocus.sources.tables import create_or_replace, overwrite_parquet
@@ -89,7 +90,8 @@ def run_pipeline(spark: SparkSession, sf_dir: str | None = None, root: str | Non
         src["facilities"], src["services"], src["equipment"], src["capabilities"], location))
     plans = run.materialize("J5_search_plans", lambda: pl.with_status(
         pl.merge_plans(src["searches"], src["planner_responses"])))
-    cards = run.materialize("J6_result_cards", lambda: sr.result_cards(plans, index))
+    with Handoff(spark) as handoff:
+        cards = run.materialize("J6_result_cards", lambda: sr.result_cards(plans, index, handoff=handoff))
     if table_prefix:
         for name, table in (("pincode_lookup", lookup), ("nearest_pin", nearest), ("facility_location", location),
                             ("facility_index", index), ("search_plans", plans), ("result_cards", cards)):

@@ -17,7 +17,7 @@ from carelocus.operators import location as loc
 from carelocus.operators import nearest as nn
 from carelocus.operators import pincode as pc
 from carelocus.operators import reports
-from carelocus.operators.sizing import materialize
+from carelocus.operators.handoff import Handoff
 from carelocus.sources import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,7 +34,7 @@ def query(key: str):
 def lookup(spark, sf):
     """J1 output, materialised (as the pipeline hands it over) so that the size
     checks and both later joins read it instead of recomputing it."""
-    return materialize(pc.build_pincode_lookup(fx.postal_directory(spark, sf)))
+    return Handoff(spark).store(pc.build_pincode_lookup(fx.postal_directory(spark, sf)), "pincode_lookup")
 
 
 def nearest_complete(spark, sf, lk=None):
@@ -321,7 +321,7 @@ def _search_counts(spark, sf):
 @query("search_evidence")
 def _search_evidence(spark, sf):
     r = sr.run_searches(plans(spark, sf), facility_index(spark, sf))
-    return sr.evidence(r["top"]).select("plan_id", "rank", "unique_id", _joined("evidence"))
+    return sr.evidence(sr.winner_rows(r["winners"], r["plans"], r["store"])).select("plan_id", "rank", "unique_id", _joined("evidence"))
 
 
 @query("result_cards")

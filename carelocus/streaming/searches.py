@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from carelocus.operators import plan as pl
 from carelocus.operators import search as sr
+from carelocus.operators.handoff import Handoff
 
 SEARCH_SCHEMA = "search_id bigint, query string"
 
@@ -26,15 +27,20 @@ def read_search_stream(spark: SparkSession, folder: str, max_files_per_trigger:
             .parquet(folder))
 
 
-def answer_batch(batch: DataFrame, index: DataFrame) -> DataFrame:
+def answer_batch(batch: DataFrame, index: DataFrame, handoff: Handoff | None = None) -> DataFrame:
     """Plan and run one batch of searches: the same jobs as the batch pipeline."""
-    return sr.result_cards(pl.with_status(pl.fallback_plan(batch)), index)
+    return sr.result_cards(pl.with_status(pl.fallback_plan(batch)), index, handoff=handoff)
 
 
 def start_search_stream(searches: DataFrame, index: DataFrame, sink: str, checkpoint: str,
                         available_now: bool = False, interval: str = "10 seconds") -> StreamingQuery:
+    """Answer the stream against `index`, which is stored for searching once, before the first batch, unless it is
+    already. What a batch stores on the way is dropped when its answers are written."""
+    store = index if sr.FACILITY_KEY in index.columns else sr.store_search_index(index, Handoff(index.sparkSession))
+
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
-        answer_batch(batch, index).write.mode("overwrite").parquet(f"{sink}/epoch={epoch_id}")
+        with Handoff(batch.sparkSession) as handoff:
+            answer_batch(batch, store, handoff).write.mode("overwrite").parquet(f"{sink}/epoch={epoch_id}")
 
     writer = searches.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
