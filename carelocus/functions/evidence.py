@@ -14,14 +14,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carelocus.functions.text import clean_evidence_text, strict_json, strip_ws
+from carelocus.functions.text import clean_evidence_text, keep_last_of_repeated_keys, strict_json, strip_ws, truthy_text
 from carelocus.sources import dims
 
 STRUCTURED_FIELDS = {"specialties", "standardized_services", "parsed_capability"}
 
 
 def _first_truthy(v: Column, keys: Sequence[str]) -> Column:
-    return F.coalesce(*[F.nullif(F.try_variant_get(v, f"$.{k}", "string"), F.lit("")) for k in keys])
+    return F.coalesce(*[truthy_text(v, f"$.{k}") for k in keys])
 
 
 def _clean_nonempty(items: Column) -> Column:
@@ -52,9 +52,12 @@ def with_evidence_items(df: DataFrame, source: str, out: str) -> DataFrame:
 
     JSON list -> its elements (objects give their first name-like key); JSON
     object -> its first name-like key; else a `key: value` found in the text;
-    else the comma-separated parts. Intermediate values are staged as columns
-    so no large sub-expression is repeated.
+    else the comma-separated parts. Values that count as missing (null, false, 0,
+    empty) are skipped as elements and as names; of a repeated key the last value
+    counts. Intermediate values are staged as columns so no large sub-expression
+    is repeated.
     """
+    keep_last_of_repeated_keys(df.sparkSession)
     outputs = {source: out}
     def names(out):
         return f"{out}__t", f"{out}__v", f"{out}__d"
@@ -71,7 +74,7 @@ def with_evidence_items(df: DataFrame, source: str, out: str) -> DataFrame:
         elements = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
         from_list = _clean_nonempty(F.transform(elements, lambda e: F.when(
             F.schema_of_variant(e).startswith("OBJECT"), _first_truthy(e, dims.EVIDENCE_NAME_KEYS))
-            .otherwise(F.try_variant_get(e, "$", "string"))))
+            .otherwise(truthy_text(e))))
         from_object = _clean_nonempty(F.array(_first_truthy(v, dims.EVIDENCE_NAME_KEYS)))
         parts = F.split(F.regexp_replace(t, r"^[\[\]]+|[\[\]]+$", ""), r"""["']?\s*,\s*["']?""")
         return (

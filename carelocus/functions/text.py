@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from carelocus.sources import dims
@@ -134,6 +134,30 @@ def clean_phone(c) -> Column:
     return F.when(found != "", strip_ws(found)).otherwise(F.substring(text, 1, dims.CONTACT_FALLBACK_CHARS))
 
 
+def truthy_text(v: Column, path: str = "$") -> Column:
+    """The value at a path of a VARIANT as text; NULL where the value counts as missing: it is not there, null, false,
+    a zero, an empty text, an empty list or an empty object. A text like "false" or "0" is a value."""
+    node = F.try_variant_get(v, path, "variant")
+    kind, text = F.schema_of_variant(node), F.try_variant_get(v, path, "string")
+    number = ~kind.isin("STRING", "BOOLEAN") & ~kind.startswith("ARRAY") & ~kind.startswith("OBJECT")
+    missing = (
+        (text == "")
+        | ((kind == "BOOLEAN") & (text == "false"))
+        | (kind.startswith("ARRAY") & (text == "[]"))
+        | (kind.startswith("OBJECT") & (text == "{}"))
+        | (number & (F.try_variant_get(v, path, "double") == 0))
+    )
+    return F.when(~F.coalesce(missing, F.lit(False)), text)
+
+
+def keep_last_of_repeated_keys(spark: SparkSession) -> None:
+    """Of a key that a JSON object repeats, VARIANT parsing keeps the last value (Spark's default refuses the object).
+
+    A setting of the session, read when an expression is planned; jobs that parse planner responses or evidence set it.
+    """
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def strict_json(text: Column) -> Column:
     """The one JSON value that is the whole text, as VARIANT; NULL for anything else.
 

@@ -87,7 +87,8 @@ def grid_candidates(fac_points: DataFrame, pins: DataFrame, rings: int = 1, how:
         "distance_km", haversine_km("latitude", "longitude", "pin_latitude", "pin_longitude"))
 
 
-def _nearest_agg(candidates: DataFrame) -> DataFrame:
+def best_pin(candidates: DataFrame) -> DataFrame:
+    """One row per facility_id: the nearest of its candidates."""
     best = F.min_by(
         F.struct("district", "statename", "pincode", "distance_km"),
         # Rows without a PIN come last: a repeated id keeps its match. D8: ties -> smallest pincode
@@ -110,7 +111,7 @@ def nearest_pin(facilities: DataFrame, lookup: DataFrame, cell_degrees: float =
                 rings: int = 1) -> DataFrame:
     """matched facilities only, one row per facility_id."""
     cands = grid_candidates(facility_points(facilities, cell_degrees), pin_points(lookup, cell_degrees), rings)
-    return _nearest_agg(cands)
+    return best_pin(cands)
 
 
 def unmatched_facilities(facilities: DataFrame, lookup: DataFrame, cell_degrees: float = DEFAULT_GRID_DEGREES,
@@ -132,7 +133,7 @@ def nearest_pin_complete(facilities: DataFrame, lookup: DataFrame, cell_degrees:
     """
     fac = facility_points(facilities, cell_degrees)
     pins = pin_points(lookup, cell_degrees)
-    return _nearest_agg(grid_candidates(fac, pins, rings, how="left"))
+    return best_pin(grid_candidates(fac, pins, rings, how="left"))
 
 
 def guaranteed_radius_km(cell_degrees: float, rings: int, max_abs_lat: float = 60.0) -> float:

@@ -17,7 +17,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carelocus.functions.text import clean_terms, const, contains_any, lit_array, strict_json
+from carelocus.functions.text import clean_terms, const, contains_any, keep_last_of_repeated_keys, lit_array, strict_json, truthy_text
 from carelocus.sources import dims
 
 FALLBACK_SOURCE = "keyword fallback"
@@ -201,16 +201,12 @@ def parse_response(response: Column) -> Column:
     the first that is not empty) stands for the object inside that text.
     """
     def inner(outer: Column) -> Column:
-        content = F.coalesce(*(_truthy_text(outer, p) for p in ("$.choices[0].message.content", "$.content", "$.text", "$.output_text")))
+        content = F.coalesce(*(truthy_text(outer, p) for p in ("$.choices[0].message.content", "$.content", "$.text", "$.output_text")))
         return F.get(F.transform(F.array(content), lambda c: F.when(c.isNotNull(), _json_object(c)).otherwise(outer)), 0)
 
     return F.get(F.transform(F.array(_json_object(response)), inner), 0)  # lambdas bind each parse once
 
 
-def _truthy_text(v: Column, path: str) -> Column:
-    return F.nullif(F.try_variant_get(v, path, "string"), F.lit(""))
-
-
 def _kind(v: Column, path: str) -> Column:
     return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
 
@@ -265,6 +261,7 @@ def merge_plans(searches: DataFrame, responses: DataFrame, text_col: str = "quer
     (model keywords, must-haves, nice-to-haves, then rule keywords) and
     cleaned again; the model radius is clamped.
     """
+    keep_last_of_repeated_keys(searches.sparkSession)
     fb = fallback_plan(searches, text_col, default_radius_km, match)
     # Of several responses to one search the first in text order counts.
     one = responses.groupBy("search_id").agg(F.min("response").alias("response"))
@@ -273,7 +270,7 @@ def merge_plans(searches: DataFrame, responses: DataFrame, text_col: str = "quer
     radius, infinite = response_radius(v)
     staged = (
         fb.join(r, "search_id", "left")
-        .withColumn("_given", _truthy_text(v, "$.city"))
+        .withColumn("_given", truthy_text(v, "$.city"))
         .withColumn("_radius", radius)
         .withColumn("_usable", v.isNotNull() & ~infinite & _listable(v, "$.keywords") & _listable(v, "$.must_have")
                     & _listable(v, "$.nice_to_have") & _listable(v, "$.preferences"))
@@ -286,7 +283,7 @@ def merge_plans(searches: DataFrame, responses: DataFrame, text_col: str = "quer
         "city": F.when(take_given, given).otherwise(F.col("city")),
         "latitude": F.when(take_given, known["lat"]).otherwise(F.col("latitude")),
         "longitude": F.when(take_given, known["lon"]).otherwise(F.col("longitude")),
-        "care_need": F.coalesce(_truthy_text(v, "$.care_need"), F.col("care_need")),
+        "care_need": F.coalesce(truthy_text(v, "$.care_need"), F.col("care_need")),
         "keywords": clean_terms(F.concat(_list(v, "$.keywords"), _list(v, "$.must_have"),
                                          _list(v, "$.nice_to_have"), F.col("keywords"))),
         "preferences": clean_terms(F.concat(_list(v, "$.preferences"), F.col("preferences")),

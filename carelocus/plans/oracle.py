@@ -281,6 +281,13 @@ WHERE lat IS NOT NULL AND lon IS NOT NULL AND plat IS NOT NULL AND plon IS NOT N
 register("nearest_pin", "SELECT * FROM nearest", "nearest")
 register("unmatched_facilities", "SELECT * FROM unmatched", "unmatched")
 register("nearest_pin_complete", "SELECT * FROM nearest_complete", "nearest_complete")
+register("nearest_pin_exact", f"""
+SELECT facility_id, district AS coord_nearest_pin_district, statename AS coord_nearest_pin_state,
+  pincode AS coord_nearest_pincode, round(distance_km, 2) AS coord_nearest_pin_distance_km
+FROM (SELECT *, row_number() OVER (PARTITION BY facility_id ORDER BY distance_km, pincode) AS rn FROM (
+  SELECT f.facility_id, p.pincode, p.district, p.statename,
+    {hav('f.latitude', 'f.longitude', 'p.pin_latitude', 'p.pin_longitude')} AS distance_km
+  FROM fac_points f LEFT JOIN pin_points p ON true)) WHERE rn = 1""", "fac_points", "pin_points")
 register("nearest_report", """
 SELECT count(*) AS facilities_with_coordinates, count(coord_nearest_pincode) AS matched,
   count(*) - count(coord_nearest_pincode) AS unmatched,
@@ -385,9 +392,29 @@ SELECT event_id AS search_id,
 FROM (SELECT event_id, {sql_list(SEARCH_CITIES)}[user_id % 8 + 1] AS c, {sql_list(SEARCH_TEXTS)}[event_id % 12 + 1] AS t
       FROM events)""")
 
-cte("resp", ["planner_responses"], r"""
+def truthy_sql(j: str, path: str = "$") -> str:
+    """A JSON value as text unless it is null, false, zero or empty; the oracle's own rule, by JSON type."""
+    x, kind = f"json_extract_string({j}, '{path}')", f"json_type({j}, '{path}')"
+    return (f"CASE WHEN {kind} IN ('UBIGINT', 'BIGINT', 'HUGEINT', 'DOUBLE') THEN CASE WHEN {x}::DOUBLE <> 0 THEN {x} END "
+            f"WHEN {kind} = 'BOOLEAN' THEN CASE WHEN {x} = 'true' THEN {x} END "
+            f"WHEN {kind} = 'ARRAY' THEN CASE WHEN json_array_length({j}, '{path}') > 0 THEN {x} END "
+            f"WHEN {kind} = 'OBJECT' THEN CASE WHEN len(json_keys({j}, '{path}')) > 0 THEN {x} END ELSE nullif({x}, '') END")
+
+
+def last_keys_sql(j: str) -> str:
+    """The object with the last value of each repeated key alone."""
+    keys, values = f"json_keys({j})", f"json_extract({j}, '$.*')"
+    kept = (f"list_transform(list_filter(range(1, len({keys}) + 1), lambda i: NOT list_contains({keys}[i + 1:], {keys}[i])), "
+            f"lambda i: to_json({keys}[i])::VARCHAR || ':' || {values}[i]::VARCHAR)")
+    return f"CASE WHEN json_type({j}) = 'OBJECT' THEN ('{{' || array_to_string({kept}, ',') || '}}')::JSON ELSE {j} END"
+
+
+cte("resp", ["resp_raw"], f"""
 SELECT search_id, j, json_type(j, '$.radius_km') AS rtype, json_extract_string(j, '$.radius_km') AS rtext
-FROM (SELECT search_id, CASE WHEN content IS NULL THEN j0 WHEN cand1 <> '' AND json_valid(cand1) THEN cand1::JSON END AS j
+FROM (SELECT search_id, {last_keys_sql('j')} AS j FROM resp_raw)""")
+
+cte("resp_raw", ["planner_responses"], r"""
+SELECT search_id, j FROM (SELECT search_id, CASE WHEN content IS NULL THEN j0 WHEN cand1 <> '' AND json_valid(cand1) THEN cand1::JSON END AS j
       FROM (SELECT *, regexp_extract(content, '(?s)\{.*\}', 0) AS cand1
             FROM (SELECT *, coalesce(nullif(json_extract_string(j0, '$.choices[0].message.content'), ''),
                     nullif(json_extract_string(j0, '$.content'), ''), nullif(json_extract_string(j0, '$.text'), ''),
@@ -420,7 +447,7 @@ SELECT search_id, query,
   CASE WHEN usable AND take_given THEN given ELSE city END AS city,
   CASE WHEN usable AND take_given THEN known.lat ELSE latitude END AS latitude,
   CASE WHEN usable AND take_given THEN known.lon ELSE longitude END AS longitude,
-  CASE WHEN usable THEN coalesce(nullif(json_extract_string(j, '$.care_need'), ''), care_need) ELSE care_need END
+  CASE WHEN usable THEN coalesce({truthy_sql('j', '$.care_need')}, care_need) ELSE care_need END
     AS care_need,
   CASE WHEN usable THEN m_keywords ELSE keywords END AS keywords,
   CASE WHEN usable THEN m_prefs ELSE preferences END AS preferences,
@@ -429,10 +456,10 @@ SELECT search_id, query,
   CASE WHEN usable THEN 'model planner' ELSE source END AS source
 FROM (
   SELECT p.*, r.j, r.radius_value, r.j IS NOT NULL AND NOT coalesce({' OR '.join('coalesce(' + _no_list(x) + ', false)' for x in ('keywords', 'must_have', 'nice_to_have', 'preferences'))}, false) AS usable,
-    nullif(json_extract_string(r.j, '$.city'), '') AS given,
-    list_filter({GAZ}, lambda g: g.name = lower(nullif(json_extract_string(r.j, '$.city'), '')))[1] AS known,
-    nullif(json_extract_string(r.j, '$.city'), '') IS NOT NULL
-      AND list_filter({GAZ}, lambda g: g.name = lower(nullif(json_extract_string(r.j, '$.city'), '')))[1] IS NOT NULL
+    {truthy_sql('r.j', '$.city')} AS given,
+    list_filter({GAZ}, lambda g: g.name = lower({truthy_sql('r.j', '$.city')}))[1] AS known,
+    {truthy_sql('r.j', '$.city')} IS NOT NULL
+      AND list_filter({GAZ}, lambda g: g.name = lower({truthy_sql('r.j', '$.city')}))[1] IS NOT NULL
       AS take_given,
     {clean_sql('list_concat(' + _jlist('keywords') + ', ' + _jlist('must_have') + ', ' + _jlist('nice_to_have')
                + ', p.keywords)', dims.KEYWORD_LIMIT)} AS m_keywords,
@@ -496,8 +523,7 @@ def has_value_sql(x: str) -> str:
 
 
 def _first_key(j: str) -> str:
-    return "coalesce(" + ", ".join(
-        f"nullif(json_extract_string({j}, '$.{k}'), '')" for k in dims.EVIDENCE_NAME_KEYS) + ")"
+    return bind(last_keys_sql(j), "lk", "coalesce(" + ", ".join(truthy_sql("lk", f"$.{k}") for k in dims.EVIDENCE_NAME_KEYS) + ")")
 
 
 def _dict_like(t: str) -> str:
@@ -513,7 +539,7 @@ def _dict_like(t: str) -> str:
 def ev_items(x: str) -> str:
     body = f"""CASE WHEN t = '' THEN []::VARCHAR[]
   WHEN json_valid(t) AND json_type(t::JSON) = 'ARRAY' THEN list_filter(list_transform(json_extract(t::JSON, '$[*]'),
-       lambda e: {clean_ev(f"CASE WHEN json_type(e) = 'OBJECT' THEN {_first_key('e')} ELSE json_extract_string(e, '$') END")}),
+       lambda e: {clean_ev(f"CASE WHEN json_type(e) = 'OBJECT' THEN {_first_key('e')} ELSE {truthy_sql('e')} END")}),
        lambda s: s <> '')
   WHEN json_valid(t) AND json_type(t::JSON) = 'OBJECT' THEN list_filter([{clean_ev(_first_key('t::JSON'))}], lambda s: s <> '')
   WHEN {_dict_like('t')} <> '' THEN [{_dict_like('t')}]
@@ -690,6 +716,12 @@ register("evidence_items", "SELECT unique_id, " + ", ".join(
 from carelocus.operators import enrich as en  # noqa: E402
 from carelocus.sources import fixtures as _fx  # noqa: E402
 
+cte("evidence_shapes", [], f"""
+SELECT c_custkey AS k, replace({sql_list(_fx.EVIDENCE_SHAPES)}[c_custkey % {len(_fx.EVIDENCE_SHAPES)} + 1], '{{T}}',
+  {sql_list(_fx.RAW_PROCEDURES)}[c_custkey % {len(_fx.RAW_PROCEDURES)} + 1]) AS value FROM customer""")
+register("evidence_shapes", f"SELECT k, array_to_string({ev_items('value')}, ' | ') AS items FROM evidence_shapes", "evidence_shapes")
+
+
 
 def _pick_sql(values, idx: str) -> str:
     return f"{sql_list(values)}[({idx}) % {len(values)} + 1]"

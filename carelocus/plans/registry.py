@@ -15,6 +15,7 @@ from carelocus.functions.geo import haversine_km
 from carelocus.operators import index as idx
 from carelocus.operators import location as loc
 from carelocus.operators import nearest as nn
+from carelocus.operators import nearest_exact as nx
 from carelocus.operators import pincode as pc
 from carelocus.operators import reports
 from carelocus.operators.handoff import Handoff
@@ -133,6 +134,11 @@ def _nearest_complete(spark, sf):
     return nearest_complete(spark, sf)
 
 
+@query("nearest_pin_exact")
+def _nearest_exact(spark, sf):
+    return nx.nearest_pin_exact(fx.facilities(spark, sf), lookup(spark, sf))
+
+
 @query("nearest_report")
 def _nearest_report(spark, sf):
     return reports.nearest_report(nearest_complete(spark, sf))
@@ -250,6 +256,7 @@ def _search_status(spark, sf):
 
 @query("plan_response_parse")
 def _plan_response_parse(spark, sf):
+    tx.keep_last_of_repeated_keys(spark)
     r = fx.planner_responses(spark, sf)
     v = pl.parse_response(F.col("response"))
     radius, infinite = pl.response_radius(v)
@@ -372,6 +379,12 @@ def _clean_evidence(spark, sf):
     return i.select("unique_id", *[tx.clean_evidence_text(c).alias(c) for c in sr.EVIDENCE_COLUMNS])
 
 
+@query("evidence_shapes")
+def _evidence_shapes(spark, sf):
+    rows = ev.with_evidence_items(fx.evidence_shapes(spark, sf), "value", "items")
+    return rows.select("k", F.array_join("items", " | ").alias("items"))
+
+
 @query("evidence_items")
 def _evidence_items(spark, sf):
     cols = ["specialties", "standardized_services", "parsed_capability", "standardized_equipment"]

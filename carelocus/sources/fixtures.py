@@ -232,6 +232,9 @@ RESPONSE_TEMPLATES: list[str | None] = [
     '{"city": "{C}", "keywords": 5, "radius_km": 12}',
     '{"choices": [{"message": {"role": "assistant", "content": "{\\"city\\": \\"{C}\\", \\"radius_km\\": 35}"}}]}',
     None,
+    '{"city": "Atlantis", "keywords": ["first"], "city": "{C}", "keywords": ["{T}"], "radius_km": 20}',
+    '{"city": false, "care_need": 0, "keywords": ["{T}"], "preferences": [], "radius_km": 15}',
+    '{"city": {}, "care_need": [], "keywords": 0, "must_have": false, "nice_to_have": ["{T}"]}',
 ]
 
 
@@ -246,6 +249,28 @@ def planner_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("search_id"), filled.alias("response"))
 
 
+# FIXED VALUES — shapes of semi-structured evidence text (our own), by rule from the customer key; {T} is a term.
+EVIDENCE_SHAPES: list[str] = [
+    '[0, false, "{T}", null, "", [], {}, true, 7, 0.0, 1.5]',
+    '{"name": 0, "description": "{T}"}',
+    '[{"name": false, "description": "{T}"}, {"name": "", "specialty_name": "x y"}, {"name": []}, {"other": "{T}"}]',
+    '{"name": "first", "description": "d", "name": "{T}"}',
+    '{"capability_name": {}, "standardized_service_name": null, "specialty_name": 3}',
+    '["{T}", "{T}"]',
+    "{'name': '{T}', 'x': 1}",
+    '{T}, other ,"quoted"',
+    '{"capabilities": [{"name": "{T}"}]}',
+    '0', 'false', '"{T}"', '[]', '{}', '', '["{T}"',
+    '[{"name": "a", "name": "{T}"}]',
+]
+
+
+def evidence_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k, value: an evidence text for every customer key."""
+    k = F.col("k")
+    return _custkeys(spark, sf_dir).select("k", F.replace(_pick(EVIDENCE_SHAPES, k % len(EVIDENCE_SHAPES)), F.lit("{T}"), _pick(RAW_PROCEDURES, k % len(RAW_PROCEDURES))).alias("value"))
+
+
 # FIXED VALUES — raw, unstandardised terms as facilities state them (our own
 # fixture vocabulary), indexed by rule from the customer key.
 RAW_SPECIALTIES: list[str] = [

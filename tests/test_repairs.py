@@ -95,3 +95,30 @@ def test_pipeline_from_tables_to_tables(spark):
     run_pipeline(spark, inputs=inputs, with_reports=False, table_prefix="out_")
     assert spark.table("out_result_cards").count() > 0
     assert spark.table("out_pincode_lookup").count() == spark.table("out_pincode_lookup").select("pincode").distinct().count()
+
+
+@pytest.mark.parametrize(
+    ("text", "items"),
+    [
+        ('[0,false,"a"]', ["A"]), ('{"name":0,"description":"d"}', ["D"]), ('[{"name":false,"description":"x"}]', ["X"]),
+        ('["false", "0", [], {}, null]', ["False", "0"]), ('{"name": "a", "name": "b"}', ["B"]), ("0", ["0"]),
+    ],
+)
+def test_missing_values_are_no_evidence(spark, text, items):
+    from carelocus.functions.evidence import with_evidence_items
+
+    assert with_evidence_items(spark.createDataFrame([(text,)], "v string"), "v", "items").first()["items"] == items
+
+
+def test_planner_fields_that_count_as_missing(spark):
+    from carelocus.operators import plan as pl
+
+    searches = spark.createDataFrame([(i, "dialysis near Jaipur") for i in range(5)], "search_id int, query string")
+    answers = [
+        '{"care_need":0,"city":"Jaipur"}', '{"city":"Delhi","city":"Patna"}', '{"care_need":false,"city":[],"keywords":["x ray"]}',
+        '{"care_need":"0","city":"Jaipur"}', '{"keywords":["one"],"keywords":["two words"],"city":"Delhi"}',
+    ]
+    got = {r.search_id: r for r in pl.merge_plans(searches, spark.createDataFrame(list(enumerate(answers)), "search_id int, response string")).collect()}
+    assert [got[i].care_need for i in range(5)] == ["dialysis", "dialysis", "dialysis", "0", "dialysis"]
+    assert [got[i].city for i in range(5)] == ["Jaipur", "Patna", "Jaipur", "Jaipur", "Delhi"]
+    assert got[2].keywords[0] == "x ray" and got[4].keywords[0] == "two words" and "one" not in got[4].keywords
