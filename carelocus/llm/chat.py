@@ -137,7 +137,8 @@ def format_chats(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn",
     rows = df.select(F.col(id_col).alias("_id"), F.col(turn_col).cast("long").alias("_turn"), F.col(role_col).cast("string").alias("_role"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     rows = rows.withColumn("_tie", F.xxhash64(F.coalesce("_role", F.lit("")), "_text"))
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = stored(rows.repartitionByRange(n, "_id", "_turn", "_tie").withColumn("_part", F.spark_partition_id()), "chat-turns")
+    # Stretches are cut by the columns that order the turns, so that turns of one number stand alike however many there are.
+    dealt = stored(rows.repartitionByRange(n, "_id", "_turn", "_role", "_tie").withColumn("_part", F.spark_partition_id()), "chat-turns")
 
     matrix = T.StructType([field(df, id_col, "_id"), T.StructField("_part", T.IntegerType()), T.StructField("_cost", T.ArrayType(T.DoubleType())), T.StructField("_rows", T.LongType())])
     arrow = to_arrow_schema(matrix)
@@ -191,7 +192,7 @@ def format_chats(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn",
     joined = dealt.withColumnRenamed("_id", "_conv").join(borders, F.col("_conv").eqNullSafe(F.col("_id")) & (dealt["_part"] == borders["_part"])).select(
         "_id", dealt["_part"], "_turn", "_role", "_tie", "_text", "_entry", "_leave", "_last"
     )
-    return map_arrow(joined.repartition("_id", "_part").sortWithinPartitions(*in_order), render, shown)
+    return map_arrow(joined.repartition("_id", "_part").sortWithinPartitions(*in_order, "_text"), render, shown)
 
 
 def rendered(df: DataFrame, id_col: str = "conv_id") -> DataFrame:

@@ -14,8 +14,9 @@ the best k.
 
 Cases: null vectors, null ids, and vectors that hold null or non-finite components take no part; shorter vectors
 count as filled up with zeros; all rows with a query's own id are its own and no candidates of it; equal scores
-rank by id, repeated rows of one id each take a place; an empty table gives an empty result. Products are exact
-while a vector's squared length is below 2^53. Only the id and vector columns are read, so extra columns and
+rank by id, repeated rows of one id each take a place; an empty table gives an empty result. Floats only prune, with
+room for their rounding; what is left is multiplied and ranked in 64-bit integers. A table with a vector whose squared
+length does not fit a long is refused before the search; below that no product nor sum of one can overflow. Only the id and vector columns are read, so extra columns and
 clashing names do no harm.
 """
 
@@ -52,12 +53,12 @@ def blocks(rows: DataFrame, size: int, key: Column, name: str) -> DataFrame:
 
 
 def unpack(rows: pa.Scalar, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, float matrix) of one block; components beyond a vector's end are 0."""
+    """(ids, integer matrix) of one block; components beyond a vector's end are 0."""
     values = rows.values
     ids = values.field("vec_id").to_numpy(zero_copy_only=False)
     vectors = values.field("v")
     lengths = np.diff(vectors.offsets.to_numpy())
-    out = np.zeros((len(ids), dims))
+    out = np.zeros((len(ids), dims), np.int64)
     flat = vectors.flatten().to_numpy(zero_copy_only=False)
     if (lengths == dims).all():
         out[:] = flat.reshape(len(ids), dims)
@@ -71,14 +72,16 @@ def unpack(rows: pa.Scalar, dims: int) -> tuple[np.ndarray, np.ndarray]:
 class QueryBlock:
     """Queries with their thresholds and best rows so far."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, start: np.ndarray | None = None):
-        self.ids, self.vectors, self.k = ids, vectors, k
+    def __init__(self, ids: np.ndarray, exact: np.ndarray, k: int, start: np.ndarray | None = None):
+        vectors = exact.astype(float)
+        self.ids, self.exact, self.vectors, self.k = ids, exact, vectors, k
         self.norm = np.sqrt((vectors * vectors).sum(1))
         self.threshold = np.full(len(ids), -math.inf) if start is None else start
         self.unit = np.divide(vectors, self.norm[:, None], out=np.zeros_like(vectors), where=self.norm[:, None] > 0)
 
-    def search(self, ids: np.ndarray, vectors: np.ndarray) -> list[tuple[int, int, int]]:
+    def search(self, ids: np.ndarray, exact: np.ndarray) -> list[tuple[int, int, int]]:
         """Rows (query, candidate, score) of the block's best k for each query that can still matter."""
+        vectors = exact.astype(float)
         norm = np.sqrt((vectors * vectors).sum(1))  # falls
         unit = np.divide(vectors, norm[:, None], out=np.zeros_like(vectors), where=norm[:, None] > 0)
         longest = norm[0] if len(norm) else 0.0
@@ -104,15 +107,17 @@ class QueryBlock:
                 column = unit[order[:, focus], focus]
                 a, b = np.searchsorted(column, [low - 1e-9, high + 1e-9], "left")
                 some = slice(by_length) if by_length <= b - a else order[a:b, focus]
-            candidates = ids[some]
-            score = vectors[some] @ self.vectors[q]
-            good = (candidates != self.ids[q]) & (score >= need)
-            candidates, score = candidates[good], score[good]
+            room = reach * (self.vectors.shape[1] + 4) * 2.0**-52  # twice what a float product can be off
+            near = vectors[some] @ self.vectors[q]
+            good = (ids[some] != self.ids[q]) & (near >= need - room)
+            if good.sum() > self.k:
+                good &= near >= np.partition(near[good], -self.k)[-self.k] - 2 * room
+            candidates, score = ids[some][good], exact[some][good] @ self.exact[q]
             if len(score) > self.k:
                 best = np.lexsort((candidates, -score))[: self.k]
                 candidates, score = candidates[best], score[best]
             if len(score) == self.k:
-                self.threshold[q] = max(need, score.min())
+                self.threshold[q] = max(need, float(score.min()))
             found += [(int(self.ids[q]), int(i), int(s)) for i, s in zip(candidates, score, strict=True)]
         return found
 
@@ -123,10 +128,13 @@ def top_k(
     """(query_id, rank, vec_id, score) of each query's best k. Queries: ids divisible by `query_every`."""
     spark = df.sparkSession
     rows = stored(integer_vectors(df, id_col, vector_col), "topk-vectors")
+    longest = rows.agg(F.max("squared")).first()[0] or 0.0
+    if longest >= 2.0**63 * (1 - 1e-9):
+        raise ValueError(f"a vector's squared length of about {longest:.4g} is too large for products in 64 bits")
     bucket = F.when(F.col("squared") > 0, F.floor(F.log("squared") / 2 / math.log(1 + width))).otherwise(F.lit(-(1 << 40)))
     sized = rows.withColumn("bucket", bucket.cast("long"))
     sizes = sized.groupBy("bucket").agg(F.count("*").alias("in_bucket"))  # few rows: lengths span few factors
-    spread = sized.join(F.broadcast(sizes), "bucket")  # at most log(2^53) / log(1 + width) buckets
+    spread = sized.join(F.broadcast(sizes), "bucket")  # at most log(2^63) / 2 / log(1 + width) buckets
     part = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.ceil(F.col("in_bucket") / block))
     candidates = stored(blocks(spread, block, F.struct("bucket", part.alias("part")), "place"), "topk-blocks")
     queries = rows.filter(F.pmod("vec_id", F.lit(query_every)) == 0)

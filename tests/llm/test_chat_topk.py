@@ -91,3 +91,38 @@ def test_top_k_on_the_table(spark):
     for x in sorted(topk.top_k(df).collect(), key=lambda x: (x.query_id, x.rank)):
         got.setdefault(x.query_id, []).append((x.vec_id, x.score))
     assert got == brute_top([(r.vec_id, r.embedding) for r in df.collect()], 50, 5)
+
+
+@pytest.mark.parametrize("shape", ["roles differ", "roles equal"])
+def test_turns_of_one_number_stand_alike_in_any_number_of_stretches(spark, shape):
+    role = (lambda i: ("user", "assistant", "system", None)[i * 7 % 4]) if shape == "roles differ" else (lambda i: "user")
+    df = spark.createDataFrame([(1, i % 20, role(i), f"text {i % 50}") for i in range(120)], "conv_id long, turn long, role string, text string")
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (1, 8, 64):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            rows = chat.format_chats(df.repartition(n)).orderBy("part", "place").collect()
+            found.append(([(r.turn, r.fragment.split("|>\n")[-1].strip()) for r in rows if r.turn is not None], sum(r.action == "insert" for r in rows), sum("merge" in r.action for r in rows), sum("relabel" in r.action for r in rows)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0][0] == found[1][0] == found[2][0]  # one order of turns
+    cost = [chat.INSERT * i + chat.MERGE * m + chat.RELABEL * r for _, i, m, r in found]
+    assert cost[0] == pytest.approx(cost[1]) == pytest.approx(cost[2])  # and repairs of the same, least cost
+
+
+def test_large_components_are_exact(spark):
+    base = 3 * 10**6
+    rows = [(0, [base / 256 * 256, base / 256 * 256])] + [(i, [base, base + i]) for i in (1, 2, 3, 4)]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    got = [(r.rank, r.vec_id, r.score) for r in topk.top_k(df).orderBy("rank").collect()]
+    q = [256 * base, 256 * base]
+    assert got == [(k + 1, i, q[0] * 256 * base + q[1] * 256 * (base + i)) for k, i in enumerate((4, 3, 2, 1))]
+    close = spark.createDataFrame([(i, [5e6, 5e6 + (i % 7) / 256, float(i % 3) / 256]) for i in range(200)], "vec_id long, embedding array<double>")
+    ints = [[math.floor(256 * x) for x in v] for v in ([5e6, 5e6 + (i % 7) / 256, float(i % 3) / 256] for i in range(200))]
+    want = []
+    for q in range(0, 200, 50):
+        order = sorted((-sum(a * b for a, b in zip(ints[q], ints[i], strict=True)), i) for i in range(200) if i != q)[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(order)]
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(close).collect()) == want
+    with pytest.raises(ValueError, match="64 bits"):
+        topk.top_k(spark.createDataFrame([(0, [1e8])], "vec_id long, embedding array<double>"))
