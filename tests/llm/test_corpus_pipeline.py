@@ -39,7 +39,7 @@ def test_near_duplicate_stage_keeps_one_row_a_group(spark):
     near = CLEAN[1] + " indeed"
     rows = [(9, CLEAN[0]), (4, CLEAN[0]), (4, CLEAN[0]), (None, CLEAN[0]), (6, CLEAN[1]), (6, near), (6, CLEAN[2]), (None, CLEAN[3]), (None, CLEAN[3]), (None, None), (3, ""), (3, "")]
     groups = {}
-    for k, (_, c) in brute_components({k: t for k, (_, t) in enumerate(rows)}).items():
+    for k, (_, c) in brute_components({k: t for k, (_, t) in enumerate(rows)}, corpus_pipeline.SHINGLE).items():
         groups.setdefault(c, []).append(k)
     want = Counter((rows[k][0], rows[k][1]) for g in groups.values() for k in [min(g, key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k))])
     assert rows_of(corpus_pipeline.near_duplicates(spark, table(spark, rows).coalesce(1), "")) == want

@@ -116,11 +116,11 @@ def test_rare_toxic_words_count(discount):
     assert abs(model.word_gap[0]) < 0.01
 
 
-def brute_components(texts):
+def brute_components(texts, k_words=4):
     sets = {}
     for i, t in texts.items():
         w = WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
-        sets[i] = {tuple(w[k : k + 4]) for k in range(len(w) - 3)} if len(w) >= 4 else ({tuple(w)} if w else set())
+        sets[i] = {tuple(w[k : k + k_words]) for k in range(len(w) - k_words + 1)} if len(w) >= k_words else ({tuple(w)} if w else set())
     least = {i: i for i in texts}
     changed = True
     links = [(a, b) for a, b in itertools.combinations(sorted(texts), 2) if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
