@@ -19,6 +19,8 @@ from carelocus.llm import minhash, packing, quality, toxicity
 from carelocus.llm.common import read, stored, tokenizer_path
 
 WORDS = "word_bpe_49k.json"
+#: Words of a shingle in the near-duplicate stage.
+SHINGLE = 5
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -53,7 +55,7 @@ def toxic_content(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = keyed(docs)
-    groups = minhash.near_duplicates(rows, id_col="_row").select("_row", "component_id").join(rows.select("_row", "doc_id"), "_row")
+    groups = minhash.near_duplicates(rows, id_col="_row", words=SHINGLE).select("_row", "component_id").join(rows.select("_row", "doc_id"), "_row")
     first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first"))
     return kept_rows(rows, first.select("first._row")).select(docs.columns)
 
