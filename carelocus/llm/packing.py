@@ -28,6 +28,7 @@ import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -72,11 +73,11 @@ class ChunkTokenizer:
             and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in kind["added_tokens"])
         )
         self.width = np.uint16 if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
-        self.words = _Words(self.tok.model)
+        self.words = _Words(self.tok.model, "H" if self.width is np.uint16 else "I")
         self.special = re.compile("|".join(re.escape(t["content"].lower()) for t in kind["added_tokens"]) or "(?!)").search
         # The model is asked for words directly if that gives what the whole tokenizer gives.
         probe = "Straße's ÀÉ«x»² can't WE'LL a1b22 ¿Qué? 'tis-'re $$ naïve_x §5"
-        self.by_word = self.by_chunk and [i for c in probe.split() for i in self.word_ids(c)] == self._ids([probe])[0]
+        self.by_word = self.by_chunk and np.frombuffer(b"".join(map(self.word_ids, probe.split())), self.width).tolist() == self._ids([probe])[0]
         self._reset()
 
     def _reset(self) -> None:
@@ -85,15 +86,15 @@ class ChunkTokenizer:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def word_ids(self, chunk: str) -> list[int] | tuple[int, ...] | None:
-        """Ids of a chunk of printable Latin-1 characters, word by word; None for other chunks and special strings."""
+    def word_ids(self, chunk: str) -> bytes | None:
+        """Packed ids of a chunk of printable Latin-1 characters, word by word; None for other chunks and special strings."""
         if not PLAIN(chunk):
             return None
         low = chunk.lower()
         if self.special(low):
             return None
         found = WORDS_IN(low)
-        return self.words[found[0]] if len(found) == 1 else [i for w in found for i in self.words[w]]
+        return self.words[found[0]] if len(found) == 1 else b"".join([self.words[w] for w in found])
 
     def _chunk_ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, number of ids of each chunk)."""
@@ -106,9 +107,9 @@ class ChunkTokenizer:
             flat, counts = self._joined_ids([chunks[i] for i in other])
             at = offsets_of(counts)
             for i, a, b in zip(other, at[:-1].tolist(), at[1:].tolist(), strict=True):
-                rows[i] = flat[a:b].tolist()
-        counts = np.fromiter(map(len, rows), np.int64, len(rows))
-        return np.fromiter(chain.from_iterable(rows), self.width, int(counts.sum())), counts
+                rows[i] = flat[a:b].tobytes()
+        counts = np.fromiter(map(len, rows), np.int64, len(rows)) // np.dtype(self.width).itemsize
+        return np.frombuffer(b"".join(rows), self.width), counts
 
     def _joined_ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The same from the whole tokenizer: some chunks a call, told apart by where their tokens begin."""
@@ -148,15 +149,15 @@ class _Rows(dict):
 
 
 class _Words(dict):
-    """Lower-case words and their ids; the model reads a word's UTF-8 bytes as the characters of the byte alphabet."""
+    """Lower-case words and their ids, packed: a few bytes a word instead of Python numbers. The model reads a word's UTF-8 bytes as the characters of the byte alphabet."""
 
-    def __init__(self, model):
+    def __init__(self, model, kind: str):
         super().__init__()
-        self.model = model
+        self.model, self.kind = model, kind
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> bytes:
         own = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_ALPHABET)
-        self[word] = ids = tuple([t.id for t in self.model.tokenize(own)])
+        self[word] = ids = array(self.kind, [t.id for t in self.model.tokenize(own)]).tobytes()
         return ids
 
 
