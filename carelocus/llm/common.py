@@ -60,6 +60,17 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(run, schema)
 
 
+_holder: list = []
+
+
+def hold(owner: str, drop: Callable[[], object]) -> None:
+    """Say, in a task, that this Python worker keeps caches of `owner` from now on; `drop` empties them. What another
+    owner left is dropped: Spark reuses workers from stage to stage, so the caches of all would add up."""
+    if _holder and _holder[0] != owner:
+        _holder[1]()
+    _holder[:] = [owner, drop]
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """`df` written as Parquet into the shared folder and read back: cuts lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, name)

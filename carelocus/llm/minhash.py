@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from carelocus.llm.common import field, map_arrow, offsets_of, runs, stored, text_slices
+from carelocus.llm.common import field, hold, map_arrow, offsets_of, runs, stored, text_slices
 from carelocus.llm.components import components
 
 WORDS = 4
@@ -61,6 +61,11 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
+def forget() -> None:
+    """Empty the cache of word hashes. A function of the module: a task's closure would hold a copy of the cache."""
+    _hashes.clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -108,6 +113,7 @@ def described(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFram
     schema = T.StructType([field(df, id_col, "id"), *(T.StructField(c, T.LongType()) for c in ("n", "k1", "k2")), T.StructField("sig", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("minhash", forget)
         for piece, texts in text_slices(batches, "_text"):
             sets = shingle_sets(texts, words)
             some = [s for s in sets if len(s)]
@@ -234,6 +240,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     set_schema = T.StructType([field(df, id_col, "a"), T.StructField("set", T.ArrayType(T.LongType(), False)), T.StructField("short", T.BinaryType())])
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("minhash", forget)
         for piece, texts in text_slices(batches, "_text"):
             sets = shingle_sets(texts, words)
             at = offsets_of(np.array([len(s) for s in sets], np.int64))

@@ -29,6 +29,7 @@ import os
 import re
 import zlib
 from array import array
+from collections import OrderedDict
 from collections.abc import Iterator
 from itertools import chain
 
@@ -39,17 +40,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from carelocus.llm.common import field, map_arrow, offsets_of, ragged_index, stored, text_slices
+from carelocus.llm.common import field, hold, map_arrow, offsets_of, ragged_index, stored, text_slices
 
 WINDOW = 4096
 MAX_SOURCES = 65_536
 #: Chunks of text kept by a Python worker between slices; bounds memory alone.
-CACHED_CHUNKS = 800_000
+CACHED_CHUNKS = 400_000
 #: Words of chunks kept by a Python worker; bounds memory alone.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 400_000
 #: New chunks that are encoded together.
 JOINED_CHUNKS = 256
 GRID = 1 << 52
+#: Numbers in a block of window borders, and bytes of such blocks kept by a task.
+BORDER_NUMBERS, BORDER_BYTES = 1 << 16, 1 << 25
 
 
 class ChunkTokenizer:
@@ -211,10 +214,59 @@ class Schedule:
         before = np.cumsum(step, 1) - step
         return base + np.clip(left - before, 0, step)
 
-    def window_of(self, source: int, token: np.ndarray) -> np.ndarray:
-        """About the window of a queue's token, never too high."""
-        tick = np.floor((token - 1) / self.weights[source] / self.horizon * GRID).astype(np.int64)
-        return np.maximum(self.served_at(np.clip(tick, 0, GRID)).sum(1) // self.window - 1, 0)
+    def window_of(self, source: int, token: int) -> int:
+        """The window of a queue's token or one shortly before: whatever is due at a tick at which the token is not
+        has been served before it. Ticks are as coarse as floats, so it takes a few of them back."""
+        tick, back = int((token + 0.5) / self.weights[source] / self.horizon * GRID), 8
+        while (due := self.served_at(np.array([max(min(tick, GRID) - back, 0)]))[0])[source] > token and back <= GRID:
+            back *= 8
+        return int(due.sum()) // self.window if due[source] <= token else 0
+
+
+class Borders:
+    """Tokens served of each queue at the borders of windows, block by block. A block's size depends on the number of
+    sources alone; the blocks used last are kept, since the documents of all sources in a part share them."""
+
+    def __init__(self, plan: Schedule):
+        self.plan = plan
+        self.step = int(np.clip(BORDER_NUMBERS // max(len(plan.totals), 1), 1, 64))
+        self.keep = max(2, BORDER_BYTES // (8 * (self.step + 1) * max(len(plan.totals), 1)))
+        self.blocks: OrderedDict[int, np.ndarray] = OrderedDict()
+
+    def block(self, b: int) -> np.ndarray:
+        """Rows: borders b * step to (b + 1) * step, or to the last one; columns: sources."""
+        if b in self.blocks:
+            self.blocks.move_to_end(b)
+            return self.blocks[b]
+        w = np.arange(b * self.step, min((b + 1) * self.step, self.plan.n_windows) + 1)
+        self.blocks[b] = marks = self.plan.served(self.plan.begin(w))
+        if len(self.blocks) > self.keep:
+            self.blocks.popitem(last=False)
+        return marks
+
+    def pieces(self, source: int, first: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(row, start, length, window, offset) of rows that hold tokens first to first + n of a queue. Only blocks
+        that a row touches are built, so rows from far ends of the queue may stand together."""
+        rows = np.argsort(first, kind="stable")
+        ends, b = first + n, -1
+        while len(rows):
+            b = max(b + 1, self.plan.window_of(source, int(first[rows[0]])) // self.step)
+            if b * self.step >= self.plan.n_windows:
+                raise AssertionError("a window border was missed")
+            marks = self.block(b)
+            edge, quota = marks[:, source], np.diff(marks, axis=0)
+            here = rows[(first[rows] < edge[-1]) & (ends[rows] > edge[0])]
+            if len(here):
+                ahead = quota[:, :source].sum(1)
+                from_w = np.maximum(np.searchsorted(edge, first[here], "right") - 1, 0)
+                to_w = np.minimum(np.searchsorted(edge, ends[here] - 1, "right") - 1, len(quota) - 1)
+                row = np.repeat(here, to_w - from_w + 1)
+                w = ragged_index(from_w, to_w - from_w + 1)
+                a, z = np.maximum(first[row], edge[w]), np.minimum(ends[row], edge[w + 1])
+                some = z > a
+                row, w, a, z = row[some], w[some], a[some], z[some]
+                yield row, a - first[row], z - a, w + b * self.step, ahead[w] + a - edge[w]
+            rows = rows[ends[rows] > edge[-1]]
 
 
 def tokenised(df: DataFrame, tokenizer_file: str, end_id: int, id_col: str, source_col: str, text_col: str) -> DataFrame:
@@ -224,6 +276,7 @@ def tokenised(df: DataFrame, tokenizer_file: str, end_id: int, id_col: str, sour
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("packing", tokenizer.cache_clear)
         tok, part, gone = tokenizer(tokenizer_file), TaskContext.get().partitionId(), {}
         for piece, texts in text_slices(batches, "_text"):
             ids, at = tok.encode(texts)
@@ -268,37 +321,19 @@ def pack(
     schema = T.StructType([field(df, id_col), *(T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")), T.StructField("source_key", T.StringType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("packing-cut", lambda: None)
+        borders = Borders(plan)
         for whole in batches:
             for begin in range(0, whole.num_rows, 512):
-                yield from pieces(whole.slice(begin, 512))
+                yield from pieces(whole.slice(begin, 512), borders)
 
-    def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        keys = batch.column(1).to_pylist()
-        source = np.array([index[k] for k in keys], np.int64)
+    def pieces(batch: pa.RecordBatch, borders: Borders) -> Iterator[pa.RecordBatch]:
+        source = np.array([index[k] for k in batch.column(1).to_pylist()], np.int64)
         n, first = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (2, 3))
         found = []
         for s in np.unique(source):
             own = np.flatnonzero(source == s)
-            # The part's documents are neighbours in the queue: windows from the first token's to the last one's.
-            low = int(plan.window_of(s, np.array([first[own].min()]))[0])
-            need, step = int((first[own] + n[own]).max()), 64
-            marks = np.zeros((0, len(index)), np.int64)
-            while not len(marks) or (marks[-1, s] < need and low + len(marks) <= plan.n_windows):
-                w = np.arange(low + len(marks), min(low + len(marks) + step, plan.n_windows + 1))
-                marks, step = np.concatenate([marks, plan.served(plan.begin(w))]), 2 * step
-            edge = marks[:, s]
-            quota = np.diff(marks, axis=0)
-            ahead = quota[:, :s].sum(1)
-            from_w = np.searchsorted(edge, first[own], "right") - 1
-            to_w = np.searchsorted(edge, first[own] + n[own] - 1, "right") - 1
-            if (from_w < 0).any() or (to_w >= len(quota)).any():
-                raise AssertionError("a window border was missed")
-            doc = np.repeat(own, to_w - from_w + 1)
-            w = ragged_index(from_w, to_w - from_w + 1)
-            a, b = np.maximum(first[doc], edge[w]), np.minimum(first[doc] + n[doc], edge[w + 1])
-            some = b > a
-            doc, w, a, b = doc[some], w[some], a[some], b[some]
-            found.append((doc, a - first[doc], b - a, w + low, ahead[w] + a - edge[w]))
+            found += [(own[row], *rest) for row, *rest in borders.pieces(int(s), first[own], n[own])]
         doc, start, length, w, offset = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.lexsort((start, doc))
         doc, start, length, w, offset = (x[order] for x in (doc, start, length, w, offset))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from carelocus.llm.common import field, fold, map_arrow, offsets_of, stored, text_slices
+from carelocus.llm.common import field, fold, hold, map_arrow, offsets_of, stored, text_slices
 
 ROWS_PER_CLASS = 4000
 MAX_ROW_CHARS = 100_000
@@ -65,6 +65,11 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
+def forget() -> None:
+    """Empty the cache of word hashes. A function of the module: a task's closure would hold a copy of the cache."""
+    _hashes.clear()
+
+
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word, offsets by text)."""
     rows = [list(map(_hashes.__getitem__, words_of(t))) for t in texts]
@@ -169,6 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, rows_per
     sample = stored(rows.join(F.broadcast(pick), "_id").select("_id", "_text", "_toxic", part), "toxicity-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("toxicity", forget)
         for piece, texts in text_slices(batches, "_text", 1 << 22):
             before, own, text = expressions(texts)
             label = np.array(piece.column(1).to_pylist(), np.int64)
@@ -190,6 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, rows_per
     models = [ClassModels(table.filter(pa.array(inside)), d) for d in DISCOUNTS]
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("toxicity", forget)
         for piece, texts in text_slices(batches, "_text"):
             x = np.stack([m.evidence(texts) for m in models], 1)
             yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), piece.column(1)], names=["x", "y"])
@@ -220,6 +227,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     schema = T.StructType([field(docs, key_col), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("toxicity", forget)
         fitted = shared.value
         for piece, texts in text_slices(batches, "_text"):
             x = fitted[0].evidence(texts) if fitted else np.zeros(len(texts))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from odd_rows import nothing, odd  # noqa: F401
 
-from carelocus.llm import packing, sentencepiece_codec, token_counts
+from carelocus.llm import common, packing, sentencepiece_codec, token_counts
 from carelocus.llm.common import tokenizer_path
 
 PIECES, WORDS = tokenizer_path("piece_bpe_32k.model"), tokenizer_path("word_bpe_49k.json")
@@ -98,6 +98,43 @@ def test_mixture_holds_in_every_window():
     assert abs(np.diff(served, axis=0) - [70, 20, 10]).max() <= 1
 
 
+@pytest.mark.parametrize("totals", [[60_000, 25_000, 9, 1], [40_001], [500] * 300])
+def test_borders_of_far_rows_are_bounded(totals):
+    plan = packing.Schedule(totals, [t / sum(totals) for t in totals], 64)
+    all_marks = plan.served(plan.begin(np.arange(plan.n_windows + 1)))
+    rng = np.random.default_rng(5)
+    for s in {0, len(totals) - 1}:
+        cuts = np.unique(np.concatenate([[0, totals[s]], rng.integers(0, totals[s] + 1, min(totals[s], 60))]))
+        first, n = cuts[:-1], np.diff(cuts)
+        order = rng.permutation(len(first))
+        order = order[np.isin(order, [0, len(first) // 2, len(first) - 1])] if s == 0 else order  # rows far apart in the queue
+        borders = packing.Borders(plan)
+        built = []
+        served = plan.served
+        plan.served = lambda position: built.append(len(position)) or served(position)
+        got = sorted(tuple(int(x) for x in piece) for found in borders.pieces(s, first[order], n[order]) for piece in zip(*found, strict=True))
+        plan.served = served
+        want = []
+        for row, k in enumerate(order.tolist()):
+            for w in range(plan.n_windows):
+                a, z = max(first[k], all_marks[w, s]), min(first[k] + n[k], all_marks[w + 1, s])
+                if z > a:
+                    ahead = (all_marks[w + 1, :s] - all_marks[w, :s]).sum()
+                    want.append((row, int(a - first[k]), int(z - a), w, int(ahead + a - all_marks[w, s])))
+        assert got == sorted(want)
+        touched = {w // borders.step for _, _, _, w, _ in want}
+        assert len(built) <= 2 * len(touched) + 2 and max(built) <= borders.step + 1
+        assert len(borders.blocks) <= borders.keep
+
+
+def test_caches_of_another_operator_are_dropped(monkeypatch):
+    monkeypatch.setattr(common, "_holder", [])
+    dropped = []
+    for owner in ("a", "a", "b", "a"):
+        common.hold(owner, lambda owner=owner: dropped.append(owner))
+    assert dropped == ["a", "b"]
+
+
 def test_packing_nothing(nothing):
     assert packing.pack(nothing, WORDS).count() == 0
 
