@@ -3,16 +3,17 @@
 Each stage is (spark, docs, sf_dir) -> DataFrame; it reads all its predecessor kept, and all but the last return
 the columns of `documents`. Between the stages stands a Parquet table in the shared folder.
 
-Every decision is made and applied row by row, under a row key that the stage adds: rows with a null doc_id are
-judged as all others and stay if they are clean, and of rows that repeat a doc_id each has its own verdict. Of a group
-of near-duplicates one row stays: the one with the smallest doc_id, a null id last, of several rows of that id the
-first in the table. Texts without words are in no group and stay in that stage.
+Every decision is made and applied row by row: rows with a null doc_id are judged as all others and stay if they are
+clean, and of rows that repeat a doc_id each has its own verdict. The first two stages judge a row by itself, so the
+whole row goes through the operator in place of the id and no text is shuffled. Of a group of near-duplicates, for
+which the stage adds a row key, one row stays: the one with the smallest doc_id, a null id last, of several rows of
+that id the first in the table. Texts without words are in no group and stay in that stage.
 """
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from carelocus.llm import minhash, packing, quality, toxicity
@@ -33,31 +34,29 @@ def keyed(docs: DataFrame) -> DataFrame:
     except AnalysisException:
         docs = stored(docs, "pipeline-rows")
         rows = docs.select("*", *place)
-    paths = sorted(r["_path"] for r in rows.select("_path").distinct().collect())  # one row per file
-    files = docs.sparkSession.createDataFrame(list(enumerate(paths)), "_file long, _path string")
-    return rows.join(F.broadcast(files), "_path").select(*docs.columns, F.shiftleft("_file", 40).bitwiseOR(F.col("_index")).alias("_row"))
+    number = (F.row_number().over(Window.orderBy("_path")) - 1).cast("long")
+    files = rows.select("_path").distinct().select("_path", number.alias("_file"))  # one short row per file
+    return rows.join(files, "_path").select(*docs.columns, F.shiftleft("_file", 40).bitwiseOR(F.col("_index")).alias("_row"))
 
 
-def kept_rows(rows: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of a keyed table whose key is among those to keep, without the key."""
-    return rows.join(kept.select("_row"), "_row", "left_semi").drop("_row")
+def with_row(docs: DataFrame) -> DataFrame:
+    """`docs` with `_whole`, the row itself."""
+    return docs.withColumn("_whole", F.struct(*docs.columns))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = keyed(docs)
-    return kept_rows(rows, quality.quality(rows, id_col="_row").filter("kept")).select(docs.columns)
+    return quality.quality(with_row(docs), id_col="_whole").filter("kept").select("_whole.*")
 
 
 def toxic_content(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = keyed(docs)
-    return kept_rows(rows, toxicity.toxicity(rows, read(spark, sf_dir, "labels"), key_col="_row").filter("predicted = 0")).select(docs.columns)
+    return toxicity.toxicity(with_row(docs), read(spark, sf_dir, "labels"), key_col="_whole").filter("predicted = 0").select("_whole.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = keyed(docs)
     groups = minhash.near_duplicates(rows, id_col="_row", words=SHINGLE).select("_row", "component_id").join(rows.select("_row", "doc_id"), "_row")
     first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first"))
-    return kept_rows(rows, first.select("first._row")).select(docs.columns)
+    return rows.join(first.select("first._row"), "_row", "left_semi").select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
