@@ -31,7 +31,7 @@ import zlib
 from array import array
 from collections import OrderedDict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -80,7 +80,7 @@ class ChunkTokenizer:
         self.special = re.compile("|".join(re.escape(t["content"].lower()) for t in kind["added_tokens"]) or "(?!)").search
         # The model is asked for words directly if that gives what the whole tokenizer gives.
         probe = "Straße's ÀÉ«x»² can't WE'LL a1b22 ¿Qué? 'tis-'re $$ naïve_x §5"
-        self.by_word = self.by_chunk and np.frombuffer(b"".join(map(self.word_ids, probe.split())), self.width).tolist() == self._ids([probe])[0]
+        self.by_word = self.by_chunk and self._word_ids(probe.split())[0].tolist() == self._ids([probe])[0]
         self._reset()
 
     def _reset(self) -> None:
@@ -89,30 +89,35 @@ class ChunkTokenizer:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def word_ids(self, chunk: str) -> bytes | None:
-        """Packed ids of a chunk of printable Latin-1 characters, word by word; None for other chunks and special strings."""
-        if not PLAIN(chunk):
-            return None
-        low = chunk.lower()
-        if self.special(low):
-            return None
-        found = WORDS_IN(low)
-        return self.words[found[0]] if len(found) == 1 else b"".join([self.words[w] for w in found])
-
     def _chunk_ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, number of ids of each chunk)."""
         if not self.by_word:
             return self._joined_ids(chunks)
         if len(self.words) > CACHED_WORDS:
             self.words.clear()
-        rows = list(map(self.word_ids, chunks))
-        if other := [i for i, r in enumerate(rows) if r is None]:
-            flat, counts = self._joined_ids([chunks[i] for i in other])
-            at = offsets_of(counts)
-            for i, a, b in zip(other, at[:-1].tolist(), at[1:].tolist(), strict=True):
-                rows[i] = flat[a:b].tobytes()
-        counts = np.fromiter(map(len, rows), np.int64, len(rows)) // np.dtype(self.width).itemsize
-        return np.frombuffer(b"".join(rows), self.width), counts
+        plain = np.fromiter(map(bool, map(PLAIN, chunks)), bool, len(chunks))
+        if self.special("\n".join(chunks).lower()):
+            plain &= np.fromiter((self.special(c.lower()) is None for c in chunks), bool, len(chunks))
+        if plain.all():
+            return self._word_ids(chunks)
+        # Both kinds one after the other, then brought into the order of the chunks.
+        kinds = [np.flatnonzero(plain), np.flatnonzero(~plain)]
+        parts = [get([chunks[i] for i in own]) for get, own in zip((self._word_ids, self._joined_ids), kinds, strict=True) if len(own)]
+        order = np.argsort(np.concatenate(kinds))
+        counts = np.concatenate([c for _, c in parts])
+        return np.concatenate([f for f, _ in parts])[ragged_index(offsets_of(counts)[:-1][order], counts[order])], counts[order]
+
+    def _word_ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for plain chunks, by the words of all of them: the separator has no ids, every word has some."""
+        self.words["\n"] = b""
+        packed = list(map(self.words.__getitem__, WORDS_IN("\n".join(chunks).lower())))
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed))
+        borders = np.flatnonzero(sizes == 0)
+        if len(borders) != len(chunks) - 1:
+            return self._joined_ids(chunks)
+        at = offsets_of(sizes)
+        edges = np.concatenate([[0], at[borders], at[-1:]])
+        return np.frombuffer(b"".join(packed), self.width), np.diff(edges) // np.dtype(self.width).itemsize
 
     def _joined_ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The same from the whole tokenizer: some chunks a call, told apart by where their tokens begin."""
@@ -136,7 +141,7 @@ class ChunkTokenizer:
         had = len(self.rows)
         rows = [list(map(self.rows.__getitem__, t.replace("\n", " ").split(" "))) for t in texts]
         if len(self.rows) > had:
-            new, lengths = self._chunk_ids(list(self.rows)[had:])
+            new, lengths = self._chunk_ids(list(islice(self.rows, had, None)))
             self.at = np.concatenate([self.at, np.cumsum(lengths) + len(self.flat)])
             self.flat = np.concatenate([self.flat, new])
         counts = np.array([len(r) for r in rows], np.int64)
@@ -169,8 +174,8 @@ HIDDEN = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
 BYTE_ALPHABET = {b: 256 + i for i, b in enumerate(HIDDEN)}
 #: Printable Latin-1 text without white space: always in NFC, and its lower case is the same for all libraries.
 PLAIN = re.compile("[!-~\u00a1-\u00ff]*").fullmatch
-#: The word pattern of the tokenizer (see `by_chunk`) for lower-case Latin-1.
-WORDS_IN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼½¾]+").findall
+#: The word pattern of the tokenizer (see `by_chunk`) for lower-case Latin-1; a line feed stands by itself.
+WORDS_IN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼½¾\n]+|\n").findall
 
 
 @functools.lru_cache(maxsize=2)
