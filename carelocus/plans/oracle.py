@@ -818,6 +818,23 @@ SELECT unique_id, {_finish_sql(f"list_transform({_json_strings_sql('procedure')}
 register("standardize_equipment", f"""
 SELECT unique_id, {_finish_sql(f"list_transform({_json_strings_sql('equipment')}, lambda t: {_EQ_ONE})")}
   AS standardized_equipment FROM raw_terms""", "raw_terms")
+cte("dictionary_rows", [], """
+  SELECT lower(p_name) AS g, upper(p_name) || '|' || min(p_type) AS name, false AS excluded FROM part GROUP BY p_name
+  UNION ALL
+  SELECT DISTINCT lower(string_split(p_name, ' ')[-1]), upper(string_split(p_name, ' ')[-1]), string_split(p_name, ' ')[-1] = 'bolt' FROM part""")
+cte("dictionary_terms", [], """
+  SELECT p_partkey, unnest([0, 1, 2, 3]) AS pos, lower(unnest([p_name || ' unit', p_type, 'Spare ' || string_split(p_name, ' ')[-1], 'old ' || p_name])) AS term
+  FROM part""")
+cte("dictionary_matches", ["dictionary_rows", "dictionary_terms"], """
+  SELECT p_partkey, pos, term, name, excluded, row_number() OVER (PARTITION BY p_partkey, pos ORDER BY
+    len(string_split(g, ' ')) DESC NULLS LAST, instr(' ' || term || ' ', ' ' || g || ' '), g) AS rn
+  FROM dictionary_terms LEFT JOIN dictionary_rows ON contains(' ' || term || ' ', ' ' || g || ' ')""")
+cte("dictionary_names", ["dictionary_matches"], """
+  SELECT p_partkey, coalesce(name, upper(term)) AS name, min(pos) AS pos FROM dictionary_matches
+  WHERE rn = 1 AND NOT coalesce(excluded, false) GROUP BY ALL""")
+register("standardize_dictionary", """
+SELECT CAST(p_partkey AS VARCHAR) AS unique_id, coalesce(names, '[]') AS names
+FROM part LEFT JOIN (SELECT p_partkey, to_json(list(name ORDER BY pos))::VARCHAR AS names FROM dictionary_names GROUP BY p_partkey) USING (p_partkey)""", "dictionary_names")
 cte("enriched", ["raw_terms"], "SELECT a.*, b.standardized_services AS svc, c.standardized_equipment AS eq, CASE WHEN json_valid(r.capability) THEN r.capability END AS cap "
     "FROM (" + _FINAL["standardize_specialties"] + ") a JOIN (" + _FINAL["standardize_services"] + ") b USING (unique_id) JOIN ("
     + _FINAL["standardize_equipment"] + ") c USING (unique_id) JOIN raw_terms r USING (unique_id)")

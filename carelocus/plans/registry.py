@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carelocus.functions.geo import haversine_km
+from carelocus.operators import dictionary as dic
 from carelocus.operators import index as idx
 from carelocus.operators import location as loc
 from carelocus.operators import nearest as nn
@@ -423,6 +424,11 @@ def _standardize_equipment(spark, sf):
     return en.standardize_equipment(fx.raw_terms(spark, sf))
 
 
+@query("standardize_dictionary")
+def _standardize_dictionary(spark, sf):
+    return dic.standardize_terms(fx.part_terms(spark, sf), fx.part_dictionary(spark, sf), "part", "terms", "names", unknown=F.upper)
+
+
 @query("enriched_index")
 def _enriched_index(spark, sf):
     return idx.build_enriched_index(fx.facilities(spark, sf), fx.raw_terms(spark, sf), location(spark, sf))

@@ -333,3 +333,19 @@ def raw_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k % 29 == 0, F.lit(None).cast("string"))
         .otherwise(cap_obj).alias("capability"),
     )
+
+
+def part_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw term lists for a dictionary of the user's own: each part's name in a longer term, its type, its kind alone."""
+    kind = F.element_at(F.split("p_name", " "), -1)
+    terms = F.array(F.concat("p_name", F.lit(" unit")), F.col("p_type"), F.concat(F.lit("Spare "), kind), F.concat(F.lit(" old  "), "p_name"))
+    return read_table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("unique_id"), F.to_json(terms).alias("terms"))
+
+
+def part_dictionary(spark: SparkSession, sf: str) -> DataFrame:
+    """Term dictionary of the parts: whole names with a type as category, and kinds alone, of which "bolt" is excluded."""
+    parts = read_table(spark, sf, "part")
+    names = parts.groupBy("p_name").agg(F.min("p_type").alias("category")).select(F.col("p_name").alias("variant"), "category", F.lit(False).alias("excluded"))
+    kind = F.element_at(F.split("p_name", " "), -1)
+    kinds = parts.select(kind.alias("variant")).distinct().select("variant", F.lit(None).cast("string").alias("category"), (F.col("variant") == "bolt").alias("excluded"))
+    return names.unionByName(kinds).select(F.lit("part").alias("kind"), "variant", F.upper("variant").alias("canonical"), "category", "excluded")
