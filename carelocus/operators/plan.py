@@ -127,8 +127,9 @@ def clamp_radius(r: Column) -> Column:
 
 
 def fallback_plan(searches: DataFrame, text_col: str = "query",
-                  default_radius_km: int = dims.RADIUS_DEFAULT_KM, match: str = "substring") -> DataFrame:
-    """H1-H9: the rule-based plan of every search (all input columns kept).
+                  default_radius_km: int = dims.RADIUS_DEFAULT_KM, match: str = "substring",
+                  keyword_limit: int = dims.KEYWORD_LIMIT) -> DataFrame:
+    """H1-H9: the rule-based plan of every search (all input columns kept), with at most `keyword_limit` keywords.
 
     Intermediate values (lower-cased text, cities found, need found, city
     words, base keywords, intent flags) are staged as columns so that each is
@@ -141,14 +142,14 @@ def fallback_plan(searches: DataFrame, text_col: str = "query",
         .withColumn("_need", resolve_care_need(ql, match))
         .withColumn("_cw", city_words(ql, match))
         .withColumn("_kw", clean_term_list(F.concat(F.coalesce(need["keywords"], _empty()),
-                                                    clean_query_tokens(ql, F.col("_cw")))))
+                                                    clean_query_tokens(ql, F.col("_cw"))), keyword_limit))
         .withColumn("_inj", contains_any(ql, dims.INJURY_WORDS) & contains_any(ql, dims.LIMB_WORDS))
         .withColumn("_surg", contains_any(ql, dims.SURGERY_TRIGGERS))
     )
     inj, surg, kw = F.col("_inj"), F.col("_surg"), F.col("_kw")
     keywords = (
-        F.when(inj, clean_term_list(F.concat(lit_array(dims.ORTHOPEDIC_PLAN_KEYWORDS), kw)))
-        .when(surg, clean_term_list(F.concat(lit_array(dims.SURGICAL_KEYWORDS), kw)))
+        F.when(inj, clean_term_list(F.concat(lit_array(dims.ORTHOPEDIC_PLAN_KEYWORDS), kw), keyword_limit))
+        .when(surg, clean_term_list(F.concat(lit_array(dims.SURGICAL_KEYWORDS), kw), keyword_limit))
         .otherwise(kw)
     )
     need_name = (
@@ -251,7 +252,8 @@ def response_radius(v: Column) -> tuple[Column, Column]:
 
 
 def merge_plans(searches: DataFrame, responses: DataFrame, text_col: str = "query",
-                default_radius_km: int = dims.RADIUS_DEFAULT_KM, match: str = "substring") -> DataFrame:
+                default_radius_km: int = dims.RADIUS_DEFAULT_KM, match: str = "substring",
+                keyword_limit: int = dims.KEYWORD_LIMIT) -> DataFrame:
     """Combine model planner responses with the rule-based plan.
 
     `responses(search_id, response)`; a search without a readable response
@@ -262,7 +264,7 @@ def merge_plans(searches: DataFrame, responses: DataFrame, text_col: str = "quer
     cleaned again; the model radius is clamped.
     """
     keep_last_of_repeated_keys(searches.sparkSession)
-    fb = fallback_plan(searches, text_col, default_radius_km, match)
+    fb = fallback_plan(searches, text_col, default_radius_km, match, keyword_limit)
     # Of several responses to one search the first in text order counts.
     one = responses.groupBy("search_id").agg(F.min("response").alias("response"))
     r = one.select("search_id", parse_response(F.col("response")).alias("_v"))
@@ -285,7 +287,7 @@ def merge_plans(searches: DataFrame, responses: DataFrame, text_col: str = "quer
         "longitude": F.when(take_given, known["lon"]).otherwise(F.col("longitude")),
         "care_need": F.coalesce(truthy_text(v, "$.care_need"), F.col("care_need")),
         "keywords": clean_terms(F.concat(_list(v, "$.keywords"), _list(v, "$.must_have"),
-                                         _list(v, "$.nice_to_have"), F.col("keywords"))),
+                                         _list(v, "$.nice_to_have"), F.col("keywords")), keyword_limit),
         "preferences": clean_terms(F.concat(_list(v, "$.preferences"), F.col("preferences")),
                                    dims.PREFERENCE_LIMIT),
         "radius_km": clamp_radius(F.coalesce(F.col("_radius"), F.lit(float(default_radius_km)))),

@@ -51,10 +51,12 @@ class MatchOptions:
     humanize_specialties   match 'critical care' in 'criticalCareMedicine' (D20)
     strip_service_category do not let 'surgery' hit every 'Name|Surgery' service (D21)
     search_equipment       also search the standardized equipment column (D24)
+    keyword_limit          keywords of a plan that are searched for (D19)
     """
     humanize_specialties: bool = False
     strip_service_category: bool = False
     search_equipment: bool = False
+    keyword_limit: int = dims.KEYWORD_LIMIT
 
 
 DEFAULT_MATCH = MatchOptions()
@@ -152,12 +154,12 @@ def orthopedic_intent(care_need: Column, keywords: Column) -> Column:
     return contains_any(text, dims.ORTHOPEDIC_INTENT_TERMS)
 
 
-def distinct_plans(plans: DataFrame) -> DataFrame:
+def distinct_plans(plans: DataFrame, keyword_limit: int = dims.KEYWORD_LIMIT) -> DataFrame:
     """One row per runnable plan; plan_id = smallest search_id using it."""
     ok = plans.filter(F.col("status") == "ok")
     return (
         ok.groupBy(*PLAN_KEY).agg(F.min("search_id").alias("plan_id"))
-        .withColumn("search_terms", clean_terms(F.col("keywords")))
+        .withColumn("search_terms", clean_terms(F.col("keywords"), keyword_limit))
         .withColumn("orthopedic", orthopedic_intent(F.col("care_need"), F.col("keywords")))
     )
 
@@ -312,7 +314,7 @@ def scored_candidates(plans: DataFrame, index: DataFrame, cell_degrees: float =
                       opts: MatchOptions = DEFAULT_MATCH, handoff: Handoff | None = None) -> tuple[DataFrame, DataFrame]:
     """The distinct plans (stored) and every candidate in radius with its score."""
     handoff = handoff or Handoff(plans.sparkSession)
-    dplans = handoff.store(distinct_plans(plans), "plans")
+    dplans = handoff.store(distinct_plans(plans, opts.keyword_limit), "plans")
     found = search_candidates(dplans, index, cell_degrees, opts=opts, handoff=handoff)
     return dplans, apply_threshold(within_radius(found))
 

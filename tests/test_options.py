@@ -51,3 +51,20 @@ def test_match_options(spark):
     assert _hits(spark, index, ["surgery"], sr.MatchOptions(strip_service_category=True)) == 0
     assert _hits(spark, index, ["ct scanner"]) == 0
     assert _hits(spark, index, ["ct scanner"], sr.MatchOptions(search_equipment=True)) == 1
+
+
+def test_keyword_limit(spark):
+    words = [f"{a}{b}therapy" for a in "abcde" for b in "klmno"]
+    s = spark.createDataFrame([(1, "surgery " + " ".join(words) + " in jaipur"), (2, "dialysis in jaipur")], "search_id long, query string")
+    responses = spark.createDataFrame([(2, '{"keywords": ["%s"]}' % '", "'.join(words))], "search_id long, response string")
+    sizes = {}
+    for limit in (4, 16, 40):
+        rules = {r.search_id: r.keywords for r in pl.fallback_plan(s, keyword_limit=limit).collect()}
+        plans = pl.with_status(pl.merge_plans(s, responses, keyword_limit=limit))
+        merged = {r.search_id: r for r in plans.collect()}
+        terms = {r.plan_id: r.search_terms for r in sr.distinct_plans(plans, limit).collect()}
+        assert len(rules[1]) == len(merged[1].keywords) and terms[2] == merged[2].keywords
+        assert merged[2].keywords[:4] == words[:4]
+        sizes[limit] = (len(rules[1]), len(merged[2].keywords))
+    assert sizes[4] == (4, 4) and sizes[16] == (16, 16) and min(sizes[40]) >= 25
+    assert [r.keywords for r in pl.fallback_plan(s).orderBy("search_id").collect()] == [r.keywords for r in pl.fallback_plan(s, keyword_limit=16).orderBy("search_id").collect()]
