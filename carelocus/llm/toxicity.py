@@ -1,18 +1,24 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two bigram models, one of toxic and one of ordinary text, discount their own counts and back off to their own
-discounted unigrams and from there to counts that both classes share (Kneser-Ney: a word's backoff count is what
-the discount took from it). A word or expression that is too rare to tell the classes apart therefore gets nearly
-the same probability from both, and log ratios near 0 are shrunk smoothly, so a rarer expression counts less but no
-expression above the discount counts for nothing. Counts are numbers of texts, so a text that repeats a word does not outweigh
-many that share one. A text's evidence is the difference of the two log-likelihoods per expression; a logistic curve fitted on labelled texts the models have not
-seen, weighted to the classes' true sizes, turns it into a score.
-
-The fit takes a bounded sample of labelled rows, as many of either class: the `rows_per_class` rows of each class with the smallest hash
-of their id, those of more than `max_row_chars` characters left out of the sample (never out of scoring). So the
-model has at most 2 x rows_per_class x max_row_chars / 2 tokens, whatever the corpus; n-grams seen once are not
-kept, their mass goes to the backoff. The sample's ids are broadcast (at most 2 x rows_per_class), its texts are
-read in one pass.
+Two bigram models, one of toxic and one of ordinary text. Each interpolates, with the absolute discount estimated from
+its counts of counts, its own pairs with its own continuation counts (in how many pairs of the class a word comes
+second), and these with continuation counts that both classes share; what is left goes to unknown words. So a word
+that is rare in both classes gets its probability from the shared counts.
+
+The models are then pruned as n-gram models are: an expression keeps probabilities of its own only if its split over
+the classes departs from its backoff's. A word's backoff is the shared model, so its split is that of the texts; a
+pair's is that of its second word. The departure is a likelihood ratio (G) of numbers of texts, so that a text that
+repeats a word does not outweigh many that share one. Other words and pairs back off, with the factor that makes all
+probabilities of a history sum to 1. The level of departure is one of `LEVELS` by its loss on labelled texts that the
+models have not seen.
+
+A text's evidence is the difference of the two log-likelihoods per word, all occurrences counted; a logistic curve
+fitted on those unseen texts, weighted to the classes' true sizes, turns it into a score.
+
+The fit takes a bounded sample of labelled rows: of each class the `rows_per_class` rows with the smallest hash of
+their id, those of more than `max_row_chars` characters left out, and of these as many as have `class_chars`
+characters together (never are rows left out of scoring). Counting is distributed; only the kept expressions come to
+the driver and go to the tasks. The sample's ids are broadcast (at most 2 x rows_per_class).
 
 Cases: null and empty texts have evidence 0; very long texts are scored whole; equal texts get equal scores; a
 null label counts as unlabelled, of several labels of one document the greatest counts; without labels of both
@@ -25,11 +31,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,15 +44,14 @@ from carelocus.llm.common import field, fold, hold, map_arrow, offsets_of, store
 
 ROWS_PER_CLASS = 4000
 MAX_ROW_CHARS = 100_000
+CLASS_CHARS = 8_000_000
 FOLDS = 5
 #: Every so many-th sampled row (by hash) fits the curve instead of the models.
 CURVE_PART = 4
-#: Absolute discounts to choose from, by their loss on the rows of the curve: expressions up to so frequent in a
-#: class go through the shared counts alone.
-DISCOUNTS = (2.0, 3.0, 5.0)
-#: Log ratios near 0 are mostly sampling noise (other shares of languages and topics in the two samples). Each keeps
-#: a share of its weight that falls off smoothly: half at this ratio, never quite none.
-HALF_GAP, STEEPNESS = 1.8, 8
+#: Departures (G, one degree of freedom) that chance reaches with odds of 1 %, 0.1 % and 0.01 %.
+LEVELS = (6.63, 10.83, 15.14)
+#: In place of the word before: at the start of a text, and in rows that count the texts of a word.
+START, TEXTS = -1, -2
 WORD = re.compile(r"[^\W_]+")
 CACHED_WORDS = 300_000
 
@@ -82,71 +88,99 @@ def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return ((mixed ^ (mixed >> np.uint64(29))) >> np.uint64(1)).astype(np.int64)
 
 
-def smoothed(gap: np.ndarray, half: float) -> np.ndarray:
-    power = np.abs(gap) ** STEEPNESS
-    return gap * power / (power + half**STEEPNESS)
-
-
 def expressions(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word before or -1 at the start, word, text) of the expressions of each text, each once: words that a text
-    repeats would else weigh more than words that many texts share."""
+    """(word before or START, word, text) of all words of the texts."""
     h, at = word_hashes(texts)
     text = np.repeat(np.arange(len(texts)), np.diff(at))
-    first = np.concatenate([[np.int64(-1)], h[:-1]]) if len(h) else h
-    first[at[:-1][np.diff(at) > 0]] = -1
-    key = pair_hash(pair_hash(first, h), text)
-    once = np.sort(np.unique(key, return_index=True)[1])
-    return first[once], h[once], text[once]
+    first = np.concatenate([[np.int64(START)], h[:-1]]) if len(h) else h
+    first[at[:-1][np.diff(at) > 0]] = START
+    return first, h, text
+
+
+def departure(a: Column, b: Column, of_a: Column, of_b: Column) -> Column:
+    """G of the split (a, b) against the split of (of_a, of_b), of which a and b are parts."""
+    share_a, share_b = of_a / (of_a + of_b), of_b / (of_a + of_b)
+
+    def side(x: Column, y: Column) -> Column:
+        def part(k: Column, share: Column) -> Column:
+            return F.when(k > 0, k * F.log(k / ((x + y) * share))).otherwise(0.0)
+
+        return part(x, share_a) + part(y, share_b)
+
+    return 2 * (side(a, b) + side(of_a - a, of_b - b))
+
+
+def discount(once: int, twice: int) -> float:
+    """The absolute discount by counts of counts; 0.5 where they are too few to tell."""
+    return once / (once + 2 * twice) if once and twice else 0.5
+
+
+class Counts(NamedTuple):
+    """What the models keep of the sample. Class columns are ordinary, toxic. `words`: word, continuations by class
+    and shared, departure. `pairs`: word before, word, continuations of the word by class and shared and its
+    departure, occurrences by class, occurrences and discounted mass of the history by class, departure."""
+
+    words: np.ndarray
+    pairs: np.ndarray
+    vocabulary: int
+    total: np.ndarray  # continuations by class and shared
+    mass: np.ndarray  # what the discounts take from them
+    word_discount: np.ndarray
+    pair_discount: np.ndarray
 
 
 class ClassModels:
     """Differences of the two models' log probabilities, by word and word pair."""
 
-    def __init__(self, grams: pa.Table, discount: float, half_gap: float = HALF_GAP):
-        """`grams`: first word (-1: unigram), word, count in ordinary text, count in toxic text; one row each."""
-        first, word = (grams.column(c).to_numpy() for c in ("first", "word"))
-        counts = np.stack([grams.column(c).to_numpy() for c in ("ordinary", "toxic")], 1).astype(float)
-        one = first < 0
-        order = np.argsort(word[one])
-        self.words, uni = word[one][order], counts[one][order]
-        first, second, both = first[~one], word[~one], counts[~one]
-        vocabulary = len(self.words)
-        totals = np.maximum(uni.sum(0), 1.0)
-        # Shared backoff: what the discount takes from a word in either class. As continuation counts do, it makes
-        # the discounted models keep the words' shares, and a word that is rare in both classes tells nothing.
-        taken = np.minimum(uni, discount).sum(1)
-        shared = (taken + 0.01) / (taken.sum() + 0.01 * (vocabulary + 1))
-        own = np.maximum(uni - discount, 0.0)
-        spare = np.maximum(1 - own.sum(0) / totals, 1e-6)
-        p_word = own / totals + spare * shared[:, None]
-        self.word_gap = smoothed(np.log(p_word[:, 1] / p_word[:, 0]), half_gap)
-        kept = both.max(1) > discount  # other pairs back off to their word in both models
-        first, second, both = first[kept], second[kept], both[kept]
-        head = np.searchsorted(self.words, first)
-        history = np.maximum(uni, np.stack([np.bincount(head, both[:, c], vocabulary) for c in (0, 1)], 1)) + 0.01
-        cut = np.maximum(both - discount, 0.0)
-        mass = np.maximum(history - np.stack([np.bincount(head, cut[:, c], vocabulary) for c in (0, 1)], 1), 0.01)
-        # The same backoff within a history: what the discount took from its pairs, shared by the classes.
-        shared = np.minimum(both, discount).sum(1) / mass.sum(1)[head]
-        p_pair = (cut + mass[head] * shared[:, None]) / history[head]
-        keys = pair_hash(first, second)
+    def __init__(self, counts: Counts, level: float):
+        self.counts, total, mass = counts, np.maximum(counts.total, 1e-9), counts.mass
+        keep = counts.words["g"] > level
+        kept = counts.words[keep]
+        own, shared = self.interpolated(kept, total, mass)
+        #: Factor of the shared probability for all words that are not kept.
+        self.factor = (1 - own.sum(0)) / (1 - shared.sum())
+        order = np.argsort(kept["word"])
+        self.words, self.p_word = kept["word"][order], own[order]
+        pairs = counts.pairs[counts.pairs["g"] > level]
+        own, shared = self.interpolated(pairs, total, mass)
+        p_word = np.where((pairs["word_g"] > level)[:, None], own, shared[:, None] * self.factor)
+        seen, spare, history = (np.stack([pairs[c + "_0"], pairs[c + "_1"]], 1).astype(float) for c in ("seen", "spare", "history"))
+        # A history that a class has not seen leaves all to the class's words.
+        known = history > 0
+        p_pair = np.where(known, np.maximum(seen - counts.pair_discount, 0) + spare * p_word, p_word) / np.where(known, history, 1)
+        self.heads, at = np.unique(pairs["first"], return_inverse=True)
+        left = [1 - np.stack([np.bincount(at, p[:, c], len(self.heads)) for c in (0, 1)], 1) for p in (p_pair, p_word)]
+        #: Factor of the words' probabilities after a history, for pairs that are not kept.
+        self.head_factor = left[0] / left[1]
+        keys = pair_hash(pairs["first"], pairs["word"])
         order = np.argsort(keys)
-        self.pairs, self.pair_gap = keys[order], smoothed(np.log(p_pair[:, 1] / p_pair[:, 0]), half_gap)[order]
+        self.pairs, self.p_pair = keys[order], p_pair[order]
+
+    def interpolated(self, rows: np.ndarray, total: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(probability by class, shared probability) of each row's word."""
+        n, d = self.counts.vocabulary, self.counts.word_discount
+        shared = (np.maximum(rows["after"] - d[2], 0) + mass[2] / (n + 1)) / total[2]
+        own = np.stack([np.maximum(rows[f"after_{c}"] - d[c], 0) / total[c] + (mass[c] / total[c] if self.counts.total[c] else 1.0) * shared for c in (0, 1)], 1)
+        return own, shared
 
     def evidence(self, texts: list[str]) -> np.ndarray:
-        """Toxic minus ordinary log-likelihood per expression of each text."""
+        """Toxic minus ordinary log-likelihood per word of each text."""
         first, word, text = expressions(texts)
-        if not len(word) or not len(self.words):
+        if not len(word):
             return np.zeros(len(texts))
-        spot = np.minimum(np.searchsorted(self.words, word), len(self.words) - 1)
-        gap = np.where(self.words[spot] == word, self.word_gap[spot], 0.0)  # unknown words have the shared probability
-        if len(self.pairs):
-            keys = pair_hash(first, word)
-            place = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
-            gap = np.where((first >= 0) & (self.pairs[place] == keys), self.pair_gap[place], gap)
+        gap = np.full(len(word), gap_of(self.factor))
+        for keys, wanted, values in ((self.words, word, gap_of(self.p_word)), (self.heads, first, gap_of(self.head_factor)), (self.pairs, pair_hash(first, word), gap_of(self.p_pair))):
+            if len(keys):
+                spot = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                found = keys[spot] == wanted
+                gap = np.where(found, values[spot] + (gap if keys is self.heads else 0.0), gap)
         return np.bincount(text, gap, len(texts)) / np.maximum(np.bincount(text, minlength=len(texts)), 1)
 
 
+def gap_of(p: np.ndarray) -> np.ndarray:
+    return np.log(p[..., 1] / p[..., 0])
+
+
 def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 50) -> tuple[float, float]:
     """Weighted logistic regression of y on x with a small ridge; (slope, intercept) on the scale of x."""
     mid, wide = float(np.average(x, weights=weight)), float(x.std()) or 1.0
@@ -161,39 +195,78 @@ def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 50)
     return float(b[0] / wide), float(b[1] - b[0] * mid / wide)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, rows_per_class: int, max_row_chars: int) -> tuple[ClassModels, float, float] | None:
-    known = labels.select(F.col(id_col).alias("_id"), F.col("toxic").cast("int").alias("_toxic")).filter(F.col("_id").isNotNull() & F.col("_toxic").isin(0, 1) & (fold("_id", FOLDS) != 0))
-    known = known.groupBy("_id").agg(F.max("_toxic").alias("_toxic")).withColumn("_order", F.xxhash64("_id"))
-    sizes = {r["_toxic"]: r["count"] for r in known.groupBy("_toxic").count().collect()}  # two rows
-    if len(sizes) < 2:
-        return None
-    rows_per_class = min(rows_per_class, *sizes.values())  # as many of either class: both models discount alike
+def sampled(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, rows_per_class: int, max_row_chars: int, class_chars: int) -> DataFrame:
+    """(_id, _text, _toxic, _curve) of the rows to learn from."""
     pick = known.filter("_toxic = 0").orderBy("_order", "_id").limit(rows_per_class).unionByName(known.filter("_toxic = 1").orderBy("_order", "_id").limit(rows_per_class))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(F.length("_text") <= max_row_chars)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.length(text_col).alias("_chars")).filter(F.col("_chars") <= max_row_chars)
     part = (F.pmod(F.xxhash64(F.col("_id"), F.lit(1)), F.lit(CURVE_PART)) == 0).alias("_curve")
-    sample = stored(rows.join(F.broadcast(pick), "_id").select("_id", "_text", "_toxic", part), "toxicity-sample")
+    sample = stored(rows.join(F.broadcast(pick), "_id").select("_id", "_text", "_toxic", "_order", "_chars", part), "toxicity-sample")
+    # Sizes alone, a few thousand rows a class; rows of one id stay together.
+    so_far = F.sum("_chars").over(Window.partitionBy("_toxic").orderBy("_order", "_id"))
+    inside = sample.select("_id", "_toxic", "_order", "_chars").withColumn("_so_far", so_far).filter(F.col("_so_far") <= class_chars).select("_id").distinct()
+    return sample.join(F.broadcast(inside), "_id", "left_semi").select("_id", "_text", "_toxic", "_curve")
+
+
+def counted(sample: DataFrame, level: float) -> Counts:
+    """The counts of expressions of `sample` (_text, _toxic) that depart by more than `level` from their backoff."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("toxicity", forget)
         for piece, texts in text_slices(batches, "_text", 1 << 22):
             before, own, text = expressions(texts)
-            label = np.array(piece.column(1).to_pylist(), np.int64)
-            # Each word once a text as well.
+            toxic = np.array(piece.column(1).to_pylist(), np.int64)
+            # One row for each pair of a text with its occurrences, and one for each word of a text.
+            _, pair, times = np.unique(pair_hash(pair_hash(before, own), text), return_index=True, return_counts=True)
             _, one = np.unique(pair_hash(own, text), return_index=True)
-            k = np.flatnonzero(before >= 0)
-            first = np.concatenate([np.full(len(one), -1, np.int64), before[k]])
-            word, label = np.concatenate([own[one], own[k]]), label[np.concatenate([text[one], text[k]])]
-            yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(word), pa.array(1 - label), pa.array(label)], names=["first", "word", "ordinary", "toxic"])
-
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("first", "word", "ordinary", "toxic")])
-    grams = map_arrow(sample.filter("not _curve").select("_text", "_toxic"), count, schema).groupBy("first", "word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-    # Words seen once stay unknown; a pair needs both its words.
-    grams = grams.filter("ordinary + toxic > 1")
-    table = grams.toArrow()  # bounded by the sample
-    words = np.sort(table.column("word").to_numpy()[table.column("first").to_numpy() < 0])
-    first, word = table.column("first").to_numpy(), table.column("word").to_numpy()
-    inside = (first < 0) | (np.isin(first, words) & np.isin(word, words))
-    models = [ClassModels(table.filter(pa.array(inside)), d) for d in DISCOUNTS]
+            first, word = np.concatenate([before[pair], np.full(len(one), TEXTS, np.int64)]), np.concatenate([own[pair], own[one]])
+            seen, label = np.concatenate([times, np.ones(len(one), np.int64)]), toxic[np.concatenate([text[pair], text[one]])]
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (first, word, seen * (1 - label), seen * label, 1 - label, label)], names=schema.names)
+
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("first", "word", "seen_0", "seen_1", "texts_0", "texts_1")])
+    grams = map_arrow(sample.select("_text", "_toxic"), count, schema).groupBy("first", "word").agg(*[F.sum(c).alias(c) for c in schema.names[2:]])
+    grams = stored(grams, "toxicity-grams")
+    pairs = grams.filter(F.col("first") != TEXTS)
+    after = pairs.groupBy("word").agg(F.count_if(F.col("seen_0") > 0).alias("after_0"), F.count_if(F.col("seen_1") > 0).alias("after_1"), F.count("*").alias("after"))
+    size = sample.agg(F.count_if(F.col("_toxic") == 0).alias("n0"), F.count_if(F.col("_toxic") == 1).alias("n1")).first()
+    words = after.join(grams.filter(F.col("first") == TEXTS).select("word", "texts_0", "texts_1"), "word")
+    n0, n1 = (F.lit(float(size[c])) for c in ("n0", "n1"))
+    words = stored(words.withColumn("g", departure(F.col("texts_0"), F.col("texts_1"), n0, n1)), "toxicity-words")
+
+    def rare(df: DataFrame, columns: list[str]) -> np.ndarray:
+        row = df.agg(*[F.count_if(F.col(c) == k).alias(f"{c}_is_{k}") for c in columns for k in (1, 2)]).first()
+        return np.array([discount(row[f"{c}_is_1"], row[f"{c}_is_2"]) for c in columns])
+
+    three = ["after_0", "after_1", "after"]
+    word_discount, pair_discount = rare(words, three), rare(pairs, ["seen_0", "seen_1"])
+    sums = words.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in three], *[F.sum(F.least(F.col(c).cast("double"), F.lit(d))).alias("mass_" + c) for c, d in zip(three, word_discount.tolist(), strict=True)]).first()
+    heads = pairs.groupBy("first").agg(
+        *[F.sum(f"seen_{c}").cast("double").alias(f"history_{c}") for c in (0, 1)], *[F.sum(F.least(F.col(f"seen_{c}").cast("double"), F.lit(float(pair_discount[c])))).alias(f"spare_{c}") for c in (0, 1)]
+    )
+    of_word = words.select("word", *three, F.col("g").alias("word_g"), F.col("texts_0").alias("w0"), F.col("texts_1").alias("w1"))
+    apart = pairs.join(of_word, "word").withColumn("g", departure(F.col("texts_0"), F.col("texts_1"), F.col("w0"), F.col("w1"))).filter(F.col("g") > level)
+    apart = apart.join(heads, "first")
+
+    def records(df: DataFrame, ids: list[str], numbers: list[str]) -> np.ndarray:
+        table = df.select(*ids, *[F.col(c).cast("double").alias(c) for c in numbers]).toArrow()  # bounded by the sample
+        out = np.zeros(table.num_rows, [(c, np.int64) for c in ids] + [(c, np.float64) for c in numbers])
+        for c in ids + numbers:
+            out[c] = table.column(c).to_numpy()
+        return out
+
+    kept = records(words.filter(F.col("g") > level), ["word"], [*three, "g"])
+    numbers = [*three, "word_g", "seen_0", "seen_1", "history_0", "history_1", "spare_0", "spare_1", "g"]
+    return Counts(kept, records(apart, ["first", "word"], numbers), sums["n"], np.array([sums[c] or 0 for c in three], float), np.array([sums["mass_" + c] or 0 for c in three], float), word_discount, pair_discount)
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, rows_per_class: int, max_row_chars: int, class_chars: int) -> tuple[ClassModels, float, float] | None:
+    known = labels.select(F.col(id_col).alias("_id"), F.col("toxic").cast("int").alias("_toxic")).filter(F.col("_id").isNotNull() & F.col("_toxic").isin(0, 1) & (fold("_id", FOLDS) != 0))
+    known = known.groupBy("_id").agg(F.max("_toxic").alias("_toxic")).withColumn("_order", F.xxhash64("_id"))
+    sizes = {r["_toxic"]: r["count"] for r in known.groupBy("_toxic").count().collect()}  # two rows
+    if len(sizes) < 2:
+        return None
+    sample = stored(sampled(docs, known, id_col, text_col, rows_per_class, max_row_chars, class_chars), "toxicity-sample")
+    counts = counted(sample.filter("not _curve"), LEVELS[0])
+    models = [ClassModels(counts, x) for x in LEVELS]
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("toxicity", forget)
@@ -217,11 +290,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, rows_per
     return best[1:]
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_class: int = ROWS_PER_CLASS, max_row_chars: int = MAX_ROW_CHARS, key_col: str | None = None) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_class: int = ROWS_PER_CLASS, max_row_chars: int = MAX_ROW_CHARS, class_chars: int = CLASS_CHARS, key_col: str | None = None) -> DataFrame:
     """(id, held_out, score, predicted, evidence) of every text. `labels` holds the id and `toxic` (0 or 1). With
     `key_col`, that column stands in place of the id in the result."""
     key_col = key_col or id_col
-    model = fit(docs, labels, id_col, text_col, rows_per_class, max_row_chars)
+    model = fit(docs, labels, id_col, text_col, rows_per_class, max_row_chars, class_chars)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     schema = T.StructType([field(docs, key_col), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", T.DoubleType())])

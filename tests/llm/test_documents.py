@@ -1,11 +1,11 @@
 import itertools
 import math
+import random
 import re
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
-import pyarrow as pa
 import pytest
 from odd_rows import nothing, odd  # noqa: F401
 
@@ -103,17 +103,91 @@ def test_toxicity(spark, odd, nothing):
     assert toxicity.toxicity(nothing, labels).count() == 0
 
 
-@pytest.mark.parametrize("discount", toxicity.DISCOUNTS)
-def test_rare_toxic_words_count(discount):
-    """Words of toxic texts alone weigh more the more texts hold them, and none above the discount weighs nothing."""
-    rows = [(-1, w, 200, 200) for w in range(50)] + [(-1, 100 + c, 0, c) for c in range(2, 31)]
-    first, word, ordinary, toxic = zip(*rows, strict=True)
-    model = toxicity.ClassModels(pa.table({"first": first, "word": word, "ordinary": ordinary, "toxic": toxic}), discount)
-    gaps = [model.word_gap[model.words.tolist().index(100 + c)] for c in range(2, 31)]
-    assert all(g > 0 for c, g in zip(range(2, 31), gaps, strict=True) if c > discount)
-    assert all(-1e-9 < b - a < 0.9 for a, b in itertools.pairwise(gaps))  # a cut steps by 1.8
-    assert gaps[-1] > 1
-    assert abs(model.word_gap[0]) < 0.01
+def plain_kneser_ney(rows, level):
+    """(p, words, heads): p(c, word before or None, word or "?") of the pruned models, counted and summed plainly."""
+    split = [(re.findall(r"[^\W_]+", t.lower()), y) for t, y in rows]
+    seen, texts, pair_texts = ([Counter(), Counter()] for _ in range(3))
+    for words, y in split:
+        pairs = list(zip([None, *words], words, strict=False))
+        seen[y].update(pairs)
+        texts[y].update(set(words))
+        pair_texts[y].update(set(pairs))
+    vocabulary, every = set(texts[0]) | set(texts[1]), set(seen[0]) | set(seen[1])
+    n = [sum(y == c for _, y in split) for c in (0, 1)]
+
+    def estimate(counts):
+        one, two = (sum(v == k for v in counts.values()) for k in (1, 2))
+        return one / (one + 2 * two) if one and two else 0.5
+
+    def g(part, whole):
+        total = 0
+        for xs in (part, [w - x for x, w in zip(part, whole, strict=True)]):
+            total += sum(x * math.log(x / (sum(xs) * w / sum(whole))) for x, w in zip(xs, whole, strict=True) if x)
+        return 2 * total
+
+    after = [Counter(w for _, w in seen[0]), Counter(w for _, w in seen[1]), Counter(w for _, w in every)]
+    d, d_pair = [estimate(x) for x in after], [estimate(x) for x in seen]
+    mass = [sum(min(x, d[c]) for x in after[c].values()) for c in range(3)]
+    shared = lambda w: (max(after[2][w] - d[2], 0) + mass[2] / (len(vocabulary) + 1)) / after[2].total()
+    own = lambda c, w: (max(after[c][w] - d[c], 0) + mass[c] * shared(w)) / after[c].total()
+    kept = [w for w in vocabulary if g([texts[0][w], texts[1][w]], n) > level]
+    factor = [(1 - sum(own(c, w) for w in kept)) / (1 - sum(shared(w) for w in kept)) for c in (0, 1)]
+    word = lambda c, w: own(c, w) if w in kept else factor[c] * shared(w)
+    apart = {e for e in every if g([pair_texts[0][e], pair_texts[1][e]], [texts[0][e[1]], texts[1][e[1]]]) > level}
+
+    def full(c, v, w):
+        history = {e: k for e, k in seen[c].items() if e[0] == v}
+        if not history:
+            return word(c, w)
+        return (max(seen[c][v, w] - d_pair[c], 0) + sum(min(k, d_pair[c]) for k in history.values()) * word(c, w)) / sum(history.values())
+
+    def p(c, v, w):
+        if (v, w) in apart:
+            return full(c, v, w)
+        mine = [x for h, x in apart if h == v]
+        return word(c, w) * (1 - sum(full(c, v, x) for x in mine)) / (1 - sum(word(c, x) for x in mine))
+
+    return p, vocabulary, kept, apart
+
+
+def test_toxicity_models(spark):
+    """Every probability of the pruned models against plain counting; those of a history sum to 1."""
+    draw = random.Random(5)
+    rows = []
+    for i in range(120):
+        words = [draw.choice("abcdefghij") + draw.choice("xyz") for _ in range(draw.randint(1, 30))]
+        if i % 3 == 0:
+            words += ["vile", draw.choice(["ax", "vile"]), "by", "cz"]
+        rows.append((" ".join(words), int(i % 3 == 0)))
+    rows += [("by cz", 0)] * 9
+    for level in (toxicity.LEVELS[0], 3.0):
+        p, vocabulary, kept, apart = plain_kneser_ney(rows, level)
+        assert kept and apart
+        for c in (0, 1):
+            for v in [None, "vile", "by", "?", *(h for h, _ in apart)]:
+                assert math.isclose(sum(p(c, v, w) for w in [*vocabulary, "?"]), 1)
+        model = toxicity.ClassModels(toxicity.counted(spark.createDataFrame(rows, "_text string, _toxic int"), level), level)
+        assert (len(model.words), len(model.pairs)) == (len(kept), len(apart))
+        gap = lambda v, w: math.log(p(1, v, w) / p(0, v, w))
+        texts = [t for t, _ in rows] + ["vile unknown vile by", "", "Unknown"]
+        for text, x in zip(texts, model.evidence(texts), strict=True):
+            words = [w if w in vocabulary else "?" for w in text.lower().split()]
+            assert math.isclose(x, sum(map(gap, [None, *words], words)) / max(1, len(words)), rel_tol=1e-9, abs_tol=1e-12)
+
+
+def test_toxicity_sample(spark):
+    """Of each class the rows of the smallest hashes, up to so many rows and characters."""
+    docs = spark.createDataFrame([(i, "w" * (1 + i % 7)) for i in range(200)], "doc_id long, text string")
+    known = docs.selectExpr("doc_id AS _id", "CAST(doc_id % 2 AS int) AS _toxic", "xxhash64(doc_id) AS _order")
+    order = sorted(known.collect(), key=lambda r: r._order)
+    got = {r._id for r in toxicity.sampled(docs, known, "doc_id", "text", 60, 6, 100).collect()}
+    for c in (0, 1):
+        want, so_far = set(), 0
+        for r in [r for r in order if r._toxic == c][:60]:
+            if r._id % 7 < 6:
+                so_far += 1 + r._id % 7
+                want |= {r._id} if so_far <= 100 else set()
+        assert want and want == {i for i in got if i % 2 == c}
 
 
 def brute_components(texts, k_words=4):
