@@ -16,12 +16,18 @@ def pincode_report(lookup: DataFrame) -> DataFrame:
 
 
 def nearest_report(nearest_complete: DataFrame) -> DataFrame:
-    """Facilities with coordinates, matched, unmatched and duplicate ids."""
-    return nearest_complete.agg(
-        F.count(F.lit(1)).alias("facilities_with_coordinates"),
-        F.count_if(F.col("coord_nearest_pincode").isNotNull()).alias("matched"),
-        F.count_if(F.col("coord_nearest_pincode").isNull()).alias("unmatched"),
-        F.round(F.max("coord_nearest_pin_distance_km"), 2).alias("max_distance_km"),
+    """Facilities with coordinates, matched, unmatched and duplicate ids (D11): partial sums by id, then of these."""
+    by_id = nearest_complete.groupBy("facility_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count("coord_nearest_pincode").alias("n_matched"),
+        F.max("coord_nearest_pin_distance_km").alias("farthest"),
+    )
+    return by_id.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("facilities_with_coordinates"),
+        F.coalesce(F.sum("n_matched"), F.lit(0)).alias("matched"),
+        F.coalesce(F.sum(F.col("n") - F.col("n_matched")), F.lit(0)).alias("unmatched"),
+        F.round(F.max("farthest"), 2).alias("max_distance_km"),
+        F.count_if(F.col("n") > 1).alias("duplicate_ids"),
     )
 
 

@@ -291,7 +291,9 @@ FROM (SELECT *, row_number() OVER (PARTITION BY facility_id ORDER BY distance_km
 register("nearest_report", """
 SELECT count(*) AS facilities_with_coordinates, count(coord_nearest_pincode) AS matched,
   count(*) - count(coord_nearest_pincode) AS unmatched,
-  round(max(coord_nearest_pin_distance_km), 2) AS max_distance_km FROM nearest_complete""", "nearest_complete")
+  round(max(coord_nearest_pin_distance_km), 2) AS max_distance_km,
+  (SELECT count(*) FROM (SELECT facility_id FROM nearest_complete GROUP BY facility_id HAVING count(*) > 1)) AS duplicate_ids
+FROM nearest_complete""", "nearest_complete")
 register("postcode_join", """
 SELECT facility_id, latitude, longitude, postcode, pin_district, pin_state, pin_district_match_count
 FROM with_signals""", "with_signals")
@@ -809,6 +811,9 @@ _EQ_ONE = bind(_norm_sql("t"), "n", bind(
 register("enrichment_requests", "SELECT * FROM enrich_requests", "enrich_requests")
 register("enrichment_apply", """
 SELECT unique_id, kind, 'ok:' || length(prompt)::VARCHAR AS response FROM enrich_requests""", "enrich_requests")
+register("enrichment_store", """
+SELECT unique_id, kind, CASE WHEN kind = 'services' THEN '' ELSE 'again ' END || 'ok:' || length(prompt)::VARCHAR AS response
+FROM enrich_requests""", "enrich_requests")
 register("standardize_specialties", f"""
 SELECT unique_id, {_finish_sql(f"list_transform({_json_strings_sql('specialties')}, lambda t: {_SPEC_ONE})")}
   AS standardized_specialties FROM raw_terms""", "raw_terms")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carelocus.functions.geo import haversine_km
+from carelocus.operators import answers as ans
 from carelocus.operators import dictionary as dic
 from carelocus.operators import index as idx
 from carelocus.operators import location as loc
@@ -409,6 +410,16 @@ def _enrichment_apply(spark, sf):
     return en.apply_model(req, en.echo_model).select("unique_id", "kind", "response")
 
 
+@query("enrichment_store")
+def _enrichment_store(spark, sf):
+    """Two runs over one answer store: what the first has answered the second does not ask again."""
+    store = ans.AnswerStore(spark, Handoff(spark).root + "/answers")
+    raw = fx.raw_terms(spark, sf)
+    store.ask(ans.raw_requests(raw, kinds=["services"]), en.echo_model, "1")
+    store.ask(ans.raw_requests(raw), lambda prompts: "again " + en.echo_model(prompts), "2")
+    return store.attach(ans.raw_requests(raw)).select("unique_id", "kind", "response")
+
+
 @query("standardize_specialties")
 def _standardize_specialties(spark, sf):
     return en.standardize_specialties(fx.raw_terms(spark, sf))
