@@ -20,7 +20,7 @@ their id, those of more than `max_row_chars` characters left out, and of these a
 characters together (never are rows left out of scoring). Counting is distributed; only the kept expressions come to
 the driver and go to the tasks. The sample's ids are broadcast (at most 2 x rows_per_class).
 
-Cases: null and empty texts have evidence 0; very long texts are scored whole; equal texts get equal scores; a
+Cases: null and empty texts have the evidence of one unknown word; very long texts are scored whole; equal texts get equal scores; a
 null label counts as unlabelled, of several labels of one document the greatest counts; without labels of both
 classes every score is 0. Only the id and text columns and the labels' id and class are read, so extra columns and
 clashing names do no harm.
@@ -167,14 +167,15 @@ class ClassModels:
         """Toxic minus ordinary log-likelihood per word of each text."""
         first, word, text = expressions(texts)
         if not len(word):
-            return np.zeros(len(texts))
+            return np.full(len(texts), gap_of(self.factor))
         gap = np.full(len(word), gap_of(self.factor))
         for keys, wanted, values in ((self.words, word, gap_of(self.p_word)), (self.heads, first, gap_of(self.head_factor)), (self.pairs, pair_hash(first, word), gap_of(self.p_pair))):
             if len(keys):
                 spot = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
                 found = keys[spot] == wanted
                 gap = np.where(found, values[spot] + (gap if keys is self.heads else 0.0), gap)
-        return np.bincount(text, gap, len(texts)) / np.maximum(np.bincount(text, minlength=len(texts)), 1)
+        size = np.bincount(text, minlength=len(texts))
+        return np.where(size > 0, np.bincount(text, gap, len(texts)) / np.maximum(size, 1), gap_of(self.factor))
 
 
 def gap_of(p: np.ndarray) -> np.ndarray:
