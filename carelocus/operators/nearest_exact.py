@@ -1,7 +1,7 @@
 """J2 with a proof (D9): the nearest PIN point of every facility at any distance, by branch and bound on a quadtree.
 
-The grid join of ``nearest.py`` looks at a fixed neighbourhood: it compares all pairs of a dense cell, and beyond the
-neighbourhood it knows nothing. Here the work follows the data:
+The search of ``nearest.py`` looks at a fixed neighbourhood of grid cells; beyond it, it knows nothing. Here it goes over
+the whole globe (``quadtree.py``):
 
 1. Distinct coordinates alone are searched; rows at one point share its answer.
 2. The PIN points are counted in cells of a quadtree over the globe that is four times finer in each axis from level to
@@ -20,98 +20,13 @@ loop on the driver is over levels, at most `MAX_LEVEL`.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carelocus.functions.geo import EARTH_RADIUS_KM, haversine_km
+from carelocus.functions.geo import haversine_km
 from carelocus.operators.handoff import Handoff
 from carelocus.operators.nearest import best_pin, facility_points, pin_points
-from carelocus.operators.sizing import broadcast_below
-
-LEAF_PINS = 16
-#: Cells of the last level are about a metre wide; distinct points do not share them in practice, and may.
-MAX_LEVEL = 12
-#: Bounds are compared with this much room for rounding, so that no cell with an equal distance is dropped.
-ROOM_KM = 1e-6
-_SPAN = 360.0
-
-
-def cell_of(lat: str, lon: str, level: int | Column) -> Column:
-    """The cell of a point, as one number; the cells of a level lie inside those of the level before."""
-    scale = F.lit(float(4**level)) if isinstance(level, int) else F.pow(F.lit(4.0), level)
-    # The last meridian belongs to the last column.
-    row, column = (F.least(F.floor((F.col(c) + half) / _SPAN * scale), scale - 1).cast("long") for c, half in ((lat, 90.0), (lon, 180.0)))
-    return F.shiftleft(row, 32).bitwiseOR(column)
-
-
-def gap_km(lat: str, lon: str, level: Column, cell: Column) -> Column:
-    """No point of the cell is nearer to (lat, lon) than this.
-
-    Latitude and longitude differ at least by the gaps on both axes (the shorter way round for longitude), and the
-    cosine of a latitude in the cell is at least the smaller one of its edges.
-    """
-    size = F.lit(_SPAN) / F.pow(F.lit(4.0), level)
-    south = F.shiftright(cell, 32) * size - 90.0
-    west = cell.bitwiseAND(F.lit(0xFFFFFFFF)) * size - 180.0
-    north, east = south + size, west + size
-    y, x = F.col(lat), F.col(lon)
-    dlat = F.greatest(south - y, y - north, F.lit(0.0))
-
-    def round_the_globe(edge: Column) -> Column:
-        way = F.abs(x - edge)
-        return F.least(way, F.lit(360.0) - way)
-
-    dlon = F.when(x.between(west, east), 0.0).otherwise(F.least(round_the_globe(west), round_the_globe(east)))
-    narrow = F.greatest(F.least(F.cos(F.radians(F.greatest(south, F.lit(-90.0)))), F.cos(F.radians(F.least(north, F.lit(90.0))))), F.lit(0.0))
-    h = F.pow(F.sin(F.radians(dlat) / 2), 2) + F.cos(F.radians(y)) * narrow * F.pow(F.sin(F.radians(dlon) / 2), 2)
-    return F.asin(F.sqrt(F.least(h, F.lit(1.0)))) * (2 * EARTH_RADIUS_KM)
-
-
-def level_cells(pins: DataFrame, level: int, leaf_pins: int) -> DataFrame:
-    """(parent, level, cell, leaf, rep_lat, rep_lon): the cells of a level with their parents. `pins` holds each point once."""
-    cells = pins.groupBy(cell_of("pin_latitude", "pin_longitude", level - 1).alias("parent"), cell_of("pin_latitude", "pin_longitude", level).alias("cell"))
-    cells = cells.agg(F.count("*").alias("_n"), F.min(F.struct("pin_latitude", "pin_longitude")).alias("_rep"))
-    leaf = (F.col("_n") <= leaf_pins) | F.lit(level >= MAX_LEVEL)
-    return cells.select("parent", F.lit(level).alias("level"), "cell", leaf.alias("leaf"), F.col("_rep.pin_latitude").alias("rep_lat"), F.col("_rep.pin_longitude").alias("rep_lon"))
-
-
-def tree(pins: DataFrame, leaf_pins: int, handoff: Handoff) -> list[tuple[DataFrame, int]]:
-    """The levels below the root with their numbers of cells, until all cells of a level are leaves.
-
-    A level holds the children of the cells before it that are no leaves.
-    """
-    levels, left = [], pins
-    for level in range(1, MAX_LEVEL + 1):
-        cells = handoff.store(level_cells(left, level, leaf_pins), f"level-{level}")
-        facts = cells.agg(F.count("*").alias("cells"), F.count_if(~F.col("leaf")).alias("open")).first()
-        levels.append((cells, facts["cells"]))
-        if not facts["open"]:
-            break
-        here = cell_of("pin_latitude", "pin_longitude", level)
-        left = left.join(cells.filter(~F.col("leaf")).select(F.col("cell").alias("_open")), here == F.col("_open"), "left_semi")
-    return levels
-
-
-def frontier(points: DataFrame, levels: list[tuple[DataFrame, int]]) -> DataFrame:
-    """(latitude, longitude, level, cell): for each point the leaves that may hold its nearest PIN."""
-    of_point = Window.partitionBy("latitude", "longitude")
-    rows = points.repartition("latitude", "longitude").select(
-        "latitude", "longitude", F.lit(0).alias("level"), F.lit(0).cast("long").alias("cell"), F.lit(False).alias("leaf"),
-        F.lit(0.0).alias("gap"), F.lit(None).cast("double").alias("bound"))
-    for cells, n in levels:
-        below = cells.select(F.col("parent").alias("cell"), F.lit(False).alias("leaf"), (F.col("level") - 1).alias("level"),
-                             F.struct("cell", "leaf", "level", "rep_lat", "rep_lon").alias("child"))
-        rows = rows.join(broadcast_below(below, n * 8 * 10), ["level", "cell", "leaf"], "left")
-        child, open_cell = F.col("child"), F.col("child").isNotNull()
-        gap = gap_km("latitude", "longitude", child["level"], child["cell"])
-        rows = rows.select(
-            "latitude", "longitude",
-            *(F.when(open_cell, child[c]).otherwise(F.col(c)).alias(c) for c in ("level", "cell", "leaf")),
-            F.when(open_cell, gap).otherwise(F.col("gap")).alias("gap"),
-            F.least("bound", haversine_km("latitude", "longitude", child["rep_lat"], child["rep_lon"])).alias("bound"),
-        )
-        rows = rows.withColumn("bound", F.min("bound").over(of_point)).filter(F.col("gap") <= F.col("bound") + ROOM_KM)
-    return rows.select("latitude", "longitude", "level", "cell")
+from carelocus.operators.quadtree import GLOBE, LEAF_PINS, best_at_point, distinct_points, frontier, leaf_places, tree
 
 
 def exact_candidates(points: DataFrame, pins: DataFrame, handoff: Handoff, leaf_pins: int = LEAF_PINS) -> DataFrame:
@@ -119,18 +34,13 @@ def exact_candidates(points: DataFrame, pins: DataFrame, handoff: Handoff, leaf_
 
     A point's nearest PIN is among them, and of several at the same distance all.
     """
-    # PINs at one point differ only in what they are called: the smallest pincode wins there.
-    at_point = pins.groupBy("pin_latitude", "pin_longitude").agg(F.min(F.struct("pincode", "district", "statename")).alias("_pin"))
-    pins = handoff.store(at_point.select("pin_latitude", "pin_longitude", "_pin.*"), "pin-points")
-    levels = tree(pins, leaf_pins, handoff)
-    leaves = None
-    for cells, _ in levels:
-        own = cells.filter("leaf").select("level", "cell")
-        leaves = own if leaves is None else leaves.unionByName(own)
-    # Each pin under its leaf: of its cells on all levels the one that is a leaf.
-    placed = pins.withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(len(levels))))).withColumn("cell", cell_of("pin_latitude", "pin_longitude", F.col("level")))
-    placed = handoff.store(placed.join(leaves, ["level", "cell"], "left_semi"), "leaf-pins")
-    wanted = handoff.store(frontier(points, levels), "frontier")
+    pins = handoff.store(distinct_points(pins), "pin-points")
+    levels = tree(pins, leaf_pins, handoff, GLOBE, first=1)
+    placed = handoff.store(leaf_places(pins, levels, GLOBE, first=1), "leaf-pins")
+    root = points.repartition("latitude", "longitude").select(
+        "latitude", "longitude", F.lit(0).alias("level"), F.lit(0).cast("long").alias("cell"), F.lit(False).alias("leaf"),
+        F.lit(0.0).alias("gap"), F.lit(float("inf")).alias("bound"))
+    wanted = handoff.store(frontier(root, levels, GLOBE), "frontier")
     pairs = wanted.join(placed, ["level", "cell"])
     return pairs.select("latitude", "longitude", "pincode", "district", "statename", haversine_km("latitude", "longitude", "pin_latitude", "pin_longitude").alias("distance_km"))
 
@@ -143,6 +53,5 @@ def nearest_pin_exact(facilities: DataFrame, lookup: DataFrame, leaf_pins: int =
     handoff = handoff or Handoff(facilities.sparkSession)
     rows = facility_points(facilities).select("facility_id", "latitude", "longitude")
     found = exact_candidates(rows.select("latitude", "longitude").distinct(), pin_points(lookup), handoff, leaf_pins)
-    nearest = F.min_by(F.struct("pincode", "district", "statename", "distance_km"), F.struct("distance_km", "pincode")).alias("_best")
-    points = found.groupBy("latitude", "longitude").agg(nearest).select("latitude", "longitude", "_best.*")
+    points = best_at_point(found)
     return best_pin(rows.join(points, ["latitude", "longitude"], "left"))
