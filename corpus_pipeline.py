@@ -36,7 +36,8 @@ def keyed(docs: DataFrame) -> DataFrame:
         rows = docs.select("*", *place)
     number = (F.row_number().over(Window.orderBy("_path")) - 1).cast("long")
     files = rows.select("_path").distinct().select("_path", number.alias("_file"))  # one short row per file
-    return rows.join(files, "_path").select(*docs.columns, F.shiftleft("_file", 40).bitwiseOR(F.col("_index")).alias("_row"))
+    # Broadcast whatever its estimate says, which is that of the whole table: else all texts are shuffled to meet it.
+    return rows.join(F.broadcast(files), "_path").select(*docs.columns, F.shiftleft("_file", 40).bitwiseOR(F.col("_index")).alias("_row"))
 
 
 def with_row(docs: DataFrame) -> DataFrame:

@@ -52,3 +52,18 @@ def test_run_keeps_rows_without_an_id(spark, tmp_path):
     spark.createDataFrame([(1, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     out = Counter(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).filter("start = 0").collect())
     assert out == Counter([*range(59), None])
+
+
+def test_row_keys_move_no_texts(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(40)], "doc_id long, text string")
+    docs.repartition(4).write.parquet(f"{tmp_path}/docs")
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    try:
+        for k in old:
+            spark.conf.set(k, "-1")
+        rows = corpus_pipeline.keyed(spark.read.parquet(f"{tmp_path}/docs"))
+        assert len({r._row for r in rows.collect()}) == 40
+        assert "SortMergeJoin" not in rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
