@@ -11,7 +11,7 @@ from carelocus.plans.registry import QUERIES
 
 from conftest import SF001
 
-TABLES = ["customer", "orders", "events", "nation", "region"]
+TABLES = ["customer", "orders", "events", "nation", "region", "part"]
 
 
 def _norm(v):
