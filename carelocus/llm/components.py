@@ -22,14 +22,16 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter(F.col("u") != F.col("v")).distinct()
 
 
+def starred(edges: DataFrame) -> bool:
+    """Whether distinct (u, v) edges, u > v, are stars already: each u has one edge, and no v is a u."""
+    ends = F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    nodes = edges.select(F.explode(ends).alias("e")).groupBy("e.node").agg(F.sum("e.up").alias("up"), F.max("e.down").alias("down"))
+    return nodes.agg(F.count_if(F.col("up") + F.col("down") > 1)).first()[0] == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of all nodes of an edge table (a, b); a component's name is its least node."""
     now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter(F.col("u") != F.col("v")).distinct(), "edges")
-    mark = None
-    while True:
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(seen) == mark:
-            break
-        mark = tuple(seen)
+    while not starred(now):
         now = stored(star(star(now, large=True), large=False), "edges")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -267,7 +267,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     long = held.filter(F.col("size") > LONG_LIST).join(sets.select("a", F.size("set").cast("long").alias("n"), "short").dropDuplicates(["a", "n"]), ["a", "n"])
     met = compare_blocks(long.unionByName(held.filter(F.col("size") <= LONG_LIST).withColumn("short", F.lit(None).cast("binary"))), percent)
     more = stored(met.join(pairs, ["a", "b"], "left_anti").distinct(), "minhash-pairs")
-    found = components(links.unionByName(stored(confirmed(more, sets, percent), "minhash-links")))
+    # Each node's component stands for the links of the first round, so that few rounds are left.
+    stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    found = components(stars.unionByName(stored(confirmed(more, sets, percent), "minhash-links")))
 
     named = classes.select(*key, "a").join(found.select(F.col("node").alias("a"), "component"), "a", "left").select(*key, F.coalesce("component", "a").alias("component_id"))
     out = docs.select("id", *key).join(named, key, "left")
