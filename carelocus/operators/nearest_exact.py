@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from carelocus.functions.geo import haversine_km
 from carelocus.operators.handoff import Handoff
 from carelocus.operators.nearest import best_pin, facility_points, pin_points
-from carelocus.operators.quadtree import GLOBE, LEAF_PINS, best_at_point, distinct_points, frontier, leaf_places, tree
+from carelocus.operators.quadtree import GLOBE, LEAF_PINS, POINT, best_at_point, dealt_by_point, distinct_points, frontier, leaf_places, tree
 
 
 def exact_candidates(points: DataFrame, pins: DataFrame, handoff: Handoff, leaf_pins: int = LEAF_PINS) -> DataFrame:
@@ -37,8 +37,8 @@ def exact_candidates(points: DataFrame, pins: DataFrame, handoff: Handoff, leaf_
     pins = handoff.store(distinct_points(pins), "pin-points")
     levels = tree(pins, leaf_pins, handoff, GLOBE, first=1)
     placed = handoff.store(leaf_places(pins, levels, GLOBE, first=1), "leaf-pins")
-    root = points.repartition("latitude", "longitude").select(
-        "latitude", "longitude", F.lit(0).alias("level"), F.lit(0).cast("long").alias("cell"), F.lit(False).alias("leaf"),
+    root = dealt_by_point(points).select(
+        POINT, "latitude", "longitude", F.lit(0).alias("level"), F.lit(0).cast("long").alias("cell"), F.lit(False).alias("leaf"),
         F.lit(0.0).alias("gap"), F.lit(float("inf")).alias("bound"))
     wanted = handoff.store(frontier(root, levels, GLOBE), "frontier")
     pairs = wanted.join(placed, ["level", "cell"])
