@@ -4,9 +4,15 @@ import re
 
 from pyspark.sql import functions as F
 
+from carelocus.operators import index as idx
 from carelocus.operators import nearest as nn
+from carelocus.operators import plan as pl
+from carelocus.operators import search as sr
 from carelocus.operators.handoff import SHUFFLE_CLEANUP, Handoff
 from carelocus.operators.quadtree import POINT, Squares, dealt_by_point, leaf_places, narrowed, tree
+from carelocus.plans import registry
+
+from conftest import SF001
 
 
 def shuffle_files(spark):
@@ -67,3 +73,40 @@ def test_pins_meet_the_few_leaves_without_a_shuffle(spark):
             assert not exchanges(placed) and placed.count() == 400
         finally:
             spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+class Unstored:
+    """Gives the rows of a step back as they are, not stored."""
+
+    def store(self, df, name):
+        return df
+
+
+def below(df, node):
+    return df._jdf.queryExecution().optimizedPlan().toString().split(node, 1)[1]
+
+
+def test_texts_of_the_search_index_are_made_behind_its_shuffle(spark):
+    names = [c for c in idx.INDEX_COLUMNS if c not in ("facility_latitude", "facility_longitude")]
+    index = spark.range(30).select(*(F.concat(F.lit(c), "id").alias(c) for c in names), (F.col("id") / 3).alias("facility_latitude"),
+                                   F.when(F.col("id") % 5 != 0, 70 + F.col("id") / 9).alias("facility_longitude"))
+    store = sr.store_search_index(index, Unstored())
+    moved = below(store, "RepartitionByExpression")
+    assert "search_text" not in moved and "match_text" not in moved
+    assert store.count() == 24 and store.filter(F.col("search_text").contains(F.lower("name"))).count() == 24
+
+
+def test_merging_moves_searches_without_their_plans(spark):
+    searches = spark.createDataFrame([(1, "dialysis near Agra"), (1, "MRI scan"), (2, "hospital near Jaipur"), (None, "dental clinic"), (3, None)], "search_id long, query string")
+    responses = spark.createDataFrame([(1, '{"city": "Jaipur", "keywords": ["a b"]}'), (1, "~none"), (2, "no"), (None, '{"city": "Agra"}')], "search_id long, response string")
+    got = pl.merge_plans(searches, responses)
+    assert "keywords" not in below(got, "Join LeftOuter")
+    assert got.columns == pl.fallback_plan(searches).columns
+    model = {r.query: r.city for r in got.filter(F.col("source") == pl.MODEL_SOURCE).collect()}
+    assert model == {"dialysis near Agra": "Jaipur", "MRI scan": "Jaipur"} and got.count() == 5
+
+
+def test_searches_read_a_stored_index(spark):
+    index = registry.facility_index(spark, SF001)
+    assert all("facility_index" in f for f in index.inputFiles())
+    assert index.columns == idx.INDEX_COLUMNS and index.count() == registry.built_index(spark, SF001).count()
