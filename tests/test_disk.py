@@ -172,6 +172,13 @@ def left_by(spark, make):
     return made, sorted(t for d, tables in stored(spark).items() if d not in before for t in tables)
 
 
+def test_what_a_search_index_is_made_of_goes(spark):
+    index, left = left_by(spark, lambda: registry.search_index(spark, SF001))
+    assert left == ["search_index"] and set(sr.READ_COLUMNS) <= set(index.columns) and index.count() > 0
+    (plans, _), left = left_by(spark, lambda: registry.searched(spark, SF001, registry.plans))
+    assert left == ["search_index", "search_plans"] and plans.count() > 0
+
+
 def test_what_a_location_is_made_of_goes(spark):
     (facilities, found), left = left_by(spark, lambda: registry.located(spark, SF001, Handoff(spark)))
     assert left == ["facilities", "facility_location"] and rows_of(found) == rows_of(registry.location(spark, SF001))
